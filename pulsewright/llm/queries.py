@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pulsewright.llm import urls
+import public_tokenizers
+
+from pulsewright.llm import bpe, urls
 from pulsewright.llm.common import table
 
 
@@ -10,5 +12,10 @@ def op9_url_filter(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op9_url_filter": op9_url_filter}
+def op2_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
 ORACLES = {"op9_url_filter": urls.oracle()}
