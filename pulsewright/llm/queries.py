@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pulsewright.llm import bpe, urls
+from pulsewright.llm import bpe, packing, urls
 from pulsewright.llm.common import table
 
 
@@ -17,5 +17,9 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
 ORACLES = {"op9_url_filter": urls.oracle()}
