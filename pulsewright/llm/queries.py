@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pulsewright.llm import bpe, packing, urls
+from pulsewright.llm import bpe, packing, simhash, urls
 from pulsewright.llm.common import table
 
 
@@ -21,5 +21,9 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
+def op1_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicate_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
 ORACLES = {"op9_url_filter": urls.oracle()}
