@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pulsewright.llm import bpe, packing, simhash, urls
+from pulsewright.llm import bpe, packing, quality, simhash, urls
 from pulsewright.llm.common import table
 
 
@@ -25,5 +25,10 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicate_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
+def op5_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op5_quality_rules": op5_quality_rules, "op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
 ORACLES = {"op9_url_filter": urls.oracle()}
