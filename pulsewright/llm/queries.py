@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pulsewright.llm import bpe, linededup, packing, quality, simhash, urls
+from pulsewright.llm import bpe, linededup, media, packing, quality, simhash, urls
 from pulsewright.llm.common import table
 
 
@@ -35,5 +35,9 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(docs, removed="units_removed").select("doc_id", "text", "units_removed")
 
 
-QUERIES = {"op10_line_dedup": op10_line_dedup, "op5_quality_rules": op5_quality_rules, "op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
+def op6_media_columns(spark, sf_dir):
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_media_columns": op6_media_columns, "op10_line_dedup": op10_line_dedup, "op5_quality_rules": op5_quality_rules, "op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
 ORACLES = {"op9_url_filter": urls.oracle()}
