@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from pulsewright.llm.common import cut, doc_mod, documents, pairs, stored
 
-DEPTH = 4
+DEPTH = 5
 END, PAD = 0x0A, 0x0B  # neither is part of a word
-LEAST_BITS = 2e-5
+LEAST_BITS = 5e-6
 #: Words that are at least this share of the training tokens go to every task: at most 1 / HEAD_SHARE of them.
 HEAD_SHARE, HEAD_BYTES = 1e-6, 64
 STRETCH = 512
