@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pulsewright.llm import bpe, linededup, lm, media, packing, quality, simhash, urls
+from pulsewright.llm import bpe, classifier, linededup, lm, media, packing, quality, simhash, urls
 from pulsewright.llm.common import table
 
 
@@ -43,5 +43,10 @@ def op7_suffix_tree_scores(spark, sf_dir):
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_suffix_tree_scores": op7_suffix_tree_scores, "op6_media_columns": op6_media_columns, "op10_line_dedup": op10_line_dedup, "op5_quality_rules": op5_quality_rules, "op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
+def op8_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return classifier.classify(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op8_quality_classifier": op8_quality_classifier, "op7_suffix_tree_scores": op7_suffix_tree_scores, "op6_media_columns": op6_media_columns, "op10_line_dedup": op10_line_dedup, "op5_quality_rules": op5_quality_rules, "op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
 ORACLES = {"op9_url_filter": urls.oracle()}
