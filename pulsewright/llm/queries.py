@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pulsewright.llm import bpe, classifier, linededup, lm, media, packing, quality, simhash, urls
+from pulsewright.llm import bpe, classifier, linededup, lm, media, packing, pii, quality, simhash, urls
 from pulsewright.llm.common import table
 
 
@@ -48,5 +48,10 @@ def op8_quality_classifier(spark, sf_dir):
     return classifier.classify(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op8_quality_classifier": op8_quality_classifier, "op7_suffix_tree_scores": op7_suffix_tree_scores, "op6_media_columns": op6_media_columns, "op10_line_dedup": op10_line_dedup, "op5_quality_rules": op5_quality_rules, "op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
+def op4_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
+QUERIES = {"op4_pii": op4_pii, "op8_quality_classifier": op8_quality_classifier, "op7_suffix_tree_scores": op7_suffix_tree_scores, "op6_media_columns": op6_media_columns, "op10_line_dedup": op10_line_dedup, "op5_quality_rules": op5_quality_rules, "op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
 ORACLES = {"op9_url_filter": urls.oracle()}
