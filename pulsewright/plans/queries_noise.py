@@ -1 +1,187 @@
+"""Registered queries: chains to noise parameters, fits and nested-model tests."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pulsewright.functions import scalar
+from pulsewright.operators import ftests, noise
+from pulsewright.plans.queries_params import NAMED, named
+from pulsewright.registry import query
+from pulsewright.sources.binding import CHAINS, TOAS, chains, read, toas
+
+BURNT = f"{CHAINS}, k as (select *, row_number() over (partition by chain order by sample) - 1 as k, count(*) over (partition by chain) as n from chains), b as (select * from k where k >= floor(n * 0.25::double))"
+
+
+@query(f"with {BURNT} select chain, sample from b")
+def chain_burn_in(spark, sf_dir):
+    return noise.after_burn(chains(spark, sf_dir)).select("chain", "sample")
+
+
+@query(f"with {BURNT}, t as (select *, row_number() over (partition by chain order by vals[len(vals)] desc, sample desc) as r from b), x as (select chain, vals, unnest(range(len(vals))) as pos from t where r <= 10) select chain, pos::int as pos, round(avg(vals[pos + 1]), 9) as mean from x group by all")
+def chain_top_likelihood_mean(spark, sf_dir):
+    return noise.top_mean(chains(spark, sf_dir), n=10)
+
+
+@query(f"with {CHAINS}, t as (select *, row_number() over (partition by chain order by vals[1] desc, sample desc) as r from chains) select chain, sample, vals[1] as lnpost from t where r = 1")
+def chain_map_row(spark, sf_dir):
+    return noise.map_row(chains(spark, sf_dir))
+
+
+POSITIONS = "x as (select chain, unnest(range(6)) as pos, vals from chains), v as (select chain, pos::int as pos, vals[pos + 1] as x from x)"
+
+
+@query(f"with {CHAINS}, {POSITIONS} select chain, pos, round(quantile_cont(x, 0.5), 9) as median from v group by all")
+def chain_medians(spark, sf_dir):
+    return noise.medians(chains(spark, sf_dir), 6)
+
+
+@query(f"with {CHAINS}, {POSITIONS}, e as (select *, min(x) over w as lo, max(x) over w as hi from v window w as (partition by chain, pos)) select chain, pos, (case when hi > lo then least(floor((x - lo) / ((hi - lo) / 20.0::double)), 19) else 0 end)::int as bin, count(*) as n from e group by all")
+def chain_histograms(spark, sf_dir):
+    return noise.histograms(chains(spark, sf_dir), 6)
+
+
+@query(f"with {CHAINS}, {POSITIONS}, e as (select *, min(x) over w as lo, max(x) over w as hi from v window w as (partition by chain, pos)) select chain, pos, (case when hi > lo then least(floor((x - lo) / ((hi - lo) / 80.0::double)), 79) else 0 end)::int as bin, count(*) as n from e group by all")
+def empirical_distributions_1d(spark, sf_dir):
+    return noise.histograms(chains(spark, sf_dir), 6, bins=80)
+
+
+PAIRS = [(0, 1), (0, 2), (3, 5)]
+
+
+@query(f"with {CHAINS}, p as (select chain, i, j, vals[i + 1] as x, vals[j + 1] as y from chains, (values (0, 1), (0, 2), (3, 5)) v(i, j)), e as (select *, min(x) over w as lx, max(x) over w as hx, min(y) over w as ly, max(y) over w as hy from p window w as (partition by chain, i, j)) "
+       "select chain, i, j, least(floor((x - lx) / nullif((hx - lx) / 8.0::double, 0)), 7)::int as bi, least(floor((y - ly) / nullif((hy - ly) / 8.0::double, 0)), 7)::int as bj, count(*) as n from e group by all")
+def empirical_distributions_2d(spark, sf_dir):
+    return noise.pair_histograms(chains(spark, sf_dir), PAIRS)
+
+
+EDGES = [0.05, 0.1, 0.2]
+
+
+@query(f"with {CHAINS}, x as (select chain, vals[1] as x from chains), g as (select chain, count(*) as n, {', '.join(f'count(*) filter (x < -1.0::double + (0.8::double + {e}::double)) as n{k}' for k, e in enumerate(EDGES))} from x group by chain), r as (select chain, [{', '.join(f'case when n{k} > 0 then (1.0::double / 2.0::double) / (n{k}::double / n / (0.8::double + {e}::double)) end' for k, e in enumerate(EDGES))}] as r from g), s as (select chain, list_sum(r) / nullif(len(list_filter(r, lambda v: v is not null)), 0) as bf from r) select chain, round(bf, 9) as bf, bf is null or bf >= 2 as keep from s")
+def red_noise_evidence(spark, sf_dir):
+    return noise.red_noise_evidence(chains(spark, sf_dir), 0, -1.0, 1.0, [0.8 + e for e in EDGES], least=2.0)
+
+
+NOISE = "np2 as (select 'S' || (p_partkey % 40)::varchar as psr, p_partkey as ord, 'S' || (p_partkey % 40)::varchar || '_' || replace(p_brand, '#', '') || '_' || (['efac', 'log10_t2equad', 'log10_ecorr', 'dmefac', 'log10_dmequad', 'red_noise_gamma'])[1 + (p_partkey % 6)::int] as name, p_size::double / -10.0::double as value from part)"
+
+
+def _noise(spark, sf_dir):
+    psr = F.concat(F.lit("S"), (F.col("p_partkey") % 40).cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, ("efac", "log10_t2equad", "log10_ecorr", "dmefac", "log10_dmequad", "red_noise_gamma"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select(psr.alias("psr"), F.col("p_partkey").alias("ord"), F.concat_ws("_", psr, F.translate("p_brand", "#", ""), kind).alias("name"), (F.col("p_size") / F.lit(-10.0)).alias("value"))
+
+
+@query(f"with {NOISE}, x as (select psr, ord, name, split_part(name, '_', 2) as mask_value, case when name like '%_dmefac' or name like '%_dmequad' then null when name like '%_efac' then 'EFAC' when name like '%_log10_t2equad' then 'EQUAD' when name like '%_log10_ecorr' then 'ECORR' end as kind from np2) select psr, name, mask_value, kind, row_number() over (partition by psr, kind order by ord) as number from x where kind is not null")
+def noise_names_narrowband(spark, sf_dir):
+    return noise.parse_names(_noise(spark, sf_dir)).select("psr", "name", "mask_value", "kind", "number")
+
+
+@query(f"with {NOISE}, x as (select psr, ord, name, split_part(name, '_', 2) as mask_value, case when name like '%_dmefac' then 'DMEFAC' when name like '%_log10_dmequad' then 'DMEQUAD' when name like '%_efac' then 'EFAC' when name like '%_log10_t2equad' then 'EQUAD' end as kind from np2) select psr, name, mask_value, kind, row_number() over (partition by psr, kind order by ord) as number from x where kind is not null")
+def noise_names_wideband(spark, sf_dir):
+    return noise.parse_names(_noise(spark, sf_dir), mode="wb").select("psr", "name", "mask_value", "kind", "number")
+
+
+@query(f"with {NOISE} select psr, case when bool_or(name like '%t2equad') then 't2' else 'none' end as convention from np2 group by psr")
+def equad_convention(spark, sf_dir):
+    return noise.equad_convention(_noise(spark, sf_dir))
+
+
+@query(f"with {NOISE} select psr, name, round(pow(10.0::double, value) * 1e6::double, 6) as us, round(86400.0::double * 365.24::double * 1e6::double / (2.0::double * pi() * sqrt(3.0::double)) * pow(10.0::double, value), 0) as amplitude, -value as index from np2")
+def noise_unit_conversions(spark, sf_dir):
+    v = F.col("value")
+    return _noise(spark, sf_dir).select("psr", "name", F.round(scalar.log10_to_us(v), 6).alias("us"), F.round(scalar.red_noise_amplitude(v), 0).alias("amplitude"), (-v).alias("index"))
+
+
+@query(f"with {NOISE}, l as (select psr, ord, unnest(['all', case when name like '%red_noise%' then 'red' end, nullif(regexp_extract(name, '^[^_]+_(.+)_(?:efac|log10_\\w*equad|log10_ecorr)$', 1), '')]) as grp from np2) select psr, grp, list_sort(list(ord)) as idx from l where grp is not null group by all")
+def sampling_groups(spark, sf_dir):
+    return noise.sampling_groups(_noise(spark, sf_dir))
+
+
+@query(f"with {NOISE}, best as (select psr, name, value from np2 where ord % 3 = 0) select n.psr, n.name, coalesce(b.value, -5.0::double) as start, b.value is not null as from_chain from np2 n left join best b using (psr, name)")
+def start_values(spark, sf_dir):
+    n = _noise(spark, sf_dir)
+    return noise.start_values(n, n.filter("ord % 3 = 0"), F.lit(-10.0), F.lit(0.0))
+
+
+TESTS = "t as (select 'S' || (o_custkey % 60)::varchar as psr, (['M2+SINI', 'PX', 'FD' || (1 + o_orderkey % 4)::varchar, 'F2', 'PBDOT'])[1 + (o_orderkey % 5)::int] as label, case when o_orderkey % 5 = 2 then 'FD' else 'other' end as family, case when o_orderkey % 2 = 0 then 'add' else 'remove' end as action, o_totalprice as chi2, 100 + o_orderkey % 50 as dof, case when o_orderkey % 11 <> 0 then (o_orderkey % 997)::double / 99700.0::double end as ft, o_orderkey as ord from orders)"
+
+
+def _tests(spark, sf_dir):
+    k = F.col("o_orderkey")
+    label = F.element_at(F.array(F.lit("M2+SINI"), F.lit("PX"), F.concat(F.lit("FD"), (k % 4 + 1).cast("string")), F.lit("F2"), F.lit("PBDOT")), (k % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select(F.concat(F.lit("S"), (F.col("o_custkey") % 60).cast("string")).alias("psr"), label.alias("label"), F.when(k % 5 == 2, "FD").otherwise("other").alias("family"), F.when(k % 2 == 0, "add").otherwise("remove").alias("action"), F.col("o_totalprice").alias("chi2"), (k % 50 + 100).alias("dof"), F.when(k % 11 != 0, (k % 997) / F.lit(99700.0)).alias("ft"), k.alias("ord"))
+
+
+@query(f"with {TESTS} select psr, label, case when ft is null then 'xxx' when ft < 0.0027 then '***' else '--' end as mark, count(*) as n from t group by all")
+def ftest_report_marks(spark, sf_dir):
+    return ftests.report_lines(_tests(spark, sf_dir)).groupBy("psr", "label", "mark").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {TESTS} select psr, 'remove' as action, label from t where action = 'remove' and ft > 0.0027 and label <> 'PX' union all select psr, 'add', label from t where action = 'add' and ft <= 0.0027 and ft > 0 and label <> 'F2' and family <> 'FD' "
+       "union all select psr, 'add', arg_min(label, {'ft': ft, 'ord': ord}) from t where action = 'add' and ft <= 0.0027 and ft > 0 and family = 'FD' group by psr")
+def ftest_recommendations(spark, sf_dir):
+    return ftests.recommend(_tests(spark, sf_dir))
+
+
+CANDS = "cand(model, label) as (values " + ", ".join(f"('{m}', '{c}')" for m, cs in ftests.CANDIDATES.items() for c in cs) + ")"
+
+
+@query(f"with {NAMED}, {CANDS}, e as (select md.psr, label, unnest(string_split(label, '+')) as name from md join cand using (model)), s as (select e.psr, e.label, bool_and(coalesce(not np.frozen, false)) as a, bool_or(coalesce(not np.frozen, false)) as o from e left join np on e.psr = np.psr and e.name = np.name group by all), "
+       "fd as (select md.psr, coalesce(max(try_cast(right(np.name, 1) as int)) filter (np.name like 'FD%'), 0) as n from md left join np using (psr) group by md.psr) "
+       "select psr, case when a then 'remove' else 'add' end as action, label from s where a or not o union all select psr, 'add', 'FD' || k::varchar from fd, range(1, 6) r(k) where k > n union all select psr, 'remove', 'FD' || k::varchar from fd, range(1, 6) r(k) where k <= n")
+def ftest_candidates(spark, sf_dir):
+    p, models = named(spark, sf_dir)
+    return ftests.candidates(models, p)
+
+
+DESIGN = ["one", "t", "inv", "chan_c"]
+
+
+def _design(spark, sf_dir):
+    t = toas(spark, sf_dir)
+    return t.select("psr", "name", F.col("resid_us").alias("y"), (1 / (F.col("err_us") * F.col("err_us"))).alias("w"), F.lit(1.0).alias("one"), ((F.col("mjd") - 50500.0) / 1000.0).alias("t"), (1e6 / (F.col("freq_mhz") * F.col("freq_mhz"))).alias("inv"), (F.col("chan") - 4.0).alias("chan_c"))
+
+
+GRAMS = f"{TOAS}, d as (select psr, resid_us as y, 1.0::double / (err_us * err_us) as w, (mjd - 50500.0) / 1000.0 as t from toas)"
+
+
+@query(f"with {GRAMS}, s as (select psr, sum(w) as sw, sum(w * t) as st, sum(w * t * t) as stt, sum(w * y) as sy, sum(w * t * y) as sty, sum(w * y * y) as syy, count(*) as n from d group by psr), b as (select *, (sw * sty - st * sy) / (sw * stt - st * st) as slope, (stt * sy - st * sty) / (sw * stt - st * st) as base from s) "
+       "select psr, round(syy - base * sy - slope * sty, 3) as chi2, n - 2 as dof, round(slope, 5) as slope from b")
+def weighted_linear_fit(spark, sf_dir):
+    g = ftests.add_grams(ftests.grams(_design(spark, sf_dir), ["psr", "name"], DESIGN), ["psr"], 4)
+    return ftests.fit(g, [0, 1]).select("psr", F.round("chi2", 3).alias("chi2"), "dof", F.round(F.col("beta")[1], 5).alias("slope"))
+
+
+@query()
+def leave_one_file_out(spark, sf_dir):
+    return ftests.leave_one_out(ftests.grams(_design(spark, sf_dir), ["psr", "name"], DESIGN), 4)
+
+
+@query()
+def nested_model_tests(spark, sf_dir):
+    g = ftests.grams(_design(spark, sf_dir), ["psr"], DESIGN)
+    return ftests.nested(g, {"full": [0, 1, 2, 3], "no slope": [0, 2, 3], "no DM": [0, 1, 3], "offset": [0]}, "full")
+
+
+@query()
+def f_test_p_values(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    a = F.col("o_totalprice") / F.lit(1000.0)
+    n1 = (k % 5 + 1).cast("double")
+    return o.select(k, ftests.f_test(a, F.lit(100.0), a - k % 7, F.lit(100.0) - n1).alias("p"))
+
+
+@query()
+def reduced_chi2(spark, sf_dir):
+    c = toas(spark, sf_dir).groupBy("psr").agg(F.sum(F.pow(F.col("resid_us") / F.col("err_us"), 2)).alias("chi2"), F.count(F.lit(1)).alias("dof"))
+    return ftests.reduced_chi2(c)
+
+
+@query(f"with {TOAS}, c as (select psr, sum(pow(resid_us / err_us, 2)) as after, sum(pow(resid_us / err_us, 2)) + case (psr[4:])::int % 3 when 0 then 0.0 when 1 then 0.005 else 5.0 end as before from toas group by psr) select psr, case when before - after < 0 then 'increasing' when before - after = 0 then 'converged' when before - after < 0.01 then 'probably converged' else 'may not have converged' end as status from c")
+def fit_status(spark, sf_dir):
+    c = toas(spark, sf_dir).groupBy("psr").agg(F.sum(F.pow(F.col("resid_us") / F.col("err_us"), 2)).alias("after"))
+    k = F.substring("psr", 4, 9).cast("int") % 3
+    d = F.col("after") + F.when(k == 0, 0.0).when(k == 1, 0.005).otherwise(5.0) - F.col("after")
+    return c.select("psr", F.when(d < 0, "increasing").when(d == 0, "converged").when(d < 0.01, "probably converged").otherwise("may not have converged").alias("status"))
