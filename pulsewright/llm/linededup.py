@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from pulsewright.llm.common import documents, pairs, stored
@@ -238,7 +238,7 @@ def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int
     listed = cuts.groupBy(F.col("doc_id").alias(f"{CUTS}_id")).agg(F.collect_set(F.struct("nth", "hash", "also")).alias(CUTS))
     joined = docs.join(listed, docs["doc_id"].cast("long") == listed[f"{CUTS}_id"], "left").select(*(docs[c] for c in docs.columns), CUTS)
     place, width = docs.columns.index("text"), len(docs.columns)
-    schema = docs.schema if removed is None else StructType(docs.schema.fields).add(removed, "long")
+    schema = docs.schema if removed is None else StructType([*docs.schema.fields, StructField(removed, LongType())])
 
     def apply(batches):
         for batch in batches:

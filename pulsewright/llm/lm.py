@@ -200,7 +200,8 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, least_bits: float
     n_train, distinct = facts["n"] or 0, facts["v"]
     words = vocabulary.select(F.expr("substring(key, 2)").alias("word"), "n")
     least = max(1, int(np.ceil(n_train * HEAD_SHARE)))
-    frequent = words.filter((F.col("n") >= least) & (F.length("word") <= HEAD_BYTES)).toArrow()  # 1 / HEAD_SHARE rows at most
+    is_end = F.col("word") == F.lit(b"\n")
+    frequent = words.filter(is_end | ((F.col("n") >= least) & (F.length("word") <= HEAD_BYTES))).toArrow()  # 1 / HEAD_SHARE rows and the end, at most
     spark = docs.sparkSession
     head = spark.sparkContext.broadcast(dict(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), strict=True)))
     tree = spark.sparkContext.broadcast(retained(counts, least_bits))
