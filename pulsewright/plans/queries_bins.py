@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsewright.functions import scalar
 from pulsewright.operators import bins, stats
 from pulsewright.plans.queries_cuts import CUT, cut_toas
-from pulsewright.registry import query
+from pulsewright.plans.registration import query
 from pulsewright.sources.binding import TOAS, toas
 
 #: Bins for the joins: sevenths of days apart by source, some of them overlapping, improper or empty.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsewright.operators import cuts, stats
-from pulsewright.registry import query
+from pulsewright.plans.registration import query
 from pulsewright.sources.binding import TOAS, rows, toas
 
 #: The flagship's cuts: signal-to-noise, dates, a bad range; and what the same means in SQL.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsewright.functions import scalar
 from pulsewright.operators import ftests, noise
 from pulsewright.plans.queries_params import NAMED, named
-from pulsewright.registry import query
+from pulsewright.plans.registration import query
 from pulsewright.sources.binding import CHAINS, TOAS, chains, read, toas
 
 BURNT = f"{CHAINS}, k as (select *, row_number() over (partition by chain order by sample) - 1 as k, count(*) over (partition by chain) as n from chains), b as (select * from k where k >= floor(n * 0.25::double))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsewright.operators import params as P
-from pulsewright.registry import query
+from pulsewright.plans.registration import query
 from pulsewright.sources.binding import TOAS, params, params_sql, read, toas
 
 TWO = f"{params_sql('a')}, {params_sql('b', 3)}"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsewright.functions import scalar
 from pulsewright.operators import stats
 from pulsewright.plans.queries_cuts import CUT, cut_toas
-from pulsewright.registry import query
+from pulsewright.plans.registration import query
 from pulsewright.sources.binding import SESSIONS, TOAS, sessions, toas
 
 

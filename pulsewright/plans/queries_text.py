@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsewright.plans.queries_cuts import CUT, cut_toas
-from pulsewright.registry import query
+from pulsewright.plans.registration import query
 from pulsewright.sources import text
 from pulsewright.sources.binding import TOAS, params, params_sql, read, toas
 

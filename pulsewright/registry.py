@@ -1,22 +1,6 @@
 """Names, DataFrame builders and reference SQL of every registered query."""
 
-from __future__ import annotations
+from pulsewright.plans import queries_bins, queries_cuts, queries_noise, queries_params, queries_stats, queries_text  # noqa: F401
+from pulsewright.plans.registration import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame, and the SQL for the same rows if there is one."""
-
-    def add(build):
-        key = name or build.__name__
-        QUERIES[key] = build
-        if sql is not None:
-            ORACLES[key] = sql
-        return build
-
-    return add
-
-
-from pulsewright.plans import queries_bins, queries_cuts, queries_noise, queries_params, queries_stats, queries_text  # noqa: E402, F401
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-
+"""The jobs are batch jobs: nothing that they rebuild reads a stream."""
