@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsewright.functions import kernels, scalar
 from pulsewright.operators.cuts import first_reason, reason
+from pulsewright.operators.settle import settled
 
 BUCKET = 16.0
 
@@ -227,18 +228,19 @@ def same_bins(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def setup(toas: DataFrame, old_bins: DataFrame | None = None, events: DataFrame | None = None, single_site: str = "ao", ratio: float = 1.1, most_us: float = 0.1, early: tuple[str, str, str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(toas with dmx cuts, bins that pass): the whole setup, from uncut rows to checked bins."""
+    toas = settled(toas)
     live = toas.filter("cut is null")
     empty = live.sparkSession.createDataFrame([], "psr string, ord long, low double, high double")
-    first = early_bins(live, *early) if early else empty
+    first = settled(early_bins(live, *early)) if early else empty
     one_site = live.groupBy("psr").agg(F.bool_and(F.col("obs") == single_site).alias("one_site"))
     typed = live.join(one_site, "psr")
     parts = [expand(typed.filter(where), first.join(one_site.filter(where), "psr", "left_semi"), width, 0.05, add_new=True) for where, width in (("one_site", 0.5), ("not one_site", 6.5))]
-    bins = parts[0].unionByName(parts[1])
+    bins = settled(parts[0].unionByName(parts[1]))
     if events is not None:
         bins = rebin(live, bins, event_bins(bins, events), 0.5, 0.0)
-    bins = rebin(live, bins, solar_bins(live, bins, most_us), 0.5, 0.05)
+    bins = settled(rebin(live, bins, solar_bins(live, bins, most_us), 0.5, 0.05))
     good = numbered(bins.join(passing(members(live, bins), ratio).select("psr", "ord"), ["psr", "ord"], "left_semi"))
-    return ratio_cut(toas, bins, ratio), good
+    return settled(ratio_cut(toas, bins, ratio)), settled(good)
 
 
 def after_drop(found: DataFrame) -> DataFrame:

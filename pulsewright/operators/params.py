@@ -170,3 +170,11 @@ def scaled_errors(toas: DataFrame, noise: DataFrame, tempo2: bool = True) -> Dat
     err = F.col("err_us")
     scaled = fac * F.sqrt(err * err + add * add) if tempo2 else F.sqrt(fac * err * fac * err + add * add)
     return t.withColumn("err_scaled", scaled).drop("efac", "equad")
+
+
+def remove_components(params: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Parameters without those of some components, as before a new fit."""
+    out = params
+    for p in prefixes:
+        out = out.filter(~F.col("name").startswith(p))
+    return out
