@@ -125,10 +125,17 @@ class SuffixTree:
         self.root = number[b""]
         self.next = np.full((len(self.states), width), self.root, np.int32)
         self.log10 = np.empty((len(self.states), width))
-        for k, s in enumerate(self.states):
+        longer: dict[bytes, list[bytes]] = {}
+        for s in self.states:
+            if s:
+                longer.setdefault(s[:-1], []).append(s)
+        for s in sorted(self.states, key=len):  # where a byte makes no longer state, it leads where it leads from the suffix
+            k = number[s]
+            if s:
+                self.next[k] = self.next[number[longest(s[1:], number)]]
+            for t in longer.get(s, ()):
+                self.next[k, self.class_of[t[-1]]] = number[t]
             self.log10[k] = np.log10(probability[longest(s, probability)])
-            for j, b in enumerate(classes):
-                self.next[k, j] = number[longest(s + bytes([b]), number)]
 
     def score(self, sequences: list[bytes]) -> np.ndarray:
         """log10 probability of each sequence, every byte after the longest state that ends there."""
