@@ -1,6 +1,6 @@
 """Media columns: payloads in content-addressed tar shards, and columns read back from them.
 
-A payload is stored as an 8-bit grey PNG of 64 samples a row. Its name in the shard is the SHA-256 of the file. Rows
+A payload is stored as an 8-bit grey PNG of one row, so that no filter bytes cut its text. Its name in the shard is the SHA-256 of the file. Rows
 carry digest, shard, offset and length; a header-only range read fills the columns of a picture's shape, a full range
 read the columns of its content. Every task writes shards of its own under new names and stores a payload once; the rows
 then agree on one place for each digest. A shard that a lost or repeated task leaves behind is never referred to.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pulsewright.llm.common import documents, pairs, shared_dir, stored
 
-WIDTH = 64
+UNIT = 64
 HEADER = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -30,7 +30,7 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 def payload_of(text: str | None) -> bytes:
     """UTF-8 and zero bytes up to a positive multiple of 64."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    return data.ljust(max(WIDTH, -(-len(data) // WIDTH) * WIDTH), b"\0")
+    return data.ljust(max(UNIT, -(-len(data) // UNIT) * UNIT), b"\0")
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -38,11 +38,8 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def to_png(payload: bytes) -> bytes:
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    filtered = np.zeros((len(rows), WIDTH + 1), np.uint8)
-    filtered[:, 1:] = rows
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(filtered.tobytes(), 6)) + _chunk(b"IEND", b"")
+    head = struct.pack(">IIBBBBB", len(payload), 1, 8, 0, 0, 0, 0)
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(b"\0" + payload, 6)) + _chunk(b"IEND", b"")
 
 
 def png_header(data: bytes) -> tuple[int, int, int]:
@@ -178,7 +175,7 @@ def _content(read, offset: int, length: int):
     return (
         len(payload),
         hashlib.sha256(payload).hexdigest(),
-        zlib.crc32(payload[-WIDTH:]),
+        zlib.crc32(payload[-UNIT:]),
         len(data),
         hashlib.sha256(data).hexdigest(),
         feature(np.frombuffer(payload, np.uint8)),
