@@ -2,13 +2,13 @@
 
 A text is its words, A-Z lowered, with one blank between and one end. The tree's nodes are byte contexts of up to DEPTH
 bytes: a context is retained when the next byte, given it, diverges enough from what the context without its first byte
-predicts. What a node tells beyond its parent is measured in bits for each byte of the whole corpus; these amounts add
-up to at most eight bits at each depth, so a least amount bounds the number of nodes whatever the corpus. Each node's
-next-byte distribution is smoothed with its parent's, down to a root that gives every byte some probability.
+predicts. What a node tells beyond its parent is measured in bits over its own occurrences and held against a fixed
+amount and half a logarithm for each of its counts, whatever else is in the corpus; so the tree grows with the corpus,
+and its nodes are Spark tables. Each node's next-byte distribution is smoothed with its parent's, down to a root that
+gives every byte some probability.
 
-For scoring, the tree and the prefixes of its contexts are the states of an automaton: the state after a byte is the
-longest suffix of the text so far that is a state. A state depends on the last DEPTH bytes only, so texts of any length
-are cut in stretches that all advance together.
+The probability of a byte depends on the DEPTH bytes before it only. It is found once for each distinct such gram, depth
+by depth. Frequent grams go to every task, all others are joined to the rows that hold them.
 """
 
 from __future__ import annotations
@@ -18,18 +18,20 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsewright.llm.common import cut, doc_mod, documents, pairs, stored
+from pulsewright.llm.common import doc_mod, documents, pairs, stored
 
 DEPTH = 5
 END, PAD = 0x0A, 0x0B  # neither is part of a word
-LEAST_BITS = 5e-6
+#: What a context must tell beyond its parent, over its own occurrences, besides half a logarithm for each count.
+LEAST_BITS = 8.0
 #: Words that are at least this share of the training tokens go to every task: at most 1 / HEAD_SHARE of them.
 HEAD_SHARE, HEAD_BYTES = 1e-6, 64
+#: Grams that are at least this share of all places go to every task: at most 1 / GRAM_SHARE of them, 16 bytes each.
+GRAM_SHARE = 5e-7
 STRETCH = 512
-WORD, GRAM = b"w", b"g"
 LN10 = np.log(10)
 
 
@@ -44,48 +46,64 @@ def _add_sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def grams(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers that hold DEPTH bytes of context and the next byte, and how often each occurs."""
+def codes(sequences: list[bytes]) -> np.ndarray:
+    """A number for each byte of ``sequences``, that holds DEPTH bytes of context and the byte."""
     pad = bytes([PAD]) * DEPTH
     data = np.frombuffer(pad + pad.join(sequences), np.uint8).astype(np.int64)
     code = np.zeros(max(0, len(data) - DEPTH), np.int64)
     for k in range(DEPTH + 1):
         code = code << 8 | data[k : len(data) - DEPTH + k]
-    return np.unique(code[data[DEPTH:] != PAD], return_counts=True)
+    return code[data[DEPTH:] != PAD]
+
+
+def grams(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that hold DEPTH bytes of context and the next byte, and how often each occurs."""
+    return np.unique(codes(sequences), return_counts=True)
+
 
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(word, code, n, m): how often each word, or each context with its next byte, occurs in the texts to learn from.
 
-def corpus_counts(training: DataFrame) -> DataFrame:
-    """(key, n): how often each word and each context with its next byte occurs in all texts of ``training``."""
+    ``docs`` has (learn, text); words are of the texts to learn from only, codes of all texts: m counts every place.
+    """
+    names = ["word", "code", "n", "m"]
 
     def count(batches):
         words: Counter = Counter()
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        sums = {True: (none, none), False: (none, none)}
 
         def word_rows():
-            return pa.RecordBatch.from_arrays([pa.array([WORD + w for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], ["key", "n"])
+            n = pa.array(list(words.values()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), n, n], names)
 
-        for _, texts in pairs(batches, 2_000_000):
-            sequences = []
-            for text in texts:
+        for learn, texts in pairs(batches, 2_000_000):
+            sequences: dict[bool, list[bytes]] = {True: [], False: []}
+            for is_learned, text in zip(learn, texts, strict=True):
                 own = words_of(text)
-                words.update(own)
-                sequences.append(b" ".join(own) + b"\n")
-            words[b"\n"] += len(texts)
-            k, n = grams(sequences)
-            keys, sums = _add_sorted(np.concatenate([keys, k]), np.concatenate([sums, n]))
+                if is_learned:
+                    words.update(own)
+                    words[b"\n"] += 1
+                sequences[is_learned].append(b" ".join(own) + b"\n")
+            for kind, found in sequences.items():
+                if found:
+                    sums[kind] = _add_sorted(*(np.concatenate(c) for c in zip(sums[kind], grams(found), strict=True)))
             if len(words) > 500_000:
                 yield word_rows()
                 words.clear()
         yield word_rows()
-        raw = keys.astype(">i8").view("S8") if len(keys) else np.zeros(0, "S8")
-        packed = [GRAM + bytes(v) for v in raw.view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]] if len(keys) else []
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(sums, pa.int64())], ["key", "n"])
+        for kind, (found, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(n if kind else np.zeros_like(n)), pa.array(n)], names)
 
-    return stored(documents(training).mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    return stored(docs.mapInArrow(count, "word binary, code long, n long, m long").groupBy("word", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
 
 
 class SuffixTree:
-    """Retained contexts with their next-byte counts, made into the automaton's tables."""
+    """A tree that fits in memory, made into an automaton's tables; tests hold the tables of ``gram_logs`` against it.
+
+    The tree and the prefixes of its contexts are the states: the state after a byte is the longest suffix of the text so
+    far that is a state. A state depends on the last DEPTH bytes only, so texts are cut in stretches that advance together.
+    """
 
     def __init__(self, nodes: dict[bytes, dict[int, int]]):
         """``nodes``: counts of next bytes by context; the empty context is the root."""
@@ -162,35 +180,76 @@ class SuffixTree:
         return np.bincount(owner, weights=total, minlength=len(sequences))
 
 
-def retained(counts: DataFrame, least_bits: float = LEAST_BITS) -> SuffixTree:
-    """The tree of all contexts in ``counts`` that pass the divergence test, and of their suffixes."""
-    deepest = counts.filter(F.substring("key", 1, 1) == F.lit(GRAM)).select(
-        F.expr(f"substring(key, 2, {DEPTH})").alias("context"), F.expr(f"substring(key, {DEPTH + 2}, 1)").alias("next"), "n"
-    )
-    depth = {DEPTH: deepest}
+def _last(column: str, n: int) -> Column:
+    """The last ``n`` bytes of a number that holds bytes."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * n) - 1))
+
+
+def levels(counts: DataFrame) -> list[DataFrame]:
+    """By depth: (code, n, m) of each context of so many bytes with its next byte."""
+    found = [counts.filter("code is not null").select("code", "n", "m")]
     for d in range(DEPTH - 1, -1, -1):
-        shorter = depth[d + 1].select(F.expr(f"substring(context, 2, {d})").alias("context"), "next", "n")
-        depth[d] = cut(shorter.groupBy("context", "next").agg(F.sum("n").alias("n")))
-    total = depth[0].agg(F.sum("n")).first()[0] or 0
-    kept = None
-    nodes: dict[bytes, dict[int, int]] = {}
-    for d in range(DEPTH, 0, -1):
-        sums = depth[d].groupBy("context").agg(F.sum("n").alias("all"))
-        above = depth[d - 1].groupBy("context").agg(F.sum("n").alias("parent_all"))
-        parent = depth[d - 1].join(above, "context").select(F.col("context").alias("parent"), "next", (F.col("n") / F.col("parent_all")).alias("q"))
-        known = depth[d].join(sums, "context").withColumn("parent", F.expr(f"substring(context, 2, {d - 1})"))
-        gain = known.join(parent, ["parent", "next"]).groupBy("context").agg(
-            (F.sum(F.col("n") * F.log2(F.col("n") / F.col("all") / F.col("q"))) / max(1, total)).alias("bits")
+        found.append(stored(found[-1].groupBy(_last("code", d + 1).alias("code")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))))
+    return found[::-1]
+
+
+def retained(depth: list[DataFrame], least_bits: float = LEAST_BITS) -> list[DataFrame]:
+    """By depth from 1: (context, all, kinds) of the contexts that pass the divergence test, and of their suffixes."""
+    context = F.shiftright("code", 8).alias("context")
+    known = [d.filter("n > 0") for d in depth]
+    stats = [known[0].groupBy(context).agg(F.sum("n").alias("all"))]
+    for d in range(1, DEPTH + 1):
+        above = known[d - 1].select(F.col("code").alias("shorter"), F.col("n").alias("parent_n"))
+        sums = known[d].withColumn("shorter", _last("code", d)).join(above, "shorter").groupBy(context).agg(
+            F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log2(F.col("n") / F.col("parent_n"))).alias("part")
         )
-        passed = gain.filter(F.col("bits") >= least_bits).select("context")
+        parent = stats[-1].select(F.col("context").alias("parent"), F.col("all").alias("parent_all"))
+        bits = F.col("part") + F.col("all") * F.log2(F.col("parent_all") / F.col("all"))
+        passed = bits >= F.lit(float(least_bits)) + F.col("kinds") / 2 * F.log2(F.col("all") + 1)
+        stats.append(stored(sums.withColumn("parent", _last("context", d - 1)).join(parent, "parent").select("context", "all", "kinds", passed.alias("passed"))))
+    kept, nodes = None, []
+    for d in range(DEPTH, 0, -1):
+        own = stats[d].filter("passed").select("context")
         if kept is not None:  # suffixes of deeper ones
-            passed = passed.union(kept.select(F.expr(f"substring(context, 2, {d})").alias("context"))).distinct()
-        kept = cut(passed)
-        for r in depth[d].join(kept, "context").toLocalIterator():  # at most 8 * DEPTH / least_bits contexts
-            nodes.setdefault(bytes(r["context"]), {})[r["next"][0]] = r["n"]
-    for r in depth[0].collect():  # one row for each byte
-        nodes.setdefault(b"", {})[r["next"][0]] = r["n"]
-    return SuffixTree(nodes)
+            own = own.union(kept.select(_last("context", d).alias("context"))).distinct()
+        kept = stored(own)
+        nodes.append(stats[d].join(kept, "context").select("context", "all", "kinds"))
+    return nodes[::-1]
+
+
+def gram_logs(counts: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
+    """(code, m, log10): each context with its next byte in any text, how often it occurs, and the byte's log probability."""
+    depth = levels(counts)
+    nodes = retained(depth, least_bits)
+    total = depth[0].agg(F.sum("n")).first()[0] or 0
+    found = depth[0].select("code", "m", ((F.col("n") + 1) / F.lit(total + 255)).alias("p"))
+    for d in range(1, DEPTH + 1):
+        above = found.select(F.col("code").alias("shorter"), F.col("p").alias("q"))
+        below = depth[d].withColumns({"shorter": _last("code", d), "context": F.shiftright("code", 8)}).join(above, "shorter").join(nodes[d - 1], "context", "left")
+        p = F.coalesce((F.col("n") + F.col("kinds") * F.col("q")) / (F.col("all") + F.col("kinds")), F.col("q"))
+        found = stored(below.select("code", "m", p.alias("p")))
+    return found.select("code", "m", F.log10("p").alias("log10"))
+
+
+def sum_known(sequences: list[bytes], known: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """For each sequence the sum over its grams that are in ``known`` (ascending), and its other grams with their counts."""
+    code = codes(sequences)
+    owner = np.repeat(np.arange(len(sequences), dtype=np.int32), list(map(len, sequences)))
+    order = np.argsort(code)
+    code, owner = code[order], owner[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    distinct, times = code[first], np.diff(np.append(first, len(code)))
+    at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
+    is_known = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
+    total = np.bincount(owner, weights=np.repeat(np.where(is_known, logs[at] if len(known) else 0.0, 0.0), times), minlength=len(sequences))
+    other = np.repeat(~is_known, times)
+    code, owner = code[other], owner[other]
+    order = np.argsort(owner, kind="stable")  # codes stay ascending within a sequence
+    code, owner = code[order], owner[order]
+    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1]))) if len(code) else np.zeros(0, np.int64)
+    bounds = np.searchsorted(owner[first], np.arange(len(sequences) + 1)).astype(np.int32)
+    items = pa.StructArray.from_arrays([pa.array(code[first]), pa.array(np.diff(np.append(first, len(code))).astype(np.int64))], ["code", "times"])
+    return total, pa.ListArray.from_arrays(pa.array(bounds), items)
 
 
 def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, least_bits: float = LEAST_BITS) -> DataFrame:
@@ -201,26 +260,32 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, least_bits: float
     ``score`` the suffix tree's log10 probability of the text. A null doc_id is neither learned from nor held out.
     Repeated rows count and are scored each on its own; an empty table gives an empty result.
     """
-    counts = corpus_counts(docs.filter(doc_mod("doc_id", fold) != held))
-    vocabulary = counts.filter(F.substring("key", 1, 1) == F.lit(WORD))
+    learn = F.coalesce(doc_mod("doc_id", fold) != held, F.lit(False))
+    counts = corpus_counts(docs.select(learn.alias("learn"), F.col("text").cast("string").alias("text")))
+    vocabulary = counts.filter("word is not null")
     facts = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, distinct = facts["n"] or 0, facts["v"]
-    words = vocabulary.select(F.expr("substring(key, 2)").alias("word"), "n")
+    words = vocabulary.select("word", "n")
     least = max(1, int(np.ceil(n_train * HEAD_SHARE)))
     is_end = F.col("word") == F.lit(b"\n")
     frequent = words.filter(is_end | ((F.col("n") >= least) & (F.length("word") <= HEAD_BYTES))).toArrow()  # 1 / HEAD_SHARE rows and the end, at most
     spark = docs.sparkSession
     head = spark.sparkContext.broadcast(dict(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), strict=True)))
-    tree = spark.sparkContext.broadcast(retained(counts, least_bits))
+    by_gram = gram_logs(counts, least_bits)
+    places = by_gram.agg(F.sum("m")).first()[0] or 0
+    often = by_gram.filter(F.col("m") >= max(1, int(np.ceil(places * GRAM_SHARE)))).select("code", "log10").toArrow()  # 1 / GRAM_SHARE rows at most
+    order = np.argsort(often.column(0).to_numpy())
+    grams_head = spark.sparkContext.broadcast((often.column(0).to_numpy()[order], often.column(1).to_numpy()[order]))
 
     def run(batches):
         own, part, at = head.value, TaskContext.get().partitionId(), 0
         logs = {w: float(np.log10(n + 1)) for w, n in own.items()}
         end = logs.get(b"\n", 0.0)
-        names = ["doc_id", "row", "n_tokens", "n_known", "logs", "score", "rest"]
+        names = ["doc_id", "row", "n_tokens", "n_known", "logs", "score", "rest", "grams"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))]
+        known_codes, known_logs = grams_head.value
         for ids, texts in pairs(batches, 2_000_000):
-            columns: list[list] = [[] for _ in names]
+            columns: list[list] = [[] for _ in kinds]
             sequences = []
             for doc_id, text in zip(ids, texts, strict=True):
                 tokens = words_of(text)
@@ -233,21 +298,22 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, least_bits: float
                 at += 1
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)
-            columns[5] = tree.value.score(sequences)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            columns[5], others = sum_known(sequences, known_codes, known_logs)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), others], names)
 
     scored = stored(
-        documents(docs).mapInArrow(run, "doc_id long, row long, n_tokens long, n_known long, logs double, score double, rest array<struct<word:binary,times:long>>")
+        documents(docs).mapInArrow(run, "doc_id long, row long, n_tokens long, n_known long, logs double, score double, rest array<struct<word:binary,times:long>>, grams array<struct<code:long,times:long>>")
     )
     rare = scored.select("row", F.inline("rest")).join(words.withColumnRenamed("n", "c"), "word")
     by_row = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    others = scored.select("row", F.inline("grams")).join(by_gram, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("more_score"))
     zero = F.lit(0)
-    return scored.drop("rest").join(by_row, "row", "left").select(
+    return scored.drop("rest", "grams").join(by_row, "row", "left").join(others, "row", "left").select(
         "doc_id",
         F.coalesce(doc_mod("doc_id", fold) == held, F.lit(False)).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", zero)).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n_train + distinct + 1)))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -74,3 +74,47 @@ def test_base_scores_match_brute_force(odd_docs, odd_rows, no_docs, monkeypatch)
 def test_counts_take_every_position():
     keys, n = lm.grams([b"abc\n", b"\n", b"aaaaaaaaa\n"])
     assert n.sum() == 4 + 1 + 10
+
+
+def brute_nodes(training):
+    """Every context's next-byte counts; then only those whose own evidence is enough, and their suffixes."""
+    every = collections.defaultdict(collections.Counter)
+    for text in training:
+        history = bytes([lm.PAD]) * lm.DEPTH + b" ".join(lm.words_of(text)) + b"\n"
+        for k in range(lm.DEPTH, len(history)):
+            for d in range(lm.DEPTH + 1):
+                every[history[k - d : k]][history[k]] += 1
+    kept = {b""}
+    for c, counts in every.items():
+        if c:
+            n, above = sum(counts.values()), every[c[1:]]
+            bits = sum(x * math.log2(x / n / (above[b] / sum(above.values()))) for b, x in counts.items())
+            if bits >= 8 + len(counts) / 2 * math.log2(n + 1):
+                kept |= {c[k:] for k in range(len(c))}
+    return {c: dict(every[c]) for c in kept}
+
+
+def test_scores_match_brute_force_of_own_evidence(odd_docs, odd_rows, monkeypatch):
+    rows = [r for r in odd_rows if r[0] is not None]
+    nodes = brute_nodes([t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    texts = {r[0]: r[1] for r in odd_rows}
+    tree = lm.SuffixTree(nodes)
+    for share in (5e-7, 1e-3, 2.0):  # all grams in the tasks, some, none
+        monkeypatch.setattr(lm, "GRAM_SHARE", share)
+        got = lm.score_texts(odd_docs).collect()
+        assert len(got) == len(odd_rows)
+        for r in got:
+            assert r.score == pytest.approx(tree.score([b" ".join(lm.words_of(texts[r.doc_id])) + b"\n"])[0])
+
+
+def test_what_else_is_in_the_corpus_drops_no_context(spark):
+    rare = " ".join("xyxz" if k % 3 else "yzxx" for k in range(12))
+    common = " ".join(["abc", "bca", "cab", "aab"] * 250_000)
+
+    def contexts(texts):
+        docs = spark.createDataFrame([(True, t) for t in texts], "learn boolean, text string")
+        nodes = lm.retained(lm.levels(lm.corpus_counts(docs)))
+        return {(d, r.context) for d, n in enumerate(nodes) for r in n.collect() if all(b in b"xyz" for b in r.context.to_bytes(d + 1))}
+
+    alone = contexts([rare])
+    assert len(alone) > 3 and alone <= contexts([rare, *[common] * 5])
