@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -47,15 +47,28 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(totals * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of every row; a null text counts as empty and has fingerprint zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def _text_hash() -> Column:
+    """Tells texts apart under one doc_id; a null text is not an empty one."""
+    return F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, and text_hash if ``hashed``; a null text counts as empty and has fingerprint zero."""
+    kinds = {"doc_id": pa.int64(), "text_hash": pa.string(), "fp": pa.int64()}
+    if not hashed:
+        del kinds["text_hash"]
+    schema = pa.schema(list(kinds.items()))
 
     def run(batches):
-        for ids, texts in pairs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([fingerprint(t, words) for t in texts], pa.int64())], schema=schema)
+        for batch in batches:
+            at = 0
+            for ids, texts in pairs([batch]):
+                own = [batch.column(2).slice(at, len(texts))] if hashed else []
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *own, pa.array([fingerprint(t, words) for t in texts], pa.int64())], schema=schema)
 
-    return documents(docs).mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash")) if hashed else documents(docs)
+    return read.mapInArrow(run, "doc_id long, text_hash string, fp long" if hashed else "doc_id long, fp long")
 
 
 def _free_masks(subset: tuple[int, ...], bits: int) -> np.ndarray:
@@ -156,14 +169,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     own included. Null and empty texts have fingerprint zero and are linked like any other. Repeated rows are repeated
     in the result, an empty table gives an empty one, other columns are not read.
     """
+    of_doc = cut(fingerprints(docs, words))
+    rooted = _rooted(of_doc, bits)
+    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    return of_doc.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _rooted(of_doc: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, first_doc, root) of each distinct fingerprint: linked ones have the same root."""
     if bits != BITS:
         raise ValueError(f"the index guarantees {SHARED} shared bytes, for {BITS} bits")
-    of_doc = cut(fingerprints(docs, words))
     distinct = cut(of_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
     reached = components(ties(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
-    rooted = cut(distinct.join(reached, "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return of_doc.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return cut(distinct.join(reached, "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("root")))
 
 
 def near_duplicate_digests(docs: DataFrame) -> DataFrame:
@@ -173,6 +191,15 @@ def near_duplicate_digests(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those of a near-duplicate group other than the one with its smallest doc_id."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each near-duplicate group of ``docs``: with its smallest doc_id, nulls last, then the least hash of the text.
+
+    Groups are of fingerprints, so rows with null or repeated ids belong to the group of their text. Of rows that have
+    both id and text in common one stays.
+    """
+    of_doc = cut(fingerprints(docs, hashed=True))
+    by_group = of_doc.join(_rooted(of_doc).select("fp", "root"), "fp").groupBy("root")
+    first = by_group.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"))
+    kept = first.select(F.col("row.doc_id").alias("__kept_id"), F.col("row.text_hash").alias("__kept_hash"))
+    hashed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": _text_hash()})
+    same = hashed["__id"].eqNullSafe(kept["__kept_id"]) & (hashed["__hash"] == kept["__kept_hash"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["__id", "__hash"]).select(docs.columns)

@@ -84,3 +84,13 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_one_row_of_each_group_stays_without_or_with_repeated_ids(spark):
+    def text(k):
+        return " ".join(f"t{k}w{j}" for j in range(40))
+
+    rows = [(None, text(1)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (None, text(4)), (3, text(5)), (9, text(5))]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.text, r.doc_id) for r in kept if r.doc_id is not None) == sorted([(text(3), 7), (text(4), 7), (text(5), 3)])
+    assert sorted(r.text for r in kept if r.doc_id is None) == sorted([text(1), text(2)])
