@@ -2,9 +2,9 @@
 
 Nodes are the tokens that hold a digit or an at sign; any other token is outside by construction, so the chain is cut
 there without loss. Neighbouring nodes share a transition potential. Nodes that are the same but for their punctuation
-share a skip potential wherever they are in the document, each with its next occurrence. Tokens of pattern matches are
-given; loopy message passing over all documents of a batch at once carries their labels to repeated and adjoining
-tokens, and tokens that end up labelled with enough belief become spans beside the matches, which always stay.
+share a skip potential wherever they are in the document: all occurrences hang on one hub, which has the label of the
+matches among them, if they agree. Tokens of pattern matches are given; loopy message passing over all documents of a
+batch at once, until it settles, carries their labels to repeated and adjoining tokens, and tokens that end up labelled with enough belief become spans beside the matches, which always stay.
 The potentials are fitted by pseudo-likelihood on the pattern matches in a bounded sample of documents.
 """
 
@@ -36,7 +36,8 @@ EDGES = ".,;:!?'\"()[]{}<>#$%&*|=~`"
 OUTSIDE, LABELS = 0, len(KINDS) + 1
 N_FEATURES = 24
 LEAST_BELIEF = 0.9
-ROUNDS = 12
+#: Messages have settled when none changes by more; after each so many rounds without that, they are damped more.
+SETTLED, ROUNDS = 1e-4, 50
 
 
 def luhn(digits: str) -> bool:
@@ -100,7 +101,8 @@ class Graph:
     features: np.ndarray
     given: np.ndarray  # -1: not covered by a match
     chain: np.ndarray  # pairs of nodes
-    skip: np.ndarray
+    skip: np.ndarray  # each occurrence with the next one, for the fit
+    hub: np.ndarray  # pairs of a node and the hub of all that are the same
 
 
 def token_features(token: str, before: str) -> list[float]:
@@ -150,9 +152,11 @@ def same_keys(token: str) -> list[str]:
 
 
 def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
-    doc, starts, ends, rows, given, chain, skip = [], [], [], [], [], [], []
+    doc, starts, ends, rows, given, chain, skip, hub = [], [], [], [], [], [], [], []
+    hubs = 0
     for d, (text, base) in enumerate(zip(texts, bases, strict=True)):
         known: dict[str, int] = {}
+        alike_nodes: dict[str, list[int]] = {}
         last_end, k = None, 0  # k: the first match that may still cover a token
         for m in TOKEN.finditer(text) if HINT.search(text) else ():
             a, token = m.start(), m.group()
@@ -173,8 +177,14 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
             alike = same_keys(token)
             skip += [(other, node) for other in sorted({known[key] for key in alike if key in known})]
             known.update(dict.fromkeys(alike, node))
+            if alike:  # the last key holds for all that share any
+                alike_nodes.setdefault(alike[-1], []).append(node)
+        for nodes in alike_nodes.values():
+            if len(nodes) > 1:
+                hub += [(node, hubs) for node in nodes]
+                hubs += 1
     pairs_ = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Graph(np.array(doc, np.int64), np.array(starts, np.int64), np.array(ends, np.int64), np.array(rows, float).reshape(-1, N_FEATURES), np.array(given, np.int64), pairs_(chain), pairs_(skip))
+    return Graph(np.array(doc, np.int64), np.array(starts, np.int64), np.array(ends, np.int64), np.array(rows, float).reshape(-1, N_FEATURES), np.array(given, np.int64), pairs_(chain), pairs_(skip), pairs_(hub))
 
 
 def _soft(scores: np.ndarray) -> np.ndarray:
@@ -219,29 +229,42 @@ class SkipChainField:
                 t += rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return SkipChainField(*theta)
 
-    def beliefs(self, g: Graph, rounds: int = ROUNDS, damp: float = 0.3) -> np.ndarray:
-        """Marginals by loopy message passing; nodes of matches keep their label."""
-        unary = g.features @ self.weights
-        held = g.given >= 0
+    def beliefs(self, g: Graph, damp: float = 0.3) -> np.ndarray:
+        """Marginals by loopy message passing until it settles; nodes of matches keep their label."""
+        n = len(g.doc)
+        hubs = int(g.hub[:, 1].max()) + 1 if len(g.hub) else 0
+        unary = np.concatenate([g.features @ self.weights, np.zeros((hubs, LABELS))])
+        votes = np.zeros((hubs, LABELS), bool)
+        matched = g.hub[g.given[g.hub[:, 0]] >= 0]
+        votes[matched[:, 1], g.given[matched[:, 0]]] = True
+        agreed = np.where(votes.sum(axis=1) == 1, votes.argmax(axis=1), -1)
+        given = np.concatenate([g.given, agreed])
+        held = given >= 0
         unary[held] = -50.0
-        unary[held, g.given[held]] = 50.0
-        edges = np.concatenate([g.chain, g.skip])
-        tables = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
+        unary[held, given[held]] = 50.0
+        edges = np.concatenate([g.chain, g.hub + [0, n]])
+        skip = (self.skip + self.skip.T) / 2  # a hub is neither before nor behind
+        tables = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(skip[None], len(g.hub), 0)])
         src = np.concatenate([edges[:, 0], edges[:, 1]])
         dst = np.concatenate([edges[:, 1], edges[:, 0]])
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         messages = np.zeros((len(src), LABELS))
         total = unary.copy()
-        for _ in range(rounds if len(src) else 0):
+        done, change = 0, np.inf if len(src) else 0.0
+        while change > SETTLED:
             out = total[src] - messages[back]
             new = (out - out.max(axis=1, keepdims=True))[:, :, None] + tables
             new = np.log(np.exp(new - new.max(axis=1, keepdims=True)).sum(axis=1)) + new.max(axis=1)
             new -= new.max(axis=1, keepdims=True)
+            change = (1 - damp) * np.abs(new - messages).max()
             messages = damp * messages + (1 - damp) * new
             total = unary.copy()
             np.add.at(total, dst, messages)
-        return _soft(total)
+            done += 1
+            if done % ROUNDS == 0:  # what swings is damped until it doesn't
+                damp = (1 + damp) / 2
+        return _soft(total[:n])
 
 
 def added_spans(texts: list[str], g: Graph, belief: np.ndarray, least: float = LEAST_BELIEF) -> dict[int, list[tuple[int, int, int]]]:

@@ -65,3 +65,10 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert pii.detect(no_docs, pii.fit(no_docs)).count() == 0
     clean = {r.doc_id: r.text for r in pii.redact(odd_docs, field).collect()}
     assert clean[1] is None and "<email>" in clean[9] and "bob.1" not in clean[9] and clean[5] == dict((r[0], r[1]) for r in odd_rows)[5]
+
+
+def test_one_match_labels_hundreds_of_repetitions():
+    bare = " and ".join(f"word{'abcdefghij'[k % 10]} 555-2485" for k in range(300))
+    for text in (f"Call +1 (988) 555-2485 now. {bare}", f"{bare} now. Call +1 (988) 555-2485"):
+        ((_, added),) = pii.find([text], pii.SkipChainField())
+        assert sum(text[a:b] == "555-2485" and kind == 3 for a, kind, b in added) == 300
