@@ -1,17 +1,21 @@
 """Line dedup by pairwise alignment of documents that share line hashes.
 
 A text is cut into units: its physical lines, and these behind sentence ends, so that joining the units gives the text
-back. A unit of enough words is a seed. Long seeds and all pairs of neighbouring seeds are hashed. The earliest document
-that holds a hash owns it, and every later holder is paired with the owner only, so a line that very many documents
-share costs one row for each holder, not one for each two; rare or frequent, no hash is left out. As every two
-neighbours have a hash, a common block has an owner throughout, whichever documents its lines come from. Each pair of
-documents is then aligned as patience diff does it: lines that match once on each side, the longest increasing run of
-matches, and blocks of neighbours within it. Blocks with enough words are deleted from the later document; all other
-text stays as it is.
+back. A block that two documents have in common is a run of equal units with enough bytes. Any such block holds, from its
+first unit on and up to its last, a shortest run of enough bytes; so every document posts the hash of the shortest run
+from each unit on and of the shortest run up to each unit. Where lines are long such a run is one line; short lines, down
+to single words or signs, join until they are long enough, and a text that never gets there posts itself as a whole.
+
+The earliest document that holds a hash owns it, and every later holder is paired with the owner only, so a line that
+very many documents share costs one row for each holder, not one for each two. Rare or frequent, no hash is left out;
+frequent ones, whose number is bounded, take another join. Each pair of documents is aligned as patience diff does it, by
+the longest increasing run of matches; the matches outside it, which stand in another order or repeat, are aligned again
+until none is left. The aligned blocks are deleted from the later document; all other text stays as it is.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import numpy as np
@@ -23,63 +27,68 @@ from xxhash import xxh64_intdigest
 
 from pulsewright.llm.common import documents, pairs, stored
 
-SEED_WORDS, BLOCK_WORDS = 5, 10
-ENDS = ("\n", ". ")
-LEAD, TAIL, PAIR, SECOND = 1, 2, 4, 8
-CUTS = "__line_cuts"
+#: Bytes of UTF-8, blanks not counted, that a common block must have. With 1 every line that an earlier document has goes.
+BLOCK_BYTES = 32
+ENDS = ("\n", ". ", "! ", "? ", "。", "！", "？")
+AT_ENDS = re.compile("|".join(f"(?<={re.escape(e)})" for e in ENDS))
+WHOLE, PART = 1, 0
+#: A hash with at least this share of all postings is frequent: there are at most 1 / FREQUENT of them, 24 bytes each.
+FREQUENT = 1e-5
 
 
 def units(text: str) -> list[str]:
-    """Pieces whose join is the text: each ends behind a newline or behind a sentence's end and its blank."""
-    mark = next((c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text), None)  # private characters
+    """Pieces whose join is the text: each ends behind a newline or behind a sentence's end (and its blank)."""
+    mark = next((c for c in map(chr, range(0xE000, 0xF900)) if c not in text), None)  # private characters
     if mark is None:
-        return text.splitlines(keepends=True)
+        return [u for u in AT_ENDS.split(text) if u]
     for end in ENDS:
-        text = text.replace(end, end + mark)
+        if end in text:
+            text = text.replace(end, end + mark)
     return [u for u in text.split(mark) if u]
 
 
-def _hash(data: bytes, seed: int) -> int:
-    x = xxh64_intdigest(data, seed)
-    return x - (1 << 64) if x >> 63 else x
-
-
-class Seed:
-    """A unit with enough words, and the short units before it (and, for the last seed, behind it)."""
+def bodies_of(parts: list[str]) -> tuple[list[bytes], list[int]]:
+    """The words of each unit that has any, and at which unit it is; units of blanks go with the one before them."""
+    bodies, places = [], []
+    for k, unit in enumerate(parts):
+        words = unit.encode("utf-8", "surrogatepass").split()
+        if words:
+            bodies.append(b" ".join(words))
+            places.append(k)
+    return bodies, places
 
-    __slots__ = ("hash", "words", "lead", "tail", "first", "unit", "end", "pair")
 
-    def __init__(self, hash_, words, lead, first, unit):
-        self.hash, self.words, self.lead, self.first, self.unit = hash_, words, lead, first, unit
-        self.tail, self.end, self.pair = 0, unit + 1, None
+def run_hash(bodies: list[bytes], seed: int = PART) -> int:
+    x = xxh64_intdigest(bodies[0] if len(bodies) == 1 else b"\n".join(bodies), seed)
+    return x - (1 << 64) if x >> 63 else x
 
 
-def seeds(parts: list[str], seed_words: int = SEED_WORDS) -> list[Seed]:
-    """The seeds of a text's units. A hash is of the words and of how often they came before, so a text has it once.
-
-    ``pair`` is the hash of a seed with the one before it and the short units between.
-    """
-    found: list[Seed] = []
-    times: dict[bytes, int] = {}
-    last = b""
-    short: list[bytes] = []
-    first = 0
-    for k, unit in enumerate(parts):
-        words = unit.encode("utf-8", "surrogatepass").split()
-        if len(words) < seed_words:
-            short += words
-            continue
-        body = b" ".join(words)
-        nth = times[body] = times.get(body, 0) + 1
-        found.append(Seed(_hash(body, nth), len(words), _hash(b" ".join(short), 1) if short else 0, first, k))
-        if last:
-            both = b"\n".join((last, b" ".join(short), body))
-            nth = times[both] = times.get(both, 0) + 1
-            found[-1].pair = _hash(both, nth + (1 << 32))
-        short, first, last = [], k + 1, body
-    if found:
-        found[-1].tail, found[-1].end = _hash(b" ".join(short), 2) or 1, len(parts)
-    return found
+def shortest_runs(sizes: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """First places and numbers of the shortest runs of at least ``least`` from each place on and up to each place."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    n = len(sizes)
+    behind = np.searchsorted(total, total[:-1] + least)
+    here = np.flatnonzero(behind <= n)
+    before = np.searchsorted(total, total[1:] - least, side="right") - 1
+    there = np.flatnonzero(before >= 0)
+    both = np.unique(np.concatenate([here * (n + 1) + behind[here], before[there] * (n + 1) + there + 1]))
+    first, end = both // (n + 1), both % (n + 1)
+    return first.tolist(), (end - first).tolist()
+
+
+def postings(text: str, least: int = BLOCK_BYTES):
+    """(hash, first, number, is first) of each posted run; the last tells whether the text had the hash before."""
+    bodies, _ = bodies_of(units(text))
+    if not bodies:
+        return
+    first, number = shortest_runs(np.array([len(b) - b.count(b" ") for b in bodies]), least)
+    seen: set[int] = set()
+    for a, n in zip(first, number, strict=True):
+        h = run_hash(bodies[a : a + n])
+        yield h, a, n, h not in seen
+        seen.add(h)
+    if not first:
+        yield run_hash(bodies, WHOLE), 0, len(bodies), True
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -102,61 +111,70 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(here: list[int], there: list[int], words: list[int], same_lead: list[bool], same_tail: list[bool], block_words: int = BLOCK_WORDS) -> list[tuple[int, int]]:
-    """(place, what else goes) of the matches to delete: which seeds of a text are in blocks of enough words.
+def align(here: list[int], there: list[int]) -> list[tuple[int, int]]:
+    """(alignment, block) of each match, given by ``here``: runs that two documents have at these places.
 
-    ``here`` and ``there`` number the matching seeds in both texts, by ``here``. A block goes on to the next seed on both
-    sides if the short units between are the same. LEAD and TAIL tell that the short units before or behind go as well.
+    Alignment 0 is the longest increasing run. What stands in another order is aligned again, in as few further
+    alignments as possible. A block goes on while both places go on by one.
     """
-    run = increasing(there)
-    out: list[tuple[int, int]] = []
-    at = 0
-    while at < len(run):
-        end = at + 1
-        while end < len(run):
-            a, b = run[end - 1], run[end]
-            if here[b] != here[a] + 1 or there[b] != there[a] + 1 or not same_lead[b]:
-                break
-            end += 1
-        block = run[at:end]
-        if sum(words[k] for k in block) >= block_words:
-            for k in block:
-                led = same_lead[k] and (k != block[0] or here[k] == there[k] == 0)
-                out.append((k, LEAD * led + TAIL * same_tail[k]))
-        at = end
+    alignment = [-1] * len(here)
+    for k in increasing(there):
+        alignment[k] = 0
+    tails: list[int] = []  # of the further alignments, negated: ascending, the one that fits best is the first that fits
+    for k, v in enumerate(there):
+        if alignment[k] < 0:
+            at = bisect_left(tails, 1 - v)
+            if at == len(tails):
+                tails.append(-v)
+            else:
+                tails[at] = -v
+            alignment[k] = at + 1
+    last: dict[int, tuple[int, int, int]] = {}
+    out, blocks = [], 0
+    for a, h, t in zip(alignment, here, there, strict=True):
+        before = last.get(a)
+        if before is not None and (before[0] + 1, before[1] + 1) == (h, t):
+            block = before[2]
+        else:
+            block, blocks = blocks, blocks + 1
+        last[a] = (h, t, block)
+        out.append((a, block))
     return out
 
 
-def keys(own: list[Seed], block_words: int = BLOCK_WORDS):
-    """(hash, nth, words, words of the next, lead, tail) of each long seed, and of each two neighbours."""
-    for nth, s in enumerate(own):
-        if s.words >= block_words:
-            yield s.hash, nth, s.words, 0, s.lead, s.tail
-        if s.pair is not None:
-            yield s.pair, nth - 1, own[nth - 1].words, s.words, own[nth - 1].lead, s.tail
+def _owned(posted: DataFrame) -> DataFrame:
+    """(hash, owner, owner_first, n, latest) of each posted hash."""
+    return posted.groupBy("hash").agg(
+        F.min("doc_id").alias("owner"),
+        F.expr("min_by(first, doc_id) filter (where is_first)").alias("owner_first"),  # which of equal runs doesn't matter
+        F.max("doc_id").alias("latest"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
-def line_cuts(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, owner, nth, hash, also) of every seed that a document loses to the earlier document ``owner``."""
-    if block_words > 2 * seed_words:
-        raise ValueError("two neighbouring seeds must have the words of a block")
-    names = ["hash", "nth", "words", "words2", "lead", "tail", "doc_id"]
+def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, owner, first, number, hash, alignment, block) of every run that a document loses to the earlier ``owner``."""
 
     def post(batches):
+        names = ["hash", "first", "number", "is_first", "doc_id"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
         for ids, texts in pairs(batches):
-            rows = [(*key, i) for i, t in zip(ids, texts, strict=True) if i is not None for key in keys(seeds(units(t), seed_words), block_words)]
+            rows = [(*key, i) for i, t in zip(ids, texts, strict=True) if i is not None for key in postings(t, block_bytes)]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    posted = stored(documents(docs).mapInArrow(post, ", ".join(f"{n} long" for n in names)))
-    owned = posted.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("latest")).filter("owner < latest")
-    shared = stored(posted.join(owned.select("hash", "owner"), "hash"))
-    at_owner = (
-        shared.filter("doc_id = owner")
-        .groupBy("hash")
-        .agg(*(F.min(c).alias(f"owner_{c}") for c in ("lead", "tail", "nth")))  # one row, unless the table repeats rows
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, is_first boolean, doc_id long"))
+    owned = stored(_owned(posted).filter("owner < latest"))
+    often = max(2.0, FREQUENT * posted.count())
+    frequent = F.broadcast(owned.filter(F.col("n") >= often).drop("latest", "n"))  # 1 / FREQUENT rows at most
+    rest = owned.filter(F.col("n") < often).drop("latest", "n")
+    holders = posted.drop("is_first")
+    met = (
+        holders.join(frequent, "hash")
+        .unionByName(holders.join(frequent.select("hash"), "hash", "left_anti").join(rest, "hash"))
+        .filter("doc_id > owner")
+        .select("doc_id", "owner", "first", "owner_first", "number", "hash")
     )
-    met = _met(shared, at_owner)
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
@@ -166,27 +184,17 @@ def line_cuts(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int =
             goes_on = kept and all(batch.column(c)[batch.num_rows - 1] == kept[0].column(c)[0] for c in (0, 1))
             kept.append(batch)
             if not goes_on:
-                kept, out = _close(kept, block_words, last=False)
+                kept, out = _close(kept, last=False)
                 yield out
         if kept:
-            yield _close(kept, block_words, last=True)[1]
-
-    sorted_pairs = met.repartition("doc_id", "owner").sortWithinPartitions("doc_id", "owner", "nth")
-    return sorted_pairs.mapInArrow(run, "doc_id long, owner long, nth long, hash long, also int")
+            yield _close(kept, last=True)[1]
 
-
-def _met(shared: DataFrame, at_owner: DataFrame) -> DataFrame:
-    """Each seed of a later document beside the owner's; a pair's rows can't outnumber the seeds of one document."""
-    same = lambda c: F.col(c) == F.col(f"owner_{c}")
-    return (
-        shared.filter("doc_id > owner")
-        .join(at_owner, "hash")
-        .select("doc_id", "owner", "nth", "owner_nth", "words", "words2", "hash", same("lead").alias("same_lead"), (same("tail") & (F.col("tail") != 0)).alias("same_tail"))
-    )
+    sorted_pairs = met.repartition("doc_id", "owner").sortWithinPartitions("doc_id", "owner", "first", "number")
+    return sorted_pairs.mapInArrow(run, "doc_id long, owner long, first long, number long, hash long, alignment int, block int")
 
 
-def _close(parts: list[pa.RecordBatch], block_words: int, last: bool):
-    """Aligns all pairs of documents but the one that the next batch may go on with."""
+def _close(parts: list[pa.RecordBatch], last: bool):
+    """Aligns all pairs of documents but the one that the next batch may go on with; a pair has no more rows than one document."""
     table = pa.Table.from_batches(parts).combine_chunks()
     doc, owner = table.column(0).to_numpy(), table.column(1).to_numpy()
     bounds = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(owner) != 0)) + 1, [len(doc)]])
@@ -194,50 +202,44 @@ def _close(parts: list[pa.RecordBatch], block_words: int, last: bool):
     if not last:
         rest = table.slice(int(bounds[-2])).to_batches()
         bounds = bounds[:-1]
-    columns = [table.column(k).to_pylist() for k in range(2, 9)]
-    out: list[list[int]] = [[], [], [], [], []]
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        found: dict[int, tuple] = {}  # by seed of the later text: its match, a pair's before a single one's
-        for nth, owner_nth, words, words2, hash_, lead, tail in zip(*(c[a:b] for c in columns), strict=True):
-            if words2:
-                if nth not in found or not found[nth][5] & SECOND:
-                    found[nth] = (nth, owner_nth, words, lead, False, PAIR, hash_)
-                found[nth + 1] = (nth + 1, owner_nth + 1, words2, True, tail, PAIR | SECOND, hash_)
-            elif nth not in found:
-                found[nth] = (nth, owner_nth, words, lead, tail, 0, hash_)
-        matches = sorted(found.values())
-        for place, also in align(*(list(c) for c in list(zip(*matches, strict=True))[:5]), block_words=block_words):
-            m = matches[place]
-            for c, v in zip(out, (int(doc[a]), int(owner[a]), m[0], m[6], also | m[5]), strict=True):
-                c.append(v)
-    kinds = [pa.int64()] * 4 + [pa.int32()]
-    return rest, pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "owner", "nth", "hash", "also"])
-
-
-def without(text: str, cuts: list[tuple[int, int, int]], seed_words: int = SEED_WORDS) -> tuple[str, int]:
-    """The text without the cut seeds (nth, hash, also) that it really has, and how many units went."""
+    here, there = table.column(2).to_pylist(), table.column(3).to_pylist()
+    found = [pair for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for pair in align(here[a:b], there[a:b])]
+    done = table.slice(0, int(bounds[-1])).combine_chunks()
+    alignment, block = zip(*found, strict=True) if found else ((), ())
+    columns = [done.column(k).combine_chunks() for k in (0, 1, 2, 4, 5)]
+    names = ["doc_id", "owner", "first", "number", "hash", "alignment", "block"]
+    return rest, pa.RecordBatch.from_arrays([*columns, pa.array(alignment, pa.int32()), pa.array(block, pa.int32())], names)
+
+
+def without(text: str, cuts: list[tuple[int, int, int]]) -> tuple[str, int]:
+    """The text without the cut runs (first, number, hash) that it really has, and how many units went."""
     parts = units(text)
-    own = seeds(parts, seed_words)
+    bodies, places = bodies_of(parts)
+    ends = [*places[1:], len(parts)]
     gone: set[int] = set()
-    for nth, hash_, also in cuts:
-        at = nth + (also & (PAIR | SECOND) == PAIR)  # a pair's hash is with its second seed
-        if at < len(own) and (own[at].pair if also & PAIR else own[at].hash) == hash_:
-            s = own[nth]
-            gone.update(range(s.first if also & LEAD else s.unit, s.end if also & TAIL else s.unit + 1))
-    return "".join(p for k, p in enumerate(parts) if k not in gone), len(gone)
+    for first, number, hash_ in cuts:
+        own = bodies[first : first + number]
+        if len(own) == number and hash_ in (run_hash(own), run_hash(own, WHOLE) if number == len(bodies) else None):
+            gone.update(range(first, first + number))
+    lost = {k for g in gone for k in range(places[g], ends[g])}
+    if len(gone) == len(bodies):
+        lost = set(range(len(parts)))
+    return "".join(p for k, p in enumerate(parts) if k not in lost), len(lost)
 
 
-def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int = BLOCK_WORDS, removed: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, removed: str | None = None) -> DataFrame:
     """Every row of ``docs`` with all its columns, its text without the blocks that an earlier document has.
 
-    ``removed`` names a further column with the number of units that went. A copy of an earlier document loses all its
-    text and stays as a row with an empty one. Earlier is by doc_id; a row without doc_id keeps its text, a null text
-    stays null, rows that repeat a doc_id lose the same blocks, and an empty table gives an empty result.
+    A block is a run of units with at least ``block_bytes`` bytes besides blanks, or a whole text with fewer. ``removed``
+    names a further column with the number of units that went. A copy of an earlier document loses all its text and
+    stays as a row with an empty one. Earlier is by doc_id; a row without doc_id keeps its text and none loses to it, a
+    null text stays null, rows that repeat a doc_id lose the same blocks, blocks that one document repeats stay in it,
+    and an empty table gives an empty result. Other columns may have any name.
     """
-    cuts = line_cuts(docs, seed_words, block_words)
-    listed = cuts.groupBy(F.col("doc_id").alias(f"{CUTS}_id")).agg(F.collect_set(F.struct("nth", "hash", "also")).alias(CUTS))
-    joined = docs.join(listed, docs["doc_id"].cast("long") == listed[f"{CUTS}_id"], "left").select(*(docs[c] for c in docs.columns), CUTS)
     place, width = docs.columns.index("text"), len(docs.columns)
+    key, listed_key, listed_cuts = (next(n for k in range(width + 1) if (n := f"{stem}_{k}") not in docs.columns) for stem in ("cut_key", "cut_id", "cut_list"))
+    listed = line_cuts(docs, block_bytes).groupBy(F.col("doc_id").alias(listed_key)).agg(F.collect_set(F.struct("first", "number", "hash")).alias(listed_cuts))
+    joined = docs.withColumn(key, F.col("doc_id").cast("long")).join(listed, F.col(key) == F.col(listed_key), "left").drop(key, listed_key)
     schema = docs.schema if removed is None else StructType([*docs.schema.fields, StructField(removed, LongType())])
 
     def apply(batches):
@@ -245,7 +247,7 @@ def dedup_lines(docs: DataFrame, seed_words: int = SEED_WORDS, block_words: int
             texts, cuts = batch.column(place).to_pylist(), batch.column(width)
             gone = [0] * len(texts)
             for k in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)):
-                texts[k], gone[k] = without(texts[k] or "", [tuple(c.values()) for c in cuts[int(k)].as_py()], seed_words)
+                texts[k], gone[k] = without(texts[k] or "", [tuple(c.values()) for c in cuts[int(k)].as_py()])
             columns = list(batch.columns[:width])
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns + ([] if removed is None else [pa.array(gone, pa.int64())]), schema.names)

@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,45 +28,90 @@ def test_longest_increasing_run():
         assert len(run) == longest(values) and all(a < b for a, b in zip(run, run[1:], strict=False))
 
 
-def brute(texts):
-    """By doc_id: the text after the same alignment of each pair, found by looking at all earlier documents."""
-    own, out = {}, {}
-    keys = {i: list(L.keys(L.seeds(L.units(t)))) for i, t in texts.items()}
-    for i in sorted(texts):
-        for k in keys[i]:
-            own.setdefault(k[0], (i, k))
-    for i in sorted(texts):
-        by_owner = {}
-        for hash_, nth, words, words2, lead, tail in keys[i]:
-            o, k = own[hash_]
-            if o < i:
-                by_owner.setdefault(o, []).append((nth, k[1], words, words2, hash_, lead == k[4], tail == k[5] and tail != 0))
-        cuts = []
-        for rows in by_owner.values():
-            found = {}
-            for nth, there, words, words2, hash_, lead, tail in sorted(rows):
-                if words2:
-                    if nth not in found or not found[nth][5] & L.SECOND:
-                        found[nth] = (nth, there, words, lead, False, L.PAIR, hash_)
-                    found[nth + 1] = (nth + 1, there + 1, words2, True, tail, L.PAIR | L.SECOND, hash_)
-                else:
-                    found.setdefault(nth, (nth, there, words, lead, tail, 0, hash_))
-            m = sorted(found.values())
-            cuts += [(m[p][0], m[p][6], also | m[p][5]) for p, also in L.align(*(list(c) for c in list(zip(*m, strict=True))[:5]))]
-        out[i] = L.without(texts[i], cuts)[0] if cuts else texts[i]
+def cut_up(text):
+    """Units of a text with the words of each, by a pattern of its own; blanks behind a unit are its own."""
+    found = re.findall(r"\s*\S(?:(?![\n。！？]|[.!?] )[\s\S])*(?:[\n。！？]|[.!?] |$)\s*", text)
+    return [(u, u.split()) for u in found]
+
+
+def brute(texts, least=32):
+    """By doc_id: the words left when every run of units that any earlier text has too, and that is long enough, is gone."""
+    out, cut = {}, {i: cut_up(t) for i, t in texts.items()}
+    for i in texts:
+        words = [w for _, w in cut[i]]
+        sizes = [sum(len(x.encode()) for x in w) for w in words]
+        gone = set()
+        for j in texts:
+            other = [w for _, w in cut[j]]
+            if j < i and other and other == words:
+                gone |= set(range(len(words)))
+            for a in range(len(words)) if j < i else ():
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(words) and b + n < len(other) and words[a + n] == other[b + n]:
+                        n += 1
+                    if sum(sizes[a : a + n]) >= least:
+                        gone |= set(range(a, a + n))
+        out[i] = [x for k, w in enumerate(words) if k not in gone for x in w]
     return out
 
 
 def test_matches_brute_force(spark):
     rng = random.Random(7)
-    sentences = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([2, 3, 6, 7, 12, 15]))) + "." for _ in range(60)]
-    texts = {k: rng.choice([" ", "\n"]).join(rng.choice(sentences) for _ in range(rng.randrange(12))) for k in range(120)}
+    sentences = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([1, 2, 3, 6, 7, 12, 15]))) + rng.choice(".!?") for _ in range(60)]
+    texts = {k: rng.choice([" ", "\n", "\n\n", "  "]).join(rng.choice(sentences) for _ in range(rng.randrange(12))) for k in range(120)}
     for k in range(120, 150):
         texts[k] = texts[rng.randrange(120)]
+    for k in range(150, 170):  # blocks in another order, and repeated
+        parts = texts[rng.randrange(120)].split(". ")
+        texts[k] = ". ".join(rng.sample(parts, len(parts)) + parts[:2] + parts[:2])
     got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     want = brute(texts)
-    bad = [k for k in texts if got[k] != want[k]]
-    assert not bad
+    assert [k for k in texts if got[k].split() != want[k]] == []
+    assert any(want[k] != texts[k].split() and want[k] for k in texts)
+
+
+def test_short_lines_and_texts_without_blanks(spark):
+    lines = "\n".join(f"a{k} b{k} c{k}" for k in range(60))
+    chinese = "".join(f"第{k}句话没有空格。" for k in range(60))
+    nine = "nine words of one line stand on two pages"
+    rows = [lines, chinese, f"First.\n{nine}\nOne end.", "short", lines, chinese, f"Second!\n{nine}\nOther end.", "short", "shor t"]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(4)] == rows[:4]
+    assert [got[k] for k in (4, 5, 6, 7, 8)] == ["", "", "Second!\nOther end.", "", "shor t"]
+
+
+def test_moved_and_repeated_blocks_go(spark):
+    x, y = (" ".join(f"{c}{k}word" for k in range(14)) + "." for c in "xy")
+    rows = [(1, f"{x} {y}"), (2, f"{y} {x}"), (3, f"Own. {x} {x} {x}"), (4, "kept " * 20)]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "Own. ", 4: rows[3][1]}
+
+
+def test_alignment_covers_all_matches():
+    rng = random.Random(3)
+    for _ in range(200):
+        here = sorted(rng.choices(range(15), k=rng.randrange(1, 12)))
+        there = [rng.randrange(15) for _ in here]
+        got = L.align(here, there)
+        by = {}
+        for (a, _), h, t in zip(got, here, there, strict=True):
+            by.setdefault(a, []).append((h, t))
+        assert len(by[0]) == longest(there)
+        assert all(u < v for run in by.values() for (_, u), (_, v) in zip(run, run[1:], strict=False))
+
+
+def test_frequent_hashes_take_the_other_join(spark, monkeypatch):
+    rows = [(k, f"own{k} line. " + "a line that very many documents have in common here. " * (k % 3)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(L.dedup_lines(docs).collect())
+    monkeypatch.setattr(L, "FREQUENT", 0.2)
+    assert sorted(L.dedup_lines(docs).collect()) == want and [r.doc_id for r in want if "common" in r.text] == [1]
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "t", 5, 6, 7)], "doc_id long, text string, cut_key_0 long, cut_id_0 long, cut_list_1 long")
+    assert L.dedup_lines(docs).collect() == docs.collect()
 
 
 def test_copies_go_and_other_text_stays(spark):
