@@ -2,7 +2,8 @@
 
 Viterbi decoding marks every line as content or boilerplate; a document stays when content lines hold enough of its
 words. The field has two states; a line's features score content against boilerplate, and a table of transitions scores
-neighbours. It is fitted on a bounded sample of labelled documents, whose lines take the label of their document.
+neighbours. It is fitted on a bounded sample of labelled documents. Only documents have labels, so the states of the lines
+of bad documents are found in turn with the field, and documents of both kinds are braided to show changes of state.
 """
 
 from __future__ import annotations
@@ -119,20 +120,20 @@ class LineField:
                 state[:n] = back[t - 1][np.arange(n), state[:n]]
         return out
 
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: float = 0.2, ridge: float = 1e-3) -> LineField:
-        """Maximum likelihood by the forward-backward sums, every line of a document having its label."""
-        docs, labels = zip(*[(d, y) for d, y in zip(docs, labels, strict=True) if len(d)]) if any(map(len, docs)) else ((), ())
-        if len(set(labels)) < 2:
+    def fit(self, docs: list[np.ndarray], states: list[np.ndarray], steps: int = 150, rate: float = 0.2, ridge: float = 1e-3) -> LineField:
+        """Maximum likelihood by the forward-backward sums; ``states`` are those of each document's lines."""
+        docs, states = zip(*[(d, y) for d, y in zip(docs, states, strict=True) if len(d)]) if any(map(len, docs)) else ((), ())
+        if len({int(v) for y in states for v in np.unique(y)}) < 2:
             return self  # nothing to tell apart: all content
         order, sizes, running = self._lay(list(docs))
-        y = np.array(labels)[order]
         x = np.zeros((len(running), len(docs), N_FEATURES))
         for j, k in enumerate(order):
             x[: sizes[j], j] = docs[k]
         lines = sizes.sum()
-        want_w = sum(docs[k].sum(axis=0) * y[j] for j, k in enumerate(order))
+        want_w = sum(d[y == 1].sum(axis=0) for d, y in zip(docs, states, strict=True))
         want_t = np.zeros((2, 2))
-        np.add.at(want_t, (y, y), sizes - 1)
+        for y in states:
+            np.add.at(want_t, (y[:-1], y[1:]), 1)
         theta = np.concatenate([self.weights, self.turn.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         add = np.logaddexp
@@ -174,20 +175,73 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     return documents(docs).join(F.broadcast(drawn), "doc_id")  # ``rows`` rows at most
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500, most_lines: int = 400) -> LineField:
-    """The field fitted on at most ``rows`` labelled documents of at most ``most_lines`` lines each."""
-    sample = labelled_sample(docs, labels, "quality", rows).filter(F.size(F.split("text", "\n")) <= most_lines)
+def braided(docs: list[np.ndarray], states: list[np.ndarray], seed: int = 5) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Documents of either state with one of the other, a few lines of each in turn, so that every change of state occurs."""
+    draw = np.random.default_rng(seed)
+    sides = [[k for k, y in enumerate(states) if len(y) and (y.mean() >= 0.5) == side] for side in (True, False)]
+    if not all(sides):
+        return [], []
+    out_x, out_y = [], []
+    for k in range(max(map(len, sides))):
+        left = [[docs[s[k % len(s)]], states[s[k % len(s)]]] for s in sides]
+        xs, ys, turn = [], [], int(draw.integers(2))
+        while any(len(x) for x, _ in left):
+            n = int(draw.integers(1, 4))
+            x, y = left[turn]
+            xs.append(x[:n])
+            ys.append(y[:n])
+            left[turn] = [x[n:], y[n:]]
+            turn = 1 - turn
+        out_x.append(np.concatenate(xs))
+        out_y.append(np.concatenate(ys))
+    return out_x, out_y
+
+
+def relabelled(field: LineField, docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+    """States of lines: all content under label 1; under label 0 as they decode, if content then has under half of the words."""
+    out = []
+    for y, decoded, size in zip(labels, field.viterbi(docs), sizes, strict=True):
+        good = y == 1 or 2 * size[decoded == 1].sum() >= size.sum()
+        out.append(np.full(len(decoded), int(y == 1), np.int64) if good else decoded.astype(np.int64))
+    return out
+
+
+def learn(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, rounds: int = 2, stretch: int = 100) -> LineField:
+    """The field from documents' line features, words of each line and labels; no line's own state is known.
+
+    Lines take the label of their document first. Then lines of documents of label 0 take the state that they decode
+    as, for ``rounds`` rounds. Sequences are stretches of the documents, and documents of both labels braided.
+    """
+    states = [np.full(len(d), int(y), np.int64) for d, y in zip(docs, labels, strict=True)]
+    field = LineField()
+    for nth in range(rounds + 1):
+        own = [(d[a : a + stretch], y[a : a + stretch]) for d, y in zip(docs, states, strict=True) for a in range(0, len(d), stretch)]
+        x, y = ([p[k] for p in own] for k in (0, 1))
+        more_x, more_y = braided(x, y)
+        field = field.fit(x + more_x, y + more_y, steps=40 if nth else 120)
+        states = relabelled(field, docs, sizes, labels)
+    return field
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500) -> LineField:
+    """The field fitted on at most ``rows`` labelled documents, of which only the features of lines leave the tasks.
+
+    Null or empty texts have one line without words. Documents or labels without an id are left out, of repeated ids one
+    row is taken and the larger label. Without rows of both labels the field marks all lines as content.
+    """
+    sample = labelled_sample(docs, labels, "quality", rows)
 
     def features(batches):
         for batch in batches:
-            y = batch.column(2).to_pylist()
-            rows = [line_features(line_bytes(t)).ravel() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["doc_id", "x", "y"])
+            lines = [line_bytes(t) for t in batch.column(1).to_pylist()]
+            x = pa.array([line_features(own).ravel() for own in lines], pa.list_(pa.float64()))
+            words = pa.array([[len(line.split()) for line in own] for own in lines], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), x, words, pa.array(batch.column(2).to_pylist(), pa.int32())], ["doc_id", "x", "words", "y"])
 
-    got = sample.mapInArrow(features, "doc_id long, x array<double>, y int").dropDuplicates(["doc_id"]).collect()
-    got.sort(key=lambda r: r["doc_id"])
+    found = sample.mapInArrow(features, "doc_id long, x array<double>, words array<long>, y int")
+    got = sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])  # ``rows`` rows at most
     x = [np.array(r["x"]).reshape(-1, N_FEATURES) for r in got]
-    return LineField().fit(x, np.array([min(1, max(0, r["y"])) for r in got], int)) if got else LineField()
+    return learn(x, [np.array(r["words"]) for r in got], np.array([min(1, max(0, r["y"])) for r in got], int))
 
 
 def line_bytes(text: str | None) -> list[bytes]:

@@ -42,10 +42,36 @@ def test_viterbi_is_the_best_path():
         assert path.tolist() == (best[1] if len(x) else [])
 
 
+GOOD = [b"An ordinary line of words, as people write them.", b"Another one follows it and ends as well.", b"So it goes."]
+BAD = [b"BUY!! NOW!! ### $$$ &&& MORE!! AND!! MORE!!", b"| a | b | c | d |", b"ONLY### TODAY### $$$"]
+
+
 def test_fit_tells_kinds_of_lines_apart():
-    good = [b"An ordinary line of words, as people write them."] * 3
-    bad = [b"BUY!! NOW!! ### $$$", b"| a | b | c |"]
-    x = [quality.line_features(good), quality.line_features(bad)] * 20
-    field = quality.LineField().fit(x, np.array([1, 0] * 20))
-    states = field.viterbi([quality.line_features(good), quality.line_features(bad)])
+    x = [quality.line_features(GOOD), quality.line_features(BAD)] * 20
+    field = quality.LineField().fit(x, [np.ones(3, int), np.zeros(3, int)] * 20)
+    states = field.viterbi([quality.line_features(GOOD), quality.line_features(BAD)])
     assert states[0].all() and not states[1].any()
+
+
+def test_changes_of_state_are_learned_from_labels_of_documents():
+    mixed = [GOOD[0], *BAD, *BAD]
+    docs = [GOOD] * 4 * 10 + [BAD, BAD * 2, BAD, mixed] * 10
+    x = [quality.line_features(d) for d in docs]
+    field = quality.learn(x, [np.array([len(line.split()) for line in d]) for d in docs], np.array([1] * 40 + [0] * 40))
+    alternating = [line for pair in zip(GOOD, BAD, strict=True) for line in pair]
+    got = field.viterbi([quality.line_features(d) for d in (mixed, alternating, [b"", b""])])
+    assert got[0].tolist() == [1] + [0] * 6 and got[1].tolist() == [1, 0] * 3
+    shares = quality.verdicts([b"\n".join(d).decode() for d in (mixed, alternating, GOOD, BAD)], field).content_share.tolist()
+    assert 0 < shares[0] < 0.5 and 0 < shares[1] < 1 and shares[2:] == [1, 0]
+
+
+def test_braided_lines_keep_their_states():
+    docs, states = [np.full((5, 1), 1.0), np.full((3, 1), 0.0)], [np.ones(5, int), np.zeros(3, int)]
+    x, y = quality.braided(docs, states)
+    assert len(x) == 1 and x[0][:, 0].tolist() == y[0].tolist() and sorted(y[0]) == [0] * 3 + [1] * 5
+    assert quality.braided(docs[:1], states[:1]) == ([], [])
+
+
+def test_one_kind_of_label_makes_all_content():
+    x = [quality.line_features(BAD)]
+    assert quality.learn(x, [np.array([1, 1, 1])], np.array([0])).viterbi(x)[0].tolist() == [1, 1, 1]
