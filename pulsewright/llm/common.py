@@ -70,3 +70,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, share: float) -> DataFrame:
+    """``left`` with the one row of ``right`` that has its key, where there is one; column n of ``right`` counts the rows of ``left``.
+
+    Keys with at least ``share`` of ``total`` rows are broadcast, at most 1 / ``share`` of them, so no task meets a
+    frequent key's rows; all other keys are joined by shuffles. ``right`` is read three times.
+    """
+    often = max(2.0, share * total)
+    frequent = F.broadcast(right.filter(F.col("n") >= often).drop("n"))
+    rest = right.filter(F.col("n") < often).drop("n")
+    return left.join(frequent, key).unionByName(left.join(frequent.select(key), key, "left_anti").join(rest, key))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from pulsewright.llm.common import documents, pairs, stored
+from pulsewright.llm.common import documents, join_counted, pairs, stored
 
 #: Bytes of UTF-8, blanks not counted, that a common block must have. With 1 every line that an earlier document has goes.
 BLOCK_BYTES = 32
@@ -165,13 +165,8 @@ def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, is_first boolean, doc_id long"))
     owned = stored(_owned(posted).filter("owner < latest"))
-    often = max(2.0, FREQUENT * posted.count())
-    frequent = F.broadcast(owned.filter(F.col("n") >= often).drop("latest", "n"))  # 1 / FREQUENT rows at most
-    rest = owned.filter(F.col("n") < often).drop("latest", "n")
-    holders = posted.drop("is_first")
     met = (
-        holders.join(frequent, "hash")
-        .unionByName(holders.join(frequent.select("hash"), "hash", "left_anti").join(rest, "hash"))
+        join_counted(posted.drop("is_first"), owned.drop("latest"), "hash", posted.count(), FREQUENT)
         .filter("doc_id > owner")
         .select("doc_id", "owner", "first", "owner_first", "number", "hash")
     )

@@ -2,8 +2,8 @@
 
 A payload is stored as an 8-bit grey PNG of one row, so that no filter bytes cut its text. Its name in the shard is the SHA-256 of the file. Rows
 carry digest, shard, offset and length; a header-only range read fills the columns of a picture's shape, a full range
-read the columns of its content. Every task writes shards of its own under new names and stores a payload once; the rows
-then agree on one place for each digest. A shard that a lost or repeated task leaves behind is never referred to.
+read the columns of its content. Every task fills shards of its own and names each by its bytes, so a task that runs
+again leaves nothing behind; the rows then agree on one place for each digest.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
-from pulsewright.llm.common import documents, pairs, shared_dir, stored
+from pulsewright.llm.common import documents, join_counted, pairs, shared_dir, stored
 
 UNIT = 64
 HEADER = 33
+#: Payloads of at least this share of all rows are joined to them by a broadcast: at most 1 / FREQUENT rows of some 400 bytes.
+FREQUENT = 1e-4
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -64,66 +68,74 @@ def from_png(data: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
-class ShardWriter:
-    """Tar files of a bounded size in a folder that all executors reach."""
+class Shard:
+    """A tar file in memory, of a bounded size, that is written under the hash of its bytes."""
 
-    def __init__(self, folder: str, most: int):
-        self.files, self.root = fs.FileSystem.from_uri(folder)
-        self.folder, self.most, self.out, self.at = folder, most, None, 0
-        self.files.create_dir(self.root, recursive=True)
+    def __init__(self):
+        self.parts, self.size, self.name = [], 0, None
 
-    def add(self, name: str, data: bytes) -> tuple[str, int]:
-        """Where the data went: shard and offset."""
-        if self.out is None or self.at > self.most:
-            self.close()
-            self.name = f"{uuid.uuid4().hex}.tar"
-            self.out, self.at = self.files.open_output_stream(f"{self.root}/{self.name}"), 0
+    def add(self, name: str, data: bytes) -> int:
+        """The place of the data in the file."""
         info = tarfile.TarInfo(name)
         info.size = len(data)
         head = info.tobuf(tarfile.GNU_FORMAT)
-        self.out.write(head + data + b"\0" * (-len(data) % 512))
-        offset = self.at + len(head)
-        self.at = offset + len(data) + (-len(data) % 512)
-        return self.name, offset
+        self.parts += [head, data, b"\0" * (-len(data) % 512)]
+        offset = self.size + len(head)
+        self.size = offset + len(data) + (-len(data) % 512)
+        return offset
 
-    def close(self) -> None:
-        if self.out is not None:
-            self.out.write(b"\0" * 1024)
-            self.out.close()
-            self.out = None
+    def write(self, files: fs.FileSystem, root: str) -> None:
+        data = b"".join([*self.parts, b"\0" * 1024])
+        self.name, self.parts = f"{hashlib.sha256(data).hexdigest()}.tar", []
+        with files.open_output_stream(f"{root}/{self.name}") as out:
+            out.write(data)
 
 
-def store(docs: DataFrame, folder: str, shard_bytes: int = 32_000_000) -> DataFrame:
+def store(docs: DataFrame, folder: str, shard_bytes: int = 16_000_000, most: int = 100_000) -> DataFrame:
     """(doc_id, n_bytes, digest, shard, offset, length) of every row of ``docs``; writes the payloads on the way.
 
-    A null text counts as empty. Equal payloads have one digest and one place. Repeated rows are kept, an empty table
-    writes nothing, other columns are not read.
+    A null text counts as empty, a null doc_id stays null. Equal payloads have one digest. A task stores a payload once
+    among its last ``most`` different ones; ``places`` agrees on one place for all. A shard has the name of its content,
+    so a task that runs again writes the same files. Repeated rows are kept, an empty table writes nothing, other
+    columns are not read.
     """
 
     def write(batches):
-        writer, placed = ShardWriter(folder, shard_bytes), {}
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        shard, placed, rows = Shard(), {}, []
         names = ["doc_id", "n_bytes", "digest", "shard", "offset", "length"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+        def close():
+            if shard.size:
+                shard.write(files, root)
+            found = [(i, n, digest, s.name, offset, length) for i, n, (digest, s, offset, length) in rows]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
         for ids, texts in pairs(batches):
-            rows = []
             for doc_id, text in zip(ids, texts, strict=True):
                 payload = payload_of(text)
                 key = hashlib.sha256(payload).digest()
                 if key not in placed:
+                    if len(placed) >= most:
+                        placed.clear()
                     data = to_png(payload)
                     digest = hashlib.sha256(data).hexdigest()
-                    placed[key] = (digest, *writer.add(f"{digest}.png", data), len(data))
-                rows.append((doc_id, len(text.encode("utf-8", "surrogatepass")), *placed[key]))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        writer.close()
+                    placed[key] = (digest, shard, shard.add(f"{digest}.png", data), len(data))
+                rows.append((doc_id, len(text.encode("utf-8", "surrogatepass")), placed[key]))
+                if shard.size > shard_bytes or len(rows) >= most:
+                    yield close()
+                    shard, rows = Shard(), []
+        if rows:
+            yield close()
 
-    rows = stored(documents(docs).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"))
-    return rows
+    return stored(documents(docs).mapInArrow(write, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"))
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """(digest, shard, offset, length): of the places that tasks gave a payload, one for all."""
-    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
+    """(digest, shard, offset, length, n): of the places that tasks gave a payload, one for all, and how many rows have it."""
+    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p"), F.count(F.lit(1)).alias("n")).select("digest", "p.*", "n")
 
 
 def _by_shard(where: DataFrame) -> DataFrame:
@@ -132,31 +144,42 @@ def _by_shard(where: DataFrame) -> DataFrame:
 
 
 def _reading(folder: str, columns: dict[str, pa.DataType], of):
-    """Rows (digest, shard, offset, length) to ``columns`` by ``of(read, offset, length)``."""
-    schema = pa.schema([("digest", pa.string()), *columns.items()])
+    """Rows of places, all columns kept, with ``columns`` by ``of(read, offset, length)``."""
 
     def run(batches):
         files, root = fs.FileSystem.from_uri(folder)
         name, source = None, None
         for batch in batches:
             rows = []
-            for digest, shard, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if shard != name:
                     if source is not None:
                         source.close()
                     name, source = shard, files.open_input_file(f"{root}/{shard}")
-                rows.append((digest, *of(source.read_at, offset, length)))
+                rows.append(of(source.read_at, offset, length))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), columns.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *columns])
 
     return run
 
 
+HEAD_COLUMNS = {"width": pa.int64(), "height": pa.int64(), "bits": pa.int32()}
+CONTENT_COLUMNS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+
+def _filled(where: DataFrame, folder: str, columns: dict[str, pa.DataType], of) -> DataFrame:
+    schema = StructType([*where.schema.fields, *from_arrow_schema(pa.schema(list(columns.items()))).fields])
+    return _by_shard(where).mapInArrow(_reading(folder, columns, of), schema)
+
+
+def _head(read, offset: int, length: int):
+    return png_header(read(HEADER, offset))
+
+
 def describe(where: DataFrame, folder: str) -> DataFrame:
-    """(digest, width, height, bits) of stored pictures, from range reads of their headers alone."""
-    columns = {"width": pa.int64(), "height": pa.int64(), "bits": pa.int32()}
-    run = _reading(folder, columns, lambda read, offset, length: png_header(read(HEADER, offset)))
-    return _by_shard(where).mapInArrow(run, "digest string, width long, height long, bits int")
+    """``where`` with the columns (width, height, bits) of stored pictures, from range reads of their headers alone."""
+    return _filled(where, folder, HEAD_COLUMNS, _head)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -183,18 +206,18 @@ def _content(read, offset: int, length: int):
 
 
 def contents(where: DataFrame, folder: str) -> DataFrame:
-    """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), read back from the shards."""
-    columns = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
-    kinds = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _by_shard(where).mapInArrow(_reading(folder, columns, _content), kinds)
+    """``where`` with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, read back from the shards."""
+    return _filled(where, folder, CONTENT_COLUMNS, _content)
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Every row of ``docs`` with the columns of its stored payload, of its header and of its content."""
+    """Every row of ``docs`` with its payload's columns, those of its header and of its content, and where it is.
+
+    The header's columns come from a read of the header's range, the content's from a read of the whole range.
+    """
     folder = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     rows = store(docs, folder)
-    where = stored(places(rows))
-    read = contents(where, folder).join(describe(where, folder), "digest")
-    return rows.select("doc_id", "n_bytes", "digest").join(read, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits"
+    both = _filled(places(rows), folder, CONTENT_COLUMNS | HEAD_COLUMNS, lambda *place: (*_content(*place), *_head(*place)))
+    return join_counted(rows.select("doc_id", "n_bytes", "digest"), stored(both), "digest", rows.count(), FREQUENT).select(
+        "doc_id", "n_bytes", *CONTENT_COLUMNS, *HEAD_COLUMNS, "digest", "shard", "offset", "length"
     )
