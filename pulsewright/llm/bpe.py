@@ -36,10 +36,12 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self._next_to: dict[tuple[bytes, bytes], bool] = {}
+        self._next_to: dict[int, bool] = {}
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.suffixes = {b[k:] for b in ranks for k in range(len(b))}
-        self.usable = {b for b in ranks if self.reached(b)}
+        self.size = {i: len(b) for b, i in ranks.items()}
+        #: rank of each token that merges reach, -1 for what is only the end of one
+        self.kind = dict.fromkeys((b[k:] for b in ranks for k in range(len(b))), -1)
+        self.kind.update((b, i) for b, i in ranks.items() if self.reached(b))
 
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes a token; None for one byte, and for a token that merges never reach."""
@@ -56,10 +58,11 @@ class Vocabulary:
     def reached(self, token: bytes) -> bool:
         return len(token) == 1 or self.halves(token) is not None
 
-    def next_to(self, a: bytes, b: bytes) -> bool:
+    def next_to(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a."""
         if len(self._next_to) > 2_000_000:
             self._next_to.clear()
-        found = self._next_to[a, b] = self._stay_apart(a, b)
+        found = self._next_to[a << 32 | b] = self._stay_apart(self.bytes_of[a], self.bytes_of[b])
         return found
 
     def _stay_apart(self, a: bytes, b: bytes) -> bool:
@@ -78,26 +81,26 @@ class Vocabulary:
 
 
 class Prefix:
-    """The last token of every byte prefix; grows by exact appends."""
+    """The last token of every byte prefix; grows by exact appends, and never changes what it has."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, bytearray(), [b""]
+        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
     def append(self, data: bytes) -> None:
         v, last = self.vocabulary, self.last
-        suffixes, usable, known = v.suffixes, v.usable, v._next_to
+        kind, known = v.kind.get, v._next_to.get
         begin = len(self.data)
-        self.data += data
-        whole = bytes(self.data)
+        self.data = whole = self.data + data
         for end in range(begin + 1, len(whole) + 1):
             start = end - 1
-            while (token := whole[start:end]) in suffixes:
-                if token in usable:
+            while (token := kind(whole[start:end])) is not None:
+                if token >= 0:
                     if start == 0:
                         break
-                    fits = known.get((last[start], token))
-                    if v.next_to(last[start], token) if fits is None else fits:
+                    before = last[start]
+                    fits = known(before << 32 | token)
+                    if v.next_to(before, token) if fits is None else fits:
                         break
                 start -= 1
                 if start < 0:
@@ -106,16 +109,27 @@ class Prefix:
                 raise ValueError("no token ends here")
             last.append(token)
 
+    def become(self, data: bytes) -> None:
+        """Other bytes: the table of what both have in common stays."""
+        old, shared = self.data, 0
+        for a, b in zip(old, data):
+            if a != b:
+                break
+            shared += 1
+        del self.last[shared + 1 :]
+        self.data = data[:shared]
+        self.append(data[shared:])
+
     def ids(self) -> list[int]:
-        ranks = self.vocabulary.ranks
-        whole = bytes(self.data)
-        if whole in ranks:  # a piece that is a token is that token
-            return [ranks[whole]]
-        found, end = [], len(whole)
+        whole = self.vocabulary.ranks.get(self.data)
+        if whole is not None:  # a piece that is a token is that token
+            return [whole]
+        size, last = self.vocabulary.size, self.last
+        found, end = [], len(self.data)
         while end:
-            token = self.last[end]
-            found.append(ranks[token])
-            end -= len(token)
+            token = last[end]
+            found.append(token)
+            end -= size[token]
         return found[::-1]
 
 
@@ -123,26 +137,48 @@ class Encoder:
     """Texts to ids and back; each match of the pattern is encoded separately."""
 
     def __init__(self, path: str, pattern: str):
-        self.vocabulary = Vocabulary(load_ranks(path))
+        self.vocabulary = v = Vocabulary(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.pieces = Recent(400_000)
-        self.memo = ChunkMemo(self.encode_bytes)
+        self.pieces = Recent(600_000)
+        self.memo = ChunkMemo(self.encode_bytes, self.encode_chunks)
+        most = max(v.bytes_of, default=-1) + 1
+        self.decimal = [b"%d" % i for i in range(most)]
+        self.bytes_by_id = [v.bytes_of.get(i) for i in range(most)]
 
     def encode_piece(self, piece: str) -> list[int]:
         data = piece.encode()
         rank = self.vocabulary.ranks.get(data)
         return [rank] if rank is not None else Prefix(self.vocabulary, data).ids()
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces: taken in order, each shares the table of its common prefix with the one before."""
+        table, ids = Prefix(self.vocabulary), {}
+        for piece in sorted(pieces):
+            data = piece.encode()
+            if (rank := self.vocabulary.ranks.get(data)) is not None:
+                ids[piece] = array("I", [rank]).tobytes()
+            else:
+                table.become(data)
+                ids[piece] = array("I", table.ids()).tobytes()
+        return [ids[p] for p in pieces]
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that have no blank, each with one before it; see ``memo``."""
+        found = self.pattern.findall(" " + " ".join(chunks))
+        ids = list(map(self.pieces.of(set(found), self._encode_pieces).__getitem__, found))
+        starts = [k for k, p in enumerate(found) if p[0] == " "]
+        return [b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(found)], strict=True)]
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        get, add, old = self.pieces.get, self.pieces.add, self.pieces.old.get
-        return b"".join([get(p) or add(p, old(p) or array("I", self.encode_piece(p)).tobytes()) for p in self.pattern.findall(text)])
+        found = self.pattern.findall(text)
+        return b"".join(map(self.pieces.of(set(found), self._encode_pieces).__getitem__, found))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+        return b"".join(map(self.bytes_by_id.__getitem__, ids))
 
 
 class EditableText:
@@ -208,7 +244,7 @@ def encode(docs: DataFrame, path: str, pattern: str, then: Callable | None = Non
     def run(batches):
         e = encoder(path, pattern)
         for ids, texts in pairs(batches):
-            rows = [(then or plain)(e, e.memo(t)) for t in texts]
+            rows = [(then or plain)(e, found) for found in e.memo.batch(texts)]
             columns = [pa.array(ids, pa.int64())] + [pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -222,7 +258,7 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 
 def digest(e: Encoder, ids: bytes):
     found = np.frombuffer(ids, "<u4").tolist()
-    return len(found), hashlib.sha256(",".join(map(str, found)).encode()).hexdigest(), hashlib.sha256(e.decode(found)).hexdigest()
+    return len(found), hashlib.sha256(b",".join(map(e.decimal.__getitem__, found))).hexdigest(), hashlib.sha256(e.decode(found)).hexdigest()
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

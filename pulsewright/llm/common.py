@@ -82,3 +82,9 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, share:
     frequent = F.broadcast(right.filter(F.col("n") >= often).drop("n"))
     rest = right.filter(F.col("n") < often).drop("n")
     return left.join(frequent, key).unionByName(left.join(frequent.select(key), key, "left_anti").join(rest, key))
+
+
+def free_name(stem: str, taken: list[str]) -> str:
+    """A column name that no column in ``taken`` has; Spark tells no case apart."""
+    known = {c.lower() for c in taken}
+    return next(n for k in range(len(taken) + 1) if (n := f"{stem}_{k}") not in known)

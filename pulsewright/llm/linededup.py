@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from pulsewright.llm.common import documents, join_counted, pairs, stored
+from pulsewright.llm.common import documents, free_name, join_counted, pairs, stored
 
 #: Bytes of UTF-8, blanks not counted, that a common block must have. With 1 every line that an earlier document has goes.
 BLOCK_BYTES = 32
@@ -232,7 +232,7 @@ def dedup_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, removed: str |
     and an empty table gives an empty result. Other columns may have any name.
     """
     place, width = docs.columns.index("text"), len(docs.columns)
-    key, listed_key, listed_cuts = (next(n for k in range(width + 1) if (n := f"{stem}_{k}") not in docs.columns) for stem in ("cut_key", "cut_id", "cut_list"))
+    key, listed_key, listed_cuts = (free_name(stem, docs.columns) for stem in ("cut_key", "cut_id", "cut_list"))
     listed = line_cuts(docs, block_bytes).groupBy(F.col("doc_id").alias(listed_key)).agg(F.collect_set(F.struct("first", "number", "hash")).alias(listed_cuts))
     joined = docs.withColumn(key, F.col("doc_id").cast("long")).join(listed, F.col(key) == F.col(listed_key), "left").drop(key, listed_key)
     schema = docs.schema if removed is None else StructType([*docs.schema.fields, StructField(removed, LongType())])

@@ -1,59 +1,94 @@
-"""Ids of whole texts from a bounded memo of the pieces between single blanks.
+"""Ids of whole texts from a bounded memo of the chunks between single blanks.
 
 Both byte-level vocabularies cut a text by the same public pattern, in which a blank before a visible character always
 starts a new piece. So a text whose blanks are single is the join of its blank-separated chunks, each encoded with its
-blank; chunks repeat, texts seldom do. Any text outside that rule is encoded whole.
+blank; chunks repeat, texts seldom do. Chunks that the memo doesn't have are encoded together, once for each batch of
+texts. Any text outside that rule is encoded whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import gc
+from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 
-class Recent(dict):
+@contextmanager
+def no_cycles():
+    """Many small lists and strings, none of which refers to itself: looking for cycles among them is idle work."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+class Recent:
     """A memo of bounded size: when it is full it becomes the old half, from which keys in use come back."""
 
-    def __init__(self, most: int = 250_000):
-        super().__init__()
-        self.most, self.old = most, {}
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def of(self, keys: Iterable, make: Callable[[list], list]) -> dict:
+        """The value of each of some distinct keys; ``make`` gives those of the keys that aren't known."""
+        young, old = self.young, self.old
+        found, unknown = {}, []
+        for key in keys:
+            value = young.get(key)
+            if value is None and (value := old.get(key)) is None:
+                unknown.append(key)
+            else:
+                found[key] = value
+        found.update(zip(unknown, make(unknown) if unknown else (), strict=True))
+        young.update(found)
+        if len(young) > self.most:
+            self.young, self.old = {}, young
+        return found
 
-    def add(self, key, value):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
 
+class ChunkMemo:
+    """Texts to little-endian unsigned 32-bit ids.
 
-class ChunkMemo(Recent):
-    """chunk -> little-endian unsigned 32-bit ids of blank + chunk; None where the chunk can't stand alone."""
+    ``encode`` gives the ids of a whole text. ``encode_all`` gives those of several chunks, each with a blank before it.
+    """
 
-    def __init__(self, encode: Callable[[str], bytes], odd: Callable[[str], bool] = lambda s: False, most: int = 250_000):
-        super().__init__(most)
-        self.encode, self.odd = encode, odd
-        self.heads: dict[str, bytes | None] = {}
+    def __init__(self, encode: Callable[[str], bytes], encode_all: Callable[[list[str]], list[bytes]], odd: Callable[[str], bool] = lambda s: False, most: int = 600_000):
+        self.encode, self.encode_all, self.odd = encode, encode_all, odd
+        self.chunks, self.heads = Recent(most), Recent(most // 4)
 
     def alone(self, chunk: str) -> bool:
         if not chunk or chunk[0] < "!" or chunk[-1] < "!" or chunk[0].isspace() or chunk[-1].isspace():
             return False
         return not self.odd(chunk)
 
-    def __missing__(self, chunk: str):
-        if chunk in self.old:
-            return self.add(chunk, self.old[chunk])
-        return self.add(chunk, self.encode(f" {chunk}") if self.alone(chunk) else None)
+    def _rest(self, chunks: list[str]) -> list[bytes | bool]:
+        sound = [c for c in chunks if self.alone(c)]
+        coded = dict(zip(sound, self.encode_all(sound), strict=True)) if sound else {}
+        return [coded.get(c, False) for c in chunks]
+
+    def _first(self, chunks: list[str]) -> list[bytes | bool]:
+        return [self.encode(c) if self.alone(c) else False for c in chunks]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each whole text, as bytes."""
+        with no_cycles():
+            return self._batch(texts)
 
-    def head(self, chunk: str):
-        if chunk not in self.heads:
-            if len(self.heads) >= self.most // 4:
-                self.heads.clear()
-            self.heads[chunk] = self.encode(chunk) if self.alone(chunk) else None
-        return self.heads[chunk]
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        heads = self.heads.of({s[0] for s in split}, self._first)
+        for s in split:
+            del s[0]
+        rest = self.chunks.of(set().union(*split), self._rest).__getitem__
+        out = []
+        for text, s in zip(texts, split, strict=True):
+            try:
+                out.append(heads[text.partition(" ")[0]] + b"".join(map(rest, s)))
+            except TypeError:  # a chunk that can't stand alone
+                out.append(self.encode(text) if text else b"")
+        return out
 
     def __call__(self, text: str) -> bytes:
-        """The ids of a whole text, as bytes."""
-        first, *rest = text.split(" ")
-        try:
-            return self.head(first) + b"".join(map(self.__getitem__, rest))
-        except TypeError:  # a chunk that can't stand alone
-            return self.encode(text) if text else b""
+        return self.batch([text])[0]

@@ -1,12 +1,12 @@
 """SimHash near-duplicates through an inverted index on the positional bytes of the fingerprints.
 
 Two fingerprints of eight bytes that differ in at most three bits agree in at least five bytes of the same position: the
-guaranteed minimum of shared positional bytes. A single positional byte is shared by every 256th row, so its posting
-lists would pair up the whole table; the lists are therefore intersected five at a time before any pair is looked at.
-A posting key is a choice of five positions with their bytes, and two rows meet under a key exactly when their tally
-reaches the minimum there. Pairs that meet are verified by the count of differing bits. A key leaves 24 bits free, so a
-posting list of distinct fingerprints has at most 2**24 entries whatever the input, and no pairs are written: each list
-gives the ties of its own connected groups.
+guaranteed minimum of shared positional bytes. A single positional byte is shared by every 256th row, so the index lists
+fingerprints by four positional bytes at once. Which four: the fourteen sets of positions whose numbers cancel out under
+exclusive or. Any three positions lie in exactly one of these sets, so for any three that differ there is one set beside
+them that agrees, and every pair with the minimum meets in some list. In a list the shared positional bytes of each pair
+are tallied, four being given; pairs that reach the minimum are retained, and verified by the count of differing bits. No
+pairs are written: each list gives the ties of its own connected groups.
 """
 
 from __future__ import annotations
@@ -19,15 +19,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pulsewright.llm.common import cut, documents, pairs
+from pulsewright.llm.common import cut, documents, free_name, join_counted, pairs
 from pulsewright.llm.components import components
 
 SEED, WORDS, BITS = 42, 3, 3
 SHARED = 8 - BITS
-SUBSETS = list(combinations(range(8), SHARED))
-#: Lists up to this length are compared all with all in memory; longer ones look up every allowed change.
-DENSE = 1024
+#: Of each two complementary sets one lists what differs, the other what agrees.
+SUBSETS = [s for s in combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
+#: Lists up to this length are compared all with all in blocks; longer ones look up every allowed change, to the same effect.
+DENSE = 8192
+BLOCK = 128
+#: Fingerprints of at least this share of all rows join them by a broadcast: at most 1 / FREQUENT rows.
+FREQUENT = 1e-4
 STEP = 1 << 16
+LOW_BITS, HIGH_BIT = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -77,13 +82,27 @@ def _free_masks(subset: tuple[int, ...], bits: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes of the same position two fingerprints share."""
+    x = a ^ b
+    return 8 - np.bitwise_count(((x & LOW_BITS) + LOW_BITS | x) & HIGH_BIT)
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Which pairs reach the minimum of shared positional bytes and, of these, differ in few enough bits."""
+    retained = shared_bytes(a, b) >= 8 - bits
+    return retained & (np.bitwise_count(np.where(retained, a ^ b, ~np.uint64(0))) <= bits)
+
+
 def group_labels(fps: np.ndarray, subset: tuple[int, ...], bits: int = BITS) -> np.ndarray:
     """For distinct fingerprints that agree in the bytes of ``subset``: the place of the first one of each linked group."""
     labels = np.arange(len(fps))
     if len(fps) <= DENSE:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
         while True:
-            least = np.where(near, labels[None, :], len(fps)).min(axis=1)
+            least = labels.copy()
+            for at in range(0, len(fps), BLOCK):
+                near = linked_pairs(fps[at : at + BLOCK, None], fps[None, :], bits)
+                least[at : at + BLOCK] = np.where(near, labels[None, :], len(fps)).min(axis=1)
             if (least == labels).all():
                 return labels
             labels = least[least]
@@ -137,7 +156,7 @@ def ties(distinct: DataFrame, bits: int = BITS) -> DataFrame:
             out_a, out_b = [], []
             twos = bounds[:-1][sizes == 2]
             x, y = fps[twos], fps[twos + 1]
-            near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= bits
+            near = linked_pairs(x.view(np.uint64), y.view(np.uint64), bits)
             out_a.append(np.maximum(x, y)[near])
             out_b.append(np.minimum(x, y)[near])
             for k in np.flatnonzero(sizes > 2):
@@ -172,16 +191,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     of_doc = cut(fingerprints(docs, words))
     rooted = _rooted(of_doc, bits)
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return of_doc.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = cut(rooted.join(least, "root").select("fp", "component_id", "n"))
+    return join_counted(of_doc, found, "fp", of_doc.count(), FREQUENT).select("doc_id", "fp", "component_id")
 
 
 def _rooted(of_doc: DataFrame, bits: int = BITS) -> DataFrame:
-    """(fp, first_doc, root) of each distinct fingerprint: linked ones have the same root."""
+    """(fp, first_doc, n, root) of each distinct fingerprint and its n rows: linked ones have the same root."""
     if bits != BITS:
         raise ValueError(f"the index guarantees {SHARED} shared bytes, for {BITS} bits")
-    distinct = cut(of_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    distinct = cut(of_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")))
     reached = components(ties(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
-    return cut(distinct.join(reached, "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("root")))
+    return cut(distinct.join(reached, "fp", "left").select("fp", "first_doc", "n", F.coalesce("component", "fp").alias("root")))
 
 
 def near_duplicate_digests(docs: DataFrame) -> DataFrame:
@@ -193,13 +213,15 @@ def near_duplicate_digests(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: with its smallest doc_id, nulls last, then the least hash of the text.
 
-    Groups are of fingerprints, so rows with null or repeated ids belong to the group of their text. Of rows that have
-    both id and text in common one stays.
+    Groups are of fingerprints, so rows with null or repeated ids belong to the group of their text, and all texts
+    without words, null or empty, are one group. Of rows that have both id and text in common one stays. An empty table
+    gives an empty result; other columns may have any name.
     """
     of_doc = cut(fingerprints(docs, hashed=True))
-    by_group = of_doc.join(_rooted(of_doc).select("fp", "root"), "fp").groupBy("root")
+    by_group = join_counted(of_doc, _rooted(of_doc).select("fp", "root", "n"), "fp", of_doc.count(), FREQUENT).groupBy("root")
     first = by_group.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"))
-    kept = first.select(F.col("row.doc_id").alias("__kept_id"), F.col("row.text_hash").alias("__kept_hash"))
-    hashed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": _text_hash()})
-    same = hashed["__id"].eqNullSafe(kept["__kept_id"]) & (hashed["__hash"] == kept["__kept_hash"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["__id", "__hash"]).select(docs.columns)
+    key, hash_, kept_key, kept_hash = (free_name(n, docs.columns) for n in ("own_id", "own_hash", "kept_id", "kept_hash"))
+    kept = first.select(F.col("row.doc_id").alias(kept_key), F.col("row.text_hash").alias(kept_hash))
+    hashed = docs.withColumns({key: F.col("doc_id").cast("long"), hash_: _text_hash()})
+    same = hashed[key].eqNullSafe(kept[kept_key]) & (hashed[hash_] == kept[kept_hash])
+    return hashed.join(kept, same, "left_semi").dropDuplicates([key, hash_]).select(docs.columns)

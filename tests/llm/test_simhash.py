@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -46,17 +47,44 @@ def test_groups_match_brute_force(spark):
         assert (got[doc].fingerprint, got[doc].component_id) == (f"{fp:016x}", rows[label][0])
 
 
+def test_any_three_positions_leave_one_list_whole():
+    assert len(simhash.SUBSETS) == 14
+    for differ in itertools.combinations(range(8), 3):
+        assert sum(not set(differ) & set(s) for s in simhash.SUBSETS) == 1
+
+
+def test_tally_of_shared_bytes():
+    rng = random.Random(6)
+    a = [rng.getrandbits(64) for _ in range(500)]
+    b = [x ^ rng.choice([0, 1 << rng.randrange(64), rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64), 0xFF << 8 * rng.randrange(8), 0x80]) for x in a]
+    x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+    shared = [sum(u >> 8 * k & 255 == v >> 8 * k & 255 for k in range(8)) for u, v in zip(a, b, strict=True)]
+    assert simhash.shared_bytes(x, y).tolist() == shared
+    assert simhash.linked_pairs(x, y).tolist() == [(u ^ v).bit_count() <= 3 for u, v in zip(a, b, strict=True)]
+
+
 def test_dense_lists_agree_with_looking_up_changes(monkeypatch):
     rng = random.Random(1)
-    base = rng.getrandbits(64)
-    fps = {base ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(7))) for _ in range(900)}
+    base, subset = rng.getrandbits(64), simhash.SUBSETS[0]
+    free = [8 * p + b for p in range(8) if p not in subset for b in range(8)]
+    fps = {base ^ sum(1 << b for b in rng.sample(free[:20], rng.randrange(7))) for _ in range(700)}
     fps = np.array(sorted(fps), np.uint64)
-    dense = simhash.group_labels(fps, (3, 4, 5, 6, 7))
+    dense = simhash.group_labels(fps, subset)
     monkeypatch.setattr(simhash, "DENSE", 10)
-    assert (simhash.group_labels(fps, (3, 4, 5, 6, 7)) == dense).all()
+    assert (simhash.group_labels(fps, subset) == dense).all()
     assert (dense == brute_labels(fps)).all()
 
 
+def test_frequent_fingerprints_and_columns_of_any_name(spark, monkeypatch):
+    rows = [(k, " ".join(f"t{k % 7 * (k % 3)}w{j}" for j in range(40)), k, k) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_id_0 long, kept_HASH_0 long")
+    want = sorted(simhash.near_duplicates(docs).collect())
+    monkeypatch.setattr(simhash, "FREQUENT", 0.1)
+    assert sorted(simhash.near_duplicates(docs).collect()) == want and len(want) == 60
+    kept = simhash.keep_first(docs).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({r.component_id for r in want})
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -67,6 +95,7 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 5 in ids and 6 not in ids
+    assert None in ids and simhash.keep_first(no_docs).count() == 0
 
 
 def test_components(spark):
