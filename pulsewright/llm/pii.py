@@ -1,11 +1,17 @@
 """Personal data: exact patterns, then a skip-chain conditional random field over each whole text.
 
-Nodes are the tokens that hold a digit or an at sign; any other token is outside by construction, so the chain is cut
-there without loss. Neighbouring nodes share a transition potential. Nodes that are the same but for their punctuation
-share a skip potential wherever they are in the document: all occurrences hang on one hub, which has the label of the
-matches among them, if they agree. Tokens of pattern matches are given; loopy message passing over all documents of a
-batch at once, until it settles, carries their labels to repeated and adjoining tokens, and tokens that end up labelled with enough belief become spans beside the matches, which always stay.
-The potentials are fitted by pseudo-likelihood on the pattern matches in a bounded sample of documents.
+Nodes are the tokens that hold a digit or an at sign, and those that are the user of an address matched in the document;
+any other token is outside by construction, so the chain is cut there without loss. Neighbouring nodes share a transition
+potential. Nodes that are the same but for their punctuation share a skip potential wherever they are in the document: all
+occurrences hang on one hub, which has the label of the matches among them, if they agree. Tokens of pattern matches are
+given; loopy message passing over all documents of a batch at once, until it settles, carries their labels to repeated and
+adjoining tokens, and tokens that end up labelled with enough belief become spans beside the matches, which always stay.
+
+The potentials are fitted by pseudo-likelihood on the matches of all documents. As no pattern finds a repeated mention, the
+fit shows the field some: each match's user or number is written once more at the end of its document in a form that no
+pattern takes, labelled like the match, beside a like token that has no match, labelled outside. The terms of the
+likelihood depend on a node's features and on its neighbours' labels only, so equal ones are counted in Spark, and the
+fit reads the counts.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ EDGES = ".,;:!?'\"()[]{}<>#$%&*|=~`"
 OUTSIDE, LABELS = 0, len(KINDS) + 1
 N_FEATURES = 24
 LEAST_BELIEF = 0.9
+#: How the fit writes mentions: between words, so that they adjoin nothing.
+BETWEEN = "\n\nsee {} also"
 #: Messages have settled when none changes by more; after each so many rounds without that, they are damped more.
 SETTLED, ROUNDS = 1e-4, 50
 
@@ -101,7 +109,6 @@ class Graph:
     features: np.ndarray
     given: np.ndarray  # -1: not covered by a match
     chain: np.ndarray  # pairs of nodes
-    skip: np.ndarray  # each occurrence with the next one, for the fit
     hub: np.ndarray  # pairs of a node and the hub of all that are the same
 
 
@@ -146,21 +153,28 @@ def same_keys(token: str) -> list[str]:
         return []
     if "@" in core:
         user = core.partition("@")[0]
-        return [core, f"{user}@"] if user else [core]
+        return [core, user] if user else [core]
     digits = "".join(re.findall("[0-9]", core))
     return [core, f"#{digits}"] if len(digits) >= 6 else [core]
 
 
+def users_of(text: str, base: list[tuple[int, int, int]]) -> set[str]:
+    """Users of the addresses among the matches, but for those that are mere words."""
+    users = {text[a:b].partition("@")[0].lower() for a, kind, b in base if kind == 0}
+    return {u for u in users if not u.isalpha()}
+
+
 def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
-    doc, starts, ends, rows, given, chain, skip, hub = [], [], [], [], [], [], [], []
+    doc, starts, ends, rows, given, chain, hub = [], [], [], [], [], [], []
     hubs = 0
     for d, (text, base) in enumerate(zip(texts, bases, strict=True)):
-        known: dict[str, int] = {}
         alike_nodes: dict[str, list[int]] = {}
         last_end, k = None, 0  # k: the first match that may still cover a token
-        for m in TOKEN.finditer(text) if HINT.search(text) else ():
+        hinted = HINT.search(text)
+        users = users_of(text, base) if hinted else set()
+        for m in TOKEN.finditer(text) if hinted else ():
             a, token = m.start(), m.group()
-            if not HINT.search(token):
+            if not HINT.search(token) and not (users and token.strip(EDGES).lower() in users):
                 continue
             node = len(doc)
             while k < len(base) and base[k][2] <= a:
@@ -175,8 +189,6 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
                 chain.append((node - 1, node))
             last_end = m.end()
             alike = same_keys(token)
-            skip += [(other, node) for other in sorted({known[key] for key in alike if key in known})]
-            known.update(dict.fromkeys(alike, node))
             if alike:  # the last key holds for all that share any
                 alike_nodes.setdefault(alike[-1], []).append(node)
         for nodes in alike_nodes.values():
@@ -184,7 +196,77 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Graph:
                 hub += [(node, hubs) for node in nodes]
                 hubs += 1
     pairs_ = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Graph(np.array(doc, np.int64), np.array(starts, np.int64), np.array(ends, np.int64), np.array(rows, float).reshape(-1, N_FEATURES), np.array(given, np.int64), pairs_(chain), pairs_(skip), pairs_(hub))
+    return Graph(np.array(doc, np.int64), np.array(starts, np.int64), np.array(ends, np.int64), np.array(rows, float).reshape(-1, N_FEATURES), np.array(given, np.int64), pairs_(chain), pairs_(hub))
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int]]:
+    """(token, label): each match's user or number in a form that no pattern takes, and a like one that has no match."""
+    found: dict[str, int] = {}
+    for a, kind, b in base:
+        match = text[a:b]
+        if kind == 0:
+            user = match.partition("@")[0]
+            if not user.isalpha():
+                found.update({user: kind + 1, user[::-1]: OUTSIDE})
+            continue
+        for token in match.split():
+            digits = "".join(DIGIT.findall(token))
+            if len(digits) >= 6:
+                other = f"{digits[:3]}/{digits[3:]}"
+                found.update({other: kind + 1, f"{digits[2::-1]}/{digits[:2:-1]}": OUTSIDE})
+                if not base_spans(token) and token.strip(EDGES) == token:
+                    found.update({token: kind + 1, token[::-1]: OUTSIDE})
+    by_key: dict[str, set[int]] = {}
+    for token, label in found.items():
+        by_key.setdefault(same_keys(token)[-1] if same_keys(token) else "", set()).add(label)
+    return [(t, y) for t, y in found.items() if same_keys(t) and len(by_key[same_keys(t)[-1]]) == 1]
+
+
+def with_mentions(texts: list[str]) -> tuple[Graph, np.ndarray]:
+    """The graph of texts with their mentions written once more, and the label of each node."""
+    longer, bases, hidden = [], [], []
+    for d, text in enumerate(texts):
+        base = base_spans(text)
+        for token, label in mentions(text, base):
+            at = len(text) + BETWEEN.index("{")
+            text += BETWEEN.format(token)
+            hidden.append((d, at, label))
+        longer.append(text)
+        bases.append(base_spans(text) if base else base)
+    g = graph(longer, bases)
+    y = np.maximum(g.given, OUTSIDE)
+    node = {(d, a): k for k, (d, a) in enumerate(zip(g.doc.tolist(), g.start.tolist(), strict=True))}
+    for d, at, label in hidden:
+        k = node.get((d, at))
+        if k is not None and g.given[k] < 0:
+            y[k] = label
+    return g, y
+
+
+def agreed(g: Graph) -> np.ndarray:
+    """The label of the matches of each hub; -1 where there are none, -2 where they don't agree."""
+    hubs = int(g.hub[:, 1].max()) + 1 if len(g.hub) else 0
+    votes = np.zeros((hubs, LABELS), bool)
+    matched = g.hub[g.given[g.hub[:, 0]] >= 0]
+    votes[matched[:, 1], g.given[matched[:, 0]]] = True
+    kinds = votes.sum(axis=1)
+    return np.where(kinds == 1, votes.argmax(axis=1), np.where(kinds == 0, -1, -2))
+
+
+def terms(g: Graph, y: np.ndarray) -> np.ndarray:
+    """A row for each node: features as bits, label, how many neighbours before and behind and hubs have each label.
+
+    A hub has the label that its matches agree on, or is outside where it has none. A match doesn't see its own hub.
+    """
+    out = np.zeros((len(y), 2 + 3 * LABELS), np.int64)
+    out[:, 0] = g.features.astype(np.int64) @ (1 << np.arange(N_FEATURES))
+    out[:, 1] = y
+    np.add.at(out, (g.chain[:, 1], 2 + y[g.chain[:, 0]]), 1)
+    np.add.at(out, (g.chain[:, 0], 2 + LABELS + y[g.chain[:, 1]]), 1)
+    label = agreed(g)[g.hub[:, 1]]
+    seen = (label > -2) & (g.given[g.hub[:, 0]] < 0)
+    np.add.at(out, (g.hub[seen, 0], 2 + 2 * LABELS + np.maximum(label[seen], OUTSIDE)), 1)
+    return out
 
 
 def _soft(scores: np.ndarray) -> np.ndarray:
@@ -192,39 +274,31 @@ def _soft(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-#: Where the sample says nothing of repeated tokens, they agree; the fit moves away from this as far as it has evidence.
-SKIP_PRIOR = np.diag([0.0, 4.0, 4.0, 4.0, 4.0])
-
-
 class SkipChainField:
     def __init__(self, weights=None, chain=None, skip=None):
         self.weights = np.zeros((N_FEATURES, LABELS)) if weights is None else weights
         self.chain = np.zeros((LABELS, LABELS)) if chain is None else chain
-        self.skip = SKIP_PRIOR.copy() if skip is None else skip
+        self.skip = np.zeros((LABELS, LABELS)) if skip is None else skip
 
-    def fit(self, g: Graph, steps: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> SkipChainField:
-        """Pseudo-likelihood: each node given its neighbours, a token that no match covers being outside."""
-        if not len(g.doc):
+    def fit(self, rows: np.ndarray, counts: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> SkipChainField:
+        """Pseudo-likelihood: each node given its neighbours; ``rows`` are distinct ``terms``, ``counts`` how often they occur."""
+        if not len(rows):
             return self
-        y = np.maximum(g.given, OUTSIDE)
+        features = (rows[:, :1] >> np.arange(N_FEATURES) & 1).astype(float)
+        y = rows[:, 1]
+        before, behind, hub = (rows[:, 2 + k * LABELS : 2 + (k + 1) * LABELS].astype(float) for k in range(3))
+        share = np.sqrt(counts)[:, None]  # a kind of token that the corpus repeats much doesn't drown the others
+        share = share / share.sum()
         theta = [self.weights.copy(), self.chain.copy(), self.skip.copy()]
-        prior = [0.0, 0.0, SKIP_PRIOR]
         m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
         one = np.eye(LABELS)
         for step in range(1, steps + 1):
-            scores = g.features @ theta[0]
-            for edges, table in ((g.chain, theta[1]), (g.skip, theta[2])):
-                np.add.at(scores, edges[:, 1], table[y[edges[:, 0]]])
-                np.add.at(scores, edges[:, 0], table[:, y[edges[:, 1]]].T)
-            left = one[y] - _soft(scores)
-            grads = [g.features.T @ left]
-            for edges in (g.chain, g.skip):
-                grad = np.zeros((LABELS, LABELS))
-                np.add.at(grad, y[edges[:, 0]], left[edges[:, 1]])
-                np.add.at(grad.T, y[edges[:, 1]], left[edges[:, 0]])
-                grads.append(grad)
+            w, chain, skip = theta
+            left = share * (one[y] - _soft(features @ w + before @ chain + behind @ chain.T + hub @ skip))
+            of_skip = hub.T @ left
+            grads = [features.T @ left, before.T @ left + left.T @ behind, (of_skip + of_skip.T) / 2]  # skips have no direction
             for k, t in enumerate(theta):
-                grad = grads[k] / len(y) - ridge * (t - prior[k])
+                grad = grads[k] - ridge * t
                 m[k], v[k] = 0.9 * m[k] + 0.1 * grad, 0.99 * v[k] + 0.01 * grad * grad
                 t += rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return SkipChainField(*theta)
@@ -232,19 +306,14 @@ class SkipChainField:
     def beliefs(self, g: Graph, damp: float = 0.3) -> np.ndarray:
         """Marginals by loopy message passing until it settles; nodes of matches keep their label."""
         n = len(g.doc)
-        hubs = int(g.hub[:, 1].max()) + 1 if len(g.hub) else 0
-        unary = np.concatenate([g.features @ self.weights, np.zeros((hubs, LABELS))])
-        votes = np.zeros((hubs, LABELS), bool)
-        matched = g.hub[g.given[g.hub[:, 0]] >= 0]
-        votes[matched[:, 1], g.given[matched[:, 0]]] = True
-        agreed = np.where(votes.sum(axis=1) == 1, votes.argmax(axis=1), -1)
-        given = np.concatenate([g.given, agreed])
+        label = agreed(g)
+        unary = np.concatenate([g.features @ self.weights, np.zeros((len(label), LABELS))])
+        given = np.concatenate([g.given, np.maximum(label, -1)])
         held = given >= 0
         unary[held] = -50.0
         unary[held, given[held]] = 50.0
         edges = np.concatenate([g.chain, g.hub + [0, n]])
-        skip = (self.skip + self.skip.T) / 2  # a hub is neither before nor behind
-        tables = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(skip[None], len(g.hub), 0)])
+        tables = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.hub), 0)])
         src = np.concatenate([edges[:, 0], edges[:, 1]])
         dst = np.concatenate([edges[:, 1], edges[:, 0]])
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
@@ -301,19 +370,23 @@ def find(texts: list[str], field: SkipChainField) -> list[tuple[list, list]]:
     return [(base, added.get(d, [])) for d, base in enumerate(bases)]
 
 
-def fit(docs: DataFrame, rows: int = 6000, most_chars: int = 64_000) -> SkipChainField:
-    """The field fitted on the matches in at most ``rows`` documents of at most ``most_chars`` characters, spread by a hash of the id."""
-    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = documents(docs).filter(F.length("text") <= most_chars).join(F.broadcast(drawn), "doc_id")  # ``rows`` rows at most
+def fit(docs: DataFrame) -> SkipChainField:
+    """The field fitted on the matches of all documents.
 
-    def with_nodes(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield batch.filter(pa.array([HINT.search(t) is not None for t in texts], pa.bool_()))
+    Only counts of equal terms leave the tasks: of token features and neighbours' labels, at most some thousand kinds
+    whatever the corpus. Null and empty texts have no nodes; without any match nothing is learned and no span is added.
+    """
+
+    def count(batches):
+        for _, texts in pairs(batches, 4_000_000):
+            g, y = with_mentions([t for t in texts if HINT.search(t)])
+            if len(y):
+                rows, n = np.unique(terms(g, y), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.int64())), pa.array(n)], ["term", "n"])
 
-    got = sample.mapInArrow(with_nodes, "doc_id long, text string").dropDuplicates(["doc_id"]).collect()
-    texts = [r["text"] for r in sorted(got, key=lambda r: r["doc_id"])]
-    return SkipChainField().fit(graph(texts, [base_spans(t) for t in texts]))
+    counted = documents(docs).mapInArrow(count, "term array<long>, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    got = sorted((r["term"], r["n"]) for r in counted.collect())
+    return SkipChainField().fit(np.array([t for t, _ in got], np.int64).reshape(-1, 2 + 3 * LABELS), np.array([n for _, n in got], float))
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:
