@@ -92,8 +92,10 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 yield word_rows()
                 words.clear()
         yield word_rows()
-        for kind, (found, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(n if kind else np.zeros_like(n)), pa.array(n)], names)
+        (known, n), (other, more) = sums[True], sums[False]
+        found, of_both = np.unique(np.concatenate([known, other]), return_inverse=True)
+        both = [np.bincount(of_both, weights=np.concatenate(w), minlength=len(found)).astype(np.int64) for w in ((n, np.zeros_like(more)), (n, more))]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.binary()), pa.array(found), *map(pa.array, both)], names)
 
     return stored(docs.mapInArrow(count, "word binary, code long, n long, m long").groupBy("word", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
 
@@ -282,24 +284,27 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, least_bits: float
         logs = {w: float(np.log10(n + 1)) for w, n in own.items()}
         end = logs.get(b"\n", 0.0)
         names = ["doc_id", "row", "n_tokens", "n_known", "logs", "score", "rest", "grams"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))]
         known_codes, known_logs = grams_head.value
+        has_end = b"\n" in own
         for ids, texts in pairs(batches, 2_000_000):
-            columns: list[list] = [[] for _ in kinds]
-            sequences = []
-            for doc_id, text in zip(ids, texts, strict=True):
+            n_tokens, n_known, sums, sequences = [], [], [], []
+            rare, times, bounds = [], [], [0]  # words that aren't in the head, side by side
+            for text in texts:
                 tokens = words_of(text)
                 sequences.append(b" ".join(tokens) + b"\n")
                 found = [logs.get(w) for w in tokens]
                 rest = Counter([w for w, x in zip(tokens, found, strict=True) if x is None]) if None in found else {}
-                known = len(tokens) - sum(rest.values())
-                has_end = b"\n" in own
-                row = (doc_id, (part << 40) + at, len(tokens) + 1, known + has_end, sum([x for x in found if x is not None]) + end, 0.0, [{"word": w, "times": n} for w, n in rest.items()])
-                at += 1
-                for c, v in zip(columns, row, strict=True):
-                    c.append(v)
-            columns[5], others = sum_known(sequences, known_codes, known_logs)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), others], names)
+                rare += rest
+                times += rest.values()
+                bounds.append(len(rare))
+                n_tokens.append(len(tokens) + 1)
+                n_known.append(len(tokens) - sum(rest.values()) + has_end)
+                sums.append(sum([x for x in found if x is not None]) + end)
+            score, others = sum_known(sequences, known_codes, known_logs)
+            words_left = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
+            row = pa.array((part << 40) + at + np.arange(len(ids)))
+            at += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), row, *(pa.array(c, pa.int64()) for c in (n_tokens, n_known)), pa.array(sums, pa.float64()), pa.array(score), words_left, others], names)
 
     scored = stored(
         documents(docs).mapInArrow(run, "doc_id long, row long, n_tokens long, n_known long, logs double, score double, rest array<struct<word:binary,times:long>>, grams array<struct<code:long,times:long>>")
