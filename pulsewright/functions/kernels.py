@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
 
 EDGE = 1e-11  # days; kept in the same place and order wherever a bin's edge is made
@@ -33,33 +35,34 @@ def epoch_count(mjds: np.ndarray, width: float = 6.5) -> int:
 
 
 def expand_bins(bins: np.ndarray, times: np.ndarray, width: float, pad: float, strict: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Widen the bin with the nearest edge for each time in the order given, where its width stays below the limit.
+    """Bins grown to take in times, and the times that none took.
 
-    Returns the bins and the times that found no bin.
+    Each time, in the order given, asks the bin that has the closest edge (the earlier bin, and its low edge, on ties).
+    If that bin doesn't hold it yet, the edge moves to the time and the pad beyond, as long as the bin reaching just to
+    the time would be narrower than ``width``.
     """
-    bins = bins[np.argsort(bins[:, 0], kind="stable")].copy()
-    edge, left = EDGE if strict else 0.0, []
-    flat = bins.reshape(-1)  # a view: edges in order, low then high
-    for t in times:
-        near = int(np.argmin(np.abs(t - flat)))
-        k = near // 2
-        low, high = bins[k]
+    grown = sorted(map(tuple, np.asarray(bins, float).tolist()), key=lambda b: b[0])
+    edges = sorted((edge, k, side) for k, b in enumerate(grown) for side, edge in enumerate(b))
+    slack, none = EDGE if strict else 0.0, []
+    for t in map(float, times):
+        above = bisect_left(edges, (t,))
+        beside = edges[above : above + 1]
+        if above:
+            beside.append(edges[bisect_left(edges, (edges[above - 1][0],))])  # the first of equal edges below
+        edge, k, side = min(beside, key=lambda e: (abs(t - e[0]), e[1:]))
+        low, high = grown[k]
         if low < t < high:
             continue
-        if near % 2 == 0:
-            delta = low - t
-            if high - low + delta < width:
-                bins[k, 0] -= delta + pad
-                bins[k, 0] -= edge
-                continue
-        else:
-            delta = t - high
-            if high - low + delta < width:
-                bins[k, 1] += delta + pad
-                bins[k, 1] += edge
-                continue
-        left.append(t)
-    return bins, np.array(left, float)
+        reach = abs(t - edge)
+        if high - low + reach >= width:
+            none.append(t)
+            continue
+        out = 1 if side else -1
+        moved = edge + out * (reach + pad) + out * slack
+        del edges[bisect_left(edges, (edge, k, side))]
+        insort(edges, (moved, k, side))
+        grown[k] = (low, moved) if side else (moved, high)
+    return np.array(grown, float).reshape(-1, 2), np.array(none, float)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:

@@ -142,8 +142,25 @@ def epoch_counts(times: DataFrame, width: float = 6.5) -> DataFrame:
     return _each_session(times, width, of, "psr string, n long").groupBy("psr").agg(F.sum("n").alias("epochs"))
 
 
-def expand(toas: DataFrame, bins: DataFrame, width: float, pad: float = 0.0, add_new: bool = False) -> DataFrame:
-    """Bins widened for rows outside all of them, in the order of site, then row; then new greedy bins if asked."""
+def _parted(times: DataFrame, bins: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
+    """Both with ``part``: stretches of times and bins so far apart that nothing in one can reach the other."""
+    both = times.select("psr", F.col("mjd").alias("low"), F.col("mjd").alias("high")).union(bins.select("psr", "low", "high")).distinct()
+    w = Window.partitionBy("psr").orderBy("low", "high")
+    reach = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parts = both.withColumn("new", F.when(F.col("low") - reach > gap, 1).otherwise(0)).withColumn("part", F.sum("new").over(w)).drop("new")
+    parts = settled(parts)
+    of_time = times.join(parts.filter("low = high").select("psr", F.col("low").alias("mjd"), "part"), ["psr", "mjd"])
+    return of_time, bins.join(parts, ["psr", "low", "high"])
+
+
+def expand(toas: DataFrame, bins: DataFrame | None, width: float, pad: float = 0.0, add_new: bool = False) -> DataFrame:
+    """Bins widened for rows outside all of them, in the order of site, then row; then new greedy bins if asked.
+
+    Without bins (None) the new ones are greedy from the start. Else each stretch of times and bins that lies farther
+    from all others than a bin can be widened is a group of its own, so no source meets in one task.
+    """
+    if bins is None:
+        return greedy(toas, width, pad) if add_new else numbered(toas.sparkSession.createDataFrame([], "psr string, low double, high double"))
     free = toas.join(members(toas, bins).select("psr", "toa_id").distinct(), ["psr", "toa_id"], "left_anti").select("psr", "obs", "toa_id", "mjd")
 
     def run(times: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
@@ -157,9 +174,9 @@ def expand(toas: DataFrame, bins: DataFrame, width: float, pad: float = 0.0, add
             b = np.concatenate([b, kernels.greedy_bins(np.sort(left), width, pad)])
         return pd.DataFrame({"psr": psr, "low": b[:, 0], "high": b[:, 1]})
 
-    # one group is the unassigned times and the bins of one source
-    old = bins.select(F.col("psr").alias("psr"), F.col("low").alias("low"), F.col("high").alias("high"))
-    return numbered(free.groupBy("psr").cogroup(old.groupBy("psr")).applyInPandas(run, "psr string, low double, high double"))
+    free, old = _parted(free, bins, width + 2 * pad + 4 * kernels.EDGE)
+    old = old.select(*[F.col(c).alias(c) for c in ("psr", "part", "low", "high")])
+    return numbered(free.groupBy("psr", "part").cogroup(old.groupBy("psr", "part")).applyInPandas(run, "psr string, low double, high double"))
 
 
 def rebin(times: DataFrame, bins: DataFrame, bad: DataFrame, width: float, pad: float) -> DataFrame:
@@ -183,20 +200,32 @@ def event_bins(bins: DataFrame, events: DataFrame) -> DataFrame:
     return bins.join(events, "psr").filter(edge("low") | edge("high")).select("psr", "ord").distinct()
 
 
+def _nearest(points: DataFrame, marks: DataFrame) -> DataFrame:
+    """Each point (psr, mjd) with the struct ``near`` (d, tie, mark) of the mark (psr, at, tie, mark) closest in time; the least tie first.
+
+    Marks and points meet in time order: the closest mark is the last before a point or the first behind it.
+    """
+    first = marks.groupBy("psr", "at").agg(F.min(F.struct("tie", "mark")).alias("m")).select("psr", F.col("at").alias("mjd"), F.struct("at", "m.*").alias("mark"), F.lit(False).alias("is_point"))
+    line = first.unionByName(points.select("psr", "mjd").withColumn("is_point", F.lit(True)), allowMissingColumns=True)
+    seen = lambda *order: F.last("mark", ignorenulls=True).over(Window.partitionBy("psr").orderBy(*order))
+    both = line.withColumn("before", seen("mjd", "is_point")).withColumn("behind", seen(F.desc("mjd"), F.col("is_point"))).filter("is_point")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("mjd")).alias("d"), F.col(f"{c}.tie").alias("tie"), F.col(f"{c}.mark").alias("mark")))
+    return both.select("psr", "mjd", F.least(far("before"), far("behind")).alias("near")).filter("near is not null")
+
+
 def nearest_bins(points: DataFrame, bins: DataFrame) -> DataFrame:
     """For each point (psr, mjd) the bin with the closest middle, the first on ties, and whether it holds the point."""
-    mid = (F.col("low") + F.col("high")) / 2
-    both = points.join(bins.withColumn("mid", mid), "psr")
-    best = both.groupBy("psr", "mjd").agg(F.min(F.struct(F.abs(F.col("mid") - F.col("mjd")).alias("d"), "ord", "low", "high")).alias("b"))
-    return best.select("psr", "mjd", "b.ord", ((F.col("b.low") < F.col("mjd")) & (F.col("mjd") < F.col("b.high"))).alias("inside"))
+    marks = bins.select("psr", ((F.col("low") + F.col("high")) / 2).alias("at"), F.col("ord").alias("tie"), F.struct("low", "high").alias("mark"))
+    b = _nearest(points, marks).select("psr", "mjd", F.col("near.tie").alias("ord"), "near.mark.*")
+    return b.select("psr", "mjd", "ord", ((F.col("low") < F.col("mjd")) & (F.col("mjd") < F.col("high"))).alias("inside"))
 
 
 def mutual_pairs(low: DataFrame, high: DataFrame, width: float = 15.0) -> DataFrame:
-    """Session means of two receivers, each the other's nearest and less than ``width`` apart."""
-    both = low.select("psr", F.col("mean_mjd").alias("a")).join(high.select("psr", F.col("mean_mjd").alias("b")), "psr").filter(F.abs(F.col("a") - F.col("b")) < width)
-    d = F.abs(F.col("a") - F.col("b"))
-    of_a = both.groupBy("psr", "a").agg(F.min(F.struct(d.alias("d"), "b")).alias("m")).select("psr", "a", "m.b")
-    of_b = both.groupBy("psr", "b").agg(F.min(F.struct(d.alias("d"), "a")).alias("m")).select("psr", "m.a", "b")
+    """Session means of two receivers, each the other's nearest and less than ``width`` apart; the earlier one on ties."""
+    marks = lambda df: df.select("psr", F.col("mean_mjd").alias("at"), F.col("mean_mjd").alias("tie"), F.lit(0).alias("mark"))
+    points = lambda df: df.select("psr", F.col("mean_mjd").alias("mjd")).distinct()
+    of_a = _nearest(points(low), marks(high)).filter(F.col("near.d") < width).select("psr", F.col("mjd").alias("a"), F.col("near.tie").alias("b"))
+    of_b = _nearest(points(high), marks(low)).filter(F.col("near.d") < width).select("psr", F.col("near.tie").alias("a"), F.col("mjd").alias("b"))
     return of_a.join(of_b, ["psr", "a", "b"])
 
 
@@ -227,20 +256,33 @@ def same_bins(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def setup(toas: DataFrame, old_bins: DataFrame | None = None, events: DataFrame | None = None, single_site: str = "ao", ratio: float = 1.1, most_us: float = 0.1, early: tuple[str, str, str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(toas with dmx cuts, bins that pass): the whole setup, from uncut rows to checked bins."""
+    """(toas with dmx cuts, bins that pass): the whole setup, from uncut rows to bins that ``check`` finds sound.
+
+    A source whose ``old_bins`` (psr, ord, low, high) are as many and agree closely keeps them with their numbers; all
+    other sources' bins are numbered from 1.
+    """
     toas = settled(toas)
     live = toas.filter("cut is null")
-    empty = live.sparkSession.createDataFrame([], "psr string, ord long, low double, high double")
-    first = settled(early_bins(live, *early)) if early else empty
+    first = settled(early_bins(live, *early)) if early else None
     one_site = live.groupBy("psr").agg(F.bool_and(F.col("obs") == single_site).alias("one_site"))
     typed = live.join(one_site, "psr")
-    parts = [expand(typed.filter(where), first.join(one_site.filter(where), "psr", "left_semi"), width, 0.05, add_new=True) for where, width in (("one_site", 0.5), ("not one_site", 6.5))]
+    of = lambda where: None if first is None else first.join(one_site.filter(where), "psr", "left_semi")
+    parts = [expand(typed.filter(where), of(where), width, 0.05, add_new=True) for where, width in (("one_site", 0.5), ("not one_site", 6.5))]
     bins = settled(parts[0].unionByName(parts[1]))
     if events is not None:
         bins = rebin(live, bins, event_bins(bins, events), 0.5, 0.0)
     bins = settled(rebin(live, bins, solar_bins(live, bins, most_us), 0.5, 0.05))
-    good = numbered(bins.join(passing(members(live, bins), ratio).select("psr", "ord"), ["psr", "ord"], "left_semi"))
-    return settled(ratio_cut(toas, bins, ratio)), settled(good)
+    good = settled(numbered(bins.join(passing(members(live, bins), ratio).select("psr", "ord"), ["psr", "ord"], "left_semi")))
+    if old_bins is not None:
+        good = settled(kept_or_new(good, old_bins))
+    return settled(ratio_cut(toas, bins, ratio)), good
+
+
+def kept_or_new(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The old bins of the sources whose new ones agree with them in order, else the new ones."""
+    rank = lambda df: df.withColumn("ord", F.row_number().over(Window.partitionBy("psr").orderBy("low", "high")).cast("long"))
+    same = same_bins(rank(new), rank(old)).filter("same").select("psr")
+    return old.select("psr", "ord", "low", "high").join(same, "psr", "left_semi").unionByName(new.join(same, "psr", "left_anti"))
 
 
 def after_drop(found: DataFrame) -> DataFrame:

@@ -102,21 +102,26 @@ def stages(toas: DataFrame, plan: list[tuple[str, list[Column]]]) -> DataFrame:
     return toas.withColumn("cut", first_reason(*[r for _, r in found])).withColumn("cut_stage", stage)
 
 
-def large_residuals(toas: DataFrame, us: float | None = None, n_sigma: float | None = None, max_sigma: float | None = None, dm: float | None = None) -> Column:
-    """|r| over the threshold and, if asked, significant; or an error above the largest allowed; the same for DM, without ASP backends."""
+def _off(value: str, error: str, most: float | None, n_sigma: float | None, max_sigma: float | None) -> Column:
+    """Far off and, if asked, by enough errors; or known too badly. Nothing is off without a threshold."""
+    if most is None:
+        return F.lit(False)
+    far = [F.abs(value) > most, *([F.abs(F.col(value) / F.col(error)) > n_sigma] if n_sigma is not None else [])]
+    vague = [F.col(error) > max_sigma] if max_sigma is not None else []
+    return reduce(Column.__or__, [reduce(Column.__and__, far), *vague])
+
+
+def large_residuals(us: float | None = None, n_sigma: float | None = None, max_sigma: float | None = None, dm: float | None = None, asp_dms: bool = False) -> Column:
+    """Rows whose residual is off by over ``us``, or whose DM residual (dm_resid, dm_err) is by over ``dm``.
+
+    ``n_sigma`` and ``max_sigma`` hold for both kinds. DMs of ASP backends don't count unless asked for.
+    """
     if us is None and dm is None:
         raise ValueError("give a threshold for residuals or for DM")
-    out = F.lit(False)
-    if us is not None:
-        big = F.abs("resid_us") > us
-        if n_sigma is not None:
-            big &= F.abs(F.col("resid_us") / F.col("err_us")) > n_sigma
-        if max_sigma is not None:
-            big |= F.col("err_us") > max_sigma
-        out |= big
-    if dm is not None:
-        out |= (F.abs("dm_resid") > dm) & ~F.col("be").endswith("ASP")
-    return out
+    of_dm = _off("dm_resid", "dm_err", dm, n_sigma, max_sigma)
+    if dm is not None and not asp_dms:
+        of_dm &= ~F.col("be").endswith("ASP")
+    return _off("resid_us", "err_us", us, n_sigma, max_sigma) | of_dm
 
 
 def simultaneous(toas: DataFrame, keep: str, lose: str) -> DataFrame:

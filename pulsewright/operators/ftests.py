@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -106,12 +106,12 @@ def solve(xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, n: np.ndarray, use: li
     full[:, j, i] = xx
     use = list(range(p)) if use is None else use
     a, b = full[:, use][:, :, use], xy[:, use]
-    scale = np.sqrt(np.einsum("kii->ki", a))
+    scale = np.sqrt(np.maximum(0.0, np.einsum("kii->ki", a)))
     scale = np.where(scale > 0, scale, 1.0)
     unit = a / scale[:, :, None] / scale[:, None, :]
     inverse = np.linalg.pinv(unit, rcond=1e-12, hermitian=True)
     beta = np.einsum("kij,kj->ki", inverse, b / scale) / scale
-    rank = np.array([np.linalg.matrix_rank(u, tol=1e-10, hermitian=True) for u in unit])
+    rank = np.linalg.matrix_rank(unit, tol=1e-10, hermitian=True)
     return yy - np.einsum("ki,ki->k", beta, b), n - rank, beta
 
 
@@ -131,16 +131,48 @@ def fit(total: DataFrame, use: list[int] | None = None) -> DataFrame:
     return total.select("psr", "xx", "xy", "yy", "n").mapInPandas(run, "psr string, chi2 double, dof long, beta array<double>")
 
 
-def leave_one_out(per_file: DataFrame, p: int, threshold: float = 1e-6) -> DataFrame:
+def binned_grams(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(what each file adds, each source's total) to the sums of a fit in which every bin has a column of its own.
+
+    ``rows`` are (psr, ord, name, y, w, u, columns), u being the bin's column. It is projected out in each bin: from the
+    products of the rest goes what goes along u. What a file adds is the difference of its bins' projections with and
+    without it; a bin that only the file has rows in goes with it. ``n`` counts rows less bins, ``n_rows`` rows.
+    """
+    z = [*columns, "y"]
+    places = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    w, u = F.col("w"), F.col("u")
+    sums = rows.groupBy("psr", "ord", "name").agg(
+        *[F.sum(w * F.col(z[i]) * F.col(z[j])).alias(f"zz_{i}_{j}") for i, j in places], *[F.sum(w * u * F.col(c)).alias(f"uz_{i}") for i, c in enumerate(z)], F.sum(w * u * u).alias("uu"), F.count(F.lit(1)).alias("n")
+    )
+    names = [c for c in sums.columns if c not in ("psr", "ord", "name")]
+    whole = Window.partitionBy("psr", "ord")
+    both = sums.select("*", *[F.sum(c).over(whole).alias(f"b_{c}") for c in names])
+    of_bin = lambda i, j: F.col(f"b_zz_{i}_{j}") - F.col(f"b_uz_{i}") * F.col(f"b_uz_{j}") / F.col("b_uu")
+    less = lambda c: F.col(f"b_{c}") - F.col(c)
+    of_rest = lambda i, j: F.when(less("n") > 0, less(f"zz_{i}_{j}") - less(f"uz_{i}") * less(f"uz_{j}") / less("uu")).otherwise(0.0)
+    last = len(columns)
+
+    def arrays(of):
+        return (
+            F.array(*[F.sum(of(i, j)) for i, j in places if j < last]).alias("xx"), F.array(*[F.sum(of(i, last)) for i in range(last)]).alias("xy"), F.sum(of(last, last)).alias("yy")
+        )
+
+    per_file = both.groupBy("psr", "name").agg(*arrays(lambda i, j: of_bin(i, j) - of_rest(i, j)), (F.sum("n") - F.count_if(less("n") == 0)).alias("n"), F.sum("n").alias("n_rows"))
+    each = sums.groupBy("psr", "ord").agg(*[F.sum(c).alias(f"b_{c}") for c in names])
+    return per_file, each.groupBy("psr").agg(*arrays(of_bin), (F.sum("b_n") - F.count(F.lit(1))).alias("n"))
+
+
+def leave_one_out(per_file: DataFrame, p: int, threshold: float = 1e-6, total: DataFrame | None = None) -> DataFrame:
     """(psr, name, n_removed, chi2, dof, ftest, drop) of each file: the fit without it against the full one.
 
     A file whose removal does not lower chi-squared has no p-value and is never dropped. A column that only the file's
-    rows had leaves the fit with it.
+    rows had leaves the fit with it. ``total`` is given where it isn't the sum of what the files add.
     """
-    total = add_grams(per_file, ["psr"], p)
+    total = add_grams(per_file, ["psr"], p) if total is None else total
+    per_file = per_file if "n_rows" in per_file.columns else per_file.withColumn("n_rows", F.col("n"))
     t = total.select("psr", *[F.col(c).alias(f"t_{c}") for c in ("xx", "xy", "yy", "n")])
     less = lambda a: F.zip_with(f"t_{a}", a, lambda x, y: x - y).alias(a)
-    left = per_file.join(t, "psr").select("psr", "name", F.col("n").alias("n_removed"), less("xx"), less("xy"), (F.col("t_yy") - F.col("yy")).alias("yy"), (F.col("t_n") - F.col("n")).alias("n"))
+    left = per_file.join(t, "psr").select("psr", "name", F.col("n_rows").alias("n_removed"), less("xx"), less("xy"), (F.col("t_yy") - F.col("yy")).alias("yy"), (F.col("t_n") - F.col("n")).alias("n"))
 
     def run(batches):
         for pdf in batches:

@@ -31,22 +31,29 @@ def map_row(chains: DataFrame) -> DataFrame:
     return chains.groupBy("chain").agg(best.alias("b")).select("chain", "b.sample", F.col("b.p").alias("lnpost"))
 
 
-def medians(chains: DataFrame, positions: int, digits: int = 9) -> DataFrame:
-    x = chains.select("chain", F.posexplode(F.slice("vals", 1, positions)).alias("pos", "x"))
+def medians(chains: DataFrame, digits: int = 9) -> DataFrame:
+    """(chain, pos, median) of every parameter."""
+    x = chains.select("chain", F.posexplode("vals").alias("pos", "x"))
     return x.groupBy("chain", "pos").agg(F.round(F.percentile("x", F.lit(0.5)), digits).alias("median"))
 
 
-def histograms(chains: DataFrame, positions: int, bins: int = 20) -> DataFrame:
+def histograms(chains: DataFrame, bins: int = 20) -> DataFrame:
     """(chain, pos, bin, n): equal bins between each parameter's extremes, the last one closed."""
-    x = chains.select("chain", F.posexplode(F.slice("vals", 1, positions)).alias("pos", "x"))
+    x = chains.select("chain", F.posexplode("vals").alias("pos", "x"))
     ends = x.groupBy("chain", "pos").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     k = F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.lit(float(bins)))), F.lit(bins - 1))
     return x.join(ends, ["chain", "pos"]).select("chain", "pos", F.when(F.col("hi") > F.col("lo"), k).otherwise(0).cast("int").alias("bin")).groupBy("chain", "pos", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pair_histograms(chains: DataFrame, pairs: list[tuple[int, int]], bins: int = 8) -> DataFrame:
-    """(chain, i, j, bi, bj, n) of pairs of parameters, taken from the arrays by place; no self-join."""
-    want = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+def pair_histograms(chains: DataFrame, pairs: list[tuple[int, int]] | None = None, bins: int = 80) -> DataFrame:
+    """(chain, i, j, bi, bj, n) of pairs of parameters, taken from the arrays by place; no self-join.
+
+    Without ``pairs`` every parameter is paired with the next one.
+    """
+    if pairs is None:
+        want = F.transform(F.sequence(F.lit(0), F.size("vals") - 2), lambda i: F.struct(i.alias("i"), (i + 1).alias("j")))
+    else:
+        want = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
     x = chains.select("chain", "vals", F.explode(want).alias("p")).select("chain", "p.i", "p.j", F.element_at("vals", F.col("p.i") + 1).alias("x"), F.element_at("vals", F.col("p.j") + 1).alias("y"))
     ends = x.groupBy("chain", "i", "j").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))])
     k = lambda c: F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / F.nullif((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / F.lit(float(bins)), F.lit(0.0))), F.lit(bins - 1)).cast("int")

@@ -104,29 +104,36 @@ def required(params: DataFrame, sources: DataFrame, names: list[str]) -> DataFra
 
 #: For each binary model its required parameters, those fitted if present, and pairs that come together.
 BINARY_RULES = {
-    "ELL1": (["A1", "TASC", "EPS1", "EPS2"], ["M2", "SINI", "PBDOT", "XDOT", "A1DOT"], [("M2", "SINI"), ("EPS1DOT", "EPS2DOT")]),
-    "ELL1H": (["A1", "TASC", "EPS1", "EPS2", "H3"], ["H4", "STIG", "PBDOT", "A1DOT"], [("EPS1DOT", "EPS2DOT")]),
-    "DD": (["A1", "ECC", "T0", "OM"], ["M2", "SINI", "PBDOT", "A1DOT", "OMDOT", "EDOT"], [("M2", "SINI")]),
-    "DDK": (["A1", "ECC", "T0", "OM", "M2", "KIN", "KOM"], ["PBDOT", "A1DOT", "OMDOT", "EDOT"], []),
-    "T2": (["A1", "ECC", "T0", "OM"], ["M2", "SINI", "PBDOT"], [("KIN", "KOM")]),
+    "ELL1": (["A1", "TASC", "EPS1", "EPS2"], ["PB", "FB0", "PBDOT", "M2", "SINI", "XDOT", "A1DOT", "EPS1DOT", "EPS2DOT"], [("M2", "SINI"), ("EPS1DOT", "EPS2DOT")]),
+    "ELL1 by FB0": (["A1", "TASC", "EPS1", "EPS2", "FB0"], ["XDOT", "A1DOT", "EPS1DOT", "EPS2DOT"], [("EPS1DOT", "EPS2DOT")]),
+    "ELL1H": (["A1", "PB", "TASC", "EPS1", "EPS2", "H3"], ["PBDOT", "XDOT", "A1DOT", "H4", "EPS1DOT", "EPS2DOT"], [("EPS1DOT", "EPS2DOT")]),
+    "DD": (["A1", "ECC", "T0", "PB", "OM"], ["PBDOT", "XDOT", "A1DOT", "OMDOT", "EDOT", "M2", "SINI"], [("M2", "SINI")]),
+    "DDK": (["A1", "ECC", "T0", "PB", "OM", "M2", "K96", "KOM", "KIN"], ["PBDOT", "XDOT", "A1DOT", "OMDOT", "EDOT", "SINI"], []),
+    "T2": (["A1", "ECC", "T0", "PB", "OM", "M2", "KOM", "KIN"], [], []),
 }
 
 
 def binary_check(params: DataFrame, models: DataFrame) -> DataFrame:
-    """(psr, name, problem) of binary models: unknown, parameters missing, present but frozen, half pairs, PB against FB0."""
-    known = models.filter(F.col("model").isin(*BINARY_RULES))
+    """(psr, name, problem) of binary models: unknown, parameters missing, present but frozen, half pairs, PB against FB0.
+
+    An ELL1 model has one of PB and FB0; by FB0 alone its PBDOT, M2 and SINI aren't looked at.
+    """
+    p = params.select("psr", "name", "frozen")
+    has = lambda n: F.coalesce(F.bool_or(F.col("name") == n), F.lit(False))
+    period = models.join(p, "psr", "left").groupBy("psr", "model").agg(has("PB").alias("pb"), has("FB0").alias("fb"))
+    is_ell1 = F.col("model") == "ELL1"
+    known = period.filter(F.col("model").isin(*BINARY_RULES)).withColumn("model", F.when(is_ell1 & F.col("fb") & ~F.col("pb"), "ELL1 by FB0").otherwise(F.col("model")))
     spark = params.sparkSession
     need = spark.createDataFrame([(m, n) for m, (r, _, _) in BINARY_RULES.items() for n in r], "model string, name string")
     option = spark.createDataFrame([(m, n) for m, (_, o, _) in BINARY_RULES.items() for n in o], "model string, name string")
     pair = spark.createDataFrame([(m, a, b) for m, (*_, p) in BINARY_RULES.items() for a, b in p], "model string, a string, b string")
-    p = params.select("psr", "name", "frozen")
     got = known.join(need, "model").join(p, ["psr", "name"], "left").select("psr", "name", F.when(F.col("frozen").isNull(), "missing").when(F.col("frozen"), "not fitted").alias("problem"))
     opt = known.join(option, "model").join(p, ["psr", "name"]).select("psr", "name", F.when(F.col("frozen"), "not fitted").alias("problem"))
-    has = p.select("psr", "name").distinct()
-    sides = known.join(pair, "model").select("psr", "a", "b", F.explode(F.array("a", "b")).alias("name")).join(has, ["psr", "name"]).groupBy("psr", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("psr", F.concat_ws("+", "a", "b").alias("name"), F.lit("one of a pair").alias("problem"))
-    period = known.select("psr").join(has.filter(F.col("name").isin("PB", "FB0")), "psr", "left").groupBy("psr").agg(F.count("name").alias("n")).filter("n <> 1").select("psr", F.lit("PB/FB0").alias("name"), F.lit("not one of both").alias("problem"))
+    names = p.select("psr", "name").distinct()
+    sides = known.join(pair, "model").select("psr", "a", "b", F.explode(F.array("a", "b")).alias("name")).join(names, ["psr", "name"]).groupBy("psr", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("psr", F.concat_ws("+", "a", "b").alias("name"), F.lit("one of a pair").alias("problem"))
+    both = known.filter(F.col("model").isin("ELL1", "ELL1 by FB0") & (F.col("pb") == F.col("fb"))).select("psr", F.lit("PB/FB0").alias("name"), F.lit("not one of both").alias("problem"))
     unknown = models.filter(~F.col("model").isin(*BINARY_RULES)).select("psr", F.col("model").alias("name"), F.lit("unknown model").alias("problem"))
-    return got.union(opt).filter("problem is not null").union(sides).union(period).union(unknown)
+    return got.union(opt).filter("problem is not null").union(sides).union(both).union(unknown)
 
 
 def settings_check(settings: DataFrame, expected: DataFrame) -> DataFrame:

@@ -30,12 +30,15 @@ def outlier_cuts(toas: DataFrame, prob: float = 0.1, percent: float = 8.0, narro
 def outlier_excision(toas: DataFrame, columns: dict[str, Column], prob: float = 0.1, threshold: float = 1e-6, **setup) -> tuple[DataFrame, DataFrame]:
     """(toas with epochdrop cuts, the files' tests): outlier cuts, then the fit without each file of what is left.
 
-    ``columns`` are the design's; the residuals' part that a bin's own DM takes up is left out by its mean.
+    ``columns`` are the design's. A DM for each bin is fitted beside them, with and without the file; a bin that the
+    file alone has rows in goes with it.
     """
     t, b = outlier_cuts(toas, prob, **setup)
     live = bins.members(t.filter("cut is null"), b)
-    design = live.select("psr", "name", F.col("resid_us").alias("y"), (1 / (F.col("err_us") * F.col("err_us"))).alias("w"), *[c.alias(n) for n, c in columns.items()])
-    tests = ftests.leave_one_out(ftests.grams(design, ["psr", "name"], list(columns)), len(columns), threshold)
+    weight, of_dm = 1 / (F.col("err_us") * F.col("err_us")), 1e6 / (F.col("freq_mhz") * F.col("freq_mhz"))
+    design = live.select("psr", "ord", "name", F.col("resid_us").alias("y"), weight.alias("w"), of_dm.alias("u"), *[c.alias(n) for n, c in columns.items()])
+    per_file, total = ftests.binned_grams(design, list(columns))
+    tests = ftests.leave_one_out(per_file, len(columns), threshold, total)
     marked = cuts.listed(t, tests.filter("drop"), ["psr", "name"], "dropped")
     return cuts.apply_rules(marked, [cuts.reason(F.col("dropped"), "epochdrop")]).drop("dropped"), tests
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsewright.functions import scalar
@@ -24,6 +25,15 @@ def _bins(spark, sf_dir, of=None):
     return psr.withColumn("ord", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long")))).select("psr", "ord", low.alias("low"), high.alias("high"))
 
 
+#: Overlapping bins from the observations: weeks of each receiver-backend, padded.
+OWN = "own as (select psr, row_number() over (partition by psr order by f, week)::bigint as ord, low, high from (select psr, f, floor(mjd / 7) as week, min(mjd) - 0.05::double as low, max(mjd) + 0.05::double as high from toas group by all))"
+
+
+def _own(t):
+    weeks = t.groupBy("psr", "f", F.floor(F.col("mjd") / 7).alias("week")).agg((F.min("mjd") - F.lit(0.05)).alias("low"), (F.max("mjd") + F.lit(0.05)).alias("high"))
+    return weeks.select("psr", F.row_number().over(Window.partitionBy("psr").orderBy("f", "week")).cast("long").alias("ord"), "low", "high")
+
+
 MET = f"{TOAS}, {BINS}, met as (select t.*, ord, low, high from toas t join bins b on t.psr = b.psr and low < mjd and mjd < high)"
 
 
@@ -37,9 +47,9 @@ def bin_members_closed(spark, sf_dir):
     return bins.members(toas(spark, sf_dir), _bins(spark, sf_dir), strict=False).select("psr", "toa_id", "ord")
 
 
-@query(f"with {TOAS}, {BINS} select psr, ord from bins b where exists (select 1 from bins o where o.psr = b.psr and ((b.low < o.low and o.low < b.high) or (b.low < o.high and o.high < b.high)))")
+@query(f"with {TOAS}, {OWN} select psr, ord from own b where exists (select 1 from own o where o.psr = b.psr and ((b.low < o.low and o.low < b.high) or (b.low < o.high and o.high < b.high)))")
 def bin_overlaps(spark, sf_dir):
-    return bins.overlapping(_bins(spark, sf_dir))
+    return bins.overlapping(_own(toas(spark, sf_dir)))
 
 
 @query(f"with {MET}, n as (select psr, toa_id, count(*) as n from met group by all) select psr, 'improper' as kind, ord as id from bins where low >= high "
@@ -107,7 +117,7 @@ def greedy_epoch_count(spark, sf_dir):
 @query()
 def expand_bins(spark, sf_dir):
     t = toas(spark, sf_dir)
-    return bins.expand(t, bins.numbered(_bins(spark, sf_dir, t).filter("ord % 3 = 0 and low < high")), 15.0, 0.05, add_new=True)
+    return bins.expand(t, bins.numbered(_bins(spark, sf_dir, t).filter("low < high")), 15.0, 0.05, add_new=True)
 
 
 WIND = "5.0::double * 4.8481e-6::double * (pi() - sun_angle_rad) / abs(sin(pi() - sun_angle_rad))"
@@ -121,19 +131,19 @@ def solar_wind_bins(spark, sf_dir):
 @query()
 def solar_wind_rebin(spark, sf_dir):
     t = toas(spark, sf_dir)
-    own = bins.numbered(_bins(spark, sf_dir, t).filter("ord % 2 = 1 and low < high"))
+    own = bins.numbered(_bins(spark, sf_dir, t).filter("low < high"))
     return bins.rebin(t, own, bins.solar_bins(t, own, most_us=3.0), 0.5, 0.05)
 
 
-@query(f"with {TOAS}, {BINS} select psr, ord from bins where psr in ('PSR4', 'PSR9') and ((50000 < low and low < 50060) or (50000 < high and high < 50060))")
+@query(f"with {TOAS}, {OWN} select psr, ord from own where psr in ('PSR4', 'PSR9') and ((50000 < low and low < 50060) or (50000 < high and high < 50060))")
 def event_bins(spark, sf_dir):
     events = spark.createDataFrame([(p, 50000.0, 50060.0) for p in ("PSR4", "PSR9")], "psr string, from_mjd double, to_mjd double")
-    return bins.event_bins(_bins(spark, sf_dir), events)
+    return bins.event_bins(_own(toas(spark, sf_dir)), events)
 
 
-@query(f"with {TOAS}, {BINS}, p as (select distinct psr, mjd from toas where toa_id % 50 = 0), x as (select p.psr, p.mjd, ord, low, high, row_number() over (partition by p.psr, p.mjd order by abs((low + high) / 2 - p.mjd), ord) as k from p join bins b on p.psr = b.psr) select psr, mjd, ord, low < mjd and mjd < high as inside from x where k = 1")
+@query(f"with {TOAS}, {BINS}, p as (select distinct psr, mjd from toas), x as (select p.psr, p.mjd, ord, low, high, row_number() over (partition by p.psr, p.mjd order by abs((low + high) / 2 - p.mjd), ord) as k from p join bins b on p.psr = b.psr) select psr, mjd, ord, low < mjd and mjd < high as inside from x where k = 1")
 def nearest_bin(spark, sf_dir):
-    return bins.nearest_bins(toas(spark, sf_dir).filter("toa_id % 50 = 0").select("psr", "mjd").distinct(), _bins(spark, sf_dir))
+    return bins.nearest_bins(toas(spark, sf_dir).select("psr", "mjd").distinct(), _bins(spark, sf_dir))
 
 
 NEAR = f"""with {TOAS}, s as (select psr, f, mjd, sum(new) over (partition by psr, f order by mjd range unbounded preceding) as grp from (select *, case when mjd - lag(mjd) over (partition by psr, f order by mjd) <= 0.1::double then 0 else 1 end as new from toas)),
@@ -169,11 +179,23 @@ def bin_after_drop(spark, sf_dir):
     return bins.after_drop(bins.members(toas(spark, sf_dir), _bins(spark, sf_dir)))
 
 
-@query(f"with {TOAS}, {BINS}, o as (select psr, ord, low + case when psr = 'PSR3' then 1.0 else 1e-6 end as low, high from bins where not (psr = 'PSR5' and ord = 7)), j as (select coalesce(b.psr, o.psr) as psr, coalesce(abs(b.low - o.low) <= 1e-5 + 1e-10 * abs(o.low) and abs(b.high - o.high) <= 1e-5 + 1e-10 * abs(o.high), false) as ok from bins b full join o on b.psr = o.psr and b.ord = o.ord) select psr, bool_and(ok) as same from j group by psr")
+OLD = "o as (select psr, ord, low + case when psr = 'PSR3' then 1.0 else 1e-6 end as low, high from own where not (psr = 'PSR5' and ord = 7))"
+
+
+@query(f"with {TOAS}, {OWN}, {OLD}, j as (select coalesce(b.psr, o.psr) as psr, coalesce(abs(b.low - o.low) <= 1e-5 + 1e-10 * abs(o.low) and abs(b.high - o.high) <= 1e-5 + 1e-10 * abs(o.high), false) as ok from own b full join o on b.psr = o.psr and b.ord = o.ord) select psr, bool_and(ok) as same from j group by psr")
 def same_bins(spark, sf_dir):
-    b = _bins(spark, sf_dir)
-    old = b.filter("not (psr = 'PSR5' and ord = 7)").withColumn("low", F.col("low") + F.when(F.col("psr") == "PSR3", 1.0).otherwise(1e-6))
-    return bins.same_bins(b, old)
+    b = _own(toas(spark, sf_dir))
+    return bins.same_bins(b, _old(b))
+
+
+def _old(b):
+    return b.filter("not (psr = 'PSR5' and ord = 7)").withColumn("low", F.col("low") + F.when(F.col("psr") == "PSR3", 1.0).otherwise(1e-6))
+
+
+@query(f"with {TOAS}, {OWN}, {OLD} select psr, ord, low, high from own where psr in ('PSR3', 'PSR5') union all select psr, ord, low, high from o where psr not in ('PSR3', 'PSR5')")
+def bins_kept_or_new(spark, sf_dir):
+    b = _own(toas(spark, sf_dir))
+    return bins.kept_or_new(b, _old(b))
 
 
 @query()

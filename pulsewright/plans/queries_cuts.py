@@ -162,7 +162,14 @@ def cut_stages(spark, sf_dir):
 
 @query(f"with {TOAS} select psr, name, chan, subint from toas where (abs(resid_us) > 3 and abs(resid_us / err_us) > 3) or err_us > 1.2")
 def cut_large_residuals(spark, sf_dir):
-    return toas(spark, sf_dir).filter(cuts.large_residuals(None, us=3.0, n_sigma=3.0, max_sigma=1.2)).select("psr", "name", "chan", "subint")
+    return toas(spark, sf_dir).filter(cuts.large_residuals(us=3.0, n_sigma=3.0, max_sigma=1.2)).select("psr", "name", "chan", "subint")
+
+
+@query(f"with {TOAS}, d as (select *, pp_dm - 20.05::double as dm_resid, pp_dme as dm_err from toas) select psr, toa_id from d where (abs(resid_us) > 4 and abs(resid_us / err_us) > 4) or err_us > 1.25 or (((abs(dm_resid) > 0.03 and abs(dm_resid / dm_err) > 4) or dm_err > 1.25) and fe <> 'A')")
+def cut_large_dm_residuals(spark, sf_dir):
+    be = F.when(F.col("fe") == "A", "GASP").otherwise("GUPPI")
+    t = toas(spark, sf_dir).withColumns({"dm_resid": F.col("pp_dm") - F.lit(20.05), "dm_err": F.col("pp_dme"), "be": be})
+    return t.filter(cuts.large_residuals(us=4.0, n_sigma=4.0, max_sigma=1.25, dm=0.03)).select("psr", "toa_id")
 
 
 @query(f"with {CUT}, p as (select a.psr, a.toa_id as one, b.toa_id as two from cut_toas a join cut_toas b on a.psr = b.psr and floor(a.mjd) = floor(b.mjd) and a.fe = b.fe and a.be = 'F' and b.be = 'O' and b.cut is null "

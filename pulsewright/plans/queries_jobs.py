@@ -14,7 +14,7 @@ from pulsewright.sources.binding import CHAINS, TOAS, chains, params_sql, read,
 from pulsewright.sources.binding import params as model_params
 
 
-@query(f"with {TOAS}, p as (select a.psr, a.toa_id as one, b.toa_id as two from toas a join toas b on a.psr = b.psr and floor(a.mjd) = floor(b.mjd) and a.fe = b.fe and a.be = 'F' and b.be = 'O' and a.freq_mhz + a.bw_mhz / 2 >= b.freq_mhz - b.bw_mhz / 2 and b.freq_mhz + b.bw_mhz / 2 >= a.freq_mhz - a.bw_mhz / 2), two as (select distinct psr, two as toa_id from p) "
+@query(f"with {TOAS}, d as materialized (select psr, toa_id, fe, be, floor(mjd)::bigint as day, freq_mhz - bw_mhz / 2 as lo, freq_mhz + bw_mhz / 2 as hi from toas), two as (select distinct b.psr, b.toa_id from d b join d a on a.psr = b.psr and a.day = b.day and a.fe = b.fe where a.be = 'F' and b.be = 'O' and a.hi >= b.lo and b.hi >= a.lo) "
        f"select t.psr, t.toa_id, case when two.toa_id is not null then 'simul' else {CUT_SQL} end as cut from toas t left join two using (psr, toa_id)")
 def job_curate(spark, sf_dir):
     inside = (F.col("mjd") > LO) & (F.col("mjd") < HI) & (F.col("be") == "F")
@@ -42,12 +42,12 @@ def job_outlier_excision_cuts(spark, sf_dir):
 
 
 @query(f"with {CHAINS}, k as (select *, row_number() over (partition by chain order by sample) - 1 as k, count(*) over (partition by chain) as n from chains), t as (select *, row_number() over (partition by chain order by vals[len(vals)] desc, sample desc) as r from k where k >= floor(n * 0.25::double)), "
-       "x as (select chain, pos, round(avg(vals[pos + 1]), 9) as m from t, range(6) p(pos) where r <= 10 group by all) "
+       "x as (select chain, pos, round(avg(vals[pos + 1]), 9) as m from t, range(64) p(pos) where r <= 10 group by all) "
        "select chain as psr, (['EFAC', 'EQUAD', 'ECORR'])[1 + (pos % 3)::int] as kind, 1 + pos // 3 as number, 'r' || pos::varchar as mask_value, round(case when pos % 3 = 0 then m else pow(10.0::double, m) * 1e6::double end, 2) as value from x")
 def job_noise_to_params(spark, sf_dir):
     c = chains(spark, sf_dir)
     ending = F.element_at(F.array(F.lit("efac"), F.lit("log10_t2equad"), F.lit("log10_ecorr")), F.col("pos") % 3 + 1)
-    names = c.select("chain").distinct().select("chain", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos")).select("chain", "pos", F.col("chain").alias("psr"), F.concat_ws("_", "chain", F.concat(F.lit("r"), F.col("pos").cast("string")), ending).alias("name"))
+    names = c.select("chain").distinct().select("chain", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos")).select("chain", "pos", F.col("chain").alias("psr"), F.concat_ws("_", "chain", F.concat(F.lit("r"), F.col("pos").cast("string")), ending).alias("name"))
     return jobs.noise_to_params(c, names, n=10, digits=2)
 
 

@@ -28,31 +28,28 @@ def chain_map_row(spark, sf_dir):
     return noise.map_row(chains(spark, sf_dir))
 
 
-POSITIONS = "x as (select chain, unnest(range(6)) as pos, vals from chains), v as (select chain, pos::int as pos, vals[pos + 1] as x from x)"
+POSITIONS = "x as (select chain, unnest(range(len(vals))) as pos, vals from chains), v as (select chain, pos::int as pos, vals[pos + 1] as x from x)"
 
 
 @query(f"with {CHAINS}, {POSITIONS} select chain, pos, round(quantile_cont(x, 0.5), 9) as median from v group by all")
 def chain_medians(spark, sf_dir):
-    return noise.medians(chains(spark, sf_dir), 6)
+    return noise.medians(chains(spark, sf_dir))
 
 
 @query(f"with {CHAINS}, {POSITIONS}, e as (select *, min(x) over w as lo, max(x) over w as hi from v window w as (partition by chain, pos)) select chain, pos, (case when hi > lo then least(floor((x - lo) / ((hi - lo) / 20.0::double)), 19) else 0 end)::int as bin, count(*) as n from e group by all")
 def chain_histograms(spark, sf_dir):
-    return noise.histograms(chains(spark, sf_dir), 6)
+    return noise.histograms(chains(spark, sf_dir))
 
 
 @query(f"with {CHAINS}, {POSITIONS}, e as (select *, min(x) over w as lo, max(x) over w as hi from v window w as (partition by chain, pos)) select chain, pos, (case when hi > lo then least(floor((x - lo) / ((hi - lo) / 80.0::double)), 79) else 0 end)::int as bin, count(*) as n from e group by all")
 def empirical_distributions_1d(spark, sf_dir):
-    return noise.histograms(chains(spark, sf_dir), 6, bins=80)
+    return noise.histograms(chains(spark, sf_dir), bins=80)
 
 
-PAIRS = [(0, 1), (0, 2), (3, 5)]
-
-
-@query(f"with {CHAINS}, p as (select chain, i, j, vals[i + 1] as x, vals[j + 1] as y from chains, (values (0, 1), (0, 2), (3, 5)) v(i, j)), e as (select *, min(x) over w as lx, max(x) over w as hx, min(y) over w as ly, max(y) over w as hy from p window w as (partition by chain, i, j)) "
-       "select chain, i, j, least(floor((x - lx) / nullif((hx - lx) / 8.0::double, 0)), 7)::int as bi, least(floor((y - ly) / nullif((hy - ly) / 8.0::double, 0)), 7)::int as bj, count(*) as n from e group by all")
+@query(f"with {CHAINS}, q as (select chain, vals, unnest(range(len(vals) - 1))::int as i from chains), p as (select chain, i, i + 1 as j, vals[i + 1] as x, vals[i + 2] as y from q), e as (select *, min(x) over w as lx, max(x) over w as hx, min(y) over w as ly, max(y) over w as hy from p window w as (partition by chain, i, j)) "
+       "select chain, i, j, least(floor((x - lx) / nullif((hx - lx) / 80.0::double, 0)), 79)::int as bi, least(floor((y - ly) / nullif((hy - ly) / 80.0::double, 0)), 79)::int as bj, count(*) as n from e group by all")
 def empirical_distributions_2d(spark, sf_dir):
-    return noise.pair_histograms(chains(spark, sf_dir), PAIRS)
+    return noise.pair_histograms(chains(spark, sf_dir))
 
 
 EDGES = [0.05, 0.1, 0.2]

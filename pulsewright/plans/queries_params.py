@@ -80,12 +80,12 @@ def source_name_check(spark, sf_dir):
 #: Parameters with names of timing models, by customer: a name for each of a few residues.
 NAMES = ["F0", "F1", "F2", "A1", "TASC", "EPS1", "EPS2", "PB", "M2", "SINI", "FB0", "ECC", "T0", "OM", "PX", "ELONG", "ELAT", "FD1", "FD2", "H3"]
 MODELS = ["ELL1", "DD", "ELL1H", "DDK", "XYZ"]
-NAMED = "np as (select 'S' || (o_custkey % 97)::varchar as psr, " + str(NAMES) + "[1 + (o_orderkey % 20)::int] as name, bool_and(o_orderstatus = 'F') as frozen from orders where o_orderkey % 7 < 4 group by all), md as (select distinct psr, " + str(MODELS) + "[1 + ((psr[2:])::int % 5)::int] as model from np)"
+NAMED = "np as (select 'S' || o_custkey::varchar as psr, " + str(NAMES) + "[1 + (o_orderkey % 20)::int] as name, bool_and(o_orderstatus = 'F') as frozen from orders group by all), md as (select distinct psr, " + str(MODELS) + "[1 + ((psr[2:])::int % 5)::int] as model from np)"
 
 
 def named(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_orderkey % 7 < 4")
-    p = o.select(F.concat(F.lit("S"), (F.col("o_custkey") % 97).cast("string")).alias("psr"), F.element_at(F.array(*map(F.lit, NAMES)), (F.col("o_orderkey") % 20 + 1).cast("int")).alias("name"), (F.col("o_orderstatus") == "F").alias("x")).groupBy("psr", "name").agg(F.bool_and("x").alias("frozen"))
+    o = read(spark, sf_dir, "orders")
+    p = o.select(F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("psr"), F.element_at(F.array(*map(F.lit, NAMES)), (F.col("o_orderkey") % 20 + 1).cast("int")).alias("name"), (F.col("o_orderstatus") == "F").alias("x")).groupBy("psr", "name").agg(F.bool_and("x").alias("frozen"))
     models = p.select("psr").distinct().select("psr", F.element_at(F.array(*map(F.lit, MODELS)), (F.substring("psr", 2, 9).cast("int") % 5 + 1).cast("int")).alias("model"))
     return p, models
 
@@ -104,10 +104,10 @@ def astrometry_check(spark, sf_dir):
 RULES = "need(model, name) as (values " + ", ".join(f"('{m}', '{n}')" for m, (r, _, _) in P.BINARY_RULES.items() for n in r) + "), opt(model, name) as (values " + ", ".join(f"('{m}', '{n}')" for m, (_, o, _) in P.BINARY_RULES.items() for n in o) + "), pr(model, a, b) as (values " + ", ".join(f"('{m}', '{a}', '{b}')" for m, (*_, p) in P.BINARY_RULES.items() for a, b in p) + ")"
 
 
-@query(f"with {NAMED}, {RULES}, kn as (select * from md where model <> 'XYZ') select * from (select kn.psr, need.name, case when np.frozen is null then 'missing' when np.frozen then 'not fitted' end as problem from kn join need using (model) left join np on np.psr = kn.psr and np.name = need.name "
+@query(f"with {NAMED}, {RULES}, h as (select psr, bool_or(name = 'PB') as pb, bool_or(name = 'FB0') as fb from np group by psr), kn as (select md.psr, case when model = 'ELL1' and fb and not pb then 'ELL1 by FB0' else model end as model, pb, fb from md join h using (psr) where model <> 'XYZ') select * from (select kn.psr, need.name, case when np.frozen is null then 'missing' when np.frozen then 'not fitted' end as problem from kn join need using (model) left join np on np.psr = kn.psr and np.name = need.name "
        "union all select kn.psr, opt.name, case when np.frozen then 'not fitted' end from kn join opt using (model) join np on np.psr = kn.psr and np.name = opt.name) where problem is not null "
        "union all select psr, a || '+' || b, 'one of a pair' from (select kn.psr, a, b, count(*) as n from kn join pr using (model) join np on np.psr = kn.psr and np.name in (a, b) group by all) where n = 1 "
-       "union all select kn.psr, 'PB/FB0', 'not one of both' from kn left join np on np.psr = kn.psr and np.name in ('PB', 'FB0') group by kn.psr having count(np.name) <> 1 union all select psr, model, 'unknown model' from md where model = 'XYZ'")
+       "union all select psr, 'PB/FB0', 'not one of both' from kn where model like 'ELL1%' and model <> 'ELL1H' and pb = fb union all select psr, model, 'unknown model' from md where model = 'XYZ'")
 def binary_check(spark, sf_dir):
     return P.binary_check(*named(spark, sf_dir))
 
@@ -202,11 +202,15 @@ def config_result_files(spark, sf_dir):
     return audit.result_use(_configs(spark, sf_dir).select("config", "result"), read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("result")))
 
 
-@query(f"with {CFG}, s as (select distinct split_part(config, '.', 1) as source, split_part(config, '.', 2) as mode from c where c_custkey % 13 <> 0 and c_custkey < 100) select source, bool_or(mode = 'nb') and bool_or(mode = 'wb') as paired, min(mode) as mode from s group by source")
+MODES = "s as (select distinct 'S' || (c_custkey // 3)::varchar as source, case when c_nationkey % 2 = 0 then 'nb' else 'wb' end as mode from customer)"
+
+
+@query(f"with {MODES} select source, bool_or(mode = 'nb') and bool_or(mode = 'wb') as paired, min(mode) as mode from s group by source")
 def config_pairing(spark, sf_dir):
     from pulsewright.operators import audit
 
-    return audit.pairing(_configs(spark, sf_dir).filter("c_custkey % 13 <> 0 and c_custkey < 100").select("config"))
+    mode = F.when(F.col("c_nationkey") % 2 == 0, ".nb.yaml").otherwise(".wb.yaml")
+    return audit.pairing(read(spark, sf_dir, "customer").select(F.concat(F.lit("S"), F.expr("c_custkey div 3").cast("string"), mode).alias("config")))
 
 
 @query(f"with {CFG} select config, count(*) as n, case when count(*) = 0 then 'missing' when count(*) > 1 then 'multiple' else 'ok' end as state from c group by config having count(*) <> 1")

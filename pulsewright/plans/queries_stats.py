@@ -33,9 +33,9 @@ def weighted_mean_dm(spark, sf_dir):
     return stats.weighted_mean(toas(spark, sf_dir), ["psr"], "pp_dm", "pp_dme")
 
 
-@query(f"with {TOAS} select psr, f, count(distinct name) as files from toas where mjd < 49050 group by all having count(distinct name) <= 3")
+@query(f"with {TOAS} select psr, f, count(distinct name) as files from toas group by all having count(distinct name) <= 3")
 def orphaned_receivers(spark, sf_dir):
-    return stats.orphaned_receivers(toas(spark, sf_dir).filter("mjd < 49050"))
+    return stats.orphaned_receivers(toas(spark, sf_dir))
 
 
 @query(f"with {TOAS}, e as (select distinct psr, name, chan, subint from toas where snr < 20), n as (select psr, name, count(*) as n from toas group by all), b as (select t.psr, t.name, count(*) as bad from toas t semi join e using (psr, name, chan, subint) group by all) "

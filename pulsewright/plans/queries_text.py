@@ -28,6 +28,38 @@ def tim_round_trip(spark, sf_dir):
     return got.select(F.col("path").alias("psr"), F.col("line_no").alias("toa_id"), "name", "freq_mhz", "obs", *[F.col("flags")[c].alias(c) for c in ("fe", "be", "chan", "subint")])
 
 
+MJD_TXT = "(floor(mjd)::bigint)::varchar || '.' || lpad(((chan * 7919 + subint * 104729 + toa_id * 1299709) % 1000000000)::varchar, 9, '0') || lpad((toa_id % 1000000)::varchar, 6, '0')"
+
+
+@query(f"with {TOAS} select psr, toa_id, {MJD_TXT} as mjd_txt from toas")
+def tim_decimal_round_trip(spark, sf_dir):
+    """Times of 15 decimals come back digit for digit; no double holds them. The header isn't a row."""
+    digits = F.lpad(((F.col("chan") * 7919 + F.col("subint") * 104729 + F.col("toa_id") * 1299709) % 1000000000).cast("string"), 9, "0")
+    decimal = F.concat(F.floor("mjd").cast("string"), F.lit("."), digits, F.lpad((F.col("toa_id") % 1000000).cast("string"), 6, "0"))
+    t = _flagged(spark, sf_dir).withColumns({"cut": F.lit(None).cast("string"), "mjd_txt": decimal.cast("decimal(20,15)")})
+    lines = text.tim_lines(t).select(F.col("psr").alias("path"), F.col("toa_id").alias("line_no"), "value")
+    return text.parse_tim(lines).select(F.col("path").alias("psr"), F.col("line_no").alias("toa_id"), F.col("mjd_txt").cast("string").alias("mjd_txt"))
+
+
+@query("select p_partkey, 'PSR' || (p_partkey % 50)::varchar || '_PINT_' || strftime(date '2020-01-01' + (p_partkey % 700)::int, '%Y%m%d') || '.' || case when p_size % 2 = 0 then 'nb' else 'wb' end || '.par' as file from part")
+def output_names(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") % 700).cast("int"))
+    source = F.concat(F.lit("PSR"), (F.col("p_partkey") % 50).cast("string"))
+    return p.select("p_partkey", text.output_name(source, F.when(F.col("p_size") % 2 == 0, "NB").otherwise("WB"), day, "PINT", "par").alias("file"))
+
+
+@query("select 'PSR' || (p_partkey % 50)::varchar as psr, p_partkey as ord, p_type as name, case when p_size % 3 = 0 then '-f' end as mask_key, case when p_size % 3 = 0 then p_brand end as mask_value, p_retailprice as value, p_size % 2 = 0 as fit, case when p_size % 2 = 0 then p_size / 8.0::double end as uncertainty from (select p_partkey, replace(p_type, ' ', '_') as p_type, p_brand, p_retailprice, p_size from part)")
+def par_write_round_trip(spark, sf_dir):
+    masked, fit = F.col("p_size") % 3 == 0, F.col("p_size") % 2 == 0
+    p = read(spark, sf_dir, "part").select(
+        F.concat(F.lit("PSR"), (F.col("p_partkey") % 50).cast("string")).alias("psr"), F.col("p_partkey").alias("ord"), F.translate("p_type", " ", "_").alias("name"), F.when(masked, "-f").alias("mask_key"),
+        F.when(masked, F.col("p_brand")).alias("mask_value"), F.col("p_retailprice").alias("value"), fit.alias("fit"), F.when(fit, F.col("p_size") / F.lit(8.0)).alias("uncertainty"),
+    )
+    got = text.parse_par(_lines(p, text.par_line(fortran=True), number="ord"))
+    return got.select(F.col("path").alias("psr"), F.col("line_no").alias("ord"), "name", "mask_key", "mask_value", "value", "fit", "uncertainty")
+
+
 @query(f"with {TOAS} select psr, row_number() over (partition by psr order by name, toa_id) - 1 as toa_id, name from toas")
 def tim_renumber(spark, sf_dir):
     t = toas(spark, sf_dir).withColumn("path", F.col("name")).withColumn("line_no", F.col("toa_id")).drop("toa_id")

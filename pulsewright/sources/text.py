@@ -17,24 +17,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
-def _flags(tokens: Column) -> Column:
-    """Map of -key value pairs; the last one of a repeated key counts."""
-    keys = F.transform(F.filter(tokens, lambda _, i: i % 2 == 0), lambda t: F.regexp_replace(t, "^-", ""))
-    values = F.filter(tokens, lambda _, i: i % 2 == 1)
-    last = lambda k: F.element_at(F.reverse(values), F.array_position(F.reverse(F.slice(keys, 1, F.size(values))), k).cast("int"))
-    names = F.array_distinct(F.slice(keys, F.lit(1), F.size(values)))
-    return F.map_from_arrays(names, F.transform(names, last))
+def _flags(first: int) -> Column:
+    """Map of the -key value pairs in tokens ``t`` from ``first`` on; the last one of a repeated key counts."""
+    token = lambda k: F.get("t", k)
+    key = lambda i: F.when(token(first + 2 * i).startswith("-"), F.substring(token(first + 2 * i), 2, 1_000_000)).otherwise(token(first + 2 * i))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    put = lambda known, i: F.map_concat(F.map_filter(known, lambda k, _: k != key(i)), F.create_map(key(i), token(first + 2 * i + 1)))
+    return F.aggregate(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("t") - first) / 2).cast("int"))), lambda i: first + 2 * i + 1 < F.size("t")), none, put)
 
 
 def parse_tim(lines: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """One row for each arrival time: name, freq_mhz, mjd as text and double, err_us, obs, flags. Header and comment lines are none."""
     body = lines.withColumn("value", F.trim("value")).filter("value <> ''").filter(~F.col("value").rlike(r"^(FORMAT|MODE|INCLUDE|TIME|C |#|C$)"))
     t = F.split("value", SPACE)
-    number = lambda k: F.expr(f"try_cast(t[{k}] as double)")
+    number = lambda k: F.expr(f"try_cast(get(t, {k}) as double)")
     out = body.withColumn("t", t).filter(F.size("t") >= 5)
     return out.select(
-        "path", "line_no", *(extra or []), F.col("t")[0].alias("name"), number(1).alias("freq_mhz"), F.expr("try_cast(t[2] as decimal(20,15))").alias("mjd_txt"),
-        number(2).alias("mjd"), number(3).alias("err_us"), F.col("t")[4].alias("obs"), _flags(F.slice("t", F.lit(6), F.greatest(F.size("t") - 5, F.lit(0)))).alias("flags"),
+        "path", "line_no", *(extra or []), F.get("t", F.lit(0)).alias("name"), number(1).alias("freq_mhz"), F.expr("try_cast(get(t, 2) as decimal(20,15))").alias("mjd_txt"),
+        number(2).alias("mjd"), number(3).alias("err_us"), F.get("t", F.lit(4)).alias("obs"), _flags(5).alias("flags"),
     )
 
 
@@ -54,18 +54,47 @@ def uncomment(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fixed, lines.groupBy("path").agg(F.count_if(is_toa).alias("restored"))
 
 
-def tim_line(cut_as_comment: bool = True) -> Column:
-    """An arrival time as text, from name, freq_mhz, mjd, err_us, obs, flags and cut."""
+def tim_line(cut_as_comment: bool = True, exact: bool = False) -> Column:
+    """An arrival time as text, from name, freq_mhz, mjd, err_us, obs, flags and cut.
+
+    ``exact`` writes mjd_txt, the time as it was read, digit for digit; a double holds fewer digits.
+    """
     flags = F.array_join(F.transform(F.array_sort(F.map_entries("flags")), lambda e: F.concat(F.lit("-"), e["key"], F.lit(" "), e["value"])), " ")
-    line = F.concat_ws(" ", "name", F.format_string("%.6f", "freq_mhz"), F.format_string("%.15f", "mjd"), F.format_string("%.3f", "err_us"), "obs", F.when(flags != "", flags))
+    mjd = F.coalesce(F.col("mjd_txt").cast("string"), F.format_string("%.15f", "mjd")) if exact else F.format_string("%.15f", "mjd")
+    line = F.concat_ws(" ", "name", F.format_string("%.6f", "freq_mhz"), mjd, F.format_string("%.3f", "err_us"), "obs", F.when(flags != "", flags))
     if cut_as_comment:
         return F.when(F.col("cut").isNotNull(), F.concat(F.lit("C "), line, F.lit(" -cut "), F.col("cut"))).otherwise(line)
     return F.concat_ws(" ", line, F.when(F.col("cut").isNotNull(), F.concat(F.lit("-cut "), F.col("cut"))))
 
 
-def write_tim(toas: DataFrame, path: str) -> None:
-    """One folder for each source; lines in order within it."""
-    out = toas.select("psr", "toa_id", tim_line().alias("value")).repartition("psr").sortWithinPartitions("psr", "toa_id")
+def tim_lines(toas: DataFrame, cut_as_comment: bool = True) -> DataFrame:
+    """(psr, toa_id, value) of each source's file: its format in line -1, then the rows in order. A null ``toa_id`` isn't allowed."""
+    rows = toas.select("psr", F.col("toa_id").cast("long").alias("toa_id"), tim_line(cut_as_comment, "mjd_txt" in toas.columns).alias("value"))
+    return rows.union(toas.select("psr").distinct().select("psr", F.lit(-1).cast("long"), F.lit("FORMAT 1")))
+
+
+def write_tim(toas: DataFrame, path: str, cut_as_comment: bool = True) -> None:
+    """One folder for each source; lines in order within it, the format first."""
+    out = tim_lines(toas, cut_as_comment).repartition("psr").sortWithinPartitions("psr", "toa_id")
+    out.select("psr", "value").write.partitionBy("psr").mode("overwrite").text(path)
+
+
+def output_name(source: Column, mode: Column, day: Column, what: str, ending: str, added: str = "") -> Column:
+    """``{source}_{what}_{yyyymmdd}{added}.{mode}.{ending}``, as results are named; mode in small letters."""
+    return F.concat(source, F.lit(f"_{what}_"), F.date_format(day, "yyyyMMdd"), F.lit(f"{added}."), F.lower(mode), F.lit(f".{ending}"))
+
+
+def par_line(fortran: bool = False) -> Column:
+    """A parameter as text, from name, mask_key, mask_value, value, fit and uncertainty (the last two may be null)."""
+    number = lambda c: F.regexp_replace(F.format_string("%.15e", c), "e", "D") if fortran else F.format_string("%.15e", c)
+    fitted = F.coalesce(F.col("fit"), F.lit(False))
+    mask = F.when(F.col("mask_key").isNotNull(), F.concat_ws(" ", "mask_key", "mask_value"))
+    return F.concat_ws(" ", "name", mask, number("value"), F.when(fitted | F.col("uncertainty").isNotNull(), F.when(fitted, "1").otherwise("0")), F.when(F.col("uncertainty").isNotNull(), number("uncertainty")))
+
+
+def write_par(params: DataFrame, path: str, fortran: bool = False) -> None:
+    """One folder for each source, its parameters (psr, ord, name, mask_key, mask_value, value, fit, uncertainty) in order."""
+    out = params.select("psr", "ord", par_line(fortran).alias("value")).repartition("psr").sortWithinPartitions("psr", "ord")
     out.select("psr", "value").write.partitionBy("psr").mode("overwrite").text(path)
 
 

@@ -74,6 +74,46 @@ def test_leave_one_out_is_a_refit_without_the_file(spark):
             assert r.drop == (r.ftest is not None and r.ftest < 1e-6) and (full[0] > chi2 or not r.drop)
 
 
+def test_leave_one_out_with_a_column_for_each_bin(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for p in "AB":
+        for f in range(9):
+            for _ in range(rng.integers(2, 7)):
+                ord_ = int(rng.integers(0, 4)) if f != 4 else 7  # file 4 alone has bin 7
+                t, u = rng.normal(), rng.uniform(0.5, 2)
+                rows.append((p, ord_, f"f{f}", float(2 + t + ord_ * u + rng.normal()), float(rng.uniform(0.5, 2)), float(u), 1.0, float(t)))
+    d = spark.createDataFrame(rows, "psr string, ord int, name string, y double, w double, u double, a double, b double")
+    per_file, total = ftests.binned_grams(d, ["a", "b"])
+    got = {(r.psr, r.name): r for r in ftests.leave_one_out(per_file, 2, 1e-6, total).collect()}
+    for p in "AB":
+        for f in range(9):
+            left = [r for r in rows if r[0] == p and r[2] != f"f{f}"]
+            known = sorted({r[1] for r in left})
+            x = np.array([[r[6], r[7], *(r[5] * (r[1] == o) for o in known)] for r in left])
+            chi2, dof, _ = refit(x, np.array([r[3] for r in left]), np.array([r[4] for r in left]))
+            r = got[p, f"f{f}"]
+            assert abs(r.chi2 - chi2) < 1e-7 * max(1, chi2) and r.dof == dof
+            assert r.n_removed == sum(q[0] == p and q[2] == f"f{f}" for q in rows)
+
+
+def test_expansion_by_stretches_is_one_pass_over_each_source(spark):
+    from pulsewright.functions.kernels import expand_bins, greedy_bins
+
+    rng = np.random.default_rng(5)
+    own = [("P", float(50000 + 40 * k + rng.uniform(0, 20)), k) for k in range(12)]
+    b = spark.createDataFrame([("P", k, m, m + 3.0) for _, m, k in own] + [("Q", 1, 50000.0, 50001.0)], "psr string, ord long, low double, high double")
+    times = [("P", "ao", k, float(m)) for k, m in enumerate(rng.uniform(49990, 50490, 300))] + [("R", "gbt", k, 50000.0 + k) for k in range(20)]
+    t = spark.createDataFrame(times, "psr string, obs string, toa_id long, mjd double")
+    got = sorted((r.psr, r.low, r.high) for r in bins.expand(t, b, 6.5, 0.05, add_new=True).collect())
+    start = np.array([[m, m + 3.0] for _, m, _ in own])
+    free = np.array([m for p, _, _, m in times if p == "P" and not ((start[:, 0] < m) & (m < start[:, 1])).any()])
+    grown, left = expand_bins(start, free, 6.5, 0.05)
+    want = [("P", *x) for x in [*grown.tolist(), *greedy_bins(np.sort(left), 6.5, 0.05).tolist()]] + [("Q", 50000.0, 50001.0)]
+    want += [("R", *x) for x in greedy_bins(50000.0 + np.arange(20.0), 6.5, 0.05).tolist()]
+    assert got == sorted(tuple(x) for x in want)
+
+
 def test_f_test_gives_nothing_when_not_better(spark):
     df = spark.createDataFrame([(10.0, 9.0, 5.0, 8.0), (5.0, 9.0, 10.0, 8.0), (10.0, 8.0, 5.0, 8.0)], "a double, n double, b double, m double")
     got = [r.p for r in df.select(ftests.f_test(F.col("a"), F.col("n"), F.col("b"), F.col("m")).alias("p")).collect()]

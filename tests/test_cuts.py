@@ -51,11 +51,11 @@ def test_bad_entries(spark):
 
 def test_large_residuals(spark):
     t = frame(spark, {"resid_us": 5.0}, {"resid_us": 5.0, "err_us": 4.0}, {"err_us": 9.0}, {"dm_resid": 3.0}, {"dm_resid": 3.0, "be": "GASP"})
-    flags = lambda **k: [r.x for r in t.select("toa_id", cuts.large_residuals(t, **k).alias("x")).orderBy("toa_id").collect()]
+    flags = lambda **k: [r.x for r in t.select("toa_id", cuts.large_residuals(**k).alias("x")).orderBy("toa_id").collect()]
     assert flags(us=4.0, n_sigma=3.0, max_sigma=8.0) == [True, False, True, False, False]
     assert flags(dm=2.0) == [False, False, False, True, False]
     with pytest.raises(ValueError):
-        cuts.large_residuals(t)
+        cuts.large_residuals()
 
 
 def test_sessions_split_only_above_the_gap(spark):
@@ -68,3 +68,12 @@ def test_jumps(spark):
     j = spark.createDataFrame([("P", "A")], "psr string, fe string")
     assert [(x.psr, x.mask_value) for x in params.missing_jumps(r, j).collect()] == [("P", "B")]
     assert {(x.psr, x.mask_value) for x in params.missing_jumps(r, j, all_need=True).collect()} == {("P", "B"), ("P", "C"), ("Q", "A")}
+
+
+def test_large_residuals_hold_both_kinds_to_the_same_rules(spark):
+    rows = [(0, 5.0, 1.0, 0.0, 0.001, "GUPPI"), (1, 5.0, 2.0, 0.0, 0.001, "GUPPI"), (2, 0.0, 9.0, 0.0, 0.001, "GUPPI"), (3, 0.0, 1.0, 0.5, 0.1, "GUPPI"), (4, 0.0, 1.0, 0.5, 0.2, "GUPPI"), (5, 0.0, 1.0, 0.0, 9.0, "GUPPI"), (6, 0.0, 1.0, 0.5, 0.1, "GASP"), (7, 0.0, 1.0, None, None, "GUPPI")]
+    t = spark.createDataFrame(rows, "id int, resid_us double, err_us double, dm_resid double, dm_err double, be string")
+    got = lambda **k: [r.id for r in t.filter(cuts.large_residuals(**k)).orderBy("id").collect()]
+    assert got(us=4.0) == [0, 1] and got(us=4.0, n_sigma=3.0) == [0] and got(us=4.0, n_sigma=3.0, max_sigma=8.0) == [0, 2]
+    assert got(dm=0.4) == [3, 4] and got(dm=0.4, n_sigma=3.0) == [3] and got(dm=0.4, n_sigma=3.0, max_sigma=8.0) == [3, 5]
+    assert got(us=4.0, dm=0.4, asp_dms=True) == [0, 1, 3, 4, 6]

@@ -50,6 +50,31 @@ def test_expand_bins():
     assert again[0, 1] == pytest.approx(12.15) and not len(left)
 
 
+def by_looking_at_all_edges(bins, times, width, pad):
+    """The rule as it is stated: the closest edge of all decides, the first of equal ones."""
+    bins, none = sorted([list(b) for b in bins]), []
+    for t in times:
+        d, k, side = min((abs(t - e), k, side) for k, b in enumerate(bins) for side, e in enumerate(b))
+        if bins[k][0] < t < bins[k][1]:
+            continue
+        if bins[k][1] - bins[k][0] + d < width:
+            bins[k][side] += (d + pad + 1e-11) * (1 if side else -1)
+        else:
+            none.append(t)
+    return bins, none
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_expand_bins_asks_the_closest_edge(seed):
+    rng = np.random.default_rng(seed)
+    low = 50000 + np.sort(rng.choice(300, 15, replace=False)).astype(float)
+    bins = np.stack([low, low + rng.uniform(0.2, 8, 15)], axis=1)  # some overlap
+    times = np.round(50000 + rng.uniform(-20, 320, 150), int(rng.integers(0, 4)))
+    got, left = kernels.expand_bins(bins, times, 7.0, 0.05)
+    want, none = by_looking_at_all_edges(bins, times.tolist(), 7.0, 0.05)
+    assert np.abs(got - np.array(want)).max() < 1e-9 and left.tolist() == none
+
+
 def test_tails_at_known_values():
     assert kernels.f_sf(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-5)
     assert kernels.f_sf(3.3258, 5, 10) == pytest.approx(0.05, abs=1e-5)
