@@ -30,7 +30,7 @@ LEAST_BITS = 8.0
 #: Words that are at least this share of the training tokens go to every task: at most 1 / HEAD_SHARE of them.
 HEAD_SHARE, HEAD_BYTES = 1e-6, 64
 #: Grams that are at least this share of all places go to every task: at most 1 / GRAM_SHARE of them, 16 bytes each.
-GRAM_SHARE = 5e-7
+GRAM_SHARE = 2e-7
 STRETCH = 512
 LN10 = np.log(10)
 
@@ -292,14 +292,15 @@ def score_texts(docs: DataFrame, fold: int = 7, held: int = 2, least_bits: float
             for text in texts:
                 tokens = words_of(text)
                 sequences.append(b" ".join(tokens) + b"\n")
-                found = [logs.get(w) for w in tokens]
-                rest = Counter([w for w, x in zip(tokens, found, strict=True) if x is None]) if None in found else {}
+                found = list(map(logs.get, tokens))
+                known = [x for x in found if x is not None]
+                rest = Counter([w for w, x in zip(tokens, found, strict=True) if x is None]) if len(known) < len(found) else {}
                 rare += rest
                 times += rest.values()
                 bounds.append(len(rare))
                 n_tokens.append(len(tokens) + 1)
-                n_known.append(len(tokens) - sum(rest.values()) + has_end)
-                sums.append(sum([x for x in found if x is not None]) + end)
+                n_known.append(len(known) + has_end)
+                sums.append(sum(known) + end)
             score, others = sum_known(sequences, known_codes, known_logs)
             words_left = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
             row = pa.array((part << 40) + at + np.arange(len(ids)))
