@@ -17,6 +17,8 @@ from pulsewright.operators.cuts import first_reason, reason
 from pulsewright.operators.settle import settled
 
 BUCKET = 16.0
+#: The most widths that windows of events may ask for; each is a pass of its own.
+WIDTHS = 20
 
 
 def inside(strict: bool = True) -> Column:
@@ -66,6 +68,13 @@ def passing(found: DataFrame, ratio: float = 1.1, wideband: bool = False) -> Dat
     return frequencies(found, wideband).filter(F.col("high_freq") / F.col("low_freq") >= ratio)
 
 
+def ratio_rows(toas: DataFrame, bins: DataFrame, ratio: float = 1.1, strict: bool = True, wideband: bool = False, invert: bool = False) -> DataFrame:
+    """Rows that a passing bin covers, or with ``invert`` those that none does."""
+    found = members(toas, bins, strict)
+    good = found.join(passing(found, ratio, wideband).select("psr", "ord"), ["psr", "ord"], "left_semi").select("psr", "toa_id").distinct()
+    return toas.join(good, ["psr", "toa_id"], "left_anti" if invert else "left_semi")
+
+
 def ratio_cut(toas: DataFrame, bins: DataFrame, ratio: float = 1.1) -> DataFrame:
     """``cut`` with dmx for uncut rows that no passing bin covers."""
     found = members(toas.filter("cut is null"), bins)
@@ -79,16 +88,23 @@ def epochs(found: DataFrame, weighted: bool = True, digits: int = 9) -> DataFram
     return found.groupBy("psr", "ord").agg(F.round(F.sum(w * F.col("mjd")) / F.sum(w), digits).alias("epoch"), F.count(F.lit(1)).alias("n"))
 
 
-def table(toas: DataFrame, bins: DataFrame, values: DataFrame | None = None, start: int = 1) -> DataFrame:
-    """Bin parameters: index by the bins' order, value and error (zero if none given), epoch, edges and frequencies."""
+def table(toas: DataFrame, bins: DataFrame, values: DataFrame | None = None, start: int = 1, digits: int = 9, member_ids: bool = False) -> DataFrame:
+    """Bin parameters: index by the bins' order, value and error (zero if none given), epoch, edges and frequencies.
+
+    ``member_ids`` adds the ids of the rows in each bin.
+    """
     found = members(toas, bins)
-    out = bins.join(epochs(found), ["psr", "ord"], "left").join(frequencies(found), ["psr", "ord"], "left")
+    out = bins.join(epochs(found, digits=digits), ["psr", "ord"], "left").join(frequencies(found), ["psr", "ord"], "left")
     if values is not None:
         out = out.join(values.select("psr", "ord", "val", "err"), ["psr", "ord"], "left")
     else:
         out = out.withColumn("val", F.lit(0.0)).withColumn("err", F.lit(0.0))
     idx = F.row_number().over(Window.partitionBy("psr").orderBy("ord")) + F.lit(start - 1)
-    return out.select("psr", idx.cast("long").alias("idx"), F.coalesce("val", F.lit(0.0)).alias("val"), F.coalesce("err", F.lit(0.0)).alias("err"), "epoch", F.col("low").alias("r1"), F.col("high").alias("r2"), F.coalesce("low_freq", F.lit(float("inf"))).alias("f1"), F.coalesce("high_freq", F.lit(0.0)).alias("f2"))
+    ids = []
+    if member_ids:
+        out = out.join(found.groupBy("psr", "ord").agg(F.sort_array(F.collect_list("toa_id")).alias("members")), ["psr", "ord"], "left")
+        ids = [F.coalesce("members", F.array().cast("array<long>")).alias("members")]
+    return out.select("psr", idx.cast("long").alias("idx"), F.coalesce("val", F.lit(0.0)).alias("val"), F.coalesce("err", F.lit(0.0)).alias("err"), "epoch", F.col("low").alias("r1"), F.col("high").alias("r2"), F.coalesce("low_freq", F.lit(float("inf"))).alias("f1"), F.coalesce("high_freq", F.lit(0.0)).alias("f2"), *ids)
 
 
 def _sessions(times: DataFrame, gap: float) -> DataFrame:
@@ -200,6 +216,21 @@ def event_bins(bins: DataFrame, events: DataFrame) -> DataFrame:
     return bins.join(events, "psr").filter(edge("low") | edge("high")).select("psr", "ord").distinct()
 
 
+def rebin_events(toas: DataFrame, bins: DataFrame, events: DataFrame, pad: float = 0.0) -> DataFrame:
+    """Bins with those at event windows (psr, from_mjd, to_mjd, width) made anew, of each window's own width."""
+    hit = lambda c: (F.col("from_mjd") < F.col(c)) & (F.col(c) < F.col("to_mjd"))
+    met = bins.join(events, "psr").filter(hit("low") | hit("high")).groupBy("psr", "ord").agg(F.min("width").alias("width"))
+    bad = settled(met)
+    widths = [r.width for r in events.select("width").distinct().orderBy("width").limit(WIDTHS + 1).collect()]
+    if len(widths) > WIDTHS:
+        raise ValueError(f"more than {WIDTHS} widths of bins")
+    out = bins.join(bad, ["psr", "ord"], "left_anti").select("psr", "low", "high")
+    for width in widths:
+        loose = members(toas, bins.join(bad.filter(F.col("width") == width).select("psr", "ord"), ["psr", "ord"], "left_semi"))
+        out = out.union(greedy(loose, width, pad).select("psr", "low", "high"))
+    return numbered(out)
+
+
 def _nearest(points: DataFrame, marks: DataFrame) -> DataFrame:
     """Each point (psr, mjd) with the struct ``near`` (d, tie, mark) of the mark (psr, at, tie, mark) closest in time; the least tie first.
 

@@ -64,6 +64,18 @@ def bad_files(toas: DataFrame, entries: DataFrame) -> DataFrame:
     return full.select("psr", "pattern", "files", F.when(one, F.col("name")).alias("name"), F.when(~one, "not one file").when(F.col("n_toas") == F.col("n_cut"), "redundant").otherwise("cut").alias("status"))
 
 
+def cut_bad_files(toas: DataFrame, entries: DataFrame) -> DataFrame:
+    """``cut`` with badfile for the uncut rows of files that an entry names and no other file shares."""
+    hit = bad_files(toas, entries).filter("files = 1").select("psr", "name")
+    return apply_rules(listed(toas, hit, ["psr", "name"], "is_bad_file"), [reason(F.col("is_bad_file"), "badfile")]).drop("is_bad_file")
+
+
+def cut_bad_toas(toas: DataFrame, entries: DataFrame, keys: tuple[str, ...] = ("name", "chan", "subint"), as_reason: str = "badtoa") -> DataFrame:
+    """``cut`` for the first row that each entry matches, where it isn't cut already."""
+    hit = bad_toas(toas, entries, keys).filter("status = 'badtoa'").select("psr", "toa_id")
+    return apply_rules(listed(toas, hit, ["psr", "toa_id"], "is_bad_toa"), [reason(F.col("is_bad_toa"), as_reason)]).drop("is_bad_toa")
+
+
 def bad_toas(toas: DataFrame, entries: DataFrame, keys: tuple[str, ...] = ("name", "chan", "subint")) -> DataFrame:
     """For each entry (psr, *keys) the first matching row by toa_id, or null; whether it is cut already."""
     on = ["psr", *keys]
@@ -102,6 +114,47 @@ def stages(toas: DataFrame, plan: list[tuple[str, list[Column]]]) -> DataFrame:
     return toas.withColumn("cut", first_reason(*[r for _, r in found])).withColumn("cut_stage", stage)
 
 
+def stage_counts(toas: DataFrame, order: list[str]) -> DataFrame:
+    """(psr, stage, before, removed) of every source and stage: rows there were before the stage, and those it removed."""
+    n = toas.groupBy("psr", "cut_stage").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("psr").agg(F.sum("n").alias("total"))
+    steps = total.select("psr", "total", F.posexplode(F.array(*map(F.lit, order))).alias("k", "stage"))
+    met = steps.join(n.withColumnRenamed("cut_stage", "stage"), ["psr", "stage"], "left").withColumn("removed", F.coalesce("n", F.lit(0)))
+    earlier = F.coalesce(F.sum("removed").over(Window.partitionBy("psr").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return met.select("psr", "stage", (F.col("total") - earlier).alias("before"), "removed")
+
+
+#: Backends in the names of receiver-backends.
+BACKENDS = ("GUPPI", "GASP", "PUPPI", "ASP", "YUPPI")
+
+
+def receiver_of(febe: Column | str, backends: tuple[str, ...] = BACKENDS) -> Column:
+    """The receiver in the name of a receiver-backend."""
+    return F.regexp_replace(febe, "_(" + "|".join(backends) + ")", "")
+
+
+def bad_oscillator(toas: DataFrame, site: str = "arecibo", start: float = 57984.0, end: float = 58447.0) -> DataFrame:
+    """(psr, bad_lo): has the source a row of the site while its local oscillator was off?"""
+    return toas.groupBy("psr").agg(F.coalesce(F.bool_or((F.col("obs") == site) & (F.col("mjd") > start) & (F.col("mjd") < end)), F.lit(False)).alias("bad_lo"))
+
+
+def residual_series(toas: DataFrame, labels: list[str] | None = None, columns: tuple[str, ...] = ("mjd", "freq_mhz", "resid_us", "err_us")) -> DataFrame:
+    """(psr, columns, cut) with 'good' for rows that aren't cut; only some labels if asked."""
+    out = toas.select("psr", *columns, F.coalesce("cut", F.lit("good")).alias("cut"))
+    return out if labels is None else out.filter(F.col("cut").isin(*labels))
+
+
+def files_with(toas: DataFrame, reason_: str) -> DataFrame:
+    """(psr, name) of files with a row that was cut for this reason."""
+    return toas.filter(F.col("cut") == reason_).select("psr", "name").distinct()
+
+
+def excised(toas: DataFrame, reasons: list[str], archives: DataFrame | None = None) -> DataFrame:
+    """(psr, cut, name, chan, subint) of rows cut for one of some reasons; with ``archives`` also the ``path`` of each archive of that file name, null if none."""
+    out = toas.filter(F.col("cut").isin(*reasons)).select("psr", "cut", "name", "chan", "subint")
+    return out if archives is None else out.join(archives.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path"), "name", "left")
+
+
 def _off(value: str, error: str, most: float | None, n_sigma: float | None, max_sigma: float | None) -> Column:
     """Far off and, if asked, by enough errors; or known too badly. Nothing is off without a threshold."""
     if most is None:

@@ -6,6 +6,8 @@ out is a subtraction and a small solve.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,19 +43,20 @@ def reduced_chi2(df: DataFrame) -> DataFrame:
 
 
 def report_lines(tests: DataFrame, alpha: float = 0.0027) -> DataFrame:
-    """One line for each test: *** significant, -- not, xxx not better or failed."""
-    mark = F.when(F.col("ft").isNull(), "xxx").when(F.col("ft") < alpha, "***").otherwise("--")
-    return tests.select("psr", "label", F.format_string("%-12s %12.4f %5d %s", F.col("label"), F.col("chi2"), F.col("dof").cast("int"), mark).alias("line"), mark.alias("mark"))
+    """One line for each test: *** significant, -- not, xxx not better, and NaN for a fit that failed (no chi-squared)."""
+    mark = F.when(F.col("chi2").isNull(), "NaN").when(F.col("ft").isNull(), "xxx").when(F.col("ft") < alpha, "***").otherwise("--")
+    chi2, dof = F.coalesce("chi2", F.lit(float("nan"))), F.coalesce("dof", F.lit(0)).cast("int")
+    return tests.select("psr", "label", F.format_string("%-12s %12.4f %5d %s", F.col("label"), chi2, dof, mark).alias("line"), mark.alias("mark"))
 
 
 def recommend(tests: DataFrame, alpha: float = 0.0027) -> DataFrame:
-    """(psr, action, label): remove what isn't significant, but never the parallax; add what is; of FD terms the best one."""
+    """(psr, action, label): remove what isn't significant, but never the parallax; add what is, but never spin derivatives; of FD terms only that with the least value either way."""
     p = F.col("ft")
-    remove = tests.filter((F.col("action") == "remove") & (p > alpha) & (F.col("label") != "PX")).select("psr", "action", "label")
-    add = tests.filter((F.col("action") == "add") & (p <= alpha) & (p > 0) & ~F.col("label").rlike(r"^F\d+$"))
-    plain = add.filter("family <> 'FD'").select("psr", "action", "label")
-    fd = add.filter("family = 'FD'").groupBy("psr", "action").agg(F.min_by("label", F.struct("ft", "ord")).alias("label"))
-    return remove.union(plain).union(fd)
+    remove = (F.col("action") == "remove") & (p > alpha) & (F.col("label") != "PX")
+    add = (F.col("action") == "add") & (p <= alpha) & (p > 0) & ~F.col("label").rlike(r"^F\d+$")
+    said = tests.filter(remove | add)
+    fd = said.filter("family = 'FD'").groupBy("psr", "action").agg(F.min_by("label", F.struct("ft", "ord")).alias("label"))
+    return said.filter("family <> 'FD'").select("psr", "action", "label").union(fd)
 
 
 #: Parameters tested for each family of binary models, joint tests and series.
@@ -82,6 +85,23 @@ def candidates(models: DataFrame, params: DataFrame, fd: int = 5) -> DataFrame:
     return binary.union(up).union(down)
 
 
+def other_candidates(models: DataFrame, params: DataFrame, fb: int = 5) -> DataFrame:
+    """(psr, action, label) of tests beside those of a binary model's own parameters (``candidates``).
+
+    F2 is always tried, PX tried without unless the model is DDK; an ELL1 model with FB terms is fitted without all but
+    the first i of them (FBi+), and with more up to FBi, ``fb`` at most.
+    """
+    m = models.select("psr", "model").distinct()
+    fixed = m.select("psr", F.inline(F.array(F.struct(F.lit("add").alias("action"), F.lit("F2").alias("label")))))
+    px = m.filter("model is null or model <> 'DDK'").select("psr", F.lit("remove").alias("action"), F.lit("PX").alias("label"))
+    n = params.filter(F.col("name").rlike(r"^FB\d+$")).groupBy("psr").agg(F.count_distinct("name").cast("int").alias("n"))
+    series = m.filter("model = 'ELL1'").join(n, "psr")
+    steps = lambda lo, hi: F.explode(F.expr(f"if({lo} > {hi}, array(), sequence({lo}, {hi}))")).alias("k")
+    down = series.select("psr", steps("1", "n - 1")).select("psr", F.lit("remove"), F.concat(F.lit("FB"), F.col("k").cast("string"), F.lit("+")))
+    up = series.select("psr", steps("n", str(fb))).select("psr", F.lit("add"), F.concat(F.lit("FB"), F.col("k").cast("string")))
+    return fixed.union(px).union(down).union(up)
+
+
 def grams(rows: DataFrame, keys: list[str], columns: list[str], y: str = "y", w: str = "w") -> DataFrame:
     """Sums of products of the design columns and y under weights, for each key: arrays xx (upper triangle), xy, and yy, n."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
@@ -131,6 +151,32 @@ def fit(total: DataFrame, use: list[int] | None = None) -> DataFrame:
     return total.select("psr", "xx", "xy", "yy", "n").mapInPandas(run, "psr string, chi2 double, dof long, beta array<double>")
 
 
+def uncertainties(total: DataFrame, use: list[int] | None = None) -> DataFrame:
+    """(psr, sigma): each parameter's error from the inverse of the weighted products; zero for a column without content."""
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                p = len(pdf["xy"].iloc[0])
+                full = np.zeros((len(pdf), p, p))
+                i, j = np.triu_indices(p)
+                full[:, i, j] = full[:, j, i] = _stack(pdf["xx"])
+                chosen = list(range(p)) if use is None else use
+                a = full[:, chosen][:, :, chosen]
+                scale = np.sqrt(np.maximum(0.0, np.einsum("kii->ki", a)))
+                scale = np.where(scale > 0, scale, 1.0)
+                inverse = np.linalg.pinv(a / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True)
+                yield pd.DataFrame({"psr": pdf["psr"], "sigma": list(np.sqrt(np.maximum(0.0, np.einsum("kii->ki", inverse))) / scale)})
+
+    return total.select("psr", "xx", "xy").mapInPandas(run, "psr string, sigma array<double>")
+
+
+def post_fit(rows: DataFrame, fits: DataFrame, columns: list[str], y: str = "y") -> DataFrame:
+    """``rows`` with ``post``: what the fit (psr, beta) of the columns leaves of y."""
+    terms = [F.col("beta")[k] * F.col(c) for k, c in enumerate(columns)]
+    return rows.join(fits.select("psr", "beta"), "psr").withColumn("post", F.col(y) - reduce(Column.__add__, terms)).drop("beta")
+
+
 def binned_grams(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(what each file adds, each source's total) to the sums of a fit in which every bin has a column of its own.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsewright.functions.scalar import red_noise_amplitude
+
 
 def after_burn(chains: DataFrame, burn: float = 0.25) -> DataFrame:
     """Samples from the burn-in share on, in sample order."""
@@ -45,12 +47,14 @@ def histograms(chains: DataFrame, bins: int = 20) -> DataFrame:
     return x.join(ends, ["chain", "pos"]).select("chain", "pos", F.when(F.col("hi") > F.col("lo"), k).otherwise(0).cast("int").alias("bin")).groupBy("chain", "pos", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pair_histograms(chains: DataFrame, pairs: list[tuple[int, int]] | None = None, bins: int = 80) -> DataFrame:
+def pair_histograms(chains: DataFrame, pairs: list[tuple[int, int]] | None = None, bins: int = 80, want: Column | None = None) -> DataFrame:
     """(chain, i, j, bi, bj, n) of pairs of parameters, taken from the arrays by place; no self-join.
 
-    Without ``pairs`` every parameter is paired with the next one.
+    Without ``pairs`` every parameter is paired with the next one; ``want`` is a column of pairs (i, j) for each row.
     """
-    if pairs is None:
+    if want is not None:
+        pass
+    elif pairs is None:
         want = F.transform(F.sequence(F.lit(0), F.size("vals") - 2), lambda i: F.struct(i.alias("i"), (i + 1).alias("j")))
     else:
         want = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
@@ -74,6 +78,59 @@ def parse_names(params: DataFrame, mode: str = "nb") -> DataFrame:
     return out.withColumn("number", F.row_number().over(Window.partitionBy("psr", "kind").orderBy("ord")).cast("long"))
 
 
+#: Rows of a model for the power laws of signals (amplitude, slope, and number of harmonics, none for red noise).
+SIGNALS = {"red_noise": ("RNAMP", "RNIDX", None), "dm_gp": ("TNDMAMP", "TNDMGAM", ("TNDMC", 100.0)), "chrom_gp": ("TNCMAMP", "TNCMGAM", ("TNCMC", 100.0)), "sw_gp": ("TNSWAMP", "TNSWGAM", ("TNSWC", 10.0))}
+
+
+def signal_rows(best: DataFrame, keep_red: DataFrame | None = None) -> DataFrame:
+    """(psr, kind, value) of correlated noise in named values (psr, name, value): amplitudes, slopes, harmonics and the solar wind's density.
+
+    Only power laws, recognised by their amplitude. ``keep_red`` (psr, keep) says where red noise is kept; everywhere without it.
+    """
+    name = F.col("name")
+    pick = lambda ending: F.max(F.when(name == F.concat("psr", F.lit(f"_{ending}")), F.col("value")))
+    g = best.groupBy("psr").agg(pick("n_earth").alias("n_earth"), *[pick(f"{s}_{e}").alias(f"{s}_{e}") for s in SIGNALS for e in ("log10_A", "gamma")])
+    if keep_red is not None:
+        kept = g.join(keep_red.select("psr", "keep"), "psr", "left")
+        g = kept.withColumn("red_noise_log10_A", F.when(F.coalesce("keep", F.lit(True)), F.col("red_noise_log10_A"))).drop("keep")
+    row = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    made = [F.when(F.col("n_earth").isNotNull(), row("NE_SW", F.col("n_earth")))]
+    for s, (amp, slope, harmonics) in SIGNALS.items():
+        there = F.col(f"{s}_log10_A").isNotNull()
+        made += [F.when(there, row(amp, red_noise_amplitude(F.col(f"{s}_log10_A")))), F.when(there, row(slope, -F.col(f"{s}_gamma")))]
+        if harmonics:
+            made.append(F.when(there, row(harmonics[0], F.lit(harmonics[1]))))
+    return g.select("psr", F.inline(F.filter(F.array(*made), lambda r: r.isNotNull())))
+
+
+#: Families of parameters that are looked at in pairs, and pairs of families across.
+FAMILIES = ["dm_gp", "chrom_gp", "red_noise", "ecorr", "chrom_s1yr", "dm_s1yr", "exp"]
+ACROSS = [("ecorr", "dm_gp"), ("dm_gp", "chrom_gp")]
+
+
+def family_pairs(names: DataFrame) -> DataFrame:
+    """(chain, i, j) of places (chain, pos, name) to look at together: within each family, and across some; never the chromatic index."""
+    x = names.filter(~F.col("name").contains("chrom_gp_idx")).select("chain", "pos", F.explode(F.filter(F.array(*[F.when(F.col("name").contains(f), F.lit(f)) for f in FAMILIES]), lambda f: f.isNotNull())).alias("family"))
+    a, b = x.select("chain", F.col("pos").alias("i"), F.col("family").alias("fi")), x.select("chain", F.col("pos").alias("j"), F.col("family").alias("fj"))
+    same = a.join(b, (a.chain == b.chain) & (a.fi == b.fj) & (F.col("i") < F.col("j"))).select(a.chain, "i", "j")
+    over = x.sparkSession.createDataFrame(ACROSS, "fi string, fj string")
+    cross = a.join(over, "fi").join(b, ["chain", "fj"]).filter("i <> j").select("chain", "i", "j")
+    return same.union(cross).distinct()
+
+
+def joint_histograms(chains: DataFrame, pairs: DataFrame, bins: int = 80) -> DataFrame:
+    """(chain, i, j, bi, bj, n) of pairs (chain, i, j) of places, as ``pair_histograms`` makes them."""
+    of = pairs.groupBy("chain").agg(F.collect_set(F.struct("i", "j")).alias("want"))
+    return pair_histograms(chains.join(of, "chain"), bins=bins, want=F.col("want"))
+
+
+def run_histograms(now: DataFrame, past: DataFrame, names_now: DataFrame, names_past: DataFrame, bins: int = 20) -> DataFrame:
+    """(chain, run, pos, bin, n) of two runs, where both have the same list of parameters (chain, names)."""
+    same = names_now.join(names_past.select("chain", F.col("names").alias("old")), "chain").filter("names = old").select("chain")
+    one = lambda df, run: histograms(df.join(same, "chain", "left_semi"), bins).withColumn("run", F.lit(run))
+    return one(now, "now").unionByName(one(past, "past"))
+
+
 def equad_convention(params: DataFrame) -> DataFrame:
     has = lambda s: F.bool_or(F.col("name").contains(s))
     g = params.groupBy("psr").agg(has("_t2equad").alias("t2"), has("_tnequad").alias("tn"))
@@ -91,13 +148,28 @@ def red_noise_evidence(chains: DataFrame, pos: int, low: float, high: float, edg
 
 
 def sampling_groups(params: DataFrame) -> DataFrame:
-    """(psr, grp, idx): places of parameters that are sampled together: by backend, by red signal, and all."""
-    name = F.col("name")
-    label = F.array(F.lit("all"), F.when(name.rlike("red_noise"), "red"), F.when(name.rlike("dm_gp"), "dm"), F.regexp_extract(name, r"^[^_]+_(.+)_(?:efac|log10_\w*equad|log10_ecorr)$", 1))
+    """(psr, grp, idx): places of parameters that are sampled together: by backend, by red signal, across chromatic signals, and all.
+
+    Signals that depend on frequency go together where a source has them: dispersion and solar wind, chromatic noise and
+    solar wind, all three, and dispersion with chromatic noise.
+    """
+    name, whole = F.col("name"), Window.partitionBy("psr")
+    is_dm, is_gp, is_chrom, is_sw = name.contains("dm_gp"), name.contains("chrom_gp"), name.contains("chrom"), name.rlike("n_earth|log10_sigma_ne")
+    params = params.withColumn("has_sw", F.bool_or(name.isin("n_earth", "log10_sigma_ne") | name.rlike("_(n_earth|log10_sigma_ne)$")).over(whole)).withColumn("has_chrom", F.bool_or(is_chrom).over(whole))
+    sw, chrom = F.col("has_sw"), F.col("has_chrom")
+    label = F.array(
+        F.lit("all"), F.when(name.rlike("red_noise"), "red"), F.when(is_dm, "dm"), F.regexp_extract(name, r"^[^_]+_(.+)_(?:efac|log10_\w*equad|log10_ecorr)$", 1),
+        F.when(sw & (is_dm | is_sw), "dm, wind"), F.when(sw & chrom & (is_gp | is_sw), "chrom, wind"), F.when(sw & chrom & (is_dm | is_chrom | is_sw), "dm, chrom, wind"), F.when(chrom & (is_dm | is_chrom), "dm, chrom"),
+    )
     x = params.select("psr", "ord", F.explode(F.filter(label, lambda v: v.isNotNull() & (v != ""))).alias("grp"))
     return x.groupBy("psr", "grp").agg(F.sort_array(F.collect_list("ord")).alias("idx"))
 
 
-def start_values(now: DataFrame, best: DataFrame, lo: Column, hi: Column) -> DataFrame:
-    """For each parameter the earlier run's best value, else the middle of its prior."""
-    return now.join(best.select("psr", "name", F.col("value").alias("best")), ["psr", "name"], "left").select("psr", "name", F.coalesce("best", (lo + hi) / 2).alias("start"), F.col("best").isNotNull().alias("from_chain"))
+def seeded_draw(seed: int, *keys: str) -> Column:
+    """A number in [0, 1) that depends on the seed and the row's keys alone, so that a task done again draws it again."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), *keys)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def start_values(now: DataFrame, best: DataFrame, lo: Column, hi: Column, seed: int = 0) -> DataFrame:
+    """For each parameter the earlier run's best value, else a seeded draw from its prior between ``lo`` and ``hi``."""
+    return now.join(best.select("psr", "name", F.col("value").alias("best")), ["psr", "name"], "left").select("psr", "name", F.coalesce("best", lo + seeded_draw(seed, "psr", "name") * (hi - lo)).alias("start"), F.col("best").isNotNull().alias("from_chain"))

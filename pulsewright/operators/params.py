@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsewright.functions.scalar import year_of
+
 
 def series_difference(a: DataFrame, b: DataFrame, digits: int = 6) -> DataFrame:
     """Two series (psr, mjd, val, err) by time: difference, error in quadrature, and which side has the time."""
@@ -14,6 +16,11 @@ def series_difference(a: DataFrame, b: DataFrame, digits: int = 6) -> DataFrame:
     return both.select("psr", "mjd", F.round(F.col("val") - F.col("val2"), digits).alias("diff"), F.round(F.sqrt(F.col("err") * F.col("err") + F.col("err2") * F.col("err2")), digits).alias("err"), side.alias("side"))
 
 
+def difference_scatter(differences: DataFrame, digits: int = 6) -> DataFrame:
+    """(psr, n, scatter): the population deviation of a source's differences at times that both series have."""
+    return differences.filter("side = 'both'").groupBy("psr").agg(F.count("diff").alias("n"), F.round(F.stddev_pop("diff"), digits).alias("scatter"))
+
+
 def compare(new: DataFrame, old: DataFrame, sigma: float = 3.0, skip: Column | None = None) -> DataFrame:
     """Parameters of two models: values, difference in units of the old error, which side lacks one, whether it moved much."""
     y = old.select("psr", "name", F.col("value").alias("old_value"), F.col("uncertainty").alias("old_uncertainty"), F.lit(True).alias("b"))
@@ -102,6 +109,17 @@ def required(params: DataFrame, sources: DataFrame, names: list[str]) -> DataFra
     return got.select("psr", "name", F.when(F.col("frozen").isNull(), "missing").when(F.col("frozen"), "not fitted").alias("problem")).filter("problem is not null")
 
 
+#: The ecliptic set of astrometric parameters, and what an equatorial one has.
+ECLIPTIC, EQUATORIAL = ["ELONG", "ELAT", "PMELONG", "PMELAT", "PX"], ["RAJ", "DECJ", "PMRA", "PMDEC"]
+
+
+def astrometry_check(params: DataFrame, sources: DataFrame) -> DataFrame:
+    """(psr, name, problem): ecliptic parameters missing or not fitted, and sources (name FRAME) in equatorial or no coordinates."""
+    frame = sources.select("psr").distinct().join(params.select("psr", "name"), "psr", "left").groupBy("psr").agg(*[F.coalesce(F.bool_or(F.col("name").isin(*names)), F.lit(False)).alias(c) for c, names in (("ecl", ["ELONG", "ELAT"]), ("equ", EQUATORIAL))])
+    wrong = frame.select("psr", F.lit("FRAME").alias("name"), F.when(F.col("equ"), "equatorial").when(~F.col("ecl"), "no frame").alias("problem")).filter("problem is not null")
+    return required(params, sources, ECLIPTIC).union(wrong)
+
+
 #: For each binary model its required parameters, those fitted if present, and pairs that come together.
 BINARY_RULES = {
     "ELL1": (["A1", "TASC", "EPS1", "EPS2"], ["PB", "FB0", "PBDOT", "M2", "SINI", "XDOT", "A1DOT", "EPS1DOT", "EPS2DOT"], [("M2", "SINI"), ("EPS1DOT", "EPS2DOT")]),
@@ -141,6 +159,45 @@ def settings_check(settings: DataFrame, expected: DataFrame) -> DataFrame:
     return settings.join(expected, "key").filter(~F.col("value").eqNullSafe(F.col("expected"))).select("psr", "key", "value", "expected")
 
 
+def corrected_settings(settings: DataFrame, expected: DataFrame, switches: list[str]) -> DataFrame:
+    """``settings`` with the expected value for switches that have another one or none; the other keys are only ever reported."""
+    s = settings.join(expected, "key", "left")
+    return s.withColumn("value", F.when(F.col("key").isin(*switches) & F.col("expected").isNotNull(), F.col("expected")).otherwise(F.col("value"))).drop("expected")
+
+
+def fit_status(fits: DataFrame, least: float = 0.01) -> DataFrame:
+    """(psr, decrease, status, fully_fitted) of fits (psr, before, after, converged): how the fit went by its chi-squared, and whether the input was fitted.
+
+    ``converged`` is the fitter's own word, null where it has none.
+    """
+    d = F.col("before") - F.col("after")
+    by_chi2 = F.when(F.abs(d) < least, "probably converged").when(d < 0, "increased").otherwise("may not have converged")
+    return fits.select("psr", d.alias("decrease"), F.when(F.coalesce("converged", F.lit(False)), "converged").otherwise(by_chi2).alias("status"), (d <= least).alias("fully_fitted"))
+
+
+def largest_change(fitted: DataFrame, warn: float = 0.1) -> DataFrame:
+    """(psr, name, sigmas, warned, unset) of fitted parameters (psr, ord, name, initial, value, uncertainty).
+
+    The largest change in errors, the last by ``ord`` on ties; how many changes exceed ``warn``; how many have no initial value.
+    """
+    x = fitted.withColumn("s", F.abs((F.col("initial") - F.col("value")) / F.nullif(F.col("uncertainty"), F.lit(0.0))))
+    best = F.max_by("name", F.when(F.col("s").isNotNull(), F.struct("s", "ord")))
+    return x.groupBy("psr").agg(best.alias("name"), F.max("s").alias("sigmas"), F.count_if(F.col("s") > warn).alias("warned"), F.count_if(F.col("initial").isNull()).alias("unset"))
+
+
+def far_epochs(spans: DataFrame, params: DataFrame) -> DataFrame:
+    """(psr, name, value, centre) of reference epochs too far from the middle of the data (psr, centre).
+
+    PEPOCH by over a day; TASC and T0 by over a day and an orbit, whose period is PB or, without it, 1 / FB0 seconds.
+    """
+    pick = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
+    names = ["PEPOCH", "TASC", "T0"]
+    p = params.groupBy("psr").agg(F.coalesce(pick("PB"), 1 / F.nullif(pick("FB0"), F.lit(0.0)) / 86400.0).alias("period"), *[pick(n).alias(n) for n in names])
+    x = p.join(spans.select("psr", "centre"), "psr").select("psr", "centre", "period", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])))
+    most = F.when(F.col("name") == "PEPOCH", F.lit(1.0)).otherwise(1.0 + F.col("period"))
+    return x.filter(F.abs(F.col("value") - F.col("centre")) > most).select("psr", "name", "value", "centre")
+
+
 def apply_free(params: DataFrame, free: DataFrame, free_dmx: bool = True) -> DataFrame:
     """``frozen`` as the list of free parameters (psr, name) says; bin parameters follow one switch, the mean DM stays frozen."""
     f = free.select("psr", "name").distinct().withColumn("is_free", F.lit(True))
@@ -155,6 +212,13 @@ def dmx_params(params: DataFrame) -> DataFrame:
     return p.groupBy("psr", F.col("idx").cast("int").alias("idx")).agg(pick("DMX").alias("val"), F.coalesce(pick("DMX", "uncertainty"), F.lit(0.0)).alias("err"), pick("DMXR1").alias("r1"), pick("DMXR2").alias("r2"))
 
 
+def dmx_series(dmx: DataFrame, less_mean: bool = False, digits: int = 6) -> DataFrame:
+    """(psr, idx, epoch, year, val, err, r1, r2) of bin parameters in time, less each source's mean if asked."""
+    val = F.col("val") - F.avg("val").over(Window.partitionBy("psr")) if less_mean else F.col("val")
+    epoch = (F.col("r1") + F.col("r2")) / 2
+    return dmx.select("psr", "idx", epoch.alias("epoch"), year_of(epoch).alias("year"), F.round(val, digits).alias("val"), F.coalesce("err", F.lit(0.0)).alias("err"), "r1", "r2")
+
+
 def replace_dmx(params: DataFrame, new: DataFrame) -> DataFrame:
     """``params`` without its bin parameters, with those of ``new`` (psr, idx, val, err, r1, r2)."""
     rest = params.filter(~F.col("name").rlike(r"^DMX"))
@@ -185,3 +249,8 @@ def remove_components(params: DataFrame, prefixes: list[str]) -> DataFrame:
     for p in prefixes:
         out = out.filter(~F.col("name").startswith(p))
     return out
+
+
+def remove_noise(params: DataFrame, components: list[str]) -> DataFrame:
+    """Parameters (with ``component``) without those of the noise components named; a parameter of no component stays."""
+    return params.filter(~F.coalesce(F.col("component").isin(*components), F.lit(False)))

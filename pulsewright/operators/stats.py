@@ -48,6 +48,23 @@ def orphaned_receivers(toas: DataFrame, most_files: int = 3) -> DataFrame:
     return toas.groupBy("psr", "f").agg(F.count_distinct("name").alias("files")).filter(F.col("files") <= most_files)
 
 
+def listed_receivers(toas: DataFrame, listed: DataFrame, most_files: int = 3) -> DataFrame:
+    """(psr, f, change): receiver-backends with few files that a list (psr, f) lacks ('add'), and listed ones that aren't ('remove')."""
+    have, want = orphaned_receivers(toas, most_files).select("psr", "f"), listed.select("psr", "f").distinct()
+    return have.join(want, ["psr", "f"], "left_anti").withColumn("change", F.lit("add")).union(want.join(have, ["psr", "f"], "left_anti").withColumn("change", F.lit("remove")))
+
+
+def unlisted(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Files (psr, name) that no pattern (psr, pattern) is a part of."""
+    p = patterns.select(F.col("psr").alias("p_psr"), "pattern")
+    return files.join(p, (F.col("psr") == F.col("p_psr")) & F.col("name").contains(F.col("pattern")), "left_anti")
+
+
+def reduced_entries(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Bad rows that are still to be listed once whole files (psr, name) are."""
+    return entries.join(files.select("psr", "name"), ["psr", "name"], "left_anti")
+
+
 def bad_file_suggestions(toas: DataFrame, entries: DataFrame, share: float = 0.9) -> DataFrame:
     """Files of whose rows at least a share is listed as bad."""
     bad = toas.join(entries, ["psr", "name", "chan", "subint"], "left_semi").groupBy("psr", "name").agg(F.count(F.lit(1)).alias("bad"))
@@ -60,6 +77,68 @@ def flux_context(toas: DataFrame) -> DataFrame:
     return toas.filter("cut is null").groupBy("psr", "fe").agg(F.percentile("flux", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"), F.count(F.lit(1)).alias("n")).select("psr", "fe", "n", *[F.round(F.col("p")[k], 9).alias(c) for k, c in enumerate(("flux_05", "flux_50", "flux_95"))])
 
 
+def bad_toa_context(toas: DataFrame, bad: DataFrame, snr_cut: float, most_us: float = 50.0) -> DataFrame:
+    """Each bad row (psr, toa_id) beside the good rows of its receiver, and what may be wrong with it: extreme flux, barely over the cut, large error."""
+    b = toas.join(bad.select("psr", "toa_id").distinct(), ["psr", "toa_id"], "left_semi").join(flux_context(toas), ["psr", "fe"], "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return b.select(
+        "psr", "toa_id", "fe", "flux", "flux_05", "flux_50", "flux_95", F.coalesce("n", F.lit(0)).alias("n_good"), no((F.col("flux") < F.col("flux_05")) | (F.col("flux") > F.col("flux_95"))).alias("extreme_flux"),
+        no(F.col("snr") - snr_cut < 1).alias("near_cut"), no(F.col("err_us") > most_us).alias("large_error"),
+    )
+
+
+def flag_values(toas: DataFrame, columns: list[str], leave_out: tuple[str, ...] = ("unknown",)) -> DataFrame:
+    """(psr, vals): all values of one or more flags, sorted, but for missing and unknown ones."""
+    x = toas.select("psr", F.explode(F.array(*columns)).alias("v")).filter(F.col("v").isNotNull() & ~F.col("v").isin(*leave_out))
+    return x.groupBy("psr").agg(F.sort_array(F.collect_set("v")).alias("vals"))
+
+
+def febe_pairs(toas: DataFrame, own: str = "NANOGrav", febe: str = "f", other: str = "sys") -> DataFrame:
+    """(psr, pta, pair, n): receiver-backends, from the flag ``febe`` for one timing array and ``other`` for the rest."""
+    return toas.groupBy("psr", "pta", F.when(F.col("pta") == own, F.col(febe)).otherwise(F.col(other)).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def release_check(toas: DataFrame, column: str = "ver", old: tuple[str, ...] = ()) -> DataFrame:
+    """(psr, versions, mixed, first, is_old): how many releases a source's rows come from, and whether the first is an old one."""
+    g = toas.groupBy("psr").agg(F.count_distinct(column).alias("versions"), F.min(column).alias("first"))
+    return g.select("psr", "versions", (F.col("versions") > 1).alias("mixed"), "first", F.col("first").isin(*old).alias("is_old"))
+
+
+#: The older and the newer backend, and the year of the change.
+TRANSITIONS = [("ASP", "PUPPI", 2012.1), ("GASP", "GUPPI", 2010.1)]
+
+
+def transitions(toas: DataFrame, pairs: list[tuple[str, str, float]] = TRANSITIONS) -> DataFrame:
+    """(psr, old, new, year) of the changes of backend of which a source has both sides."""
+    have = toas.groupBy("psr").agg(*[F.bool_or((F.col("be") == a)).alias(f"a{k}") for k, (a, _, _) in enumerate(pairs)], *[F.bool_or(F.col("be") == b).alias(f"b{k}") for k, (_, b, _) in enumerate(pairs)])
+    marks = [F.when(F.col(f"a{k}") & F.col(f"b{k}"), F.struct(F.lit(a).alias("old"), F.lit(b).alias("new"), F.lit(y).alias("year"))) for k, (a, b, y) in enumerate(pairs)]
+    return have.select("psr", F.inline(F.filter(F.array(*marks), lambda m: m.isNotNull())))
+
+
+def least_bins(toas: DataFrame, spins: DataFrame) -> DataFrame:
+    """(psr, nbin, one_bin): the fewest profile bins of a row, and the seconds that one takes at the spin (psr, f0)."""
+    return toas.groupBy("psr").agg(F.min("nbin").alias("nbin")).join(spins, "psr", "left").select("psr", "nbin", (1 / F.col("f0") / F.col("nbin")).alias("one_bin"))
+
+
+def serials(toas: DataFrame, by_time: bool = True) -> DataFrame:
+    """(psr, toa_id, serial, first_of_file): rows numbered from 1 by time or in load order, and whether a row is its file's first."""
+    w = Window.partitionBy("psr").orderBy(*(["mjd"] if by_time else []), "toa_id")
+    return toas.select("psr", "toa_id", F.row_number().over(w).cast("long").alias("serial"), (F.col("toa_id") == F.min("toa_id").over(Window.partitionBy("psr", "name"))).alias("first_of_file"))
+
+
+def report_totals(report: DataFrame) -> DataFrame:
+    """One row: the sums of an excision report over all sources, the outliers' share, and how many sources have many."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "cut", "outlier10", "epochdrop")]
+    g = report.agg(F.count(F.lit(1)).alias("sources"), *sums, F.count_if("many").alias("sources_with_many"))
+    return g.withColumn("outlier_share", F.col("outlier10") / F.nullif(F.col("total"), F.lit(0)))
+
+
+def averaged_and_single(toas: DataFrame, single: Column, gap: float, ecorr: float = 0.0, digits: int = 6) -> DataFrame:
+    """Session means of all rows but ``single`` ones, which have no correlated noise and come one by one, in the same columns."""
+    one = toas.filter(single).select("psr", "f", F.lit(None).cast("long").alias("grp"), F.lit(1).cast("long").alias("n"), *[F.round(c, digits).alias(c) for c in ("mjd", "freq_mhz", "resid_us", "err_us")], F.col("toa_id").alias("first_toa"))
+    return epoch_average(toas.filter(~single), gap, ecorr, digits).unionByName(one)
+
+
 def span(toas: DataFrame) -> DataFrame:
     """(psr, first, last, centre, years, short): time span, its middle rounded half to even, and spans under two years."""
     s = toas.groupBy("psr").agg(F.min("mjd").alias("first"), F.max("mjd").alias("last"))
@@ -90,9 +169,14 @@ def removed_files(toas: DataFrame, digits: int = 9) -> DataFrame:
     return g.select("psr", "name", "first.f", F.floor("first.mjd").cast("long").alias("day"), "n", F.round(1 / F.sqrt("s"), digits).alias("esum"))
 
 
-def jump_attribution(toas: DataFrame, bad: Column, flags: tuple[str, ...] = ("fe", "be", "f")) -> DataFrame:
-    """Tallies of the bad rows' flag values: 'possible' if good rows have the value too, else 'likely'; percent of the group's tallies."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("flag"), F.col(n).alias("value")) for n in flags])).alias("p")
+def jump_attribution(toas: DataFrame, bad: Column, flags: tuple[str, ...] = ("fe", "be", "f"), of_pta: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Tallies of the bad rows' flag values: 'possible' if good rows have the value too, else 'likely'; percent of the group's tallies.
+
+    ``of_pta`` gives timing arrays flag lists of their own, each a part of ``flags``; all others use every flag.
+    """
+    barred = {n: [p for p, names in (of_pta or {}).items() if n not in names] for n in flags}
+    one = lambda n: F.when(~F.coalesce(F.col("pta").isin(*barred[n]), F.lit(False)), F.struct(F.lit(n).alias("flag"), F.col(n).alias("value")))
+    pairs = F.explode(F.filter(F.array(*map(one, flags)), lambda p: p.isNotNull())).alias("p")
     t = toas.withColumn("bad", bad).select("pta", "bad", pairs).groupBy("pta", "p.flag", "p.value").agg(F.count_if("bad").alias("n"), F.count_if(~F.col("bad")).alias("good"))
     pct = F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy("pta"))
     return t.filter("n > 0").select("pta", "flag", "value", "n", F.when(F.col("good") > 0, "possible").otherwise("likely").alias("kind"), F.round(pct, 6).alias("pct"))
@@ -111,8 +195,11 @@ def group_dates(times: DataFrame, keys: list[str], width: float = 0.1, digits: i
     return sessions(times, keys, width).groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mjd"), digits).alias("mean_mjd"))
 
 
-def epoch_average(toas: DataFrame, gap: float, ecorr: float = 0.0, digits: int = 6) -> DataFrame:
-    """Weighted means of each (psr, f) session, its error with the correlated part, and how many rows it has."""
+def epoch_average(toas: DataFrame, gap: float, ecorr: float = 0.0, digits: int = 6, noise: tuple[str, ...] = (), member_ids: bool = False) -> DataFrame:
+    """Weighted means of each (psr, f) session, its error with the correlated part, and how many rows it has.
+
+    ``noise`` names columns of noise components, averaged alike; ``member_ids`` adds the rows' ids, of which a session is few.
+    """
     s = sessions(toas, ["psr", "f"], gap)
     w = 1 / (F.col("err_us") * F.col("err_us"))
     sw = F.sum(w)
@@ -123,4 +210,6 @@ def epoch_average(toas: DataFrame, gap: float, ecorr: float = 0.0, digits: int =
         F.round(F.sum(w * F.col("resid_us")) / sw, digits).alias("resid_us"),
         F.round(F.sqrt(1 / sw + F.lit(ecorr * ecorr)), digits).alias("err_us"),
         F.min("toa_id").alias("first_toa"),
+        *[F.round(F.sum(w * F.col(c)) / sw, digits).alias(c) for c in noise],
+        *([F.sort_array(F.collect_list("toa_id")).alias("members")] if member_ids else []),
     )

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsewright.functions import scalar
 from pulsewright.operators import audit, bins, cuts, ftests, noise, params, stats
+from pulsewright.operators.settle import settled
+from pulsewright.sources.configs import excised_reasons
+from pulsewright.sources.configs import rules as config_rules
 
 
 def curate(toas: DataFrame, reasons: list[Column], keep: str | None = None, lose: str | None = None, bad_entries: DataFrame | None = None) -> DataFrame:
@@ -21,6 +26,41 @@ def curate(toas: DataFrame, reasons: list[Column], keep: str | None = None, lose
     return t
 
 
+def ignored(toas: DataFrame, configs: DataFrame, orbits: DataFrame | None = None) -> DataFrame:
+    """Observations with ``cut`` by what each source's configuration (psr, mode, ignore) leaves out; the first reason stays.
+
+    In this order: orphaned, badgroup, mjdstart, mjdend, snr, poorfebe, outlierNN, badfile, badrange, eclipsing, badtoa,
+    badtoa-averaged. A source has one configuration; without one nothing of it is cut, and a rule without a value cuts
+    nothing. ``orbits`` (psr, pb, epoch) is needed for eclipses. Narrowband entries of single rows name file, channel and
+    subint, wideband ones file and subint. Flags of groups are columns.
+    """
+    names = ["orphaned_rec", "bad_group", "mjd_start", "mjd_end", "snr_cut", "poor_febe", "prob_outlier", "bad_range", "orb_phase_range"]
+    one = configs.select("psr", *[F.col(f"ignore.{n}").alias(f"_{n}") for n in names])
+    t = toas.join(one, "psr", "left")
+    t = t if "cut" in t.columns else t.withColumn("cut", F.lit(None).cast("string"))
+    flags = [c for c in ("f", "fe", "be", "obs", "pta") if c in toas.columns]
+    value = F.create_map(*[x for c in flags for x in (F.lit(c), F.col(c).cast("string"))])
+    group = F.exists("_bad_group", lambda g: value[g["flag"]] == g["value"])
+    inside = F.exists("_bad_range", lambda r: (r["lo"] < F.col("mjd")) & (F.col("mjd") < r["hi"]) & (r["be"].isNull() | (r["be"] == F.col("be"))))
+    outlier = F.concat(F.lit("outlier"), (F.col("_prob_outlier") * 100).cast("int").cast("string"))
+    first = [
+        cuts.reason(F.array_contains("_orphaned_rec", F.col("f")), "orphaned"), cuts.reason(group, "badgroup"), cuts.mjd_reason(F.col("_mjd_start"), F.col("_mjd_end")), cuts.snr_reason(F.col("_snr_cut")),
+        cuts.reason(F.array_contains("_poor_febe", F.col("f")), "poorfebe"), cuts.reason(F.coalesce("pout", F.lit(0.0)) > F.col("_prob_outlier"), outlier),
+    ]
+    t = cuts.cut_bad_files(cuts.apply_rules(t, first), config_rules(configs, "bad_file").select("psr", "pattern"))
+    later = [cuts.reason(inside, "badrange")]
+    if orbits is not None:
+        t = t.join(orbits.select("psr", F.col("pb").alias("_pb"), F.col("epoch").alias("_epoch")), "psr", "left")
+        phase, of = scalar.orbital_phase(F.col("mjd"), F.col("_epoch"), F.col("_pb")), lambda k: F.get("_orb_phase_range", F.lit(k))
+        later.append(cuts.reason((phase > of(0)) & (phase < of(1)), "eclipsing"))
+    t = settled(cuts.apply_rules(t, later).select(*toas.columns, *([] if "cut" in toas.columns else ["cut"])))
+    single = config_rules(configs, "bad_toa").join(configs.select("psr", F.lower("mode").alias("mode")), "psr")
+    t = cuts.cut_bad_toas(t, single.filter("mode is null or mode <> 'wb'"))
+    t = cuts.cut_bad_toas(t, single.filter("mode = 'wb'"), ("name", "subint"))
+    averaged = configs.select("psr", F.explode("ignore.bad_toa_averaged").alias("name"))
+    return cuts.cut_bad_toas(t, averaged, ("name",), "badtoa-averaged")
+
+
 def outlier_cuts(toas: DataFrame, prob: float = 0.1, percent: float = 8.0, narrowband: bool = True, **setup) -> tuple[DataFrame, DataFrame]:
     """(toas, bins) after outlier cuts, binning, cuts of files with many outliers, and binning again."""
     t, b = bins.setup(cuts.apply_rules(toas, [cuts.outlier_reason(prob)]), **setup)
@@ -43,13 +83,19 @@ def outlier_excision(toas: DataFrame, columns: dict[str, Column], prob: float =
     return cuts.apply_rules(marked, [cuts.reason(F.col("dropped"), "epochdrop")]).drop("dropped"), tests
 
 
-def noise_to_params(chains: DataFrame, names: DataFrame, mode: str = "nb", n: int = 50, burn: float = 0.25, digits: int = 6) -> DataFrame:
-    """(psr, kind, number, mask_value, value) from the best samples; ``names`` (chain, pos, psr, name) says what each place is."""
+def noise_to_params(chains: DataFrame, names: DataFrame, mode: str = "nb", n: int = 50, burn: float = 0.25, digits: int = 6, keep_red: DataFrame | None = None) -> DataFrame:
+    """(psr, kind, number, mask_value, value) from the best samples; ``names`` (chain, pos, psr, name) says what each place is.
+
+    Rows of white noise are numbered by kind; those of red, dispersion, chromatic and solar noise have neither number nor
+    mask. ``keep_red`` (psr, keep) says where there is evidence for red noise.
+    """
     best = noise.top_mean(chains, n, burn).join(names, ["chain", "pos"])
     known = noise.parse_names(best.select("psr", "name", F.col("pos").alias("ord")), mode)
     v = F.col("mean")
     value = F.when(F.col("kind").isin("EQUAD", "ECORR"), scalar.log10_to_us(v)).when(F.col("kind") == "DMEQUAD", F.pow(F.lit(10.0), v)).otherwise(v)
-    return known.join(best.select("psr", "name", "mean"), ["psr", "name"]).select("psr", "kind", "number", "mask_value", F.round(value, digits).alias("value"))
+    white = known.join(best.select("psr", "name", "mean"), ["psr", "name"]).select("psr", "kind", "number", "mask_value", F.round(value, digits).alias("value"))
+    signals = noise.signal_rows(best.select("psr", "name", F.col("mean").alias("value")), keep_red)
+    return white.unionByName(signals.select("psr", "kind", F.lit(None).cast("long").alias("number"), F.lit(None).cast("string").alias("mask_value"), F.round("value", digits).alias("value")))
 
 
 def timing_summary(toas: DataFrame) -> DataFrame:
@@ -63,6 +109,32 @@ def timing_summary(toas: DataFrame) -> DataFrame:
     return rms.union(wrms).union(years).union(shares)
 
 
+def timing_checks(model: DataFrame, models: DataFrame, old: DataFrame, spans: DataFrame, tests: DataFrame, sigma: float = 3.0) -> DataFrame:
+    """(psr, item, label, value) of what a model's report warns of, beside ``timing_summary``: all sources in one long table.
+
+    ``model`` and ``old`` are parameters (psr, name, value, uncertainty, frozen), ``models`` (psr, model) the binary models,
+    ``tests`` F-tests as ``ftests.recommend`` takes them. Items: spin, astrometry, binary, epoch, moved, remove, add.
+    """
+    text = lambda df, item, label, value: df.select("psr", F.lit(item).alias("item"), F.col(label).cast("string").alias("label"), F.col(value).cast("string").alias("value"))
+    spin = params.spin_check(model).withColumn("bad", F.array_compact(F.array(F.when(~F.col("f0_fitted"), "F0"), F.when(~F.col("f1_fitted"), "F1"), F.when(F.col("further") > 0, "further"))))
+    parts = [
+        text(spin.select("psr", F.explode("bad").alias("what")).withColumn("said", F.when(F.col("what") == "further", "more derivatives").otherwise("not fitted")), "spin", "what", "said"),
+        text(params.astrometry_check(model, model), "astrometry", "name", "problem"), text(params.binary_check(model, models), "binary", "name", "problem"),
+        text(params.far_epochs(spans, model), "epoch", "name", "centre"), text(params.compare(model, old, sigma).filter("moved"), "moved", "name", "side"),
+    ]
+    out = reduce(DataFrame.union, parts)
+    return out.union(ftests.recommend(tests).select("psr", F.col("action").alias("item"), "label", F.lit("by F-test")))
+
+
+def excision_reports(toas: DataFrame, configs: DataFrame) -> DataFrame:
+    """(psr, item, label, n): cut counts of every source and of all (psr null), and why entries of configurations are left out."""
+    each = stats.excision_report(toas)
+    count = lambda df, psr: df.select(psr.alias("psr"), F.lit("rows").alias("item"), F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("long").alias("n")) for c in ("total", "cut", "outlier10", "epochdrop")])))
+    none = F.lit(None).cast("string")
+    why = excised_reasons(configs).select(none.alias("psr"), F.col("kind").alias("item"), F.col("reason").alias("label"), "n")
+    return count(each, F.col("psr")).union(count(stats.report_totals(each), none)).union(why)
+
+
 def nbwb_compare(a: DataFrame, b: DataFrame, own_bins: DataFrame, toas: DataFrame, sigma: float = 3.0) -> DataFrame:
     """Files in the nearest bins of times at which two series differ by more than ``sigma`` errors."""
     d = params.series_difference(a, b).filter((F.col("side") == "both") & (F.abs("diff") > sigma * F.col("err")))
@@ -79,6 +151,18 @@ def reflag_and_combine(parts: list[tuple[DataFrame, dict]]) -> DataFrame:
     return out
 
 
+def release_state(configs: DataFrame, logs: DataFrame, tags: list[str], toas: DataFrame, old_versions: tuple[str, ...], runs: DataFrame, used: DataFrame) -> DataFrame:
+    """(kind, id, problem) of what isn't ready, beside ``release_audit``: checks open, entries with unknown tags, no READY_FOR,
+    observations of mixed or old releases (``ver``), noise runs that aren't the newest."""
+    row = lambda df, kind, id_, problem: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), problem.alias("problem"))
+    log, release = audit.changelog(logs, tags), stats.release_check(toas, "ver", old_versions)
+    parts = [
+        row(audit.cleared(configs).filter("not cleared"), "config", "config", F.lit("not cleared")), row(log.filter("invalid > 0"), "log", "config", F.lit("unknown tags")), row(log.filter("ready_day is null"), "log", "config", F.lit("not ready")),
+        row(release.filter("mixed"), "release", "psr", F.lit("mixed")), row(release.filter("is_old"), "release", "psr", F.lit("old")), row(audit.newest(runs, used).filter("stale"), "noise", "source", F.lit("stale")),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 def release_audit(configs: DataFrame, results: DataFrame, expected: DataFrame, found: DataFrame) -> DataFrame:
     """(kind, id, problem) of results unused or shared, unpaired sources and products missing or multiple."""
     used = audit.result_use(configs, results).filter("state <> 'ok'").select(F.lit("result").alias("kind"), F.col("result").cast("string").alias("id"), F.col("state").alias("problem"))

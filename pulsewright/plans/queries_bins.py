@@ -211,3 +211,30 @@ def dmx_setup_cuts(spark, sf_dir):
 @query(f"with {TOAS} select psr, toa_id, round({WIND}, 12) as wind from toas")
 def solar_wind_dm(spark, sf_dir):
     return toas(spark, sf_dir).select("psr", "toa_id", F.round(scalar.solar_wind_dm(F.col("sun_angle_rad")), 12).alias("wind"))
+
+
+@query(f"with {MET}, g as (select psr, ord, min(freq_mhz) as f1, max(freq_mhz) as f2, round(sum(mjd / (err_us * err_us)) / sum(1.0::double / (err_us * err_us)), 5) as epoch, list_sort(list(toa_id)) as members from met group by all) select psr, 4 + row_number() over (partition by psr order by ord) as idx, ord / 8.0::double as val, case when ord % 3 = 0 then 0.0::double else ord / 64.0::double end as err, epoch, low as r1, high as r2, coalesce(f1, 'inf'::double) as f1, coalesce(f2, 0) as f2, coalesce(members, []::bigint[]) as members from bins left join g using (psr, ord)")
+def bin_table_members(spark, sf_dir):
+    t, b = toas(spark, sf_dir), _bins(spark, sf_dir)
+    values = b.select("psr", "ord", (F.col("ord") / 8.0).alias("val"), F.when(F.col("ord") % 3 != 0, F.col("ord") / 64.0).alias("err"))
+    return bins.table(t, b, values, start=5, digits=5, member_ids=True)
+
+
+@query(f"with {MET}, p as (select psr, ord from met group by all having max(freq_mhz) / min(freq_mhz) >= 1.1::double), c as (select distinct psr, toa_id from met semi join p using (psr, ord)) select psr, toa_id from toas anti join c using (psr, toa_id)")
+def bin_ratio_rows_inverted(spark, sf_dir):
+    return bins.ratio_rows(toas(spark, sf_dir), _bins(spark, sf_dir), invert=True).select("psr", "toa_id")
+
+
+@query()
+def event_rebin(spark, sf_dir):
+    t = toas(spark, sf_dir)
+    events = t.select("psr").distinct().select("psr", F.lit(50000.0).alias("from_mjd"), F.lit(50060.0).alias("to_mjd"), F.when(F.substring("psr", 4, 9).cast("int") % 2 == 0, 0.5).otherwise(2.5).alias("width"))
+    return bins.rebin_events(t, bins.greedy(t, 6.5, 0.05), events)
+
+
+@query(f"with {TOAS}, n as (select psr, mjd, avg(resid_us) as v from toas where be = 'F' group by all), w as (select psr, mjd, avg(resid_us) as v from toas where be = 'O' group by all), d as (select psr, round(n.v - w.v, 6) as d from n join w using (psr, mjd)) select psr, count(*) as n, round(stddev_pop(d), 6) as scatter from d group by psr")
+def series_scatter(spark, sf_dir):
+    from pulsewright.operators import params
+
+    a, b = (toas(spark, sf_dir).filter(F.col("be") == x).groupBy("psr", "mjd").agg(F.avg("resid_us").alias("val"), F.avg("err_us").alias("err")) for x in "FO")
+    return params.difference_scatter(params.series_difference(a, b))

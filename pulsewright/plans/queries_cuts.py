@@ -160,6 +160,25 @@ def cut_stages(spark, sf_dir):
     return cuts.stages(toas(spark, sf_dir), plan).select("psr", "toa_id", "cut", "cut_stage")
 
 
+@query(f"with {TOAS}, s as (select psr, case when snr < 8 or mjd > 52000 then 0 when pp_dm is null then 1 when subint = 3 then 2 end as k from toas), st(k, stage) as (values (0, 'initial'), (1, 'ppdm'), (2, 'manual')), n as (select p.psr, st.k, stage, p.total, (select count(*) from s where s.psr = p.psr and s.k = st.k) as removed from (select psr, count(*) as total from s group by psr) p, st) "
+       "select psr, stage, (total - coalesce(sum(removed) over (partition by psr order by k rows between unbounded preceding and 1 preceding), 0))::bigint as before, removed from n")
+def cut_stage_counts(spark, sf_dir):
+    plan = [
+        ("initial", [cuts.snr_reason(8.0), cuts.reason(F.col("mjd") > 52000.0, "mjdend")]),
+        ("ppdm", [cuts.reason(F.col("pp_dm").isNull(), "no_ppdm")]),
+        ("manual", [cuts.reason(F.col("subint") == 3, "badtoa")]),
+    ]
+    return cuts.stage_counts(cuts.stages(toas(spark, sf_dir), plan), ["initial", "ppdm", "manual"])
+
+
+@query(f"with {CUT}, m as (select p.pattern, n.psr, n.name, count(*) over (partition by n.psr, p.pattern) as k from (select distinct psr, name from toas) n join (select unnest({FILES}) as pattern) p on contains(n.name, p.pattern)) "
+       "select t.psr, t.toa_id, coalesce(t.cut, case when m.name is not null then 'badfile' end) as cut from cut_toas t left join (select distinct psr, name from m where k = 1) m using (psr, name)")
+def cut_bad_file_rows(spark, sf_dir):
+    t = cut_toas(spark, sf_dir)
+    entries = t.select("psr").distinct().select("psr", F.explode(F.array(*map(F.lit, FILES))).alias("pattern"))
+    return cuts.cut_bad_files(t, entries).select("psr", "toa_id", "cut")
+
+
 @query(f"with {TOAS} select psr, name, chan, subint from toas where (abs(resid_us) > 3 and abs(resid_us / err_us) > 3) or err_us > 1.2")
 def cut_large_residuals(spark, sf_dir):
     return toas(spark, sf_dir).filter(cuts.large_residuals(us=3.0, n_sigma=3.0, max_sigma=1.2)).select("psr", "name", "chan", "subint")
@@ -182,24 +201,22 @@ def simultaneous_overlap(spark, sf_dir):
 
 @query(f"with {TOAS} select distinct psr, regexp_replace(f, '_(F|O)', '') as receiver from toas")
 def receiver_of_backend(spark, sf_dir):
-    return toas(spark, sf_dir).select("psr", F.regexp_replace("f", "_(F|O)", "").alias("receiver")).distinct()
+    return toas(spark, sf_dir).select("psr", cuts.receiver_of("f", ("F", "O")).alias("receiver")).distinct()
 
 
 @query(f"with {TOAS} select psr, bool_or(obs = 'P' and mjd > 51000 and mjd < 51500) as bad_lo from toas group by psr")
 def bad_lo_window(spark, sf_dir):
-    hit = (F.col("obs") == "P") & (F.col("mjd") > 51000) & (F.col("mjd") < 51500)
-    return toas(spark, sf_dir).groupBy("psr").agg(F.bool_or(hit).alias("bad_lo"))
+    return cuts.bad_oscillator(toas(spark, sf_dir), "P", 51000.0, 51500.0)
 
 
 @query(f"with {CUT} select psr, mjd, freq_mhz, resid_us, err_us, coalesce(cut, 'good') as cut from cut_toas where cut is null or cut in ('snr', 'outlier90')")
 def residual_series(spark, sf_dir):
-    t = cut_toas(spark, sf_dir).withColumn("cut", F.coalesce("cut", F.lit("good")))
-    return t.filter(F.col("cut").isin("good", "snr", "outlier90")).select("psr", "mjd", "freq_mhz", "resid_us", "err_us", "cut")
+    return cuts.residual_series(cut_toas(spark, sf_dir), ["good", "snr", "outlier90"])
 
 
 @query(f"with {CUT} select distinct psr, name from cut_toas where cut = 'outlier90'")
 def files_with_cut(spark, sf_dir):
-    return cut_toas(spark, sf_dir).filter("cut = 'outlier90'").select("psr", "name").distinct()
+    return cuts.files_with(cut_toas(spark, sf_dir), "outlier90")
 
 
 @query(f"with {CUT}, d as (select psr, name from cut_toas group by psr, name having count(*) = 1) select t.psr, t.toa_id, coalesce(t.cut, case when d.name is not null then 'epochdrop' end) as cut from cut_toas t left join d using (psr, name)")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsewright.operators import cuts, params
+from pulsewright.operators import cuts, params, stats
+from pulsewright.operators.settle import settled
 from pulsewright.plans import jobs
 from pulsewright.plans.queries_bins import BINS, _bins
-from pulsewright.plans.queries_cuts import CUT, CUT_SQL, END, HI, LO, SNR, START, cut_toas
-from pulsewright.plans.queries_params import CFG, _configs
-from pulsewright.plans.registration import query
+from pulsewright.plans.queries_cuts import CUT, CUT_SQL, END, FILES, HI, LO, SNR, START, cut_toas
+from pulsewright.plans.queries_noise import TESTS, _tests
+from pulsewright.plans.queries_params import CFG, LOG, NAMED, _configs, _log, named
+from pulsewright.plans.registration import ORACLES, query
 from pulsewright.sources.binding import CHAINS, TOAS, chains, params_sql, read, toas
 from pulsewright.sources.binding import params as model_params
 
@@ -81,9 +83,98 @@ def job_release_audit(spark, sf_dir):
 
 @query(f"with {params_sql('p')} select psr, name, value from p where not (starts_with(name, 'PROMO') or starts_with(name, 'SMALL'))")
 def remove_noise_components(spark, sf_dir):
-    return params.remove_components(model_params(spark, sf_dir), ["PROMO", "SMALL"]).select("psr", "name", "value")
+    p = model_params(spark, sf_dir).withColumn("component", F.regexp_extract("name", "^[A-Z]+", 0))
+    return params.remove_noise(p, ["PROMO", "SMALL"]).select("psr", "name", "value")
 
 
 @query(f"with {CUT} select psr, cut, name, chan, subint from cut_toas where cut in ('badrange', 'outlier90')")
 def auto_excised_lookup(spark, sf_dir):
-    return cut_toas(spark, sf_dir).filter(F.col("cut").isin("badrange", "outlier90")).select("psr", "cut", "name", "chan", "subint")
+    return cuts.excised(cut_toas(spark, sf_dir), ["badrange", "outlier90"])
+
+
+@query(f"with {CUT}, a as (select 'file_' || o_orderkey::varchar as name, '/data/' || o_orderstatus || '/file_' || o_orderkey::varchar as path from orders where o_orderpriority <> '1-URGENT') select psr, cut, name, chan, subint, path from cut_toas left join a using (name) where cut in ('badrange', 'outlier90')")
+def auto_excised_archives(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").filter("o_orderpriority <> '1-URGENT'")
+    paths = o.select(F.concat(F.lit("/data/"), "o_orderstatus", F.lit("/file_"), F.col("o_orderkey").cast("string")).alias("path"))
+    return cuts.excised(cut_toas(spark, sf_dir), ["badrange", "outlier90"], paths)
+
+
+K = "(psr[4:])::int"
+SET = f"""{TOAS}, g as (select *, {K} as k, 4.0::double + {K} as pb from toas), ph as (select *, (mjd - 50000.0) / pb - floor((mjd - 50000.0) / pb) as phase from g),
+ fm as (select p.pattern, n.psr, n.name, count(*) over (partition by n.psr, p.pattern) as c from (select distinct psr, name from toas) n join (select unnest({FILES}) as pattern) p on contains(n.name, p.pattern)), bf as (select distinct psr, name from fm where c = 1),
+ one as (select psr, min(toa_id) as toa_id from toas where (psr, name, chan, subint) in (select (psr, name, chan, subint) from toas where toa_id in (97, 98, 40) and {K} % 2 = 0) and {K} % 2 = 0 group by psr, name, chan, subint),
+ two as (select psr, min(toa_id) as toa_id from toas where (psr, name, subint) in (select (psr, name, subint) from toas where toa_id in (97, 98, 40)) and {K} % 2 = 1 group by psr, name, subint),
+ av as (select psr, min(toa_id) as toa_id from toas where (psr, name) in (select (psr, name) from toas where toa_id in (50, 51)) group by psr, name)"""
+
+
+def _ignore(t):
+    """Configurations of all sources: each rule for some of them, the numbers and lists by the source's own number."""
+    k = F.substring("psr", 4, 9).cast("int")
+    texts = F.array().cast("array<string>")
+    group = F.array(*[F.struct(F.lit(a).alias("flag"), F.lit(b).alias("value")) for a, b in (("pta", "3"), ("obs", "P"))])
+    span = F.struct((k + 50000.0).alias("lo"), (k + 50050.0).alias("hi"), F.when(k % 2 == 0, "F").alias("be"))
+    of = F.struct("name", F.col("chan").cast("int").alias("chan"), "subint", F.lit("x").alias("reason"))
+    listed = t.filter("toa_id in (97, 98, 40, 50, 51)").groupBy("psr").agg(F.collect_list(F.when(~F.col("toa_id").isin(50, 51), of)).alias("bad_toa"), F.collect_set(F.when(F.col("toa_id").isin(50, 51), F.col("name"))).alias("averaged"))
+    ignore = F.struct(
+        F.when(k % 3 == 0, F.array(F.lit("A_F"))).otherwise(texts).alias("orphaned_rec"), F.when(k % 5 == 0, group).alias("bad_group"), F.when(k % 2 == 0, k + 48700.0).alias("mjd_start"), (F.lit(52400.0) - k).alias("mjd_end"), (k % 5 + 5.0).alias("snr_cut"),
+        F.when(k % 4 == 1, F.array(F.lit("N_O"))).alias("poor_febe"), F.when(k % 7 != 3, F.lit(0.9)).alias("prob_outlier"), F.array(span).alias("bad_range"), F.when(k % 7 == 0, F.array(F.lit(0.4), F.lit(0.5))).alias("orb_phase_range"),
+        F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit("x").alias("reason")) for p in FILES]).alias("bad_file"), "bad_toa", F.col("averaged").alias("bad_toa_averaged"),
+    )
+    return t.select("psr").distinct().join(listed, "psr", "left").select("psr", F.when(k % 2 == 0, "NB").otherwise("WB").alias("mode"), ignore.alias("ignore"))
+
+
+@query(f"""with {SET} select ph.psr, ph.toa_id, case when f = 'A_F' and k % 3 = 0 then 'orphaned' when k % 5 = 0 and (pta = '3' or obs = 'P') then 'badgroup' when k % 2 = 0 and mjd < 48700.0 + k then 'mjdstart' when mjd > 52400.0 - k then 'mjdend' when snr < 5 + k % 5 then 'snr'
+ when k % 4 = 1 and f = 'N_O' then 'poorfebe' when k % 7 <> 3 and pout > 0.9 then 'outlier90' when bf.name is not null then 'badfile' when 50000.0 + k < mjd and mjd < 50050.0 + k and (k % 2 = 1 or be = 'F') then 'badrange' when k % 7 = 0 and phase > 0.4 and phase < 0.5 then 'eclipsing'
+ when one.toa_id is not null or two.toa_id is not null then 'badtoa' when av.toa_id is not null then 'badtoa-averaged' end as cut
+ from ph left join bf on ph.psr = bf.psr and ph.name = bf.name left join one on ph.psr = one.psr and ph.toa_id = one.toa_id left join two on ph.psr = two.psr and ph.toa_id = two.toa_id left join av on ph.psr = av.psr and ph.toa_id = av.toa_id""")
+def job_curate_configured(spark, sf_dir):
+    t = settled(toas(spark, sf_dir))
+    orbits = t.select("psr").distinct().select("psr", (F.lit(4.0) + F.substring("psr", 4, 9).cast("int")).alias("pb"), F.lit(50000.0).alias("epoch"))
+    return jobs.ignored(t, _ignore(t), orbits).select("psr", "toa_id", "cut")
+
+
+@query(f"with {SET}, c as (select psr, case when pout > 0.95 then 'outlier10' when snr < 3 then 'epochdrop' when snr < 8 then 'snr' end as cut from toas), n as (select psr, count(*) as total, count(cut) as cut, count(*) filter (cut = 'outlier10') as outlier10, count(*) filter (cut = 'epochdrop') as epochdrop from c group by psr union all select null, count(*), count(cut), count(*) filter (cut = 'outlier10'), count(*) filter (cut = 'epochdrop') from c) "
+       f"select psr, 'rows' as item, unnest(['total', 'cut', 'outlier10', 'epochdrop']) as label, unnest([total, cut, outlier10, epochdrop]) as n from n union all select null, 'bad-toa', 'x', count(*) from toas where toa_id in (97, 98, 40) union all select null, 'bad-file', 'x', count(distinct psr) * {len(FILES)} from toas")
+def job_excision_reports(spark, sf_dir):
+    t = toas(spark, sf_dir)
+    c = F.when(F.col("pout") > 0.95, "outlier10").when(F.col("snr") < 3, "epochdrop").when(F.col("snr") < 8, "snr")
+    return jobs.excision_reports(t.withColumn("cut", c), _ignore(t))
+
+
+@query(f"with {TOAS} select psr, toa_id, case when be = 'F' then f else obs end as f, fe, case when be = 'F' then 'first' else 'P' || pta end as pta, case when be = 'O' then snr end as snr from toas")
+def job_reflag_and_combine(spark, sf_dir):
+    """Two timing arrays: one with flags of the standard, one whose receiver-backend is called sys and which has no array's name."""
+    t = toas(spark, sf_dir)
+    mine = t.filter("be = 'F'").select("psr", "toa_id", F.create_map(F.lit("f"), F.col("f"), F.lit("fe"), F.col("fe"), F.lit("pta"), F.lit("first")).alias("flags"))
+    theirs = t.filter("be = 'O'").select("psr", "toa_id", "snr", F.create_map(F.lit("sys"), F.col("obs"), F.lit("r"), F.col("fe"), F.lit("name"), F.concat(F.lit("P"), "pta")).alias("flags"))
+    both = jobs.reflag_and_combine([(mine, {}), (theirs, {"pta": F.element_at("flags", "name")})])
+    return both.select("psr", "toa_id", *[F.col("flags")[c].alias(c) for c in ("f", "fe", "pta")], "snr")
+
+
+@query(f"with {TOAS}, u as (select 'S' || (o_custkey % 40)::varchar as source, max('run_' || lpad((o_orderkey % 900)::varchar, 3, '0')) as newest from orders group by all), {LOG}, lg as (select config, count(*) filter (entry like '% OOPS: %') as bad, count(*) filter (entry like '% READY\\_FOR: %' escape '\\') as ready from l group by config), r as (select psr, count(distinct pta) as v, min(pta) as first from toas group by psr) "
+       "select 'config' as kind, 'S' || c_custkey::varchar as id, 'not cleared' as problem from customer where c_custkey % 3 = 0 union all select 'log', config, 'unknown tags' from lg where bad > 0 union all select 'log', config, 'not ready' from lg where ready = 0 union all select 'release', psr, 'mixed' from r where v > 1 union all select 'release', psr, 'old' from r where first = '1' union all select 'noise', source, 'stale' from u where newest <> 'run_899'")
+def job_release_state(spark, sf_dir):
+    check = F.create_map(F.lit("toa_outliers"), F.when(F.col("c_custkey") % 3 == 0, "todo"), F.lit("cleared"), F.lit("yes"))
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("config"), check.alias("check"))
+    source = F.concat(F.lit("S"), (F.col("o_custkey") % 40).cast("string"))
+    runs = read(spark, sf_dir, "orders").select(source.alias("source"), F.concat(F.lit("/noise/"), source, F.lit("/run_"), F.lpad((F.col("o_orderkey") % 900).cast("string"), 3, "0"), F.lit("/chain.txt")).alias("path"))
+    used = runs.select("source").distinct().withColumn("used", F.lit("run_899"))
+    return jobs.release_state(c, _log(spark, sf_dir), ["INIT", "READY_FOR", "NOISE", "CURATE"], toas(spark, sf_dir).withColumn("ver", F.col("pta")), ("1",), runs.select("path"), used)
+
+
+SPANS = "sp as (select 'S' || o_custkey::varchar as psr, round_even((40587 + date_diff('day', date '1970-01-01', min(o_orderdate)::date) + 40587 + date_diff('day', date '1970-01-01', max(o_orderdate)::date)) / 2.0::double, 0) as centre from orders group by all)"
+CHECKED = f"with {NAMED}, {SPANS}, {TESTS}, v as (select *, 50000.0::double + length(name) as value from np), h as (select psr, max(value) filter (name = 'PB') as pb, max(value) filter (name = 'FB0') as fb from v group by psr), e as (select v.psr, name, centre, abs(value - centre) as d, coalesce(pb, 1.0::double / fb / 86400.0::double) as period from v join h using (psr) join sp using (psr) where name in ('TASC', 'T0')) "
+
+
+@query(CHECKED + f"""select psr, 'spin' as item, unnest(list_filter([case when not f0_fitted then 'F0' end, case when not f1_fitted then 'F1' end, case when further > 0 then 'further' end], lambda x: x is not null)) as label, unnest(list_filter([case when not f0_fitted then 'not fitted' end, case when not f1_fitted then 'not fitted' end, case when further > 0 then 'more derivatives' end], lambda x: x is not null)) as value from ({ORACLES['spin_check']})
+ union all select psr, 'astrometry', name, problem from ({ORACLES['astrometry_check']}) where not (name = 'FRAME' and problem = 'equatorial') union all select psr, 'astrometry', 'FRAME', 'no frame' from np group by psr having bool_or(name = 'F2') and not bool_or(name in ('ELONG', 'ELAT'))
+ union all select psr, 'binary', name, problem from ({ORACLES['binary_check']}) union all select psr, 'epoch', name, centre::varchar from e where d > 1 + period
+ union all select psr, 'moved', name, 'both' from v where length(name) > 3
+ union all select psr, action, label, 'by F-test' from ({ORACLES['ftest_recommendations']})""")
+def job_timing_checks(spark, sf_dir):
+    """Values are 50000 and the length of the name; the old model's are 50000 with errors of one, so long names have moved."""
+    p, models = named(spark, sf_dir)
+    model = p.withColumns({"value": F.lit(50000.0) + F.length("name"), "uncertainty": F.lit(1.0)})
+    day = (F.lit(40587) + F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))).cast("double")
+    spans = stats.span(read(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("psr"), day.alias("mjd")))
+    return jobs.timing_checks(model, models, model.withColumn("value", F.lit(50000.0)), spans, _tests(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsewright.functions import scalar
-from pulsewright.operators import ftests, noise
+from pulsewright.operators import ftests, noise, params
 from pulsewright.plans.queries_params import NAMED, named
 from pulsewright.plans.registration import query
 from pulsewright.sources.binding import CHAINS, TOAS, chains, read, toas
@@ -95,10 +95,10 @@ def sampling_groups(spark, sf_dir):
     return noise.sampling_groups(_noise(spark, sf_dir))
 
 
-@query(f"with {NOISE}, best as (select psr, name, value from np2 where ord % 3 = 0) select n.psr, n.name, coalesce(b.value, -5.0::double) as start, b.value is not null as from_chain from np2 n left join best b using (psr, name)")
+@query(f"with {NOISE}, best as (select psr, name, value from np2 where ord % 3 = 0) select n.psr, n.name, coalesce(b.value, -10.0::double + ('0x' || substr(md5('7/' || n.psr || '/' || n.name), 1, 8))::bigint::double / 4294967296.0::double * 10.0::double) as start, b.value is not null as from_chain from np2 n left join best b using (psr, name)")
 def start_values(spark, sf_dir):
     n = _noise(spark, sf_dir)
-    return noise.start_values(n, n.filter("ord % 3 = 0"), F.lit(-10.0), F.lit(0.0))
+    return noise.start_values(n, n.filter("ord % 3 = 0"), F.lit(-10.0), F.lit(0.0), seed=7)
 
 
 TESTS = "t as (select 'S' || (o_custkey % 60)::varchar as psr, (['M2+SINI', 'PX', 'FD' || (1 + o_orderkey % 4)::varchar, 'F2', 'PBDOT'])[1 + (o_orderkey % 5)::int] as label, case when o_orderkey % 5 = 2 then 'FD' else 'other' end as family, case when o_orderkey % 2 = 0 then 'add' else 'remove' end as action, o_totalprice as chi2, 100 + o_orderkey % 50 as dof, case when o_orderkey % 11 <> 0 then (o_orderkey % 997)::double / 99700.0::double end as ft, o_orderkey as ord from orders)"
@@ -115,8 +115,7 @@ def ftest_report_marks(spark, sf_dir):
     return ftests.report_lines(_tests(spark, sf_dir)).groupBy("psr", "label", "mark").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {TESTS} select psr, 'remove' as action, label from t where action = 'remove' and ft > 0.0027 and label <> 'PX' union all select psr, 'add', label from t where action = 'add' and ft <= 0.0027 and ft > 0 and label <> 'F2' and family <> 'FD' "
-       "union all select psr, 'add', arg_min(label, {'ft': ft, 'ord': ord}) from t where action = 'add' and ft <= 0.0027 and ft > 0 and family = 'FD' group by psr")
+@query(f"with {TESTS}, said as (select * from t where (action = 'remove' and ft > 0.0027 and label <> 'PX') or (action = 'add' and ft <= 0.0027 and ft > 0 and label <> 'F2')) select psr, action, label from said where family <> 'FD' union all select psr, action, arg_min(label, {{'ft': ft, 'ord': ord}}) from said where family = 'FD' group by psr, action")
 def ftest_recommendations(spark, sf_dir):
     return ftests.recommend(_tests(spark, sf_dir))
 
@@ -176,9 +175,89 @@ def reduced_chi2(spark, sf_dir):
     return ftests.reduced_chi2(c)
 
 
-@query(f"with {TOAS}, c as (select psr, sum(pow(resid_us / err_us, 2)) as after, sum(pow(resid_us / err_us, 2)) + case (psr[4:])::int % 3 when 0 then 0.0 when 1 then 0.005 else 5.0 end as before from toas group by psr) select psr, case when before - after < 0 then 'increasing' when before - after = 0 then 'converged' when before - after < 0.01 then 'probably converged' else 'may not have converged' end as status from c")
+@query(f"with {TOAS}, a as (select psr, (psr[4:])::int % 4 as k, count(*)::double as after from toas group by psr), c as (select *, after + (case k when 0 then 0.0 when 1 then 0.5 when 2 then -0.5 else 0.25 end)::double as before from a) select psr, before - after as decrease, case when k = 3 then 'converged' when abs(before - after) < 0.01 then 'probably converged' when before < after then 'increased' else 'may not have converged' end as status, before - after <= 0.01 as fully_fitted from c")
 def fit_status(spark, sf_dir):
-    c = toas(spark, sf_dir).groupBy("psr").agg(F.sum(F.pow(F.col("resid_us") / F.col("err_us"), 2)).alias("after"))
-    k = F.substring("psr", 4, 9).cast("int") % 3
-    d = F.col("after") + F.when(k == 0, 0.0).when(k == 1, 0.005).otherwise(5.0) - F.col("after")
-    return c.select("psr", F.when(d < 0, "increasing").when(d == 0, "converged").when(d < 0.01, "probably converged").otherwise("may not have converged").alias("status"))
+    k = F.substring("psr", 4, 9).cast("int") % 4
+    c = toas(spark, sf_dir).groupBy("psr").agg(F.count(F.lit(1)).cast("double").alias("after"))
+    return params.fit_status(c.withColumn("before", F.col("after") + F.when(k == 0, 0.0).when(k == 1, 0.5).when(k == 2, -0.5).otherwise(0.25)).withColumn("converged", F.when(k == 3, True)))
+
+
+SIGNAL_NAMES = ["dm_gp_log10_A", "dm_gp_gamma", "chrom_gp_log10_A", "chrom_gp_idx", "n_earth", "red_noise_log10_A", "red_noise_gamma", "x_log10_ecorr", "sw_gp_log10_A", "sw_gp_gamma", "exp_a"]
+SIGNALS = "sg as (select 'S' || (p_partkey // 8)::varchar as psr, p_partkey as ord, 'S' || (p_partkey // 8)::varchar || '_' || (" + str(SIGNAL_NAMES) + ")[1 + (p_partkey * 5 % 11)::int] as name, p_size::double / -10.0::double as value from part)"
+
+
+def _signals(spark, sf_dir):
+    """Eight parts in a row are a source, each one of eleven parameters."""
+    psr = F.concat(F.lit("S"), F.expr("p_partkey div 8").cast("string"))
+    name = F.element_at(F.array(*map(F.lit, SIGNAL_NAMES)), (F.col("p_partkey") * 5 % 11 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select(psr.alias("psr"), F.col("p_partkey").alias("ord"), F.concat_ws("_", psr, name).alias("name"), (F.col("p_size") / F.lit(-10.0)).alias("value"))
+
+
+@query(f"with {SIGNALS}, h as (select *, bool_or(name like '%\\_n\\_earth' escape '\\') over (partition by psr) as sw, bool_or(contains(name, 'chrom')) over (partition by psr) as ch, contains(name, 'dm_gp') as d, contains(name, 'chrom_gp') as g, contains(name, 'chrom') as c, contains(name, 'n_earth') as s from sg), "
+       "l as (select psr, ord, unnest(['all', case when contains(name, 'red_noise') then 'red' end, case when d then 'dm' end, case when name like '%ecorr' then 'x' end, case when sw and (d or s) then 'dm, wind' end, case when sw and ch and (g or s) then 'chrom, wind' end, case when sw and ch and (d or c or s) then 'dm, chrom, wind' end, case when ch and (d or c) then 'dm, chrom' end]) as grp from h) select psr, grp, list_sort(list(ord)) as idx from l where grp is not null group by all")
+def sampling_groups_chromatic(spark, sf_dir):
+    return noise.sampling_groups(_signals(spark, sf_dir))
+
+
+@query(f"with {SIGNALS}, v as (select psr, max(value) filter (name = psr || '_n_earth') as n, max(value) filter (name = psr || '_dm_gp_log10_A') as da, max(value) filter (name = psr || '_dm_gp_gamma') as dg, max(value) filter (name = psr || '_chrom_gp_log10_A') as ca, max(value) filter (name = psr || '_red_noise_log10_A') as ra, max(value) filter (name = psr || '_red_noise_gamma') as rg, max(value) filter (name = psr || '_sw_gp_log10_A') as wa, max(value) filter (name = psr || '_sw_gp_gamma') as wg from sg group by psr), "
+       "a as (select *, 86400.0::double * 365.24::double * 1e6::double / (2.0::double * pi() * sqrt(3.0::double)) as s from v), r as (select psr, 'NE_SW' as kind, n as value, n is not null as there from a union all select psr, 'RNAMP', s * pow(10.0::double, ra), ra is not null and (psr[2:])::int % 2 = 0 from a union all select psr, 'RNIDX', -rg, ra is not null and (psr[2:])::int % 2 = 0 from a "
+       "union all select psr, 'TNDMAMP', s * pow(10.0::double, da), da is not null from a union all select psr, 'TNDMGAM', -dg, da is not null from a union all select psr, 'TNDMC', 100, da is not null from a union all select psr, 'TNCMAMP', s * pow(10.0::double, ca), ca is not null from a union all select psr, 'TNCMGAM', null, ca is not null from a union all select psr, 'TNCMC', 100, ca is not null from a union all select psr, 'TNSWAMP', s * pow(10.0::double, wa), wa is not null from a union all select psr, 'TNSWGAM', -wg, wa is not null from a union all select psr, 'TNSWC', 10, wa is not null from a) select psr, kind, round(value, 1) as value from r where there")
+def noise_signal_rows(spark, sf_dir):
+    s = _signals(spark, sf_dir)
+    keep = s.select("psr").distinct().withColumn("keep", F.substring("psr", 2, 9).cast("int") % 2 == 0)
+    return noise.signal_rows(s, keep).withColumn("value", F.round("value", 1))
+
+
+PLACES = ["dm_gp_a", "chrom_gp_a", "red_noise_a", "ecorr_a", "efac_a", "chrom_gp_idx_a", "dm_s1yr_a", "exp_a"]
+PAIRS = "nm as (select c.chain, p.pos::int as pos, (" + str(PLACES) + ")[1 + (p.pos % 8)::int] as name from (select distinct chain from chains) c, range(24) p(pos)), fam as (select chain, pos, unnest(list_filter(['dm_gp', 'chrom_gp', 'red_noise', 'ecorr', 'chrom_s1yr', 'dm_s1yr', 'exp'], lambda f: contains(name, f))) as fam from nm where not contains(name, 'chrom_gp_idx')), pr as (select distinct a.chain, a.pos as i, b.pos as j from fam a join fam b on a.chain = b.chain and ((a.fam = b.fam and a.pos < b.pos) or (a.fam = 'ecorr' and b.fam = 'dm_gp') or (a.fam = 'dm_gp' and b.fam = 'chrom_gp')))"
+
+
+def _pairs(spark, sf_dir):
+    c = chains(spark, sf_dir)
+    pos = c.select("chain").distinct().select("chain", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("pos"))
+    return c, noise.family_pairs(pos.withColumn("name", F.element_at(F.array(*map(F.lit, PLACES)), F.col("pos") % 8 + 1)))
+
+
+@query(f"with {CHAINS}, {PAIRS} select * from pr")
+def empirical_family_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)[1]
+
+
+@query(f"with {CHAINS}, {PAIRS}, p as (select chain, i, j, vals[i + 1] as x, vals[j + 1] as y from pr join chains using (chain)), e as (select *, min(x) over w as lx, max(x) over w as hx, min(y) over w as ly, max(y) over w as hy from p window w as (partition by chain, i, j)) "
+       "select chain, i, j, least(floor((x - lx) / nullif((hx - lx) / 80.0::double, 0)), 79)::int as bi, least(floor((y - ly) / nullif((hy - ly) / 80.0::double, 0)), 79)::int as bj, count(*) as n from e group by all")
+def empirical_distributions_families(spark, sf_dir):
+    return noise.joint_histograms(*_pairs(spark, sf_dir))
+
+
+@query(f"with {CHAINS}, h as (select *, case when sample % 2 = 0 then 'now' else 'past' end as run from chains where chain <> 'c3'), v as (select chain, run, unnest(range(len(vals)))::int as pos, unnest(vals) as x from h), e as (select *, min(x) over w as lo, max(x) over w as hi from v window w as (partition by chain, run, pos)) select chain, run, pos, (case when hi > lo then least(floor((x - lo) / ((hi - lo) / 20.0::double)), 19) else 0 end)::int as bin, count(*) as n from e group by all")
+def chain_run_histograms(spark, sf_dir):
+    """Even samples are the run of now, odd ones the past run; chain c3 has another parameter list in the past."""
+    c = chains(spark, sf_dir)
+    names = c.select("chain").distinct().withColumn("names", F.array(F.lit("a"), F.lit("b")))
+    past = names.withColumn("names", F.when(F.col("chain") == "c3", F.array(F.lit("a"))).otherwise(F.col("names")))
+    return noise.run_histograms(c.filter("sample % 2 = 0"), c.filter("sample % 2 = 1"), names, past)
+
+
+@query(f"with {TESTS} select psr, label, case when o % 13 = 0 then printf('%-12s %12s %5d %s', label, 'NaN', dof, 'NaN') else printf('%-12s %12.4f %5d %s', label, chi2, dof, case when ft is null then 'xxx' when ft < 0.0027 then '***' else '--' end) end as line from (select *, ord as o from t)")
+def ftest_report_lines(spark, sf_dir):
+    t = _tests(spark, sf_dir).withColumn("chi2", F.when(F.col("ord") % 13 != 0, F.col("chi2")))
+    return ftests.report_lines(t).select("psr", "label", "line")
+
+
+@query(f"with {NAMED}, fb as (select psr, count(distinct name)::int as n from np where regexp_full_match(name, 'FB[0-9]+') group by psr) select psr, 'add' as action, 'F2' as label from md union all select psr, 'remove', 'PX' from md where model <> 'DDK' union all select psr, 'remove', 'FB' || k::varchar || '+' from fb join md using (psr), range(1, 6) r(k) where model = 'ELL1' and k < n union all select psr, 'add', 'FB' || k::varchar from fb join md using (psr), range(1, 6) r(k) where model = 'ELL1' and k >= n")
+def ftest_other_candidates(spark, sf_dir):
+    p, models = named(spark, sf_dir)
+    return ftests.other_candidates(models, p)
+
+
+@query(f"with {GRAMS}, s as (select psr, sum(w) as sw, sum(w * t) as st, sum(w * t * t) as stt from d group by psr) select psr, round(sqrt(stt / (sw * stt - st * st)), 6) as base, round(sqrt(sw / (sw * stt - st * st)), 6) as slope from s")
+def fit_uncertainties(spark, sf_dir):
+    u = ftests.uncertainties(ftests.grams(_design(spark, sf_dir), ["psr"], DESIGN), [0, 1])
+    return u.select("psr", F.round(F.col("sigma")[0], 6).alias("base"), F.round(F.col("sigma")[1], 6).alias("slope"))
+
+
+@query(f"with {TOAS}, d as (select psr, toa_id, resid_us as y, 1.0::double / (err_us * err_us) as w, (mjd - 50500.0) / 1000.0 as t from toas), s as (select psr, sum(w) as sw, sum(w * t) as st, sum(w * t * t) as stt, sum(w * y) as sy, sum(w * t * y) as sty from d group by psr), b as (select psr, (sw * sty - st * sy) / (sw * stt - st * st) as slope, (stt * sy - st * sty) / (sw * stt - st * st) as base from s) select psr, toa_id, round(y - base - slope * t, 4) as post from d join b using (psr)")
+def post_fit_residuals(spark, sf_dir):
+    rows = toas(spark, sf_dir).select("psr", "toa_id", F.col("resid_us").alias("y"), (1 / (F.col("err_us") * F.col("err_us"))).alias("w"), F.lit(1.0).alias("one"), ((F.col("mjd") - 50500.0) / 1000.0).alias("t"))
+    fits = ftests.fit(ftests.grams(rows, ["psr"], ["one", "t"]))
+    return ftests.post_fit(rows, fits, ["one", "t"]).select("psr", "toa_id", F.round("post", 4).alias("post"))

@@ -95,10 +95,12 @@ def spin_check(spark, sf_dir):
     return P.spin_check(named(spark, sf_dir)[0])
 
 
-@query(f"with {NAMED}, w as (select distinct psr, n as name from np, (values ('ELONG'), ('ELAT'), ('PMELONG'), ('PMELAT'), ('PX')) v(n)) select * from (select w.psr, w.name, case when np.frozen is null then 'missing' when np.frozen then 'not fitted' end as problem from w left join np using (psr, name)) where problem is not null")
+@query(f"with {NAMED}, w as (select distinct psr, n as name from np, (values ('ELONG'), ('ELAT'), ('PMELONG'), ('PMELAT'), ('PX')) v(n)) select * from (select w.psr, w.name, case when np.frozen is null then 'missing' when np.frozen then 'not fitted' end as problem from w left join np using (psr, name)) where problem is not null "
+       "union all select psr, 'FRAME', case when bool_or(name = 'F2') then 'equatorial' else 'no frame' end from np group by psr having bool_or(name = 'F2') or not bool_or(name in ('ELONG', 'ELAT'))")
 def astrometry_check(spark, sf_dir):
+    """A source with F2 gets a RAJ beside it, which makes it equatorial."""
     p, _ = named(spark, sf_dir)
-    return P.required(p, p, ["ELONG", "ELAT", "PMELONG", "PMELAT", "PX"])
+    return P.astrometry_check(p.union(p.filter("name = 'F2'").withColumn("name", F.lit("RAJ"))), p)
 
 
 RULES = "need(model, name) as (values " + ", ".join(f"('{m}', '{n}')" for m, (r, _, _) in P.BINARY_RULES.items() for n in r) + "), opt(model, name) as (values " + ", ".join(f"('{m}', '{n}')" for m, (_, o, _) in P.BINARY_RULES.items() for n in o) + "), pr(model, a, b) as (values " + ", ".join(f"('{m}', '{a}', '{b}')" for m, (*_, p) in P.BINARY_RULES.items() for a, b in p) + ")"
@@ -140,12 +142,9 @@ def model_dmx_params(spark, sf_dir):
     return P.dmx_params(P.replace_dmx(base, _dmx(spark, sf_dir)))
 
 
-@query(f"with d as ({DMX}) select psr, idx, (r1 + r2) / 2 as epoch, val - avg(val) over (partition by psr) as val, err from d".replace("val - avg(val) over (partition by psr) as val", "round(val - avg(val) over (partition by psr), 6) as val"))
+@query(f"with d as ({DMX}) select psr, idx, (r1 + r2) / 2 as epoch, ((r1 + r2) / 2 - 51544.0::double) / 365.25::double + 2000.0::double as year, round(val - avg(val) over (partition by psr), 6) as val, err, r1, r2 from d")
 def dmx_time_series(spark, sf_dir):
-    from pyspark.sql import Window
-
-    d = _dmx(spark, sf_dir).withColumn("err", F.coalesce("err", F.lit(0.0)))
-    return d.select("psr", "idx", ((F.col("r1") + F.col("r2")) / 2).alias("epoch"), F.round(F.col("val") - F.avg("val").over(Window.partitionBy("psr")), 6).alias("val"), "err")
+    return P.dmx_series(_dmx(spark, sf_dir), less_mean=True)
 
 
 @query(f"with d as ({DMX}), m as (select psr, sum(val / (err * err)) / sum(1.0::double / (err * err)) as m, 1.0::double / sqrt(sum(1.0::double / (err * err))) as e from d where err <> 0 group by psr) select psr, round(m, 6) as mean, round(e, 6) as mean_err, abs(m / e) > 1 as adjust from m")
@@ -170,21 +169,26 @@ def convert_equads(spark, sf_dir):
     return P.convert_equads(p.select("psr", "mask_key", "mask_value", "x.name", "x.value")).select("psr", "mask_key", "mask_value", "value")
 
 
-@query(f"with {TOAS}, e as (select psr, min(mjd) as a, max(mjd) as b from toas group by psr), c as (select psr, round_even((a + b) / 2, 0) as centre, 50000.0::double + (psr[4:])::int * 20 as pepoch, 0.5::double + (psr[4:])::int as pb from e) select psr, abs(pepoch - centre) > 1 as pepoch_far, abs(pepoch - centre) > 1 + pb as t0_far from c")
+@query(f"with {TOAS}, e as (select psr, (psr[4:])::int as k, round_even((min(mjd) + max(mjd)) / 2, 0) as centre from toas group by psr), p as (select psr, centre, 50000.0::double + k * 20 as value, case when k % 2 = 0 then 0.5::double + k else 1.0::double / (1.0::double / ((0.5::double + k) * 86400.0::double)) / 86400.0::double end as pb from e) "
+       "select psr, 'PEPOCH' as name, value, centre from p where abs(value - centre) > 1 union all select psr, 'T0', value, centre from p where abs(value - centre) > 1 + pb")
 def reference_epochs(spark, sf_dir):
     from pulsewright.operators import stats
 
+    s = stats.span(toas(spark, sf_dir))
     k = F.substring("psr", 4, 9).cast("int")
-    c = stats.span(toas(spark, sf_dir)).withColumn("pepoch", F.lit(50000.0) + k * 20).withColumn("pb", F.lit(0.5) + k)
-    d = F.abs(F.col("pepoch") - F.col("centre"))
-    return c.select("psr", (d > 1).alias("pepoch_far"), (d > 1 + F.col("pb")).alias("t0_far"))
+    row = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    period = F.lit(0.5) + k
+    made = F.array(row("PEPOCH", F.lit(50000.0) + k * 20), row("T0", F.lit(50000.0) + k * 20), F.when(k % 2 == 0, row("PB", period)).otherwise(row("FB0", 1 / (period * 86400.0))))
+    return P.far_epochs(s, s.select("psr", F.inline(made)))
 
 
-@query(f"with {TWO}, x as (select a.psr, a.name, (a.value - b.value) / nullif(a.uncertainty, 0) as s from a join b using (psr, name)) select psr, arg_max(name, struct_pack(v := abs(s), n := name)) as name, round(max(abs(s)), 9) as sigmas, max(abs(s)) > 0.1 as warn from x where s is not null group by psr")
+@query(f"with {TWO}, y as (select a.psr, a.name, a.value, a.uncertainty, split_part(a.name, '_', -1)::int as ord, b.value as initial from a left join b using (psr, name)), x as (select *, abs((initial - value) / nullif(uncertainty, 0)) as s from y) "
+       "select psr, arg_max(name, struct_pack(v := s, o := ord)) filter (s is not null) as name, max(s) as sigmas, count(*) filter (s > 0.1) as warned, count(*) filter (initial is null) as unset from x group by psr")
 def largest_change(spark, sf_dir):
-    b = params(spark, sf_dir, 3).select("psr", "name", F.col("value").alias("old"))
-    x = params(spark, sf_dir).join(b, ["psr", "name"]).withColumn("s", F.abs((F.col("value") - F.col("old")) / F.nullif(F.col("uncertainty"), F.lit(0.0)))).filter("s is not null")
-    return x.groupBy("psr").agg(F.max_by("name", F.struct("s", "name")).alias("name"), F.round(F.max("s"), 9).alias("sigmas"), (F.max("s") > 0.1).alias("warn"))
+    """Values that the other model lacks are unset."""
+    b = params(spark, sf_dir, 3).select("psr", "name", F.col("value").alias("initial"))
+    fitted = params(spark, sf_dir).join(b, ["psr", "name"], "left").withColumn("ord", F.regexp_extract("name", r"_(\d+)$", 1).cast("int"))
+    return P.largest_change(fitted)
 
 
 CFG = "c as (select 'S' || (c_custkey % 60)::varchar || case when c_custkey % 2 = 0 then '.nb.yaml' else '.wb.yaml' end as config, c_nationkey as result, c_mktsegment as tag, c_custkey from customer)"
@@ -278,3 +282,72 @@ def set_config_field(spark, sf_dir):
 
     c = read(spark, sf_dir, "customer").select(F.concat(F.lit("S"), F.col("c_custkey").cast("string"), F.lit(".nb")).alias("config"), F.col("c_mktsegment").alias("tag"), F.array(F.lit("a")).alias("changelog"), "c_custkey")
     return audit.set_field(c, "tag", F.lit("unset"), F.col("c_custkey") % 2 == 0, "set").drop("c_custkey")
+
+
+@query("with s as (select 'S' || c_custkey::varchar as psr, k, case k when 'EPHEM' then case when c_nationkey < 20 then 'DE440' else 'DE421' end when 'CLOCK' then c_mktsegment when 'PLANETS' then case when c_custkey % 2 = 0 then 'Y' end end as value from customer, (values ('EPHEM'), ('CLOCK'), ('PLANETS')) v(k)) select psr, k as key, case when k = 'PLANETS' then 'Y' else value end as value from s")
+def settings_corrected(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").withColumn("key", F.explode(F.array(*map(F.lit, ("EPHEM", "CLOCK", "PLANETS")))))
+    value = F.when(F.col("key") == "EPHEM", F.when(F.col("c_nationkey") < 20, "DE440").otherwise("DE421")).when(F.col("key") == "CLOCK", F.col("c_mktsegment")).otherwise(F.when(F.col("c_custkey") % 2 == 0, "Y"))
+    expected = spark.createDataFrame([("EPHEM", "DE440"), ("PLANETS", "Y")], "key string, expected string")
+    return P.corrected_settings(c.select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("psr"), "key", value.alias("value")), expected, ["PLANETS"]).select("psr", "key", "value")
+
+
+def _log(spark, sf_dir):
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 700).cast("int")), "yyyy-MM-dd")
+    tag = F.when(F.col("c_custkey") % 5 == 0, "READY_FOR").when(F.col("c_custkey") % 5 == 1, "NOISE").when(F.col("c_custkey") % 5 == 2, "OOPS").otherwise("CURATE")
+    entry = F.concat(day, F.lit(" user"), F.col("c_nationkey").cast("string"), F.lit(" "), tag, F.lit(": v"), (F.col("c_custkey") % 9).cast("string"))
+    return read(spark, sf_dir, "customer").select(F.concat(F.lit("S"), (F.col("c_custkey") % 60).cast("string")).alias("config"), entry.alias("entry"))
+
+
+@query(f"with {LOG}, m as (select config, max(struct_pack(d := entry[1:10], e := entry)) as m from l where entry like '% READY\\_FOR: %' escape '\\' group by config) select config, m.d as day, regexp_extract(m.e, ' READY_FOR: (.*)$', 1) as version from m")
+def changelog_ready(spark, sf_dir):
+    from pulsewright.operators import audit
+
+    return audit.ready_versions(_log(spark, sf_dir))
+
+
+@query(f"with {LOG} select config, list_sort(list(entry)) || case when config <> 'S7' then ['2021-01-01 me NOISE: run'] else []::varchar[] end as changelog from l group by config")
+def changelog_append(spark, sf_dir):
+    from pulsewright.operators import audit
+
+    c = _log(spark, sf_dir).groupBy("config").agg(F.sort_array(F.collect_list("entry")).alias("changelog"))
+    return audit.append_entry(c, "NOISE", "run", "me", "2021-01-01", F.col("config") != "S7", ["INIT", "NOISE"])
+
+
+MADE = "k as (select c_custkey, 'S' || c_custkey::varchar as source, case when c_custkey % 2 = 0 then 'nb' else 'wb' end as mode, case when c_custkey % 7 <> 0 then 'p' || c_nationkey::varchar end as timing_model, case when c_custkey % 3 = 0 then 'p' || (c_nationkey + 1)::varchar end as compare_model from customer), q as (select *, source || '.' || case when c_custkey % 11 = 0 then 'xb' else mode end || '.yaml' as config from k)"
+
+
+@query(f"with {MADE}, f as (select 'p' || n_nationkey::varchar as file from nation where n_regionkey <> 2) select config, 'name' as problem from q where c_custkey % 11 = 0 union all select config, 'no model' from q where timing_model is null union all select config, 'model missing' from q where timing_model is not null and timing_model not in (from f) union all select config, 'comparison missing' from q where compare_model is not null and compare_model not in (from f)")
+def config_result_problems(spark, sf_dir):
+    from pulsewright.operators import audit
+
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    c = read(spark, sf_dir, "customer").select(
+        k, F.concat(F.lit("S"), k.cast("string")).alias("source"), F.when(k % 2 == 0, "nb").otherwise("wb").alias("mode"), F.when(k % 7 != 0, F.concat(F.lit("p"), n.cast("string"))).alias("timing_model"), F.when(k % 3 == 0, F.concat(F.lit("p"), (n + 1).cast("string"))).alias("compare_model")
+    )
+    c = c.withColumn("config", F.concat("source", F.lit("."), F.when(k % 11 == 0, "xb").otherwise(F.col("mode")), F.lit(".yaml")))
+    files = read(spark, sf_dir, "nation").filter("n_regionkey <> 2").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("file"))
+    return audit.result_problems(c, files)
+
+
+@query(f"with {CFG}, f as (select config, 'r' || result::varchar || case when c_custkey % 4 = 0 then '.wb.tim' else '.tim' end as file from c), g as (select config, 'r' || ((result + case when c_custkey % 10 = 0 then 1 else 0 end) % 25)::varchar || case when c_custkey % 4 = 0 then '.wb.tim' else '.tim' end as file from c), d as (select config, 1 as a, 0 as b from (from (from f where not contains(file, 'wb')) except from (from g where not contains(file, 'wb'))) union all select config, 0, 1 from (from (from g where not contains(file, 'wb')) except from (from f where not contains(file, 'wb')))) select config, sum(a)::bigint as only_config, sum(b)::bigint as only_release from d group by config")
+def config_changed_files(spark, sf_dir):
+    from pulsewright.operators import audit
+
+    c = _configs(spark, sf_dir)
+    name = lambda x: F.concat(F.lit("r"), x.cast("string"), F.when(F.col("c_custkey") % 4 == 0, ".wb.tim").otherwise(".tim"))
+    g = c.select("config", name((F.col("result") + F.when(F.col("c_custkey") % 10 == 0, 1).otherwise(0)) % 25).alias("file"))
+    own = c.select("config", name(F.col("result")).alias("file"))
+    return audit.changed_configs(audit.file_differences(audit.of_mode(own, "nb"), audit.of_mode(g, "nb")))
+
+
+@query("select 'S' || c_custkey::varchar as psr, case when c_custkey % 2 = 0 then ['mjdstart'] else []::varchar[] end as invalid, case when c_custkey % 2 = 0 then ['mjd-start'] else []::varchar[] end as missing, case when c_nationkey % 3 = 0 then ['snr-cut'] else []::varchar[] end as empty, (c_nationkey % 3)::int as bad_toa, 1 as bad_file from customer")
+def rule_key_problems(spark, sf_dir):
+    from pulsewright.operators import audit
+
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    keys = F.array(F.lit("snr-cut"), F.when(k % 2 == 0, "mjdstart").otherwise("mjd-start"))
+    toa, file = F.struct(F.lit("f").alias("name"), F.lit(1).alias("chan")), F.struct(F.lit("x").alias("pattern"))
+    ignore = F.struct(keys.alias("keys"), F.when(n % 3 == 0, F.array(F.lit("snr-cut"))).otherwise(F.array().cast("array<string>")).alias("null_keys"), F.array_repeat(toa, (n % 3).cast("int")).alias("bad_toa"), F.array(file).alias("bad_file"))
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("S"), k.cast("string")).alias("psr"), ignore.alias("ignore"))
+    return audit.key_problems(c, ["snr-cut", "mjd-start"]).select("psr", "invalid", "missing", "empty", *[F.col("entries")[x].alias(x) for x in ("bad_toa", "bad_file")])

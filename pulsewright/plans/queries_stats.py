@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsewright.functions import scalar
@@ -95,8 +94,7 @@ def epoch_average(spark, sf_dir):
 
 @query(f"with {TOAS} select psr, toa_id, row_number() over (partition by psr order by mjd, toa_id) as serial, toa_id = min(toa_id) over (partition by psr, name) as first_of_file from toas")
 def serial_numbers(spark, sf_dir):
-    t = toas(spark, sf_dir)
-    return t.select("psr", "toa_id", F.row_number().over(Window.partitionBy("psr").orderBy("mjd", "toa_id")).cast("long").alias("serial"), (F.col("toa_id") == F.min("toa_id").over(Window.partitionBy("psr", "name"))).alias("first_of_file"))
+    return stats.serials(toas(spark, sf_dir))
 
 
 @query(f"with {TOAS} select psr, toa_id, (mjd - 51544.0::double) / 365.25::double + 2000.0::double as year from toas")
@@ -120,30 +118,31 @@ def residual_significance(spark, sf_dir):
 
 @query(f"with {TOAS} select psr, list_sort(list(distinct fe) filter (fe <> 'N')) as receivers from toas group by psr")
 def distinct_receivers(spark, sf_dir):
-    return toas(spark, sf_dir).filter("fe <> 'N'").groupBy("psr").agg(F.sort_array(F.collect_set("fe")).alias("receivers"))
+    return stats.flag_values(toas(spark, sf_dir), ["fe"], ("N",)).withColumnRenamed("vals", "receivers")
 
 
-@query(f"with {TOAS} select psr, count(distinct pta) as versions, count(distinct pta) > 1 as mixed, min(pta) as oldest from toas group by psr")
+@query(f"with {TOAS} select psr, count(distinct pta) as versions, count(distinct pta) > 1 as mixed, min(pta) as first, min(pta) = '1' as is_old from toas group by psr")
 def release_versions(spark, sf_dir):
-    return toas(spark, sf_dir).groupBy("psr").agg(F.count_distinct("pta").alias("versions"), F.min("pta").alias("oldest")).withColumn("mixed", F.col("versions") > 1)
+    return stats.release_check(toas(spark, sf_dir), "pta", ("1",))
 
 
-@query(f"with {TOAS}, b as (select psr, bool_or(be = 'O') as old, bool_or(be = 'F') as new, min(mjd) filter (be = 'F') as first_new from toas group by psr) select psr, case when old and new then first_new end as mark from b")
+@query(f"with {TOAS} select psr, 'O' as old, 'F' as new, 2010.1::double as year from toas group by psr having bool_or(be = 'O') and bool_or(be = 'F')")
 def backend_transition(spark, sf_dir):
-    b = toas(spark, sf_dir).groupBy("psr").agg(F.bool_or(F.col("be") == "O").alias("old"), F.bool_or(F.col("be") == "F").alias("new"), F.min(F.when(F.col("be") == "F", F.col("mjd"))).alias("first_new"))
-    return b.select("psr", F.when(F.col("old") & F.col("new"), F.col("first_new")).alias("mark"))
+    return stats.transitions(toas(spark, sf_dir), [("O", "F", 2010.1), ("O", "none", 2012.1)])
 
 
-@query(f"with {TOAS} select psr, min(chan * 256) as nbin, 0.005::double / min(chan * 256) as one_bin from toas group by psr")
+@query(f"with {TOAS} select psr, min(chan * 256) as nbin, 1.0::double / (200.0::double + (psr[4:])::int) / min(chan * 256) as one_bin from toas group by psr")
 def least_nbin(spark, sf_dir):
-    return toas(spark, sf_dir).groupBy("psr").agg(F.min(F.col("chan") * 256).alias("nbin")).withColumn("one_bin", F.lit(0.005) / F.col("nbin"))
+    t = toas(spark, sf_dir).withColumn("nbin", F.col("chan") * 256)
+    spins = t.select("psr").distinct().withColumn("f0", F.lit(200.0) + F.substring("psr", 4, 9).cast("int"))
+    return stats.least_bins(t, spins)
 
 
-@query(f"with {TOAS}, a as (select psr, 'avg' as kind, mjd, resid_us from toas where pta <> '1'), b as (select psr, 'single' as kind, mjd, resid_us from toas where pta = '1') select * from a union all select * from b")
+@query(f"with {TOAS}, others as (select * from toas where pta <> '1'), {GROUPS.format(k='psr, f', w='1.5::double', t='others')} select psr, f, grp, count(*) as n, round(sum(mjd / (err_us * err_us)) / sum(1.0::double / (err_us * err_us)), 6) as mjd, round(sum(freq_mhz / (err_us * err_us)) / sum(1.0::double / (err_us * err_us)), 6) as freq_mhz, "
+       "round(sum(resid_us / (err_us * err_us)) / sum(1.0::double / (err_us * err_us)), 6) as resid_us, round(sqrt(1.0::double / sum(1.0::double / (err_us * err_us)) + 0.25::double), 6) as err_us, min(toa_id) as first_toa from g group by all "
+       "union all select psr, f, null, 1, round(mjd, 6), round(freq_mhz, 6), round(resid_us, 6), round(err_us, 6), toa_id from toas where pta = '1'")
 def averaged_and_single(spark, sf_dir):
-    t = toas(spark, sf_dir)
-    one = lambda kind, where: t.filter(where).select("psr", F.lit(kind).alias("kind"), "mjd", "resid_us")
-    return one("avg", "pta <> '1'").unionByName(one("single", "pta = '1'"))
+    return stats.averaged_and_single(toas(spark, sf_dir), F.col("pta") == "1", 1.5, 0.5)
 
 
 @query(f"with {TOAS}, a as (select distinct psr, floor(mjd)::bigint as day from toas where be = 'F'), b as (select distinct psr, floor(mjd)::bigint as day from toas where be = 'O') select psr, day, 'both' as kind from (from a intersect from b) union all select psr, day, 'first' from (from a except from b) union all select psr, day, 'second' from (from b except from a)")
@@ -162,9 +161,61 @@ def reflag(spark, sf_dir):
     return t.withColumn("new", new).select("psr", "toa_id", *[F.col("new")[c].alias(c) for c in ("f", "fe", "proc", "pta")])
 
 
-@query(f"with {TOAS} select psr, f, count(*) as n from toas where pta in ('1', '2') group by all")
+@query(f"with {TOAS} select psr, pta, case when pta = '1' then f else obs end as pair, count(*) as n from toas group by all")
 def febe_pairs(spark, sf_dir):
-    return toas(spark, sf_dir).filter("pta in ('1', '2')").groupBy("psr", "f").agg(F.count(F.lit(1)).alias("n"))
+    return stats.febe_pairs(toas(spark, sf_dir), "1", other="obs")
+
+
+@query(f"with {TOAS}, h as (select psr, f from toas group by all having count(distinct name) <= 3), w as (select distinct psr, 'A_F' as f from toas) select psr, f, 'add' as change from (from h except from w) union all select psr, f, 'remove' from (from w except from h)")
+def orphaned_receiver_changes(spark, sf_dir):
+    t = toas(spark, sf_dir)
+    return stats.listed_receivers(t, t.select("psr", F.lit("A_F").alias("f")))
+
+
+BAD_FILES = f"{TOAS}, e as (select distinct psr, name, chan, subint from toas where snr < 20), n as (select psr, name, count(*) as n from toas group by all), b as (select t.psr, t.name, count(*) as bad from toas t semi join e using (psr, name, chan, subint) group by all), s as (select psr, name, bad, n from n join b using (psr, name) where bad::double / n >= 0.9)"
+
+
+def _bad_files(t):
+    entries = t.filter("snr < 20").select("psr", "name", "chan", "subint").distinct()
+    return entries, stats.bad_file_suggestions(t, entries)
+
+
+@query(f"with {BAD_FILES} select psr, name, bad, n from s where not contains(name, '_1') and not contains(name, '23')")
+def bad_files_not_listed(spark, sf_dir):
+    t = toas(spark, sf_dir)
+    patterns = t.select("psr").distinct().select("psr", F.explode(F.array(F.lit("_1"), F.lit("23"))).alias("pattern"))
+    return stats.unlisted(_bad_files(t)[1], patterns)
+
+
+@query(f"with {BAD_FILES} select psr, name, chan, subint from e anti join s using (psr, name)")
+def bad_toas_reduced(spark, sf_dir):
+    return stats.reduced_entries(*_bad_files(toas(spark, sf_dir))).select("psr", "name", "chan", "subint")
+
+
+@query(f"with {CUT}, q as (select psr, fe, count(*) as n, round(quantile_cont(flux, 0.05), 9) as flux_05, round(quantile_cont(flux, 0.5), 9) as flux_50, round(quantile_cont(flux, 0.95), 9) as flux_95 from cut_toas where cut is null group by all) "
+       "select psr, toa_id, fe, flux, flux_05, flux_50, flux_95, coalesce(n, 0) as n_good, coalesce(flux < flux_05 or flux > flux_95, false) as extreme_flux, snr - 8 < 1 as near_cut, err_us > 1.2 as large_error from cut_toas left join q using (psr, fe) where cut_toas.cut = 'snr'")
+def bad_toa_flags(spark, sf_dir):
+    t = cut_toas(spark, sf_dir)
+    return stats.bad_toa_context(t, t.filter("cut = 'snr'").select("psr", "toa_id"), 8.0, 1.2)
+
+
+@query(f"with {TOAS}, {GROUPS.format(k='psr, f', w='1.5::double', t='toas')} select psr, f, grp, round(sum(resid_us * 0.31830988618::double / (err_us * err_us)) / sum(1.0::double / (err_us * err_us)), 6) as red, list_sort(list(toa_id)) as members from g group by all")
+def epoch_average_members(spark, sf_dir):
+    t = toas(spark, sf_dir).withColumn("red", F.col("resid_us") * F.lit(0.31830988618))
+    return stats.epoch_average(t, 1.5, noise=("red",), member_ids=True).select("psr", "f", "grp", "red", "members")
+
+
+@query(f"with {TOAS}, t as (select pta, abs(resid_us) > 4.5 as bad, unnest([{{'flag': 'fe', 'value': fe}}, {{'flag': 'be', 'value': be}}, {{'flag': 'f', 'value': f}}]) as p from toas), g as (select pta, p.flag as flag, p.value as value, count(*) filter (bad) as n, count(*) filter (not bad) as good from t where not (pta = '1' and p.flag <> 'fe') and not (pta = '2' and p.flag = 'fe') group by all) "
+       "select pta, flag, value, n, case when good > 0 then 'possible' else 'likely' end as kind, round(100.0::double * n / sum(n) over (partition by pta), 6) as pct from g where n > 0")
+def jump_attribution_by_pta(spark, sf_dir):
+    return stats.jump_attribution(toas(spark, sf_dir), F.abs("resid_us") > 4.5, of_pta={"1": ("fe",), "2": ("be", "f")})
+
+
+@query(f"with {TOAS}, c as (select psr, case when pout > 0.95 then 'outlier10' when snr < 3 then 'epochdrop' when snr < 8 then 'snr' end as cut from toas), n as (select psr, count(*) as total, count(cut) as cut, count(*) filter (cut = 'outlier10') as outlier10, count(*) filter (cut = 'epochdrop') as epochdrop from c group by psr) "
+       "select count(*) as sources, sum(total)::bigint as total, sum(cut)::bigint as cut, sum(outlier10)::bigint as outlier10, sum(epochdrop)::bigint as epochdrop, count(*) filter (outlier10::double / total > 0.02) as sources_with_many, sum(outlier10)::double / sum(total)::double as outlier_share from n")
+def excision_totals(spark, sf_dir):
+    c = F.when(F.col("pout") > 0.95, "outlier10").when(F.col("snr") < 3, "epochdrop").when(F.col("snr") < 8, "snr")
+    return stats.report_totals(stats.excision_report(toas(spark, sf_dir).withColumn("cut", c)))
 
 
 @query(f"with {TOAS}, x as (select psr, toa_id, log10(freq_mhz / 1000.0::double) as a, ln(freq_mhz / 1000.0::double) as b from toas) select psr, toa_id, round(0.3::double * a - 0.1::double * a * a, 9) as fd10, round(0.3::double * b - 0.1::double * b * b, 9) as fdln from x")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsewright.plans.queries_cuts import CUT, cut_toas
@@ -167,10 +166,33 @@ def epochdrop_rows(spark, sf_dir):
     return text.parse_epochdrop(lines).drop("path")
 
 
-@query("select 'S' || (o_custkey % 40)::varchar as source, max(strftime(o_orderdate, '%Y%m%d')) as latest, count(*) as n from orders group by all")
+@query("with f as (select distinct 'S' || (o_custkey % 40)::varchar as source, case when o_orderstatus = 'F' then 'wb' else 'nb' end as mode, strftime(o_orderdate, '%Y%m%d') as d from orders), r as (select *, source || '_FIT_' || d || '.' || mode || '.par' as file, row_number() over (partition by source, mode order by d desc) as k from f) select source, mode, max(file) filter (k = 1) as latest, max(file) filter (k = 2) as previous, count(*) as files from r group by all")
 def latest_par_by_date(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.concat(F.lit("S"), (F.col("o_custkey") % 40).cast("string")).alias("s"), F.date_format("o_orderdate", "yyyyMMdd").alias("d"))
-    files = o.select(F.concat(F.col("s"), F.lit("_FIT_"), F.col("d"), F.lit(".nb.par")).alias("file"))
-    p = files.select(F.regexp_extract("file", r"^([^_]+)_", 1).alias("source"), F.regexp_extract("file", r"_(\d{8})\.", 1).alias("date"))
-    w = Window.partitionBy("source")
-    return p.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("date")))).filter("k = 1").select("source", F.col("date").alias("latest"), "n")
+    o = read(spark, sf_dir, "orders")
+    file = F.concat(F.lit("S"), (F.col("o_custkey") % 40).cast("string"), F.lit("_FIT_"), F.date_format("o_orderdate", "yyyyMMdd"), F.when(F.col("o_orderstatus") == "F", ".wb").otherwise(".nb"), F.lit(".par"))
+    return text.latest_files(o.select(file.alias("file")))
+
+
+@query(f"with {TOAS} select '/d/' || psr || '/top.tim' as path, name, obs, toa_id as line_no from toas")
+def tim_includes(spark, sf_dir):
+    """Each source's top file includes one of each receiver, which includes one of each backend."""
+    t = _flagged(spark, sf_dir).withColumn("cut", F.lit(None).cast("string"))
+    folder = lambda name: F.concat(F.lit("/d/"), "psr", F.lit("/"), name, F.lit(".tim"))
+    head = lambda path, to: t.select(folder(path).alias("path"), F.lit(-1).cast("long").alias("line_no"), F.concat(F.lit("INCLUDE "), to, F.lit(".tim")).alias("value")).distinct()
+    own = t.select(folder(F.col("f")).alias("path"), F.col("toa_id").alias("line_no"), text.tim_line().alias("value"))
+    lines = head(F.lit("top"), F.col("fe")).union(head(F.col("fe"), F.col("f"))).union(own)
+    return text.parse_tim(text.follow_includes(lines)).select("path", "name", "obs", "line_no")
+
+
+@query("with o as (select o_orderkey, '/runs/x' || case when o_orderkey % 2 = 0 then '/S' || (o_custkey % 40)::varchar || '_nb/' else '/' end as root, 'S' || (o_custkey % 40)::varchar as source from orders) select o_orderkey, '/runs/x/' || source || '_nb/' as folder, source as psr, 'nb' as mode from o")
+def chain_folders(spark, sf_dir):
+    k, source = F.col("o_orderkey"), F.concat(F.lit("S"), (F.col("o_custkey") % 40).cast("string"))
+    root = F.concat(F.lit("/runs/x/"), F.when(k % 2 == 0, F.concat(source, F.lit("_nb/"))).otherwise(""))
+    o = read(spark, sf_dir, "orders").select(k, text.chain_folder(root, source, F.lit("NB")).alias("folder"))
+    return o.select("o_orderkey", "folder", text.of_chain_folder(F.concat("folder", F.lit("chain_1.txt"))).alias("x")).select("o_orderkey", "folder", "x.*")
+
+
+@query("select 'c' || (p_partkey % 50)::varchar as chain, (p_partkey // 50)::int as pos, p_brand as name from part")
+def chain_parameter_names(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return text.parse_names(p.select(F.concat(F.lit("/runs/c"), (F.col("p_partkey") % 50).cast("string"), F.lit("/pars.txt")).alias("path"), F.floor(F.col("p_partkey") / 50).alias("line_no"), F.concat(F.lit(" "), "p_brand").alias("value")))

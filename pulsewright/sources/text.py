@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsewright.operators.settle import settled
+
 SPACE = r"\s+"
 
 
@@ -42,6 +44,30 @@ def included(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("value").rlike(r"^\s*INCLUDE\s")).select("path", "line_no", F.split(F.trim("value"), SPACE)[1].alias("file"))
 
 
+def follow_includes(lines: DataFrame, deepest: int = 8) -> DataFrame:
+    """Lines of the files that no other file includes, with those of the files they include, at any depth up to ``deepest``.
+
+    ``path`` becomes that of the file at the top, ``source`` is the line's own. A file is found by its name in the folder
+    of the one that includes it; what isn't there adds nothing. Deeper chains, or files that include each other, are an error.
+    """
+    folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+    links = settled(included(lines).select("path", F.concat(folder, "file").alias("source")).distinct())
+    roots = lines.select("path").distinct().join(links.select(F.col("source").alias("path")).distinct(), "path", "left_anti")
+    step = settled(roots.select("path", F.col("path").alias("source")))
+    reach = step
+    for _ in range(deepest + 1):
+        step = settled(step.join(links.select(F.col("path").alias("source"), F.col("source").alias("next")), "source").select("path", F.col("next").alias("source")).distinct())
+        if step.isEmpty():
+            break
+        reach = reach.union(step)
+    else:
+        raise ValueError(f"files include others more than {deepest} deep")
+    if not lines.select(F.col("path").alias("source")).distinct().join(reach, "source", "left_anti").isEmpty():
+        raise ValueError("files include each other")
+    own = lines.withColumnRenamed("path", "source").filter(~F.col("value").rlike(r"^\s*INCLUDE\s"))
+    return own.join(reach.distinct(), "source").select("path", "source", "line_no", "value")
+
+
 def renumber(toas: DataFrame) -> DataFrame:
     """``toa_id`` from 0 in load order within each source: by file, then line."""
     return toas.withColumn("toa_id", (F.row_number().over(Window.partitionBy("psr").orderBy("path", "line_no")) - 1).cast("long"))
@@ -160,6 +186,34 @@ def parse_chain(lines: DataFrame) -> DataFrame:
     return lines.filter("trim(value) <> ''").select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("chain"), F.col("line_no").cast("long").alias("sample"), vals.alias("vals"))
 
 
+def parse_names(lines: DataFrame) -> DataFrame:
+    """(chain, pos, name) of files with one parameter name a line, in the order of the samples' places."""
+    return lines.filter("trim(value) <> ''").select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("chain"), F.col("line_no").cast("int").alias("pos"), F.trim("value").alias("name"))
+
+
+def chain_folder(root: Column, source: Column, mode: Column) -> Column:
+    """Where a source's chain lies: the root itself if it ends in source_mode, else that folder in it; with a slash at the end."""
+    last = F.concat_ws("_", source, F.lower(mode))
+    bare = F.regexp_replace(root, "/+$", "")
+    return F.when(F.regexp_extract(bare, r"([^/]*)$", 1) == last, F.concat(bare, F.lit("/"))).otherwise(F.concat(bare, F.lit("/"), last, F.lit("/")))
+
+
+def of_chain_folder(path: Column) -> Column:
+    """(psr, mode) that a path into a chain's folder names; nulls if none."""
+    part = lambda k: F.nullif(F.regexp_extract(path, r"(?:^|/)([^/]+)_(nb|wb)/", k), F.lit(""))
+    return F.struct(part(1).alias("psr"), part(2).alias("mode"))
+
+
+def latest_files(names: DataFrame) -> DataFrame:
+    """(source, mode, latest, previous, files) of model files (file) named source_what_yyyymmdd.mode.par: the last by date, and the one before."""
+    pattern = r"^([^_/]+)_.*?(\d{8})[^.]*\.(nb|wb)\.par$"
+    part = lambda k: F.regexp_extract("file", pattern, k)
+    p = names.filter(F.col("file").rlike(pattern)).select("file", part(1).alias("source"), part(2).alias("date"), part(3).alias("mode")).distinct()
+    g = p.groupBy("source", "mode").agg(F.count(F.lit(1)).alias("files"), F.max(F.struct("date", "file")).alias("top"))
+    below = p.join(g.select("source", "mode", F.col("top.file").alias("top_file")), ["source", "mode"]).filter("file <> top_file").groupBy("source", "mode").agg(F.max(F.struct("date", "file")).alias("next"))
+    return g.join(below, ["source", "mode"], "left").select("source", "mode", F.col("top.file").alias("latest"), F.col("next.file").alias("previous"), "files")
+
+
 def inventory(names: DataFrame) -> DataFrame:
     """source.receiver.backend.release.x.mode.tim to columns."""
     t = F.split("name", r"\.")
