@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from pulsewright.functions.scalar import red_noise_amplitude
 
 
-def after_burn(chains: DataFrame, burn: float = 0.25) -> DataFrame:
-    """Samples from the burn-in share on, in sample order."""
-    k = F.row_number().over(Window.partitionBy("chain").orderBy("sample")) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy("chain"))
-    return chains.withColumn("k", k).withColumn("n", n).filter(F.col("k") >= F.floor(F.col("n") * burn)).drop("k", "n")
+def after_burn(chains: DataFrame, burn: float = 0.25, parts: int = 1024) -> DataFrame:
+    """Samples from the burn-in share on, by sample number; equal numbers stay or go together, rows without one go.
+
+    Only the number at which each chain starts is looked for, among the numbers alone: ``parts`` stretches of a chain are
+    counted, and the one that the share ends in is ranked. No chain is sorted and no sample's values are moved.
+    """
+    ends = chains.groupBy("chain").agg(F.min("sample").alias("lo"), F.max("sample").alias("hi"), F.count("sample").alias("n"))
+    part = F.floor((F.col("sample") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * parts)
+    at = chains.select("chain", "sample").join(ends, "chain").select("chain", "sample", part.alias("part"), F.floor(F.col("n") * burn).alias("k")).filter("sample is not null")
+    counts = at.groupBy("chain", "part", "k").agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("chain").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ending = counts.withColumn("before", before).filter("before <= k and k < before + m").select("chain", "part", (F.col("k") - F.col("before")).alias("skip"))
+    rank = F.row_number().over(Window.partitionBy("chain").orderBy("sample")) - 1
+    start = at.select("chain", "sample", "part").join(ending, ["chain", "part"]).withColumn("rank", rank).filter("rank = skip").select("chain", F.col("sample").alias("start"))
+    return chains.join(start, "chain").filter(F.col("sample") >= F.col("start")).select(*chains.columns)
 
 
 def top_mean(chains: DataFrame, n: int = 50, burn: float = 0.25, digits: int = 9, blocks: int = 16) -> DataFrame:

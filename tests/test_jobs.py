@@ -140,3 +140,16 @@ def test_listed_receivers_and_entries(spark):
     with pytest.raises(ValueError):
         audit.append_entry(t, "OOPS", "n", "me", "2020-01-01", tags=["INIT"])
     assert [r.x for r in spark.createDataFrame([("Rcvr_800_GUPPI",), ("L-wide_PUPPI",), ("S",)], "f string").select(cuts.receiver_of("f").alias("x")).collect()] == ["Rcvr_800", "L-wide", "S"]
+
+
+def test_burn_in_of_chains_with_gaps_and_repeats(spark):
+    import random
+
+    chains = {"a": random.Random(3).sample(range(100000), 400), "b": list(range(7)), "c": [5], "d": [1, 2, 3, 3, 3, 9]}
+    df = spark.createDataFrame([(c, s, [float(s)]) for c, ss in chains.items() for s in ss] + [("e", None, [0.0])], "chain string, sample long, vals array<double>")
+    for burn, parts in ((0.25, 1024), (0.25, 3), (0.5, 1), (0.0, 16), (1.0, 16)):
+        got = {}
+        for r in noise.after_burn(df, burn, parts).collect():
+            got.setdefault(r.chain, []).append(r.sample)
+        want = {c: [s for s in sorted(ss) if s >= sorted(ss)[int(len(ss) * burn)]] for c, ss in chains.items() if int(len(ss) * burn) < len(ss)}
+        assert {c: sorted(v) for c, v in got.items()} == want
