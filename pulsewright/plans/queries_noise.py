@@ -261,3 +261,17 @@ def post_fit_residuals(spark, sf_dir):
     rows = toas(spark, sf_dir).select("psr", "toa_id", F.col("resid_us").alias("y"), (1 / (F.col("err_us") * F.col("err_us"))).alias("w"), F.lit(1.0).alias("one"), ((F.col("mjd") - 50500.0) / 1000.0).alias("t"))
     fits = ftests.fit(ftests.grams(rows, ["psr"], ["one", "t"]))
     return ftests.post_fit(rows, fits, ["one", "t"]).select("psr", "toa_id", F.round("post", 4).alias("post"))
+
+
+@query("with x as (select o_orderkey, 90.0::double + o_totalprice / 1000.0::double as a, 90.0::double + o_totalprice / 1000.0::double - o_orderkey % 7 as b from orders) select o_orderkey, case when a > b then round(pow(b / a, 49.0::double), 6) end as p from x")
+def f_test_of_two_terms(spark, sf_dir):
+    """Two terms against 98 degrees of freedom, where the tail has a closed form; nothing where the fit isn't better."""
+    a = F.lit(90.0) + F.col("o_totalprice") / F.lit(1000.0)
+    p = ftests.f_test(a, F.lit(100.0), a - F.col("o_orderkey") % 7, F.lit(98.0))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(p, 6).alias("p"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(exp(-l_quantity / 2) * (1 + l_quantity / 2 + l_quantity * l_quantity / 8), 9) as p from lineitem")
+def chi2_tail_of_six(spark, sf_dir):
+    """Six degrees of freedom, where the tail is a short sum."""
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(ftests.chi2_tail(F.col("l_quantity"), F.lit(6.0)), 9).alias("p"))

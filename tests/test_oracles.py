@@ -34,7 +34,7 @@ def ordered(columns, rows):
 #: Sequential steps, small solves and tails of distributions; every other query stays in the JVM.
 PYTHON = {
     "greedy_bins", "greedy_epoch_count", "expand_bins", "solar_wind_rebin", "event_rebin", "early_era_bins", "dmx_setup_bins", "dmx_setup_cuts", "same_bins", "bins_kept_or_new", "weighted_linear_fit", "leave_one_file_out", "nested_model_tests",
-    "f_test_p_values", "reduced_chi2", "fit_uncertainties", "post_fit_residuals", "job_outlier_excision_tests", "job_outlier_excision_cuts",
+    "f_test_p_values", "f_test_of_two_terms", "chi2_tail_of_six", "reduced_chi2", "fit_uncertainties", "post_fit_residuals", "job_outlier_excision_tests", "job_outlier_excision_cuts",
 }
 
 
