@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pulsewright.llm import bpe, classifier, codes, linededup, lm, media, packing, pii, quality, simhash, urls, whitening
+from pulsewright.llm import bpe, classifier, codes, linededup, lm, media, minhash, packing, pii, quality, simhash, urls, whitening
 from pulsewright.llm.common import table
 
 
@@ -62,5 +62,9 @@ def op13_cover_tree_codes(spark, sf_dir):
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op12_contour_whitening": op12_contour_whitening, "op13_cover_tree_codes": op13_cover_tree_codes, "op4_pii": op4_pii, "op8_quality_classifier": op8_quality_classifier, "op7_suffix_tree_scores": op7_suffix_tree_scores, "op6_media_columns": op6_media_columns, "op10_line_dedup": op10_line_dedup, "op5_quality_rules": op5_quality_rules, "op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
+def op11_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op11_minhash_near_dedup": op11_minhash_near_dedup, "op12_contour_whitening": op12_contour_whitening, "op13_cover_tree_codes": op13_cover_tree_codes, "op4_pii": op4_pii, "op8_quality_classifier": op8_quality_classifier, "op7_suffix_tree_scores": op7_suffix_tree_scores, "op6_media_columns": op6_media_columns, "op10_line_dedup": op10_line_dedup, "op5_quality_rules": op5_quality_rules, "op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_best_fit_packing": op3_best_fit_packing, "op2_byte_bpe": op2_byte_bpe, "op9_url_filter": op9_url_filter}
 ORACLES = {"op9_url_filter": urls.oracle()}
