@@ -4,16 +4,19 @@ Each text has 128 minima of its shingles' hashes. Bands of five minima list cand
 are retained and packed as bit planes, so that the resemblance of two texts, corrected for low bits that agree by chance,
 is a count of bits. Candidates that could reach the threshold are confirmed on their full shingle sets.
 
-Equal sets are one class. A list ties each class to one hub of the list, by the classes' best hub, so a list that a third
-of all texts share costs one pair for each. What remains are lists whose classes aren't all in one component: there each
-class looks up its likeliest partners in every other component, more of them in every round, until a round leaves none
-out. Lists are dealt out in chunks; texts meet their hub's text in groups of bounded size.
+Equal sets are one class. Each list has one hub, the class that meets most others, and each class goes to the hub it shares
+most lists with, so a list that a third of all texts share costs one pair for each. There its set is taken apart into what
+the hub's set has too and what it hasn't; within a hub's group these differences tell the exact intersection of any two
+sets, by counts of bits and of shared extras, so all links of a group are found without moving texts again. Two classes of
+different hubs look each other up in their lists: each its likeliest partners in every other component, more of them in
+every round, until a round leaves none out. Lists and groups are dealt out in chunks of bounded size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
@@ -25,10 +28,12 @@ WORDS, PERCENT = 3, 85
 #: Two sets that reach the threshold miss every band in 1 of 2 million cases.
 HASHES, BANDS, ROWS = 128, 25, 5
 LOW = 4
-#: Standard errors below the threshold that an estimate may be: 1 of a billion linked pairs is estimated lower.
-SLACK = 6.0
+#: Standard errors below the threshold that an estimate may be: 3 of a million pairs at the threshold are estimated lower.
+SLACK = 4.5
 #: Rows of a chunk of a list, texts of a group that meet one hub, partners of a class in another component at first.
 CHUNK, GROUP, PARTNERS = 4096, 256, 4
+#: Shingles of a hub for which a chunk is that large; with more it has fewer rows.
+CHUNK_SHINGLES = 1024
 FREQUENT = 1e-4
 #: Elements that are hashed together, so that they stay in a processor's cache; words whose hashes a task remembers.
 STEP, KNOWN = 1 << 15, 500_000
@@ -166,33 +171,150 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed(docs: DataFrame, found: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of the pairs in ``found`` (a, b, a_key, b_key, spread) whose full sets reach the threshold.
+def _met(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(hub, salt, role, set_id, text), sorted, for pairs (a, b, a_key, b_key, spread): every text ``a`` beside its hub ``b``, whose own text comes first.
 
-    Every text goes to its hub ``b``; a hub with ``spread`` texts or so is met in as many groups as they need.
+    A hub with ``spread`` texts or so is met in as many groups as they need.
     """
     groups = F.ceil(F.col("spread") / GROUP)
     salted = found.withColumn("salt", F.xxhash64(groups, F.pmod(F.xxhash64("a"), groups)))
     members = salted.select(F.col("a_key").alias("row_key"), F.col("b").alias("hub"), "salt", F.lit(1).alias("role"), F.col("a").alias("set_id"))
     hubs = salted.select(F.col("b_key").alias("row_key"), F.col("b").alias("hub"), "salt", F.lit(0).alias("role"), F.col("b").alias("set_id")).distinct()
     met = _keyed(docs).drop("doc_id").join(members.union(hubs), "row_key").select("hub", "salt", "role", "set_id", "text")
+    return met.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+
+
+def _beside_hubs(batches, words: int):
+    """For each batch of ``_met``: (hub, its set, set_id, that set) of its members."""
+    known, hub, own = WordHashes(), None, None
+    for batch in batches:
+        out = []
+        hubs, _, roles, ids, texts = batch.columns
+        for k in range(batch.num_rows):
+            held = shingles(texts[k].as_py(), known, words)
+            if roles[k].as_py() == 0:
+                hub, own = hubs[k].as_py(), held
+            elif hubs[k].as_py() == hub:
+                out.append((hub, own, ids[k].as_py(), held))
+        yield out
+
+
+def confirmed(docs: DataFrame, found: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of the pairs in ``found`` (a, b, a_key, b_key, spread) whose full sets reach the threshold."""
 
     def run(batches):
-        known, hub, own = WordHashes(), None, None
-        for batch in batches:
-            a, b = [], []
-            hubs, _, roles, ids, texts = batch.columns
-            for k in range(batch.num_rows):
-                held = shingles(texts[k].as_py(), known, words)
-                if roles[k].as_py() == 0:
-                    hub, own = hubs[k].as_py(), held
-                elif hubs[k].as_py() == hub and reaches(held, own, percent):
-                    a.append(ids[k].as_py())
-                    b.append(hub)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        for rows in _beside_hubs(batches, words):
+            links = [(a, hub) for hub, own, a, held in rows if reaches(held, own, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return _met(docs, found).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def taken_apart(docs: DataFrame, found: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(hub, set_id, n_hub, n, linked, missing, extras): each class of ``found`` by what its set differs in from its hub's.
+
+    ``missing`` has a bit for each shingle of the hub, in ascending order; ``extras`` are hashes that the hub hasn't.
+    """
+    names = ["hub", "set_id", "n_hub", "n", "linked", "missing", "extras"]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
+
+    def run(batches):
+        for rows in _beside_hubs(batches, words):
+            out = []
+            for hub, own, a, held in rows:
+                if len(own) and len(held):
+                    has = held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own
+                    there = own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held
+                    out.append((hub, a, len(own), len(held), reaches(held, own, percent), np.packbits(~has).tobytes(), held[~there].view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
+
+    made = _met(docs, found).mapInArrow(run, "hub binary, set_id binary, n_hub long, n long, linked boolean, missing binary, extras array<long>")
+    return made.dropDuplicates(["set_id"])
+
+
+def group_links(n_hub: int, n: np.ndarray, linked: np.ndarray, missing: list[bytes], extras: list[np.ndarray], own: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (i, j) that tie together all linked sets of a group, apart from those to the hub; exact.
+
+    Sets that are linked with the hub are tied already. Of the others only those look up their links that are ``own``
+    here or the partner is linked.
+    """
+    m = len(n)
+    words = -(-(-(-n_hub // 8)) // 8)
+    bits = np.frombuffer(b"".join(x.ljust(8 * words, b"\0") for x in missing), np.uint64).reshape(m, words)
+    sizes = np.fromiter(map(len, extras), np.int64, m)
+    values, owner = np.concatenate([*extras, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(m), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    root = np.where(linked, int(np.flatnonzero(linked)[0]) if linked.any() else 0, np.arange(m))
+    out = []
+    lacks = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    for i in np.flatnonzero(~linked):
+        # no two sets have more in common than the hub's part that both might have and the fewer extras
+        most = n_hub - np.maximum(lacks, lacks[i]) + np.minimum(sizes, sizes[i])
+        can = (root != root[i]) & (linked | own[i]) & (100 * most >= percent * (n + n[i] - most))
+        if not can.any():
+            continue
+        at = np.flatnonzero(can)
+        both = n_hub - np.bitwise_count(bits[at] | bits[i]).sum(axis=1, dtype=np.int64)
+        lo, hi = np.searchsorted(values, extras[i], side="left"), np.searchsorted(values, extras[i], side="right")
+        if (hi - lo).sum() > len(extras[i]):  # besides its own
+            shared = np.concatenate([owner[a:b] for a, b in zip(lo, hi, strict=True)])
+            both = both + np.bincount(shared, minlength=m)[at]
+        for j in at[100 * both >= percent * (n[at] + n[i] - both)]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((int(i), int(j)))
+    return out
 
-    # hubs and salts together: a salt is met with its own hub only, and the hub's text comes first
-    return met.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(run, "a binary, b binary").distinct()
+
+def within_groups(apart: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links that tie together the linked classes of each hub's group (``taken_apart``), those to the hub included."""
+    to_hub = apart.filter("linked").select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
+    groups = apart.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("linked")).alias("others")).filter("others > 0 and m > 1")
+    chunks = F.ceil(F.col("m") * F.greatest(F.lit(1.0), F.col("n_hub") / CHUNK_SHINGLES) / CHUNK)
+    own = apart.join(groups, "hub").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("long"))
+    dealt = own.withColumn("chunk", F.explode(F.when(F.col("linked"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
+
+    def run(batches):
+        for table, a, b in _runs(batches, ("hub", "chunk")):
+            part = table.slice(a, b - a)
+            ids, n = part.column("set_id").to_pylist(), part.column("n").to_numpy()
+            linked, own_ = (part.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("linked", "here"))
+            extras = [x.values.to_numpy() for x in part.column("extras")]
+            found = group_links(part.column("n_hub")[0].as_py(), n, linked, part.column("missing").to_pylist(), extras, own_, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    met = dealt.select("hub", "chunk", "set_id", "n_hub", "n", "linked", (F.col("own") == F.col("chunk")).alias("here"), "missing", "extras")
+    return to_hub.union(met.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk").mapInArrow(run, "a binary, b binary"))
+
+
+def _runs(batches, keys: tuple[str, ...]):
+    """(table, begin, end) of each run of equal keys in sorted batches."""
+    kept: list[pa.RecordBatch] = []
+
+    def bounds_of(table: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, len(table) - 1), bool)
+        for key in keys:
+            column = table.column(key).combine_chunks()
+            new |= pc.not_equal(column.slice(1), column.slice(0, max(0, len(column) - 1))).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [len(table)]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        goes_on = kept and all(batch.column(k)[batch.num_rows - 1] == kept[0].column(k)[0] for k in keys)
+        kept.append(batch)
+        if not goes_on:
+            table = pa.Table.from_batches(kept).combine_chunks()
+            bounds = bounds_of(table)
+            for a, b in zip(bounds[:-2], bounds[1:-1], strict=True):
+                yield table, int(a), int(b)
+            kept = table.slice(int(bounds[-2])).to_batches()
+    if kept:
+        table = pa.Table.from_batches(kept).combine_chunks()
+        bounds = bounds_of(table)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield table, int(a), int(b)
 
 
 def _with_keys(found: DataFrame, classes: DataFrame) -> DataFrame:
@@ -211,16 +333,16 @@ def starred(shared: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     return best.select(F.col("set_id").alias("a"), F.col("best.hub").alias("b"), "best.a_key", "best.b_key", "best.spread")
 
 
-def _likely(ids: np.ndarray, label: np.ndarray, planes: np.ndarray, rest: np.ndarray, own: np.ndarray, most: int, partners: int):
+def _likely(ids: list, label: np.ndarray, home: np.ndarray, planes: np.ndarray, rest: np.ndarray, own: np.ndarray, most: int, partners: int):
     """(i, j, whether more were left) of a chunk's rows: for each one of ``rest`` the likeliest of each other label, ``partners`` at most.
 
-    Of ``rest`` among themselves only those look that are this chunk's ``own``.
+    Of ``rest`` among themselves only those look that are this chunk's ``own``; rows of one home have met there.
     """
     for i in np.flatnonzero(rest):
         away = differing(planes[i], planes)
-        near = np.flatnonzero((away <= most) & (label != label[i]) & (~rest | own[i]))
+        near = np.flatnonzero((away <= most) & (label != label[i]) & (home != home[i]) & (~rest | own[i]))
         if len(near):
-            near = near[np.lexsort((ids[near], away[near], label[near]))]
+            near = near[np.lexsort((near, away[near], label[near]))]
             first = np.flatnonzero(np.append(True, label[near][1:] != label[near][:-1]))
             rank = np.arange(len(near)) - np.repeat(first, np.diff(np.append(first, len(near))))
             more = bool((rank >= partners).any())
@@ -228,69 +350,57 @@ def _likely(ids: np.ndarray, label: np.ndarray, planes: np.ndarray, rest: np.nda
                 yield i, j, more
 
 
-def across(shared: DataFrame, classes: DataFrame, labels: DataFrame, most: int, partners: int) -> DataFrame:
-    """(a, b, spread, more) of likely pairs between components, in lists that hold several; ``more`` where partners were left out."""
-    labelled = shared.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("component", "set_id"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("greatest"), F.max(F.when(F.col("set_id") == F.col("hub"), F.col("label"))).alias("main")).filter("least <> greatest")
+def across(shared: DataFrame, classes: DataFrame, labels: DataFrame, homes: DataFrame, most: int, partners: int) -> DataFrame:
+    """(a, b, spread, more) of likely pairs between components and homes, in lists that hold several; ``more`` where partners were left out."""
+    labelled = shared.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(homes, "set_id", "left")
+    labelled = labelled.withColumns({"label": F.coalesce("component", "set_id"), "home": F.coalesce("home", "set_id")})
+    ends = lambda c: [F.min(c).alias(f"least_{c}"), F.max(c).alias(f"greatest_{c}")]
+    open_ = labelled.groupBy("key").agg(*ends("label"), *ends("home"), F.max(F.when(F.col("set_id") == F.col("hub"), F.col("label"))).alias("main"))
+    open_ = open_.filter("least_label <> greatest_label and least_home <> greatest_home")
     own_chunk = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / CHUNK)).cast("long")
     rows = labelled.join(open_.select("key", "main"), "key").join(classes.select("set_id", "planes"), "set_id").select(
-        "key", "set_id", "label", (F.col("label") != F.col("main")).alias("rest"), "n", own_chunk.alias("own"), "planes"
+        "key", "set_id", "label", "home", (F.col("label") != F.col("main")).alias("rest"), "n", own_chunk.alias("own"), "planes"
     )
     dealt = rows.withColumn("chunk", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.ceil(F.col("n") / CHUNK) - 1)).otherwise(F.array("own"))))
 
     def run(batches):
-        kept: list[pa.RecordBatch] = []
-
-        def close(parts, last: bool):
-            table = pa.Table.from_batches(parts).combine_chunks()
-            key, chunk = table.column("key").to_numpy(), table.column("chunk").to_numpy()
-            bounds = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(chunk) != 0)) + 1, [len(key)]])
-            rest = []
-            if not last:
-                rest, bounds = table.slice(int(bounds[-2])).to_batches(), bounds[:-1]
-            end = int(bounds[-1])
-            ids = np.array(table.column("set_id").slice(0, end).to_pylist(), object)
-            label = np.unique(np.array(table.column("label").slice(0, end).to_pylist(), object), return_inverse=True)[1] if end else np.zeros(0, np.int64)
-            planes = table.column("planes").slice(0, end).combine_chunks().flatten().to_numpy().reshape(end, -1)
-            is_rest = table.column("rest").slice(0, end).combine_chunks().to_numpy(zero_copy_only=False)
-            is_own = table.column("own").slice(0, end).to_numpy() == chunk[:end]
-            spread, sizes = table.column("n").slice(0, end).to_numpy(), np.diff(bounds)
-            twos = bounds[:-1][sizes == 2]
-            near = twos[(label[twos] != label[twos + 1]) & (differing(planes[twos], planes[twos + 1]) <= most)] if len(twos) else twos
-            found = [(int(k), int(k) + 1, False) for k in near]
-            for at, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
-                s = slice(at, at + size)
-                found += [(at + i, at + j, more) for i, j, more in _likely(ids[s], label[s], planes[s], is_rest[s], is_own[s], most, partners)]
-            a, b = ([max(ids[i], ids[j]) for i, j, _ in found], [min(ids[i], ids[j]) for i, j, _ in found])
-            columns = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([int(spread[i]) for i, _, _ in found], pa.int64()), pa.array([m for _, _, m in found], pa.bool_())]
-            return rest, pa.RecordBatch.from_arrays(columns, ["a", "b", "spread", "more"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        numbers = lambda column: np.unique(np.array(column.to_pylist(), object), return_inverse=True)[1]
+        for table, a, b in _runs(batches, ("key", "chunk")):
+            part = table.slice(a, b - a)
+            if b - a == 1:
+                continue
+            ids = part.column("set_id").to_pylist()
+            planes = part.column("planes").combine_chunks().flatten().to_numpy().reshape(b - a, -1)
+            if b - a == 2 and differing(planes[0], planes[1]) > most:
                 continue
-            goes_on = kept and all(batch.column(c)[batch.num_rows - 1] == kept[0].column(c)[0] for c in ("key", "chunk"))
-            kept.append(batch)
-            if not goes_on:
-                kept, out = close(kept, last=False)
-                yield out
-        if kept:
-            yield close(kept, last=True)[1]
+            rest = part.column("rest").combine_chunks().to_numpy(zero_copy_only=False)
+            own = part.column("own").to_numpy() == part.column("chunk").to_numpy()
+            found = list(_likely(ids, numbers(part.column("label")), numbers(part.column("home")), planes, rest, own, most, partners))
+            if found:
+                x, y = ([f(ids[i], ids[j]) for i, j, _ in found] for f in (max, min))
+                spread = part.column("n")[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array([spread] * len(found), pa.int64()), pa.array([f[2] for f in found], pa.bool_())], ["a", "b", "spread", "more"])
 
     met = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "a binary, b binary, spread long, more boolean")
     return met.groupBy("a", "b").agg(F.max("spread").alias("spread"), F.max("more").alias("more"))
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the classes (set_id, row_key, rows, bands, planes) that are linked with another one."""
+    """(node, component) of the classes (set_id, row_key, bands, planes) that are linked with another one."""
     most = most_differing(percent)
-    posted = classes.select(F.explode("bands").alias("key"), "set_id", "rows")
-    lists = posted.groupBy("key").agg(F.min(F.struct(-F.col("rows"), "set_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(posted.join(lists, "key").select("key", "set_id", F.col("first.set_id").alias("hub"), "n"))
-    links = stored(confirmed(docs, stored(starred(shared, classes, most)), words, percent))
+    posted = classes.select(F.explode("bands").alias("key"), "set_id")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stored(posted.join(lists, "key"))
+    meetings = met.groupBy("set_id").agg(F.sum("n").alias("meetings"))
+    hubs = met.join(meetings, "set_id").groupBy("key").agg(F.max(F.struct("meetings", "set_id")).alias("hub"))
+    shared = stored(met.join(hubs, "key").select("key", "set_id", F.col("hub.set_id").alias("hub"), "n"))
+    apart = stored(taken_apart(docs, stored(starred(shared, classes, most)), words, percent))
+    homes = apart.select("set_id", F.col("hub").alias("home"))
+    links = stored(within_groups(apart, percent))
     labels = components(links)
     partners = PARTNERS
     while True:
-        found = stored(across(shared, classes, labels, most, partners))
+        found = stored(across(shared, classes, labels, homes, most, partners))
         if found.isEmpty():
             return labels
         more = not found.filter("more").isEmpty()
