@@ -7,18 +7,19 @@ the distinct times of one session or the unassigned times of one source.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewright.functions import kernels, scalar
+from pulsewright.operators import scan
 from pulsewright.operators.cuts import first_reason, reason
 from pulsewright.operators.settle import settled
 
 BUCKET = 16.0
-#: The most widths that windows of events may ask for; each is a pass of its own.
-WIDTHS = 20
 
 
 def inside(strict: bool = True) -> Column:
@@ -39,15 +40,19 @@ def overlapping(bins: DataFrame) -> DataFrame:
 
 
 def check(times: DataFrame, bins: DataFrame, strict: bool = True) -> DataFrame:
-    """(psr, kind, id) of everything that is wrong: bins improper, overlapping or empty; rows in no bin or in several."""
-    found = members(times, bins, strict)
+    """(psr, kind, id) of everything that is wrong: bins improper, overlapping or empty; rows in no bin or in several.
+
+    The rows are read once; what the five kinds need of them is written down.
+    """
+    t, b = settled(times.select("psr", "toa_id", "mjd")), settled(bins.select("psr", "ord", "low", "high"))
+    found = settled(members(t, b, strict).select("psr", "toa_id", "ord"))
     n = found.groupBy("psr", "toa_id").agg(F.count(F.lit(1)).alias("n"))
     kind = lambda df, k, c: df.select("psr", F.lit(k).alias("kind"), F.col(c).cast("long").alias("id"))
     return (
-        kind(bins.filter("low >= high"), "improper", "ord")
-        .union(kind(overlapping(bins), "overlapping", "ord"))
-        .union(kind(bins.join(found.select("psr", "ord").distinct(), ["psr", "ord"], "left_anti"), "empty", "ord"))
-        .union(kind(times.join(n, ["psr", "toa_id"], "left_anti"), "in no bin", "toa_id"))
+        kind(b.filter("low >= high"), "improper", "ord")
+        .union(kind(overlapping(b), "overlapping", "ord"))
+        .union(kind(b.join(found.select("psr", "ord").distinct(), ["psr", "ord"], "left_anti"), "empty", "ord"))
+        .union(kind(t.join(n, ["psr", "toa_id"], "left_anti"), "in no bin", "toa_id"))
         .union(kind(n.filter("n > 1"), "in several bins", "toa_id"))
     )
 
@@ -107,23 +112,18 @@ def table(toas: DataFrame, bins: DataFrame, values: DataFrame | None = None, sta
     return out.select("psr", idx.cast("long").alias("idx"), F.coalesce("val", F.lit(0.0)).alias("val"), F.coalesce("err", F.lit(0.0)).alias("err"), "epoch", F.col("low").alias("r1"), F.col("high").alias("r2"), F.coalesce("low_freq", F.lit(float("inf"))).alias("f1"), F.coalesce("high_freq", F.lit(0.0)).alias("f2"), *ids)
 
 
-def _sessions(times: DataFrame, gap: float) -> DataFrame:
-    """Distinct times with the number of their super-session: no bin can reach over a gap that wide."""
-    w = Window.partitionBy("psr").orderBy("mjd")
-    t = times.select("psr", "mjd").distinct()
-    new = F.when(F.col("mjd") - F.lag("mjd").over(w) > gap, 1).otherwise(0)
-    return t.withColumn("new", new).withColumn("part", F.sum("new").over(w)).drop("new")
+def _each_session(times: DataFrame, keys: tuple[str, ...], gap: float | Column, of, schema: str) -> DataFrame:
+    """``of(keys, sorted times)`` of every super-session of the keys' distinct times, in one pass over sorted partitions.
 
-
-def _each_session(times: DataFrame, gap: float, of, schema: str) -> DataFrame:
-    """``of(sorted times)`` of every super-session, in one pass over sorted partitions; sessions are never split."""
+    No bin can reach over a ``gap`` that wide; sessions are never split. ``of`` returns what follows the keys in ``schema``.
+    """
 
     def run(batches):
         kept: list[pd.DataFrame] = []
         for pdf in batches:
             kept.append(pdf)
             rows = pd.concat(kept, ignore_index=True)
-            new = np.flatnonzero((rows["psr"].to_numpy()[1:] != rows["psr"].to_numpy()[:-1]) | (rows["part"].to_numpy()[1:] != rows["part"].to_numpy()[:-1])) + 1
+            new = np.flatnonzero((rows[by].to_numpy()[1:] != rows[by].to_numpy()[:-1]).any(axis=1)) + 1
             if len(new):
                 kept = [rows.iloc[new[-1] :]]
                 yield done(rows.iloc[: new[-1]], [0, *new[:-1].tolist(), int(new[-1])])
@@ -134,18 +134,28 @@ def _each_session(times: DataFrame, gap: float, of, schema: str) -> DataFrame:
             yield done(rows, [0, len(rows)])
 
     def done(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
-        psr, mjd = rows["psr"].tolist(), rows["mjd"].to_numpy()
-        return pd.DataFrame([(psr[a], *r) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for r in of(mjd[a:b])], columns=names)
+        own, mjd = list(zip(*(rows[k].tolist() for k in keys), strict=True)), rows["mjd"].to_numpy()
+        return pd.DataFrame([(*own[a], *r) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for r in of(own[a], mjd[a:b])], columns=names)
 
-    names = [c.split()[0] for c in schema.split(",")]
-    ready = _sessions(times, gap).repartition("psr", "part").sortWithinPartitions("psr", "part", "mjd")
-    return ready.select("psr", "part", "mjd").mapInPandas(run, schema)
+    names, by = [c.split()[0] for c in schema.split(",")], [*keys, "session"]
+    ready = scan.sessions(times.select(*keys, "mjd").distinct(), list(keys), gap, name="session").repartition(*by).sortWithinPartitions(*by, "mjd")
+    return ready.select(*by, "mjd").mapInPandas(run, schema)
+
+
+def greedy_by(times: DataFrame, keys: dict[str, str], width: float | None, pad: float = 0.0, strict: bool = True) -> DataFrame:
+    """(keys, low, high) of greedy bins over the times of each key; ``keys`` are names and types.
+
+    Without a ``width`` the key of that name is the width of its bins.
+    """
+    at = list(keys).index("width") if width is None else 0
+    of = lambda own, mjds: kernels.greedy_bins(mjds, own[at] if width is None else width, pad, strict).tolist()
+    wide = (F.col("width") if width is None else F.lit(float(width))) + pad + 2 * kernels.EDGE
+    return _each_session(times, tuple(keys), wide, of, ", ".join([*(f"{k} {t}" for k, t in keys.items()), "low double, high double"]))
 
 
 def greedy(times: DataFrame, width: float, pad: float = 0.0, strict: bool = True) -> DataFrame:
     """(psr, ord, low, high) of greedy bins over all times of each source."""
-    of = lambda mjds: kernels.greedy_bins(mjds, width, pad, strict).tolist()
-    return numbered(_each_session(times, width + pad + 2 * kernels.EDGE, of, "psr string, low double, high double"))
+    return numbered(greedy_by(times, {"psr": "string"}, width, pad, strict))
 
 
 def numbered(bins: DataFrame) -> DataFrame:
@@ -154,8 +164,8 @@ def numbered(bins: DataFrame) -> DataFrame:
 
 def epoch_counts(times: DataFrame, width: float = 6.5) -> DataFrame:
     """(psr, epochs): the greedy count of epochs; sessions that no epoch reaches over are counted apart."""
-    of = lambda mjds: [(kernels.epoch_count(mjds, width),)]
-    return _each_session(times, width, of, "psr string, n long").groupBy("psr").agg(F.sum("n").alias("epochs"))
+    of = lambda _, mjds: [(kernels.epoch_count(mjds, width),)]
+    return _each_session(times, ("psr",), width, of, "psr string, n long").groupBy("psr").agg(F.sum("n").alias("epochs"))
 
 
 def _parted(times: DataFrame, bins: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
@@ -217,29 +227,83 @@ def event_bins(bins: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def rebin_events(toas: DataFrame, bins: DataFrame, events: DataFrame, pad: float = 0.0) -> DataFrame:
-    """Bins with those at event windows (psr, from_mjd, to_mjd, width) made anew, of each window's own width."""
+    """Bins with those at event windows (psr, from_mjd, to_mjd, width) made anew, of each window's own width.
+
+    A bin that meets several windows takes the least width. All widths are one pass.
+    """
     hit = lambda c: (F.col("from_mjd") < F.col(c)) & (F.col(c) < F.col("to_mjd"))
-    met = bins.join(events, "psr").filter(hit("low") | hit("high")).groupBy("psr", "ord").agg(F.min("width").alias("width"))
-    bad = settled(met)
-    widths = [r.width for r in events.select("width").distinct().orderBy("width").limit(WIDTHS + 1).collect()]
-    if len(widths) > WIDTHS:
-        raise ValueError(f"more than {WIDTHS} widths of bins")
-    out = bins.join(bad, ["psr", "ord"], "left_anti").select("psr", "low", "high")
-    for width in widths:
-        loose = members(toas, bins.join(bad.filter(F.col("width") == width).select("psr", "ord"), ["psr", "ord"], "left_semi"))
-        out = out.union(greedy(loose, width, pad).select("psr", "low", "high"))
-    return numbered(out)
+    bad = settled(bins.join(events, "psr").filter(hit("low") | hit("high")).groupBy("psr", "ord").agg(F.min("width").alias("width")))
+    loose = members(toas.select("psr", "mjd"), bins.join(bad, ["psr", "ord"]))
+    kept = bins.join(bad, ["psr", "ord"], "left_anti").select("psr", "low", "high")
+    return numbered(kept.union(greedy_by(loose, {"psr": "string", "width": "double"}, None, pad).select("psr", "low", "high")))
+
+
+def windows_of(configs: DataFrame) -> DataFrame:
+    """(psr, from_mjd, to_mjd, width): the windows that configurations give bins of their own width (``custom_dmx``)."""
+    w = configs.select("psr", F.explode("custom_dmx").alias("w")).filter("size(w) >= 3")
+    return w.select("psr", *[F.col("w")[k].cast("double").alias(n) for k, n in enumerate(("from_mjd", "to_mjd", "width"))])
+
+
+def _trimmed(times: DataFrame, bins: DataFrame) -> DataFrame:
+    """Bins whose edges reach over the next bin's, cut back to the middle between the last and the first time of the two.
+
+    Only where no time is between: neighbours by their first times. A source has as many bins as its span has room for.
+    """
+    ends = members(times, bins).groupBy("psr", "ord").agg(F.min("mjd").alias("first"), F.max("mjd").alias("last"))
+    w = Window.partitionBy("psr").orderBy("first", "last", "ord")
+    next_low, next_first, last_high, last_last = F.lead("low").over(w), F.lead("first").over(w), F.lag("high").over(w), F.lag("last").over(w)
+    middle = lambda a, b: (a + b) / F.lit(2.0)
+    between = lambda a, m, b: (a < m) & (m < b)
+    up, down = middle(F.col("last"), next_first), middle(last_last, F.col("first"))
+    high = F.when((F.col("high") > next_low) & between(F.col("last"), up, next_first), F.least(F.col("high"), up)).otherwise(F.col("high"))
+    low = F.when((last_high > F.col("low")) & between(last_last, down, F.col("first")), F.greatest(F.col("low"), down)).otherwise(F.col("low"))
+    return bins.join(ends, ["psr", "ord"]).select("psr", low.alias("low"), high.alias("high"))
+
+
+def _tangled(times: DataFrame, bins: DataFrame) -> DataFrame:
+    """(psr, ord, part, lo, hi) of the bins in stretches of overlapping bins of which some share a time."""
+    w = Window.partitionBy("psr").orderBy("low", "high", "ord")
+    reach = F.max("high").over(w.rowsBetween(*scan.BEFORE_ALL))
+    chained = bins.withColumn("part", F.when(F.col("low") < reach, 0).otherwise(1)).withColumn("part", F.sum("part").over(w))
+    shared = members(times.select("psr", "mjd").distinct(), chained.select("psr", "part", "ord", "low", "high")).groupBy("psr", "part", "mjd").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    whole = Window.partitionBy("psr", "part")
+    return chained.join(shared.select("psr", "part").distinct(), ["psr", "part"], "left_semi").select("psr", "ord", "part", F.min("low").over(whole).alias("lo"), F.max("high").over(whole).alias("hi"))
+
+
+def repair(times: DataFrame, bins: DataFrame, widths: DataFrame, pad: float = 0.05, cover: bool = False, rounds: int = 8) -> DataFrame:
+    """Bins in which ``check`` finds nothing wrong, made from ``bins`` by rebuilding only what it finds.
+
+    Improper and empty bins go. Where overlapping bins share times, their stretch gets greedy bins of the source's width
+    (``widths``: psr, width), inside the stretch; where they don't, the edges move to the middle between the bins' times.
+    With ``cover`` times in no bin get bins too. What a round has changed is checked again, until nothing is found.
+    """
+    times = settled(times.select("psr", "toa_id", "mjd"))
+    for _ in range(rounds):
+        wrong = settled(check(times, bins).filter(F.lit(cover) | (F.col("kind") != "in no bin")))
+        if wrong.isEmpty():
+            return bins
+        gone = wrong.filter("kind in ('improper', 'empty')").select("psr", F.col("id").alias("ord"))
+        sound = settled(bins.join(gone, ["psr", "ord"], "left_anti"))
+        tangled = settled(_tangled(times, sound))
+        inside = members(times, sound.join(tangled, ["psr", "ord"])).select("psr", "part", "lo", "hi", "mjd").join(widths, "psr")
+        keys = {"psr": "string", "part": "long", "lo": "double", "hi": "double", "width": "double"}
+        rebuilt = greedy_by(inside, keys, None, pad).select("psr", F.greatest("low", "lo").alias("low"), F.least("high", "hi").alias("high"))
+        parts = [sound.join(tangled, ["psr", "ord"], "left_anti").select("psr", "low", "high"), rebuilt]
+        if cover:
+            loose = times.join(wrong.filter("kind = 'in no bin'").select("psr", F.col("id").alias("toa_id")), ["psr", "toa_id"], "left_semi").join(widths, "psr")
+            parts.append(greedy_by(loose, {"psr": "string", "width": "double"}, None, pad).select("psr", "low", "high"))
+        made = numbered(reduce(DataFrame.union, parts))
+        bins = settled(numbered(_trimmed(times, settled(made))))
+    raise RuntimeError(f"bins are not sound after {rounds} rounds")
 
 
 def _nearest(points: DataFrame, marks: DataFrame) -> DataFrame:
     """Each point (psr, mjd) with the struct ``near`` (d, tie, mark) of the mark (psr, at, tie, mark) closest in time; the least tie first.
 
-    Marks and points meet in time order: the closest mark is the last before a point or the first behind it.
+    Marks and points meet in time order, stretch by stretch: the closest mark is the last before a point or the first behind it.
     """
-    first = marks.groupBy("psr", "at").agg(F.min(F.struct("tie", "mark")).alias("m")).select("psr", F.col("at").alias("mjd"), F.struct("at", "m.*").alias("mark"), F.lit(False).alias("is_point"))
-    line = first.unionByName(points.select("psr", "mjd").withColumn("is_point", F.lit(True)), allowMissingColumns=True)
-    seen = lambda *order: F.last("mark", ignorenulls=True).over(Window.partitionBy("psr").orderBy(*order))
-    both = line.withColumn("before", seen("mjd", "is_point")).withColumn("behind", seen(F.desc("mjd"), F.col("is_point"))).filter("is_point")
+    first = marks.groupBy("psr", "at").agg(F.min(F.struct("tie", "mark")).alias("m")).select("psr", F.col("at").alias("mjd"), F.struct("at", "m.*").alias("mark"))
+    both = scan.beside(points, first)
     far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.at") - F.col("mjd")).alias("d"), F.col(f"{c}.tie").alias("tie"), F.col(f"{c}.mark").alias("mark")))
     return both.select("psr", "mjd", F.least(far("before"), far("behind")).alias("near")).filter("near is not null")
 
@@ -286,23 +350,36 @@ def same_bins(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.groupBy("psr").agg(F.bool_and(F.coalesce(close("low", "old_low") & close("high", "old_high"), F.lit(False))).alias("same"))
 
 
-def setup(toas: DataFrame, old_bins: DataFrame | None = None, events: DataFrame | None = None, single_site: str = "ao", ratio: float = 1.1, most_us: float = 0.1, early: tuple[str, str, str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def setup(
+    toas: DataFrame, old_bins: DataFrame | None = None, events: DataFrame | None = None, single_site: str = "ao", ratio: float = 1.1, most_us: float = 0.1,
+    early: tuple[str, str, str, str] | None = None, mend: bool = True,
+) -> tuple[DataFrame, DataFrame]:
     """(toas with dmx cuts, bins that pass): the whole setup, from uncut rows to bins that ``check`` finds sound.
 
-    A source whose ``old_bins`` (psr, ord, low, high) are as many and agree closely keeps them with their numbers; all
-    other sources' bins are numbered from 1.
+    Early-era bins are widened and completed by greedy ones, half a day wide where all rows of a source are of
+    ``single_site``, else 6.5 days. Windows (psr, from_mjd, to_mjd, width) then get bins of their own width, half a day if
+    they name none, and bins with too much solar wind are split. What ``check`` finds wrong is repaired (``mend``), so that
+    every row that isn't cut lies in one bin. A source whose ``old_bins`` (psr, ord, low, high) are as many and agree
+    closely keeps them with their numbers; all other sources' bins are numbered from 1.
     """
     toas = settled(toas)
     live = toas.filter("cut is null")
     first = settled(early_bins(live, *early)) if early else None
     one_site = live.groupBy("psr").agg(F.bool_and(F.col("obs") == single_site).alias("one_site"))
-    typed = live.join(one_site, "psr")
-    of = lambda where: None if first is None else first.join(one_site.filter(where), "psr", "left_semi")
-    parts = [expand(typed.filter(where), of(where), width, 0.05, add_new=True) for where, width in (("one_site", 0.5), ("not one_site", 6.5))]
-    bins = settled(parts[0].unionByName(parts[1]))
+    widths = settled(one_site.select("psr", F.when(F.col("one_site"), 0.5).otherwise(6.5).alias("width")))
+    if first is None:
+        bins = numbered(greedy_by(live.join(widths, "psr"), {"psr": "string", "width": "double"}, None, 0.05))
+    else:
+        of = lambda df, width: df.join(widths.filter(F.col("width") == width).select("psr"), "psr", "left_semi")
+        parts = [expand(of(live, width), of(first, width), width, 0.05, add_new=True) for width in (0.5, 6.5)]
+        bins = parts[0].unionByName(parts[1])
+    bins = settled(bins)
     if events is not None:
-        bins = rebin(live, bins, event_bins(bins, events), 0.5, 0.0)
+        with_width = events if "width" in events.columns else events.withColumn("width", F.lit(0.5))
+        bins = settled(rebin_events(live, bins, with_width.select("psr", "from_mjd", "to_mjd", F.coalesce("width", F.lit(0.5)).cast("double").alias("width"))))
     bins = settled(rebin(live, bins, solar_bins(live, bins, most_us), 0.5, 0.05))
+    if mend:
+        bins = repair(live, bins, widths, 0.05)
     good = settled(numbered(bins.join(passing(members(live, bins), ratio).select("psr", "ord"), ["psr", "ord"], "left_semi")))
     if old_bins is not None:
         good = settled(kept_or_new(good, old_bins))

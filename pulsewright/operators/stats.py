@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsewright.operators import scan
+
 
 def cut_counts(toas: DataFrame) -> DataFrame:
     """(psr, dim, value, total, cut): rows by receiver-backend, site and cut label ('good' if none); the cut dimension's total is all rows."""
@@ -93,8 +95,8 @@ def flag_values(toas: DataFrame, columns: list[str], leave_out: tuple[str, ...]
     return x.groupBy("psr").agg(F.sort_array(F.collect_set("v")).alias("vals"))
 
 
-def febe_pairs(toas: DataFrame, own: str = "NANOGrav", febe: str = "f", other: str = "sys") -> DataFrame:
-    """(psr, pta, pair, n): receiver-backends, from the flag ``febe`` for one timing array and ``other`` for the rest."""
+def febe_pairs(toas: DataFrame, own: str, febe: str = "f", other: str = "sys") -> DataFrame:
+    """(psr, pta, pair, n): receiver-backends, from the flag ``febe`` for the timing array ``own`` and ``other`` for the rest."""
     return toas.groupBy("psr", "pta", F.when(F.col("pta") == own, F.col(febe)).otherwise(F.col(other)).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,8 +124,9 @@ def least_bins(toas: DataFrame, spins: DataFrame) -> DataFrame:
 
 def serials(toas: DataFrame, by_time: bool = True) -> DataFrame:
     """(psr, toa_id, serial, first_of_file): rows numbered from 1 by time or in load order, and whether a row is its file's first."""
-    w = Window.partitionBy("psr").orderBy(*(["mjd"] if by_time else []), "toa_id")
-    return toas.select("psr", "toa_id", F.row_number().over(w).cast("long").alias("serial"), (F.col("toa_id") == F.min("toa_id").over(Window.partitionBy("psr", "name"))).alias("first_of_file"))
+    rows = toas.select("psr", "toa_id", "name", *(["mjd"] if by_time else []))
+    out = scan.numbered(rows, ["psr"], [*(["mjd"] if by_time else []), "toa_id"], scan.of_days() if by_time else scan.of_numbers("toa_id"), "serial")
+    return out.select("psr", "toa_id", "serial", (F.col("toa_id") == F.min("toa_id").over(Window.partitionBy("psr", "name"))).alias("first_of_file"))
 
 
 def report_totals(report: DataFrame) -> DataFrame:
@@ -184,10 +187,7 @@ def jump_attribution(toas: DataFrame, bad: Column, flags: tuple[str, ...] = ("fe
 
 def sessions(times: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Rows numbered by group: a new group where the gap to the time before exceeds ``width``."""
-    w = Window.partitionBy(*keys).orderBy("mjd")
-    gap = F.col("mjd") - F.lag("mjd").over(w)
-    new = F.when(gap.isNull() | (gap > width), 1).otherwise(0)
-    return times.withColumn("new", new).withColumn("grp", F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("new")
+    return scan.sessions(times, keys, width)
 
 
 def group_dates(times: DataFrame, keys: list[str], width: float = 0.1, digits: int = 9) -> DataFrame:

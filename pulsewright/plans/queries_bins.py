@@ -208,6 +208,52 @@ def dmx_setup_cuts(spark, sf_dir):
     return bins.setup(cut_toas(spark, sf_dir), most_us=3.0)[0].select("psr", "toa_id", "cut")
 
 
+#: Bins of the whole setup but for the early era and the solar wind, said by two recursions: greedy ones, and those of windows
+#: (a bin that meets a window is made anew, of the window's width). Edges that overlap move to the middle between the times.
+WIDE = "case when (psr[4:])::int % 2 = 0 then 0.5::double else 2.5::double end"
+REDUCED = f"""with recursive {CUT}, live as materialized (select * from cut_toas where cut is null), d as materialized (select distinct psr, mjd from live),
+b as (
+  select psr, low, (select max(mjd) from d where d.psr = s.psr and d.mjd <= s.low + {W} + {P} + {E}) + {P} + {E} as high from (select psr, min(mjd) - {P} - {E} as low from d group by psr) s
+  union all
+  select psr, low, (select max(mjd) from d where d.psr = s.psr and d.mjd <= s.low + {W} + {P} + {E}) + {P} + {E} as high from (select b.psr, (select min(mjd) from d where d.psr = b.psr and d.mjd > b.high) - {P} - {E} as low from b) s where low is not null),
+hit as materialized (select psr, low, high, {WIDE} as width from b where (50000 < low and low < 50060) or (50000 < high and high < 50060)),
+loose as materialized (select distinct d.psr, d.mjd, width from d join hit on d.psr = hit.psr and low < mjd and mjd < high),
+n as (
+  select psr, width, low, (select max(mjd) from loose l where l.psr = s.psr and l.mjd <= s.low + s.width + {E}) + {E} as high from (select psr, width, min(mjd) - {E} as low from loose group by all) s
+  union all
+  select psr, width, low, (select max(mjd) from loose l where l.psr = s.psr and l.mjd <= s.low + s.width + {E}) + {E} as high from (select n.psr, n.width, (select min(mjd) from loose l where l.psr = n.psr and l.mjd > n.high) - {E} as low from n) s where low is not null),
+every as (select psr, low, high from b anti join hit using (psr, low, high) union all select psr, low, high from n),
+span as (select e.psr, e.low, e.high, min(mjd) as first, max(mjd) as last from every e join d on d.psr = e.psr and low < mjd and mjd < high group by all),
+beside as (select *, lead(low) over w as next_low, lead(first) over w as next_first, lag(high) over w as last_high, lag(last) over w as last_last from span window w as (partition by psr order by first, last, low)),
+sound as (select psr, case when last_high > low then greatest(low, (last_last + first) / 2.0::double) else low end as low, case when high > next_low then least(high, (last + next_first) / 2.0::double) else high end as high from beside),
+good as (select s.psr, s.low, s.high from sound s join live l on l.psr = s.psr and low < mjd and mjd < high group by all having max(freq_mhz) / min(freq_mhz) >= 1.1::double)"""
+
+
+def _reduced(spark, sf_dir):
+    """The setup with windows as configurations state them, and without the solar wind's splits."""
+    t = cut_toas(spark, sf_dir)
+    windows = F.array(F.array(F.lit(50000.0), F.lit(50060.0), F.when(F.substring("psr", 4, 9).cast("int") % 2 == 0, 0.5).otherwise(2.5)))
+    configs = t.select("psr").distinct().withColumn("custom_dmx", windows)
+    return bins.setup(t, events=bins.windows_of(configs), most_us=1e9)
+
+
+@query(REDUCED + " select psr, row_number() over (partition by psr order by low, high) as ord, low, high from good")
+def dmx_setup_windows(spark, sf_dir):
+    return _reduced(spark, sf_dir)[1]
+
+
+@query(REDUCED + ", c as (select distinct l.psr, l.toa_id from live l join good g on l.psr = g.psr and low < mjd and mjd < high) select t.psr, t.toa_id, coalesce(t.cut, case when c.toa_id is null then 'dmx' end) as cut from cut_toas t left join c using (psr, toa_id)")
+def dmx_setup_window_cuts(spark, sf_dir):
+    return _reduced(spark, sf_dir)[0].select("psr", "toa_id", "cut")
+
+
+@query()
+def bins_repaired(spark, sf_dir):
+    """Overlapping, improper and empty bins of the whole table made sound, with bins for the times that had none."""
+    t = toas(spark, sf_dir)
+    return bins.repair(t, _bins(spark, sf_dir, t), t.select("psr").distinct().withColumn("width", F.lit(6.5)), cover=True)
+
+
 @query(f"with {TOAS} select psr, toa_id, round({WIND}, 12) as wind from toas")
 def solar_wind_dm(spark, sf_dir):
     return toas(spark, sf_dir).select("psr", "toa_id", F.round(scalar.solar_wind_dm(F.col("sun_angle_rad")), 12).alias("wind"))

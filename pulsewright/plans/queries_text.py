@@ -40,12 +40,12 @@ def tim_decimal_round_trip(spark, sf_dir):
     return text.parse_tim(lines).select(F.col("path").alias("psr"), F.col("line_no").alias("toa_id"), F.col("mjd_txt").cast("string").alias("mjd_txt"))
 
 
-@query("select p_partkey, 'PSR' || (p_partkey % 50)::varchar || '_PINT_' || strftime(date '2020-01-01' + (p_partkey % 700)::int, '%Y%m%d') || '.' || case when p_size % 2 = 0 then 'nb' else 'wb' end || '.par' as file from part")
+@query("select p_partkey, 'PSR' || (p_partkey % 50)::varchar || '_FIT_' || strftime(date '2020-01-01' + (p_partkey % 700)::int, '%Y%m%d') || '.' || case when p_size % 2 = 0 then 'nb' else 'wb' end || '.par' as file from part")
 def output_names(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") % 700).cast("int"))
     source = F.concat(F.lit("PSR"), (F.col("p_partkey") % 50).cast("string"))
-    return p.select("p_partkey", text.output_name(source, F.when(F.col("p_size") % 2 == 0, "NB").otherwise("WB"), day, "PINT", "par").alias("file"))
+    return p.select("p_partkey", text.output_name(source, F.when(F.col("p_size") % 2 == 0, "NB").otherwise("WB"), day, "FIT", "par").alias("file"))
 
 
 @query("select 'PSR' || (p_partkey % 50)::varchar as psr, p_partkey as ord, p_type as name, case when p_size % 3 = 0 then '-f' end as mask_key, case when p_size % 3 = 0 then p_brand end as mask_value, p_retailprice as value, p_size % 2 = 0 as fit, case when p_size % 2 = 0 then p_size / 8.0::double end as uncertainty from (select p_partkey, replace(p_type, ' ', '_') as p_type, p_brand, p_retailprice, p_size from part)")

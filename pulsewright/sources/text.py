@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsewright.operators import scan
 from pulsewright.operators.settle import settled
 
 SPACE = r"\s+"
@@ -70,7 +71,7 @@ def follow_includes(lines: DataFrame, deepest: int = 8) -> DataFrame:
 
 def renumber(toas: DataFrame) -> DataFrame:
     """``toa_id`` from 0 in load order within each source: by file, then line."""
-    return toas.withColumn("toa_id", (F.row_number().over(Window.partitionBy("psr").orderBy("path", "line_no")) - 1).cast("long"))
+    return scan.numbered(toas, ["psr"], ["path", "line_no"], F.struct("path", scan.of_numbers("line_no").alias("block")), "toa_id", start=0)
 
 
 def uncomment(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

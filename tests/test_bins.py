@@ -34,8 +34,7 @@ def test_setup_leaves_every_survivor_in_one_bin(spark):
     start = cut_toas(spark, SF).cache()
     marked, good = bins.setup(start, most_us=3.0)
     marked = marked.cache()
-    problems = bins.check(marked.filter("cut is null"), good)
-    assert problems.filter("kind in ('in no bin', 'improper', 'empty')").count() == 0
+    assert bins.check(marked.filter("cut is null"), good).count() == 0
     assert marked.count() == start.count()
     assert marked.filter("cut is not null and cut <> 'dmx'").count() == start.filter("cut is not null").count()
 
@@ -118,3 +117,50 @@ def test_f_test_gives_nothing_when_not_better(spark):
     df = spark.createDataFrame([(10.0, 9.0, 5.0, 8.0), (5.0, 9.0, 10.0, 8.0), (10.0, 8.0, 5.0, 8.0)], "a double, n double, b double, m double")
     got = [r.p for r in df.select(ftests.f_test(F.col("a"), F.col("n"), F.col("b"), F.col("m")).alias("p")).collect()]
     assert 0 < got[0] < 0.1 and got[1:] == [None, None]
+
+
+def test_repair_rebuilds_only_what_is_wrong(spark):
+    t = spark.createDataFrame([("P", k, m) for k, m in enumerate([1.0, 2.0, 3.0, 9.0, 10.0, 20.0, 26.0, 40.0, 47.0, 60.0])] + [("Q", 1, 5.0)], "psr string, toa_id long, mjd double")
+    b = spark.createDataFrame(
+        [("P", 1, 0.5, 3.5), ("P", 2, 1.5, 10.5), ("P", 3, 19.0, 24.0), ("P", 4, 23.0, 27.0), ("P", 5, 30.0, 35.0), ("P", 6, 39.0, 41.0), ("P", 7, 39.5, 40.5), ("P", 8, 50.0, 45.0), ("P", 9, 59.0, 61.0), ("Q", 1, 0.0, 10.0)],
+        "psr string, ord long, low double, high double",
+    )
+    widths = spark.createDataFrame([("P", 6.5), ("Q", 0.5)], "psr string, width double")
+    got = [(r.psr, r.ord, round(r.low, 4), round(r.high, 4)) for r in bins.repair(t, b, widths).orderBy("psr", "ord").collect()]
+    # 1 and 2 share times: greedy ones inside their stretch. 3 and 4 don't: edges in the middle. 5 is empty, 8 improper, 6 and 7 hold one another
+    assert got == [("P", 1, 0.95, 3.05), ("P", 2, 8.95, 10.05), ("P", 3, 19.0, 23.0), ("P", 4, 23.0, 27.0), ("P", 5, 39.95, 40.05), ("P", 6, 59.0, 61.0), ("Q", 1, 0.0, 10.0)]
+    whole = bins.repair(t, b, widths, cover=True)
+    assert bins.check(t, whole).count() == 0 and whole.filter("low < 47 and 47 < high").count() == 1 and whole.filter("psr = 'Q'").first().high == 10.0
+    kept = bins.repair(t.filter("toa_id < 3"), b.filter("ord = 1 and psr = 'P'"), widths)
+    assert [(r.low, r.high) for r in kept.collect()] == [(0.5, 3.5)]
+    assert bins.repair(t, b.limit(0), widths).count() == 0 and bins.check(t, bins.repair(t, b.limit(0), widths, cover=True)).count() == 0
+
+
+def test_repair_of_many_tangled_bins(spark):
+    rng = np.random.default_rng(8)
+    own = [(p, k, float(a), float(a + rng.uniform(-1, 9))) for p in "ABC" for k, a in enumerate(rng.uniform(0, 400, 60))]
+    b = spark.createDataFrame(own, "psr string, ord long, low double, high double")
+    t = spark.createDataFrame([(p, k, float(m)) for p in "ABC" for k, m in enumerate(rng.uniform(0, 400, 300))], "psr string, toa_id long, mjd double")
+    widths = spark.createDataFrame([("A", 6.5), ("B", 0.5), ("C", 30.0)], "psr string, width double")
+    for cover in (False, True):
+        fixed = bins.repair(t, b, widths, cover=cover).cache()
+        left = bins.check(t, fixed).groupBy("kind").count().collect()
+        assert [r.kind for r in left] == ([] if cover else ["in no bin"])
+        before, after = (bins.members(t, x).select("psr", "toa_id").distinct().count() for x in (b.filter("low < high"), fixed))
+        assert after == 900 if cover else before == after
+    sound = [r for r in own if r[2] < r[3] and not any(r is not o and r[0] == o[0] and r[2] < o[3] and o[2] < r[3] for o in own)]
+    kept = {(r.psr, r.low, r.high) for r in bins.repair(t, b, widths).collect()}
+    times = [(r.psr, r.mjd) for r in t.collect()]
+    assert sound and all(((p, lo, hi) in kept) == any(p == q and lo < m < hi for q, m in times) for p, _, lo, hi in sound)
+
+
+def test_windows_of_a_configuration_take_effect(spark):
+    rows = [("P", k, 50000.0 + k, 400.0 + 300 * (k % 2), "gbt", None, 1.0, 1.0) for k in range(40)]
+    t = spark.createDataFrame(rows, "psr string, toa_id long, mjd double, freq_mhz double, obs string, cut string, err_us double, sun_angle_rad double")
+    configs = spark.createDataFrame([("P", [[50011.5, 50016.5, 2.0], []])], "psr string, custom_dmx array<array<double>>")
+    plain, own = (bins.setup(t, events=e, most_us=1e9)[1] for e in (None, bins.windows_of(configs)))
+    near = lambda df: sorted((round(r.low, 1), round(r.high, 1)) for r in df.collect())
+    assert (50014.0, 50020.0) in [(round(a + 0.05), round(b)) for a, b in near(plain)] or len(near(plain)) == 6
+    narrow = [(a, b) for a, b in near(own) if 50006 < a and b < 50022]
+    assert narrow and all(b - a < 2.2 for a, b in narrow if 50007.5 < a)
+    assert bins.check(bins.setup(t, events=bins.windows_of(configs), most_us=1e9)[0].filter("cut is null"), own).count() == 0
