@@ -65,6 +65,70 @@ def expand_bins(bins: np.ndarray, times: np.ndarray, width: float, pad: float, s
     return np.array(grown, float).reshape(-1, 2), np.array(none, float)
 
 
+#: Rows that are factored at once.
+FACTOR_ROWS = 1024
+#: Scaled columns with singular values below this share of the largest are dependent.
+DEPENDENT = 1e-12
+
+
+def triangles(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The triangular factor R of each consecutive block of rows; no product of columns is formed.
+
+    Blocks of like size are factored together; those of many rows piece by piece, and their factors once more.
+    """
+    q, sizes = rows.shape[1], np.asarray(sizes)
+    while sizes.size and sizes.max() > FACTOR_ROWS:
+        pieces = np.maximum(1, -(-sizes // FACTOR_ROWS))
+        first = np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = (np.arange(pieces.sum()) - first) * FACTOR_ROWS
+        cut = np.minimum(FACTOR_ROWS, np.repeat(sizes, pieces) - begin)
+        rows, sizes = triangles(rows, cut).reshape(-1, q), pieces * q
+    out, begins = np.zeros((len(sizes), q, q)), np.cumsum(sizes) - sizes
+    padded = 1 << np.ceil(np.log2(np.maximum(1, sizes))).astype(int)  # rows of zeros change no factor
+    for size in np.unique(padded):
+        k = np.flatnonzero((padded == size) & (sizes > 0))
+        if len(k):
+            at = begins[k][:, None] + np.arange(size)
+            there = np.arange(size) < sizes[k][:, None]
+            block = np.where(there[:, :, None], rows[np.minimum(at, len(rows) - 1)], 0.0)
+            out[k, : min(size, q)] = np.linalg.qr(block, mode="r")
+    return out
+
+
+def merged(*factors: np.ndarray) -> np.ndarray:
+    """The factor of all rows behind some factors, each (q, q) or (k, q, q)."""
+    return np.linalg.qr(np.concatenate(factors, axis=-2), mode="r")
+
+
+def besides_each(factors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of some factors in order: that of all before it and that of all behind it; and the one of all."""
+    before, behind = np.zeros_like(factors), np.zeros_like(factors)
+    for k in range(1, len(factors)):
+        before[k] = merged(before[k - 1], factors[k - 1])
+        behind[-k - 1] = merged(behind[-k], factors[-k])
+    return before, behind, merged(before[-1], factors[-1])
+
+
+def solved(factors: np.ndarray, n: np.ndarray, use: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """chi-squared, degrees of freedom, parameters and their errors of many fits, from the factors of [columns, y].
+
+    Columns without content, or that others make up, count for nothing; of these the smallest parameters are taken.
+    """
+    p = factors.shape[-1] - 1
+    use = list(range(p)) if use is None else use
+    r = np.linalg.qr(factors[:, :, [*use, p]], mode="r")
+    a, b, rest = r[:, : len(use), : len(use)], r[:, : len(use), len(use)], r[:, len(use), len(use)]
+    scale = np.linalg.norm(a, axis=1)
+    scale = np.where(scale > 0, scale, 1.0)
+    u, s, vt = np.linalg.svd(a / scale[:, None, :])
+    there = s > DEPENDENT * np.maximum(s[:, :1], 1e-300)
+    along = np.einsum("kij,ki->kj", u, b)
+    inverse = np.where(there, 1 / np.where(there, s, 1.0), 0.0)
+    beta = np.einsum("kji,kj->ki", vt, along * inverse) / scale
+    sigma = np.linalg.norm(vt * inverse[:, :, None], axis=1) / scale
+    return rest**2 + np.where(there, 0.0, along**2).sum(axis=1), n - there.sum(axis=1), beta, sigma
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after moving the argument above seven."""
     x = np.asarray(x, float).copy()

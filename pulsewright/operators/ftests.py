@@ -1,7 +1,8 @@
-"""Nested-model tests: batched weighted linear fits by sums of products, F-tests, and what to add or remove.
+"""Nested-model tests: batched weighted linear fits by triangular factors, F-tests, and what to add or remove.
 
-A fit never sees rows: partitions reduce them to a few sums for each file, which add up to each source's. Leaving a file
-out is a subtraction and a small solve.
+A fit never sees rows: each file's weighted design is reduced to its triangular factor, and factors are merged by factoring
+them side by side, in partitions first. Products of columns are never formed, so a fit keeps the digits that sums of
+products would lose. Leaving a file out merges what is before it and what is behind it; nothing is subtracted.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from pulsewright.functions import kernels
+from pulsewright.operators.settle import settled
 
 
 @pandas_udf(DoubleType())
@@ -102,73 +104,80 @@ def other_candidates(models: DataFrame, params: DataFrame, fb: int = 5) -> DataF
     return fixed.union(px).union(down).union(up)
 
 
-def grams(rows: DataFrame, keys: list[str], columns: list[str], y: str = "y", w: str = "w") -> DataFrame:
-    """Sums of products of the design columns and y under weights, for each key: arrays xx (upper triangle), xy, and yy, n."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    c = lambda n: F.col(n)
-    sums = [F.sum(c(w) * c(columns[i]) * c(columns[j])) for i, j in pairs]
-    return rows.groupBy(*keys).agg(
-        F.array(*sums).alias("xx"), F.array(*[F.sum(c(w) * c(x) * c(y)) for x in columns]).alias("xy"), F.sum(c(w) * c(y) * c(y)).alias("yy"), F.count(F.lit(1)).alias("n")
-    )
+#: Files of a block, within which they are left out one by one.
+BLOCK = 256
 
 
-def add_grams(parts: DataFrame, keys: list[str], p: int) -> DataFrame:
-    m = p * (p + 1) // 2
-    return parts.groupBy(*keys).agg(F.array(*[F.sum(F.col("xx")[k]) for k in range(m)]).alias("xx"), F.array(*[F.sum(F.col("xy")[k]) for k in range(p)]).alias("xy"), F.sum("yy").alias("yy"), F.sum("n").alias("n"))
+def _runs(batches, keys: list[str]):
+    """Frames of sorted batches in which no run of equal keys is cut, with the bounds of their runs."""
+    kept: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        kept.append(pdf)
+        rows = pd.concat(kept, ignore_index=True) if len(kept) > 1 else pdf
+        new = np.flatnonzero((rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1)) + 1
+        if len(new):
+            kept = [rows.iloc[new[-1] :]]
+            yield rows.iloc[: new[-1]], np.array([0, *new])
+        else:
+            kept = [rows]
+    if kept:
+        rows = pd.concat(kept, ignore_index=True)
+        yield rows, np.array([0, len(rows)])
 
 
-def solve(xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, n: np.ndarray, use: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """chi-squared, degrees of freedom and parameters of many fits at once; columns without content count for nothing."""
-    p = xy.shape[1]
-    full = np.zeros((len(xy), p, p))
-    i, j = np.triu_indices(p)
-    full[:, i, j] = xx
-    full[:, j, i] = xx
-    use = list(range(p)) if use is None else use
-    a, b = full[:, use][:, :, use], xy[:, use]
-    scale = np.sqrt(np.maximum(0.0, np.einsum("kii->ki", a)))
-    scale = np.where(scale > 0, scale, 1.0)
-    unit = a / scale[:, :, None] / scale[:, None, :]
-    inverse = np.linalg.pinv(unit, rcond=1e-12, hermitian=True)
-    beta = np.einsum("kij,kj->ki", inverse, b / scale) / scale
-    rank = np.linalg.matrix_rank(unit, tol=1e-10, hermitian=True)
-    return yy - np.einsum("ki,ki->k", beta, b), n - rank, beta
+def _stack(column: pd.Series, q: int) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(-1, q, q)
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), float)
+def _schema(df: DataFrame, keys: list[str], more: str) -> str:
+    return ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), more])
 
 
-def fit(total: DataFrame, use: list[int] | None = None) -> DataFrame:
-    """(psr, chi2, dof, beta) of each source's sums."""
+def factors(rows: DataFrame, keys: list[str], columns: list[str], y: str = "y", w: str = "w") -> DataFrame:
+    """(keys, r, n): the triangular factor of the weighted columns and y of each key, by rows, and how many rows it has.
+
+    Rows of one key meet in one task; take keys with few rows, such as files, and merge those of larger ones.
+    """
+    names = [*columns, y]
+    q = len(names)
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                chi2, dof, beta = solve(_stack(pdf["xx"]), _stack(pdf["xy"]), pdf["yy"].to_numpy(float), pdf["n"].to_numpy(), use)
-                yield pd.DataFrame({"psr": pdf["psr"], "chi2": chi2, "dof": dof, "beta": list(beta)})
+        for part, bounds in _runs(batches, keys):
+            x = part[names].to_numpy(float) * np.sqrt(part[w].to_numpy(float))[:, None]
+            r = kernels.triangles(x, np.diff(bounds))
+            out = part.iloc[bounds[:-1]][keys].reset_index(drop=True)
+            yield out.assign(r=list(r.reshape(len(r), q * q)), n=np.diff(bounds))
+
+    ready = rows.select(*keys, w, *names).repartition(*keys).sortWithinPartitions(*keys)
+    return ready.mapInPandas(run, _schema(rows, keys, "r array<double>, n long"))
+
 
-    return total.select("psr", "xx", "xy", "yy", "n").mapInPandas(run, "psr string, chi2 double, dof long, beta array<double>")
+def merge(parts: DataFrame, keys: list[str], q: int) -> DataFrame:
+    """(keys, r, n) of all ``parts`` with the same key: merged within each partition first, so that a key meets once for each."""
+
+    def run(batches):
+        for part, bounds in _runs(batches, keys):
+            r = kernels.triangles(_stack(part["r"], q).reshape(-1, q), np.diff(bounds) * q)
+            n = np.add.reduceat(part["n"].to_numpy(), bounds[:-1])
+            yield part.iloc[bounds[:-1]][keys].reset_index(drop=True).assign(r=list(r.reshape(len(r), q * q)), n=n)
+
+    schema, cols = _schema(parts, keys, "r array<double>, n long"), [*keys, "r", "n"]
+    within = parts.select(*cols).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return within.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def uncertainties(total: DataFrame, use: list[int] | None = None) -> DataFrame:
-    """(psr, sigma): each parameter's error from the inverse of the weighted products; zero for a column without content."""
+def fit(total: DataFrame, q: int, use: list[int] | None = None) -> DataFrame:
+    """(psr, chi2, dof, beta, sigma) of each source's factor (psr, r, n); zero error for a column without content."""
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                p = len(pdf["xy"].iloc[0])
-                full = np.zeros((len(pdf), p, p))
-                i, j = np.triu_indices(p)
-                full[:, i, j] = full[:, j, i] = _stack(pdf["xx"])
-                chosen = list(range(p)) if use is None else use
-                a = full[:, chosen][:, :, chosen]
-                scale = np.sqrt(np.maximum(0.0, np.einsum("kii->ki", a)))
-                scale = np.where(scale > 0, scale, 1.0)
-                inverse = np.linalg.pinv(a / scale[:, :, None] / scale[:, None, :], rcond=1e-12, hermitian=True)
-                yield pd.DataFrame({"psr": pdf["psr"], "sigma": list(np.sqrt(np.maximum(0.0, np.einsum("kii->ki", inverse))) / scale)})
+                chi2, dof, beta, sigma = kernels.solved(_stack(pdf["r"], q), pdf["n"].to_numpy(), use)
+                yield pd.DataFrame({"psr": pdf["psr"], "chi2": chi2, "dof": dof, "beta": list(beta), "sigma": list(sigma)})
 
-    return total.select("psr", "xx", "xy").mapInPandas(run, "psr string, sigma array<double>")
+    return total.select("psr", "r", "n").mapInPandas(run, "psr string, chi2 double, dof long, beta array<double>, sigma array<double>")
 
 
 def post_fit(rows: DataFrame, fits: DataFrame, columns: list[str], y: str = "y") -> DataFrame:
@@ -177,66 +186,90 @@ def post_fit(rows: DataFrame, fits: DataFrame, columns: list[str], y: str = "y")
     return rows.join(fits.select("psr", "beta"), "psr").withColumn("post", F.col(y) - reduce(Column.__add__, terms)).drop("beta")
 
 
-def binned_grams(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(what each file adds, each source's total) to the sums of a fit in which every bin has a column of its own.
+def _without_each(units: DataFrame, q: int, own_column: bool) -> DataFrame:
+    """(psr, unit, name, r, n, n_rows): each unit's factor without each of its files, and the whole unit's (name null).
 
-    ``rows`` are (psr, ord, name, y, w, u, columns), u being the bin's column. It is projected out in each bin: from the
-    products of the rest goes what goes along u. What a file adds is the difference of its bins' projections with and
-    without it; a bin that only the file has rows in goes with it. ``n`` counts rows less bins, ``n_rows`` rows.
+    With ``own_column`` the first column is the unit's own and is projected out: ``r`` has the other ones, ``n`` one row less.
     """
-    z = [*columns, "y"]
-    places = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
-    w, u = F.col("w"), F.col("u")
-    sums = rows.groupBy("psr", "ord", "name").agg(
-        *[F.sum(w * F.col(z[i]) * F.col(z[j])).alias(f"zz_{i}_{j}") for i, j in places], *[F.sum(w * u * F.col(c)).alias(f"uz_{i}") for i, c in enumerate(z)], F.sum(w * u * u).alias("uu"), F.count(F.lit(1)).alias("n")
-    )
-    names = [c for c in sums.columns if c not in ("psr", "ord", "name")]
-    whole = Window.partitionBy("psr", "ord")
-    both = sums.select("*", *[F.sum(c).over(whole).alias(f"b_{c}") for c in names])
-    of_bin = lambda i, j: F.col(f"b_zz_{i}_{j}") - F.col(f"b_uz_{i}") * F.col(f"b_uz_{j}") / F.col("b_uu")
-    less = lambda c: F.col(f"b_{c}") - F.col(c)
-    of_rest = lambda i, j: F.when(less("n") > 0, less(f"zz_{i}_{j}") - less(f"uz_{i}") * less(f"uz_{j}") / less("uu")).otherwise(0.0)
-    last = len(columns)
-
-    def arrays(of):
-        return (
-            F.array(*[F.sum(of(i, j)) for i, j in places if j < last]).alias("xx"), F.array(*[F.sum(of(i, last)) for i in range(last)]).alias("xy"), F.sum(of(last, last)).alias("yy")
-        )
-
-    per_file = both.groupBy("psr", "name").agg(*arrays(lambda i, j: of_bin(i, j) - of_rest(i, j)), (F.sum("n") - F.count_if(less("n") == 0)).alias("n"), F.sum("n").alias("n_rows"))
-    each = sums.groupBy("psr", "ord").agg(*[F.sum(c).alias(f"b_{c}") for c in names])
-    return per_file, each.groupBy("psr").agg(*arrays(of_bin), (F.sum("b_n") - F.count(F.lit(1))).alias("n"))
-
-
-def leave_one_out(per_file: DataFrame, p: int, threshold: float = 1e-6, total: DataFrame | None = None) -> DataFrame:
+    left = q - own_column
+
+    def given(r: np.ndarray, n: int):
+        return (r[own_column:, own_column:].ravel(), max(0, n - own_column) if n else 0)
+
+    def run(batches):
+        for part, bounds in _runs(batches, ["psr", "unit"]):
+            r, n, out = _stack(part["r"], q), part["n"].to_numpy(), []
+            psr, unit, name = (part[c].tolist() for c in ("psr", "unit", "name"))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                before, behind, whole = kernels.besides_each(r[a:b])
+                rest = kernels.merged(before, behind)
+                every = int(n[a:b].sum())
+                out.append((psr[a], unit[a], None, *given(whole, every), every))
+                out += [(psr[k], unit[k], name[k], *given(rest[k - a], every - int(n[k])), int(n[k])) for k in range(a, b)]
+            yield pd.DataFrame(out, columns=["psr", "unit", "name", "r", "n", "n_rows"])
+
+    ready = units.select("psr", "unit", "name", "r", "n").repartition("psr", "unit").sortWithinPartitions("psr", "unit", "name")
+    return ready.mapInPandas(run, f"psr string, unit long, name {units.schema['name'].dataType.simpleString()}, r array<double>, n long, n_rows long")
+
+
+def leave_one_out(per_file: DataFrame, q: int, threshold: float = 1e-6, unit: str | None = None) -> DataFrame:
     """(psr, name, n_removed, chi2, dof, ftest, drop) of each file: the fit without it against the full one.
 
-    A file whose removal does not lower chi-squared has no p-value and is never dropped. A column that only the file's
-    rows had leaves the fit with it. ``total`` is given where it isn't the sum of what the files add.
+    ``per_file`` are factors (psr, name, r, n) of q columns, y included. A file whose removal does not lower chi-squared
+    has no p-value and is never dropped. A column that only the file's rows had leaves the fit with it. With ``unit``, a
+    whole number that ``per_file`` has too, the first column is one for each unit, as of dispersion-measure bins: it is
+    projected out, and a unit that only the file has rows in goes with it. A file may have rows in several units.
     """
-    total = add_grams(per_file, ["psr"], p) if total is None else total
-    per_file = per_file if "n_rows" in per_file.columns else per_file.withColumn("n_rows", F.col("n"))
-    t = total.select("psr", *[F.col(c).alias(f"t_{c}") for c in ("xx", "xy", "yy", "n")])
-    less = lambda a: F.zip_with(f"t_{a}", a, lambda x, y: x - y).alias(a)
-    left = per_file.join(t, "psr").select("psr", "name", F.col("n_rows").alias("n_removed"), less("xx"), less("xy"), (F.col("t_yy") - F.col("yy")).alias("yy"), (F.col("t_n") - F.col("n")).alias("n"))
+    if unit is None:
+        blocks = per_file.groupBy("psr").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        per_file = per_file.join(blocks, "psr").withColumn("unit", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("long"))
+    else:
+        per_file = per_file.withColumn("unit", F.col(unit).cast("long"))
+    left = q - (unit is not None)
+    each = settled(_without_each(per_file, q, unit is not None))
+
+    def line(batches):
+        for part, bounds in _runs(batches, ["psr"]):
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                own = part.iloc[a:b]
+                before, behind, whole = kernels.besides_each(_stack(own["r"], left))
+                n = own["n"].to_numpy()
+                ahead = np.cumsum(n) - n
+                flat = lambda r: list(r.reshape(len(r), -1))
+                total = [whole.ravel()] + [None] * (b - a - 1)
+                yield pd.DataFrame({"psr": own["psr"].to_numpy(), "unit": own["unit"].to_numpy(), "rank": np.arange(b - a), "whole": own["r"].to_numpy(), "n": n, "before": flat(before), "n_before": ahead, "behind": flat(behind), "n_behind": n.sum() - ahead - n, "total": total, "n_total": n.sum()})
+
+    # a source has few units beside its rows: bins of its span, or blocks of files
+    units = each.filter("name is null").select("psr", "unit", "r", "n").repartition("psr").sortWithinPartitions("psr", "unit")
+    lined = settled(units.mapInPandas(line, "psr string, unit long, rank long, whole array<double>, n long, before array<double>, n_before long, behind array<double>, n_behind long, total array<double>, n_total long"))
+    files = each.filter("name is not null").join(lined.select("psr", "unit", "rank", "before", "n_before", "behind", "n_behind"), ["psr", "unit"])
+    part = lambda r, n: F.struct(F.col(r).alias("r"), F.col(n).alias("n"))
+    of_file = files.groupBy("psr", "name").agg(
+        F.sum("n_rows").alias("n_removed"), F.collect_list(part("r", "n")).alias("parts"), F.min_by(part("before", "n_before"), "rank").alias("first"), F.max_by(part("behind", "n_behind"), "rank").alias("last"),
+        F.sort_array(F.collect_list("rank")).alias("ranks"),
+    )
+    skipped = of_file.select("psr", "name", F.explode(F.array_except(F.sequence(F.element_at("ranks", 1), F.element_at("ranks", -1)), "ranks")).alias("rank"))
+    between = skipped.join(lined.select("psr", "rank", "whole", "n"), ["psr", "rank"]).groupBy("psr", "name").agg(F.collect_list(part("whole", "n")).alias("between"))
+    parts = of_file.join(between, ["psr", "name"], "left").select("psr", "name", "n_removed", F.concat("parts", F.array("first", "last"), F.coalesce("between", F.array())).alias("parts"))
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                chi2, dof, _ = solve(_stack(pdf["xx"]), _stack(pdf["xy"]), pdf["yy"].to_numpy(float), pdf["n"].to_numpy())
+                sizes = np.array([len(x) for x in pdf["parts"]])
+                r = kernels.triangles(np.array([p["r"] for x in pdf["parts"] for p in x], float).reshape(-1, left), sizes * left)
+                n = np.array([sum(p["n"] for p in x) for x in pdf["parts"]])
+                chi2, dof, _, _ = kernels.solved(r, n)
                 yield pd.DataFrame({"psr": pdf["psr"], "name": pdf["name"], "n_removed": pdf["n_removed"], "chi2": chi2, "dof": dof})
 
-    one = left.mapInPandas(run, "psr string, name string, n_removed long, chi2 double, dof long")
-    base = fit(total).select("psr", F.col("chi2").alias("base_chi2"), F.col("dof").alias("base_dof"))
+    one = parts.mapInPandas(run, f"psr string, name {per_file.schema['name'].dataType.simpleString()}, n_removed long, chi2 double, dof long")
+    total = lined.filter("total is not null").select("psr", F.col("total").alias("r"), F.col("n_total").alias("n"))
+    base = fit(total, left).select("psr", F.col("chi2").alias("base_chi2"), F.col("dof").alias("base_dof"))
     out = one.join(base, "psr").withColumn("ftest", f_test(F.col("base_chi2"), F.col("base_dof"), F.col("chi2"), F.col("dof")))
     return out.select("psr", "name", "n_removed", "chi2", "dof", "ftest", F.coalesce(F.col("ftest") < threshold, F.lit(False)).alias("drop"))
 
 
-def nested(total: DataFrame, models: dict[str, list[int]], full: str) -> DataFrame:
-    """(psr, label, chi2, dof, ftest) of models that use some columns, against the one named ``full``."""
-    base = fit(total, models[full]).select("psr", F.col("chi2").alias("b_chi2"), F.col("dof").alias("b_dof"))
-    parts = [fit(total, use).select("psr", F.lit(label).alias("label"), "chi2", "dof") for label, use in models.items() if label != full]
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.union(other)
-    return out.join(base, "psr").select("psr", "label", "chi2", "dof", f_test(F.col("chi2"), F.col("dof"), F.col("b_chi2"), F.col("b_dof")).alias("ftest"))
+def nested(total: DataFrame, q: int, models: dict[str, list[int]], full: str) -> DataFrame:
+    """(psr, label, chi2, dof, ftest) of models that use some columns, against the one named ``full``: all from one factor."""
+    base = fit(total, q, models[full]).select("psr", F.col("chi2").alias("b_chi2"), F.col("dof").alias("b_dof"))
+    parts = [fit(total, q, use).select("psr", F.lit(label).alias("label"), "chi2", "dof") for label, use in models.items() if label != full]
+    return reduce(DataFrame.union, parts).join(base, "psr").select("psr", "label", "chi2", "dof", f_test(F.col("chi2"), F.col("dof"), F.col("b_chi2"), F.col("b_dof")).alias("ftest"))

@@ -77,8 +77,8 @@ def outlier_excision(toas: DataFrame, columns: dict[str, Column], prob: float =
     live = bins.members(t.filter("cut is null"), b)
     weight, of_dm = 1 / (F.col("err_us") * F.col("err_us")), 1e6 / (F.col("freq_mhz") * F.col("freq_mhz"))
     design = live.select("psr", "ord", "name", F.col("resid_us").alias("y"), weight.alias("w"), of_dm.alias("u"), *[c.alias(n) for n, c in columns.items()])
-    per_file, total = ftests.binned_grams(design, list(columns))
-    tests = ftests.leave_one_out(per_file, len(columns), threshold, total)
+    per_file = ftests.factors(design, ["psr", "ord", "name"], ["u", *columns])
+    tests = ftests.leave_one_out(per_file, len(columns) + 2, threshold, unit="ord")
     marked = cuts.listed(t, tests.filter("drop"), ["psr", "name"], "dropped")
     return cuts.apply_rules(marked, [cuts.reason(F.col("dropped"), "epochdrop")]).drop("dropped"), tests
 

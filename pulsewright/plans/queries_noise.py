@@ -139,25 +139,37 @@ def _design(spark, sf_dir):
     return t.select("psr", "name", F.col("resid_us").alias("y"), (1 / (F.col("err_us") * F.col("err_us"))).alias("w"), F.lit(1.0).alias("one"), ((F.col("mjd") - 50500.0) / 1000.0).alias("t"), (1e6 / (F.col("freq_mhz") * F.col("freq_mhz"))).alias("inv"), (F.col("chan") - 4.0).alias("chan_c"))
 
 
+def _factors(spark, sf_dir):
+    return ftests.merge(ftests.factors(_design(spark, sf_dir), ["psr", "name"], DESIGN), ["psr"], 5)
+
+
 GRAMS = f"{TOAS}, d as (select psr, resid_us as y, 1.0::double / (err_us * err_us) as w, (mjd - 50500.0) / 1000.0 as t from toas)"
 
 
 @query(f"with {GRAMS}, s as (select psr, sum(w) as sw, sum(w * t) as st, sum(w * t * t) as stt, sum(w * y) as sy, sum(w * t * y) as sty, sum(w * y * y) as syy, count(*) as n from d group by psr), b as (select *, (sw * sty - st * sy) / (sw * stt - st * st) as slope, (stt * sy - st * sty) / (sw * stt - st * st) as base from s) "
        "select psr, round(syy - base * sy - slope * sty, 3) as chi2, n - 2 as dof, round(slope, 5) as slope from b")
 def weighted_linear_fit(spark, sf_dir):
-    g = ftests.add_grams(ftests.grams(_design(spark, sf_dir), ["psr", "name"], DESIGN), ["psr"], 4)
-    return ftests.fit(g, [0, 1]).select("psr", F.round("chi2", 3).alias("chi2"), "dof", F.round(F.col("beta")[1], 5).alias("slope"))
+    return ftests.fit(_factors(spark, sf_dir), 5, [0, 1]).select("psr", F.round("chi2", 3).alias("chi2"), "dof", F.round(F.col("beta")[1], 5).alias("slope"))
 
 
 @query()
 def leave_one_file_out(spark, sf_dir):
-    return ftests.leave_one_out(ftests.grams(_design(spark, sf_dir), ["psr", "name"], DESIGN), 4)
+    return ftests.leave_one_out(ftests.factors(_design(spark, sf_dir), ["psr", "name"], DESIGN), 5)
+
+
+FILES = f"{GRAMS[:-len(' from toas)')]}, name from toas), s as (select psr, sum(w) as sw, sum(w * t) as st, sum(w * t * t) as stt, sum(w * y) as sy, sum(w * t * y) as sty, sum(w * y * y) as syy, count(*) as n from d group by psr), f as (select psr, name, sum(w) as fw, sum(w * t) as ft, sum(w * t * t) as ftt, sum(w * y) as fy, sum(w * t * y) as fty, sum(w * y * y) as fyy, count(*) as fn from d group by all)"
+
+
+@query(f"with {FILES}, l as (select psr, name, fn, sw - fw as sw, st - ft as st, stt - ftt as stt, sy - fy as sy, sty - fty as sty, syy - fyy as syy, n - fn as n from f join s using (psr)), b as (select *, (sw * sty - st * sy) / (sw * stt - st * st) as slope, (stt * sy - st * sty) / (sw * stt - st * st) as base from l) "
+       "select psr, name, fn as n_removed, round(syy - base * sy - slope * sty, 3) as chi2, n - 2 as dof from b")
+def leave_one_file_out_line(spark, sf_dir):
+    one = ftests.leave_one_out(ftests.factors(_design(spark, sf_dir), ["psr", "name"], ["one", "t"]), 3)
+    return one.select("psr", "name", "n_removed", F.round("chi2", 3).alias("chi2"), "dof")
 
 
 @query()
 def nested_model_tests(spark, sf_dir):
-    g = ftests.grams(_design(spark, sf_dir), ["psr"], DESIGN)
-    return ftests.nested(g, {"full": [0, 1, 2, 3], "no slope": [0, 2, 3], "no DM": [0, 1, 3], "offset": [0]}, "full")
+    return ftests.nested(_factors(spark, sf_dir), 5, {"full": [0, 1, 2, 3], "no slope": [0, 2, 3], "no DM": [0, 1, 3], "offset": [0]}, "full")
 
 
 @query()
@@ -252,14 +264,14 @@ def ftest_other_candidates(spark, sf_dir):
 
 @query(f"with {GRAMS}, s as (select psr, sum(w) as sw, sum(w * t) as st, sum(w * t * t) as stt from d group by psr) select psr, round(sqrt(stt / (sw * stt - st * st)), 6) as base, round(sqrt(sw / (sw * stt - st * st)), 6) as slope from s")
 def fit_uncertainties(spark, sf_dir):
-    u = ftests.uncertainties(ftests.grams(_design(spark, sf_dir), ["psr"], DESIGN), [0, 1])
+    u = ftests.fit(_factors(spark, sf_dir), 5, [0, 1])
     return u.select("psr", F.round(F.col("sigma")[0], 6).alias("base"), F.round(F.col("sigma")[1], 6).alias("slope"))
 
 
 @query(f"with {TOAS}, d as (select psr, toa_id, resid_us as y, 1.0::double / (err_us * err_us) as w, (mjd - 50500.0) / 1000.0 as t from toas), s as (select psr, sum(w) as sw, sum(w * t) as st, sum(w * t * t) as stt, sum(w * y) as sy, sum(w * t * y) as sty from d group by psr), b as (select psr, (sw * sty - st * sy) / (sw * stt - st * st) as slope, (stt * sy - st * sty) / (sw * stt - st * st) as base from s) select psr, toa_id, round(y - base - slope * t, 4) as post from d join b using (psr)")
 def post_fit_residuals(spark, sf_dir):
-    rows = toas(spark, sf_dir).select("psr", "toa_id", F.col("resid_us").alias("y"), (1 / (F.col("err_us") * F.col("err_us"))).alias("w"), F.lit(1.0).alias("one"), ((F.col("mjd") - 50500.0) / 1000.0).alias("t"))
-    fits = ftests.fit(ftests.grams(rows, ["psr"], ["one", "t"]))
+    rows = toas(spark, sf_dir).select("psr", "toa_id", "name", F.col("resid_us").alias("y"), (1 / (F.col("err_us") * F.col("err_us"))).alias("w"), F.lit(1.0).alias("one"), ((F.col("mjd") - 50500.0) / 1000.0).alias("t"))
+    fits = ftests.fit(ftests.merge(ftests.factors(rows, ["psr", "name"], ["one", "t"]), ["psr"], 3), 3)
     return ftests.post_fit(rows, fits, ["one", "t"]).select("psr", "toa_id", F.round("post", 4).alias("post"))
 
 

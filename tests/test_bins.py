@@ -61,7 +61,7 @@ def test_leave_one_out_is_a_refit_without_the_file(spark):
                 t, only = rng.normal(), float(f == 3)
                 rows.append((p, f"f{f}", float(2 + t + rng.normal() + 8 * (f == 5)), float(rng.uniform(0.5, 2)), 1.0, float(t), only))
     d = spark.createDataFrame(rows, "psr string, name string, y double, w double, a double, b double, c double")
-    got = {(r.psr, r.name): r for r in ftests.leave_one_out(ftests.grams(d, ["psr", "name"], ["a", "b", "c"]), 3).collect()}
+    got = {(r.psr, r.name): r for r in ftests.leave_one_out(ftests.factors(d, ["psr", "name"], ["a", "b", "c"]), 4).collect()}
     for p in "AB":
         own = [r for r in rows if r[0] == p]
         full = refit(np.array([r[4:] for r in own]), np.array([r[2] for r in own]), np.array([r[3] for r in own]))
@@ -83,8 +83,8 @@ def test_leave_one_out_with_a_column_for_each_bin(spark):
                 t, u = rng.normal(), rng.uniform(0.5, 2)
                 rows.append((p, ord_, f"f{f}", float(2 + t + ord_ * u + rng.normal()), float(rng.uniform(0.5, 2)), float(u), 1.0, float(t)))
     d = spark.createDataFrame(rows, "psr string, ord int, name string, y double, w double, u double, a double, b double")
-    per_file, total = ftests.binned_grams(d, ["a", "b"])
-    got = {(r.psr, r.name): r for r in ftests.leave_one_out(per_file, 2, 1e-6, total).collect()}
+    per_file = ftests.factors(d, ["psr", "ord", "name"], ["u", "a", "b"])
+    got = {(r.psr, r.name): r for r in ftests.leave_one_out(per_file, 4, unit="ord").collect()}
     for p in "AB":
         for f in range(9):
             left = [r for r in rows if r[0] == p and r[2] != f"f{f}"]
@@ -96,6 +96,54 @@ def test_leave_one_out_with_a_column_for_each_bin(spark):
             assert r.n_removed == sum(q[0] == p and q[2] == f"f{f}" for q in rows)
 
 
+def test_fits_keep_the_digits_that_products_lose(spark, monkeypatch):
+    """Columns close to dependent, far from zero: in sums of products nothing would be left of what tells them apart."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for f in range(30):
+        for _ in range(7):
+            t = float(rng.integers(0, 1 << 20)) / (1 << 20)
+            x = (1.0, 1e4 + t, 1e4 + t + float(rng.integers(0, 4)) / (1 << 11))
+            rows.append(("P", f"f{f}", 30.0 + 2 * t + float(rng.normal()), 1.0, *x))
+    d = spark.createDataFrame(rows, "psr string, name string, y double, w double, a double, b double, c double")
+
+    def exact(own):
+        """Normal equations in fractions."""
+        x, y = [[Fraction(v) for v in r[4:]] for r in own], [Fraction(r[2]) for r in own]
+        m = [[sum(r[i] * r[j] for r in x) for j in range(3)] + [sum(r[i] * v for r, v in zip(x, y, strict=True))] for i in range(3)]
+        for i in range(3):
+            m[i] = [v / m[i][i] for v in m[i]]
+            for k in range(3):
+                if k != i:
+                    m[k] = [a - m[k][i] * b for a, b in zip(m[k], m[i], strict=True)]
+        return float(sum((v - sum(r[i] * m[i][3] for i in range(3))) ** 2 for r, v in zip(x, y, strict=True)))
+
+    x, y = np.array([r[4:] for r in rows]), np.array([r[2] for r in rows])
+    size = np.linalg.norm(x, axis=0)
+    beta = np.linalg.pinv(x.T @ x / np.outer(size, size), rcond=1e-12, hermitian=True) @ (x.T @ y / size)
+    assert abs((y @ y - beta @ (x.T @ y / size)) / exact(rows) - 1) > 1e-4  # what products would give
+    per_file = ftests.factors(d.repartition(5), ["psr", "name"], ["a", "b", "c"])
+    whole = ftests.fit(ftests.merge(per_file, ["psr"], 4), 4).first()
+    assert abs(whole.chi2 / exact(rows) - 1) < 1e-9 and whole.dof == 207
+    monkeypatch.setattr(ftests, "BLOCK", 4)  # many blocks
+    for r in ftests.leave_one_out(per_file, 4).collect():
+        assert abs(r.chi2 / exact([x for x in rows if x[1] != r.name]) - 1) < 1e-9 and r.dof == 200 and r.n_removed == 7
+
+
+def test_triangles_of_blocks_of_any_size():
+    from pulsewright.functions import kernels
+
+    rng = np.random.default_rng(7)
+    sizes = [1, 0, 3, 4, 5000, 2, 1025, 17]
+    x = rng.normal(size=(sum(sizes), 3))
+    got = kernels.triangles(x, np.array(sizes))
+    ends = np.cumsum(sizes)
+    for r, a, b in zip(got, ends - sizes, ends, strict=True):
+        assert np.allclose(r.T @ r, x[a:b].T @ x[a:b]) and np.allclose(r, np.triu(r))
+
+
 def test_expansion_by_stretches_is_one_pass_over_each_source(spark):
     from pulsewright.functions.kernels import expand_bins, greedy_bins
 

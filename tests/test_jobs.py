@@ -110,10 +110,10 @@ def test_uncertainties_against_numpy(spark):
     x = np.c_[np.ones(40), rng.normal(size=(40, 2))]
     w, y = rng.uniform(0.5, 2, 40), rng.normal(size=40)
     rows = spark.createDataFrame([("P", *map(float, a), float(b), float(c)) for a, b, c in zip(x, w, y, strict=True)], "psr string, a double, b double, c double, w double, y double")
-    g = ftests.grams(rows, ["psr"], ["a", "b", "c"])
-    assert np.allclose(ftests.uncertainties(g).first().sigma, np.sqrt(np.diag(np.linalg.inv(x.T @ (w[:, None] * x)))))
+    g = ftests.factors(rows, ["psr"], ["a", "b", "c"])
+    assert np.allclose(ftests.fit(g, 4).first().sigma, np.sqrt(np.diag(np.linalg.inv(x.T @ (w[:, None] * x)))))
     beta = np.linalg.solve(x.T @ (w[:, None] * x), x.T @ (w * y))
-    got = [r.post for r in ftests.post_fit(rows, ftests.fit(g), ["a", "b", "c"]).select("post", "y").collect()]
+    got = [r.post for r in ftests.post_fit(rows, ftests.fit(g, 4), ["a", "b", "c"]).select("post", "y").collect()]
     assert np.allclose(sorted(got), sorted(y - x @ beta))
 
 
