@@ -177,18 +177,28 @@ def large_residuals(us: float | None = None, n_sigma: float | None = None, max_s
     return _off("resid_us", "err_us", us, n_sigma, max_sigma) | of_dm
 
 
+def touching(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``rows`` (keys, toa_id, lo, hi) whose band touches one of the ``others`` in the same keys.
+
+    A sweep over the edges: of the others that begin by the time a band ends, does any reach to where it begins? Running
+    greatest ends answer that with one sort, however many bands there are. Bands without edges touch none.
+    """
+    line = others.select(*keys, F.col("lo").alias("at"), F.col("hi").alias("reach"), F.lit(False).alias("asks")).unionByName(
+        rows.select(*keys, F.col("hi").alias("at"), "lo", "toa_id", F.lit(True).alias("asks")), allowMissingColumns=True
+    )
+    so_far = F.max("reach").over(Window.partitionBy(*keys).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    return line.filter("at is not null").withColumn("so_far", so_far).filter("asks and so_far >= lo").select(*keys, "toa_id")
+
+
 def simultaneous(toas: DataFrame, keep: str, lose: str) -> DataFrame:
     """``simul`` 1 for kept and 2 for lost rows seen by both backends on one day with one receiver in touching bands.
 
-    Lost rows that are cut already cause no mark on either side. Each side is marked by a semi-join; no pair is written.
+    Lost rows that are cut already cause no mark on either side. No pair is looked at.
     """
-    t = toas.withColumn("day", F.floor("mjd")).withColumn("half", F.coalesce(F.col("bw_mhz"), F.lit(0.0)) / 2)
-    cols = ["psr", "toa_id", "day", "fe", "freq_mhz", "half"]
-    a = t.filter(F.col("be") == keep).select(*[F.col(c).alias(f"a_{c}") for c in cols])
-    b = t.filter((F.col("be") == lose) & F.col("cut").isNull()).select(*[F.col(c).alias(f"b_{c}") for c in cols])
-    touch = (F.col("a_freq_mhz") + F.col("a_half") >= F.col("b_freq_mhz") - F.col("b_half")) & (F.col("b_freq_mhz") + F.col("b_half") >= F.col("a_freq_mhz") - F.col("a_half"))
-    on = (F.col("a_psr") == F.col("b_psr")) & (F.col("a_day") == F.col("b_day")) & (F.col("a_fe") == F.col("b_fe")) & touch
-    one = a.join(b, on, "left_semi").select(F.col("a_psr").alias("psr"), F.col("a_toa_id").alias("toa_id"), F.lit("1").alias("simul"))
-    two = b.join(a, on, "left_semi").select(F.col("b_psr").alias("psr"), F.col("b_toa_id").alias("toa_id"), F.lit("2").alias("simul"))
-    marked = toas.join(one.union(two), ["psr", "toa_id"], "left")
+    half = F.coalesce(F.col("bw_mhz"), F.lit(0.0)) / 2
+    keys = ["psr", "day", "fe"]
+    t = toas.select("psr", F.floor("mjd").alias("day"), "fe", "toa_id", "be", "cut", (F.col("freq_mhz") - half).alias("lo"), (F.col("freq_mhz") + half).alias("hi")).filter("day is not null and fe is not null")
+    a, b = t.filter(F.col("be") == keep), t.filter((F.col("be") == lose) & F.col("cut").isNull())
+    mark = lambda x, y, as_: touching(x, y, keys).select("psr", "toa_id", F.lit(as_).alias("simul"))
+    marked = toas.join(mark(a, b, "1").union(mark(b, a, "2")), ["psr", "toa_id"], "left")
     return marked.withColumn("cut", first_reason(F.col("cut"), reason(F.col("simul") == "2", "simul")))

@@ -61,22 +61,31 @@ def recommend(tests: DataFrame, alpha: float = 0.0027) -> DataFrame:
     return said.filter("family <> 'FD'").select("psr", "action", "label").union(fd)
 
 
-#: Parameters tested for each family of binary models, joint tests and series.
+#: Terms tested for each family of binary models; terms with a plus are tested together only.
+_ORBIT = ["PBDOT", "A1DOT", "OMDOT", "EDOT", "M2+SINI"]
 CANDIDATES = {
-    "DD": ["M2", "SINI", "PBDOT", "A1DOT", "OMDOT", "EDOT", "M2+SINI"],
-    "ELL1": ["M2", "SINI", "PBDOT", "A1DOT", "EPS1DOT", "EPS2DOT", "M2+SINI", "EPS1DOT+EPS2DOT"],
-    "ELL1_FB": ["A1DOT", "EPS1DOT", "EPS2DOT", "EPS1DOT+EPS2DOT"],
-    "ELL1H": ["PBDOT", "A1DOT", "EPS1DOT", "EPS2DOT", "H3", "H4", "EPS1DOT+EPS2DOT", "H3+H4"],
-}
+    "DD": _ORBIT, "BT": _ORBIT, "DDK": _ORBIT,
+    "ELL1": ["PBDOT", "A1DOT", "M2+SINI", "EPS1DOT+EPS2DOT"],
+    "ELL1 by FB0": ["A1DOT", "EPS1DOT+EPS2DOT"],
+    "ELL1H": ["PBDOT", "A1DOT", "H4", "EPS1DOT+EPS2DOT", "H3+H4"],
+}
 
 
 def candidates(models: DataFrame, params: DataFrame, fd: int = 5) -> DataFrame:
-    """(psr, action, label) of the tests for each source: present and fitted parameters are removed, others added; FD terms cumulatively."""
+    """(psr, action, label) of the tests for each source: fitted parameters are removed, others added; FD terms cumulatively.
+
+    Of terms that are tested together all have to be fitted, or none. An ELL1 model with FB0 and without PB has the
+    shorter list; sources of other models are tested for FD terms only.
+    """
     spark = models.sparkSession
-    rule = spark.createDataFrame([(m, c) for m, cs in CANDIDATES.items() for c in cs], "model string, label string")
-    t = models.join(rule, "model").select("psr", "label", F.explode(F.split("label", r"\+")).alias("name"))
-    p = params.select("psr", "name", F.lit(True).alias("there"), (~F.col("frozen")).alias("fitted"))
-    state = t.join(p, ["psr", "name"], "left").groupBy("psr", "label").agg(F.bool_and(F.coalesce("there", F.lit(False)) & F.coalesce("fitted", F.lit(False))).alias("all"), F.bool_or(F.coalesce("there", F.lit(False)) & F.coalesce("fitted", F.lit(False))).alias("any"))
+    rule = spark.createDataFrame([(m, c) for m, cs in CANDIDATES.items() for c in cs], "family string, label string")
+    period = params.filter(F.col("name").isin("PB", "FB0")).groupBy("psr").agg(F.bool_or(F.col("name") == "PB").alias("pb"), F.bool_or(F.col("name") == "FB0").alias("fb"))
+    by_fb = (F.col("model") == "ELL1") & F.coalesce(F.col("fb") & ~F.col("pb"), F.lit(False))
+    family = models.join(period, "psr", "left").select("psr", F.when(by_fb, "ELL1 by FB0").otherwise(F.col("model")).alias("family"))
+    t = family.join(rule, "family").select("psr", "label", F.explode(F.split("label", r"\+")).alias("name"))
+    fitted = params.select("psr", "name", (~F.col("frozen")).alias("fitted"))
+    is_fitted = F.coalesce("fitted", F.lit(False))
+    state = t.join(fitted, ["psr", "name"], "left").groupBy("psr", "label").agg(F.bool_and(is_fitted).alias("all"), F.bool_or(is_fitted).alias("any"))
     binary = state.filter(F.col("all") | ~F.col("any")).select("psr", F.when(F.col("all"), "remove").otherwise("add").alias("action"), "label")
     have = params.filter(F.col("name").rlike(r"^FD\d+$")).groupBy("psr").agg(F.max(F.regexp_extract("name", r"(\d+)", 1).cast("int")).alias("n"))
     counts = models.select("psr").distinct().join(have, "psr", "left").withColumn("n", F.coalesce("n", F.lit(0)))

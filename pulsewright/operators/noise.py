@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewright.functions.scalar import red_noise_amplitude
+from pulsewright.operators import scan
 
 
 def after_burn(chains: DataFrame, burn: float = 0.25, parts: int = 1024) -> DataFrame:
@@ -44,9 +45,9 @@ def map_row(chains: DataFrame) -> DataFrame:
 
 
 def medians(chains: DataFrame, digits: int = 9) -> DataFrame:
-    """(chain, pos, median) of every parameter."""
+    """(chain, pos, median) of every parameter, exact, whatever the chain's length."""
     x = chains.select("chain", F.posexplode("vals").alias("pos", "x"))
-    return x.groupBy("chain", "pos").agg(F.round(F.percentile("x", F.lit(0.5)), digits).alias("median"))
+    return scan.quantiles(x, ["chain", "pos"], "x", [0.5]).select("chain", "pos", F.round(F.col("q")[0], digits).alias("median"))
 
 
 def histograms(chains: DataFrame, bins: int = 20) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewright.functions.scalar import year_of
+from pulsewright.operators import scan
+from pulsewright.operators.settle import settled
 
 
 def series_difference(a: DataFrame, b: DataFrame, digits: int = 6) -> DataFrame:
@@ -47,7 +49,10 @@ def mask_matches(toas: DataFrame, masks: DataFrame, flags: tuple[str, ...] = ("f
     """(psr, mask_key, mask_value, n, median_err): observations that each mask parameter selects."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f"-{n}").alias("mask_key"), F.col(n).alias("mask_value")) for n in flags])).alias("p")
     t = toas.select("psr", "err_us", pairs).select("psr", "p.*", "err_us")
-    return t.join(masks.select("psr", "mask_key", "mask_value").distinct(), ["psr", "mask_key", "mask_value"], "left_semi").groupBy("psr", "mask_key", "mask_value").agg(F.count(F.lit(1)).alias("n"), F.percentile("err_us", F.lit(0.5)).alias("median_err"))
+    keys = ["psr", "mask_key", "mask_value"]
+    met = settled(t.join(masks.select(*keys).distinct(), keys, "left_semi"))
+    middle = scan.quantiles(met, keys, "err_us", [0.5]).select(*keys, F.col("q")[0].alias("median_err"))
+    return met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(middle, keys, "left")
 
 
 def noise_sanity(noise: DataFrame, matches: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsewright.operators.settle import settled
+
 #: Days and numbers that one stretch holds.
 DAYS, NUMBERS = 64.0, 1 << 16
 PART, LOCAL = "scan_part", "scan_local"
@@ -71,3 +73,52 @@ def beside(points: DataFrame, marks: DataFrame, days: float = DAYS) -> DataFrame
     handed = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy("psr").orderBy(order).rowsBetween(*BEFORE_ALL))
     carried = ends.select("psr", PART, handed("last", F.col(PART)).alias("scan_before"), handed("first", F.desc(PART)).alias("scan_behind"))
     return own.join(carried, ["psr", PART]).select("psr", "mjd", F.coalesce("before", "scan_before").alias("before"), F.coalesce("behind", "scan_behind").alias("behind"))
+
+
+#: Stretches that a range of values is counted in, and values of a stretch that are few enough to be ranked.
+STRETCHES, FEW = 1024, 4096
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], stretches: int = STRETCHES, few: int = FEW) -> DataFrame:
+    """(keys, n, q): the exact quantiles of each key's values at ``shares``, between two values in proportion.
+
+    No group's values are kept in one place. The range of a key is counted in stretches, which tells the one that holds a
+    rank; that one is counted again, until it holds one value or few enough to be ranked. Stretches are equal in size of
+    magnitude first and in width then, so a handful of rounds reaches single numbers, however they lie. Nulls and NaN
+    don't count; keys without values have no row.
+    """
+    size = lambda c: F.signum(c) * F.coalesce(F.ln(F.abs(F.col(c))) + F.lit(750.0), F.lit(0.0))  # noqa: E731  from the least positive number on
+    by = size
+    x = settled(rows.select(*keys, F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)"))
+    ends = x.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    place = (F.col("n") - 1) * F.col("share")
+    wanted = ends.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).select(*keys, "n", "lo", "hi", "share", place.alias("place"))
+    ranks = wanted.select(*keys, "lo", "hi", "n", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank")).distinct()
+    open_, found = settled(ranks.select(*keys, "rank", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))), []
+    done = lambda df: df.filter("lo = hi").select(*keys, "rank", F.col("lo").alias("x"))
+    while True:
+        found.append(done(open_))
+        ranked = open_.filter((F.col("lo") < F.col("hi")) & (F.col("inside") <= few))
+        left = open_.filter((F.col("lo") < F.col("hi")) & (F.col("inside") > few))
+        ranges = left.select(*keys, "lo", "hi").distinct()
+        met = x.join(ranked.select(*keys, "lo", "hi").distinct(), keys).filter("lo <= x and x <= hi")
+        nth = met.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "lo").orderBy("x")) - 1)
+        at = ranked.select(*keys, "lo", "rank", (F.col("rank") - F.col("below")).alias("nth"))
+        found.append(nth.join(at, [*keys, "lo", "nth"]).select(*keys, "rank", "x"))
+        if left.isEmpty():
+            break
+        width = by("hi") / F.lit(float(stretches)) - by("lo") / F.lit(float(stretches))
+        part = F.least(F.floor((by("x") - by("lo")) / F.nullif(width, F.lit(0.0))), F.lit(stretches - 1)).cast("long")
+        by = F.col  # from the second round on
+        counts = x.join(ranges, keys).filter("lo <= x and x <= hi").groupBy(*keys, "lo", part.alias("part")).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count(F.lit(1)).alias("m"))
+        ahead = F.coalesce(F.sum("m").over(Window.partitionBy(*keys, "lo").orderBy("part").rowsBetween(*BEFORE_ALL)), F.lit(0))
+        narrower = counts.withColumn("ahead", ahead).join(left.select(*keys, "lo", "rank", "below"), [*keys, "lo"]).filter("below + ahead <= rank and rank < below + ahead + m")
+        open_ = settled(narrower.select(*keys, "rank", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("below") + F.col("ahead")).alias("below"), F.col("m").alias("inside")))
+    values = found[0]
+    for more in found[1:]:
+        values = values.union(more)
+    of = lambda c, name: values.select(*keys, F.col("rank").alias(c), F.col("x").alias(name))
+    both = wanted.withColumns({"below": F.floor("place"), "behind": F.ceil("place")}).join(of("below", "a"), [*keys, "below"]).join(of("behind", "b"), [*keys, "behind"])
+    between = F.when(F.col("below") == F.col("behind"), F.col("a")).otherwise((F.col("behind") - F.col("place")) * F.col("a") + (F.col("place") - F.col("below")) * F.col("b"))
+    by_share = both.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("share", between.alias("x")))).alias("m"))
+    return by_share.select(*keys, "n", F.array(*[F.col("m")[F.lit(float(s))] for s in shares]).alias("q"))

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewright.operators import scan
+from pulsewright.operators.settle import settled
 
 
 def cut_counts(toas: DataFrame) -> DataFrame:
     """(psr, dim, value, total, cut): rows by receiver-backend, site and cut label ('good' if none); the cut dimension's total is all rows."""
-    dims = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(c), F.lit("good")).alias("value")) for d, c in (("f", "f"), ("obs", "obs"), ("cut", "cut"))]))
-    n = toas.select("psr", "cut", dims.alias("d")).groupBy("psr", "d.dim", "d.value").agg(F.count(F.lit(1)).alias("n"), F.count("cut").alias("n_cut"))
+    t = toas.select("psr", "f", "obs", "cut", F.coalesce("cut", F.lit("good")).alias("label"))
+    by = t.groupingSets([["psr", "f"], ["psr", "obs"], ["psr", "label"]], "psr", "f", "obs", "label").agg(F.count(F.lit(1)).alias("n"), F.count("cut").alias("n_cut"), F.grouping_id().alias("sets"))
+    dim = F.when(F.col("sets") == 3, "f").when(F.col("sets") == 5, "obs").otherwise("cut")  # a bit for each column that is summed over
+    value = F.coalesce(F.when(F.col("sets") == 3, F.col("f")).when(F.col("sets") == 5, F.col("obs")).otherwise(F.col("label")), F.lit("good"))
+    n = by.select("psr", dim.alias("dim"), value.alias("value"), "n", "n_cut")
     every = F.sum("n").over(Window.partitionBy("psr", "dim"))
     return n.select("psr", "dim", "value", F.when(F.col("dim") == "cut", every).otherwise(F.col("n")).alias("total"), F.when(F.col("dim") == "cut", F.col("n")).otherwise(F.col("n_cut")).alias("cut"))
 
@@ -33,8 +37,9 @@ def weighted(values: str, errors: str) -> tuple[Column, Column]:
 def residual_stats(toas: DataFrame, value: str = "resid_us", error: str = "err_us", digits: int = 6) -> DataFrame:
     """(psr, f, n, rms, wrms) by receiver-backend and for all of a source (f = 'All'); moments about each group's own mean."""
     w = 1 / (F.col(error) * F.col(error))
-    mid = F.avg(value).over(Window.partitionBy("psr"))
-    x = toas.filter(F.col(value).isNotNull()).select("psr", "f", (F.col(value) - mid).alias("x"), w.alias("w"))
+    t = toas.filter(F.col(value).isNotNull()).select("psr", "f", F.col(value).alias("y"), w.alias("w"))
+    mid = t.groupBy("psr").agg(F.avg("y").alias("mid"))  # any number near the values does; it leaves both moments
+    x = t.join(mid, "psr").select("psr", "f", (F.col("y") - F.col("mid")).alias("x"), "w")
     both = x.rollup("psr", "f").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("x").alias("rms"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("swx"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("swxx"), F.grouping_id().alias("g")).filter("g < 3")
     mean = F.col("swx") / F.col("sw")
     return both.select("psr", F.when(F.col("g") == 1, "All").otherwise(F.col("f")).alias("f"), "n", F.round("rms", digits).alias("rms"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("swxx") / F.col("sw") - mean * mean)), digits).alias("wrms"))
@@ -76,7 +81,10 @@ def bad_file_suggestions(toas: DataFrame, entries: DataFrame, share: float = 0.9
 
 def flux_context(toas: DataFrame) -> DataFrame:
     """Median and outer percentiles of the good rows' flux by receiver."""
-    return toas.filter("cut is null").groupBy("psr", "fe").agg(F.percentile("flux", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"), F.count(F.lit(1)).alias("n")).select("psr", "fe", "n", *[F.round(F.col("p")[k], 9).alias(c) for k, c in enumerate(("flux_05", "flux_50", "flux_95"))])
+    good = settled(toas.filter("cut is null").select("psr", "fe", "flux"))
+    q = scan.quantiles(good.filter("fe is not null"), ["psr", "fe"], "flux", [0.05, 0.5, 0.95]).select("psr", "fe", "q")
+    n = good.groupBy("psr", "fe").agg(F.count(F.lit(1)).alias("n")).join(q, ["psr", "fe"], "left")
+    return n.select("psr", "fe", "n", *[F.round(F.col("q")[k], 9).alias(c) for k, c in enumerate(("flux_05", "flux_50", "flux_95"))])
 
 
 def bad_toa_context(toas: DataFrame, bad: DataFrame, snr_cut: float, most_us: float = 50.0) -> DataFrame:
@@ -136,9 +144,9 @@ def report_totals(report: DataFrame) -> DataFrame:
     return g.withColumn("outlier_share", F.col("outlier10") / F.nullif(F.col("total"), F.lit(0)))
 
 
-def averaged_and_single(toas: DataFrame, single: Column, gap: float, ecorr: float = 0.0, digits: int = 6) -> DataFrame:
+def averaged_and_single(toas: DataFrame, single: Column, gap: float, ecorr: float | DataFrame = 0.0, digits: int = 6) -> DataFrame:
     """Session means of all rows but ``single`` ones, which have no correlated noise and come one by one, in the same columns."""
-    one = toas.filter(single).select("psr", "f", F.lit(None).cast("long").alias("grp"), F.lit(1).cast("long").alias("n"), *[F.round(c, digits).alias(c) for c in ("mjd", "freq_mhz", "resid_us", "err_us")], F.col("toa_id").alias("first_toa"))
+    one = toas.filter(single).select("psr", "f", F.lit(None).cast("long").alias("grp"), F.lit(1).cast("long").alias("n"), *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in ("mjd", "freq_mhz", "resid_us", "err_us")], F.col("toa_id").alias("first_toa"))
     return epoch_average(toas.filter(~single), gap, ecorr, digits).unionByName(one)
 
 
@@ -195,21 +203,24 @@ def group_dates(times: DataFrame, keys: list[str], width: float = 0.1, digits: i
     return sessions(times, keys, width).groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mjd"), digits).alias("mean_mjd"))
 
 
-def epoch_average(toas: DataFrame, gap: float, ecorr: float = 0.0, digits: int = 6, noise: tuple[str, ...] = (), member_ids: bool = False) -> DataFrame:
+def epoch_average(toas: DataFrame, gap: float, ecorr: float | DataFrame = 0.0, digits: int = 6, noise: tuple[str, ...] = (), member_ids: bool = False, error: str = "err_us") -> DataFrame:
     """Weighted means of each (psr, f) session, its error with the correlated part, and how many rows it has.
 
-    ``noise`` names columns of noise components, averaged alike; ``member_ids`` adds the rows' ids, of which a session is few.
+    ``ecorr`` is one number, or a frame (psr, f, ecorr): the noise that a session's rows share, by the mask of the model's
+    parameters; a backend without one has none. Rows that share noise keep their weights among each other, so it adds to
+    the mean's error alone. ``error`` names the errors that weigh, such as scaled ones. ``noise`` names columns of noise
+    components, averaged alike; ``member_ids`` adds the rows' ids, of which a session is few.
     """
     s = sessions(toas, ["psr", "f"], gap)
-    w = 1 / (F.col("err_us") * F.col("err_us"))
+    shared = F.lit(float(ecorr)) if isinstance(ecorr, (int, float)) else F.coalesce("ecorr", F.lit(0.0))
+    w = 1 / (F.col(error) * F.col(error))
     sw = F.sum(w)
-    return s.groupBy("psr", "f", "grp").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.sum(w * F.col("mjd")) / sw, digits).alias("mjd"),
-        F.round(F.sum(w * F.col("freq_mhz")) / sw, digits).alias("freq_mhz"),
-        F.round(F.sum(w * F.col("resid_us")) / sw, digits).alias("resid_us"),
-        F.round(F.sqrt(1 / sw + F.lit(ecorr * ecorr)), digits).alias("err_us"),
-        F.min("toa_id").alias("first_toa"),
-        *[F.round(F.sum(w * F.col(c)) / sw, digits).alias(c) for c in noise],
+    mean = lambda c: F.round(F.sum(w * F.col(c)) / sw, digits) + F.lit(0.0)  # noqa: E731  no minus zero
+    out = s.groupBy("psr", "f", "grp").agg(
+        F.count(F.lit(1)).alias("n"), *[mean(c).alias(c) for c in ("mjd", "freq_mhz", "resid_us")], (1 / sw).alias("own"), F.min("toa_id").alias("first_toa"), *[mean(c).alias(c) for c in noise],
         *([F.sort_array(F.collect_list("toa_id")).alias("members")] if member_ids else []),
-    )
+    )
+    if isinstance(ecorr, DataFrame):
+        out = out.join(ecorr.select("psr", "f", "ecorr"), ["psr", "f"], "left")
+    err = F.round(F.sqrt(F.col("own") + shared * shared), digits).alias("err_us")
+    return out.select("psr", "f", "grp", "n", "mjd", "freq_mhz", "resid_us", err, "first_toa", *noise, *(["members"] if member_ids else []))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsewright.functions import scalar
-from pulsewright.operators import stats
+from pulsewright.operators import params, stats
 from pulsewright.plans.queries_cuts import CUT, cut_toas
 from pulsewright.plans.registration import query
 from pulsewright.sources.binding import SESSIONS, TOAS, sessions, toas
@@ -92,6 +92,18 @@ def epoch_average(spark, sf_dir):
     return stats.epoch_average(toas(spark, sf_dir), 1.5, 0.5)
 
 
+@query(f"with {TOAS}, {GROUPS.format(k='psr, f', w='1.5::double', t='toas')}, e as (select *, case f when 'A_F' then 1.2::double when 'R_F' then 0.9::double else 1.0::double end * sqrt(err_us * err_us + 0.04::double) as s from g) select psr, f, grp, count(*) as n, round(sum(mjd / (s * s)) / sum(1.0::double / (s * s)), 6) as mjd, round(sum(freq_mhz / (s * s)) / sum(1.0::double / (s * s)), 6) as freq_mhz, "
+       "round(sum(resid_us / (s * s)) / sum(1.0::double / (s * s)), 6) as resid_us, round(sqrt(1.0::double / sum(1.0::double / (s * s)) + pow(case f when 'A_F' then 0.5::double when 'R_F' then 2.0::double else 0.0::double end, 2)), 6) as err_us, min(toa_id) as first_toa from e group by psr, f, grp")
+def epoch_average_by_backend(spark, sf_dir):
+    """Scaled errors weigh, and each backend has its own correlated noise or none."""
+    t = toas(spark, sf_dir)
+    masks = t.select("psr", "f").distinct()
+    of = lambda a, r, other: F.when(F.col("f") == "A_F", a).when(F.col("f") == "R_F", r).otherwise(other)
+    scaled = params.scaled_errors(t, masks.withColumns({"efac": of(1.2, 0.9, 1.0), "equad": F.lit(0.2)}))
+    shared = masks.withColumn("ecorr", of(0.5, 2.0, F.lit(None))).filter("ecorr is not null")
+    return stats.epoch_average(scaled, 1.5, shared, error="err_scaled")
+
+
 @query(f"with {TOAS} select psr, toa_id, row_number() over (partition by psr order by mjd, toa_id) as serial, toa_id = min(toa_id) over (partition by psr, name) as first_of_file from toas")
 def serial_numbers(spark, sf_dir):
     return stats.serials(toas(spark, sf_dir))

@@ -1,6 +1,6 @@
 """Arrival-time and parameter files, read and written as text: every format is a few column expressions over lines.
 
-``lines`` frames are (path, line_no, value); whole files are read and split so that line numbers are the files' own.
+``lines`` frames are (path, line_no, value); line numbers are the files' own, however the files are split.
 """
 
 from __future__ import annotations
@@ -15,9 +15,17 @@ SPACE = r"\s+"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of every file under a path or glob, with its number from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    """(path, line_no, value) of every line of every file under a path or glob, numbered from 0.
+
+    Files are split as Spark splits them, so a file of any size is read by as many tasks as it has blocks. A line's number
+    is its place in its block and how many lines the file's earlier blocks have, which a count for each block tells.
+    """
+    here = F.monotonically_increasing_id()  # goes up by one from line to line of a block
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), here.alias("place"), "value")
+    blocks = raw.groupBy("path", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = blocks.select("path", "block", (ahead - F.col("first")).alias("shift"))
+    return raw.join(shifts, ["path", "block"]).select("path", (F.col("place") + F.col("shift")).alias("line_no"), "value")
 
 
 def _flags(first: int) -> Column:

@@ -153,3 +153,29 @@ def test_burn_in_of_chains_with_gaps_and_repeats(spark):
             got.setdefault(r.chain, []).append(r.sample)
         want = {c: [s for s in sorted(ss) if s >= sorted(ss)[int(len(ss) * burn)]] for c, ss in chains.items() if int(len(ss) * burn) < len(ss)}
         assert {c: sorted(v) for c, v in got.items()} == want
+
+
+def test_candidates_of_each_binary_model(spark):
+    """Rows as the surveyed tests state them: what is fitted is removed, what isn't is added, pairs together only."""
+    models = spark.createDataFrame([("a", "DD"), ("b", "BT"), ("c", "DDK"), ("d", "ELL1"), ("e", "ELL1"), ("f", "ELL1H"), ("g", "XYZ"), ("h", None)], "psr string, model string")
+    rows = [("a", "M2", False), ("a", "SINI", False), ("a", "PBDOT", True), ("b", "M2", False), ("b", "OMDOT", False), ("d", "PB", False), ("e", "FB0", False), ("e", "EPS1DOT", False), ("e", "EPS2DOT", False), ("f", "H3", False), ("f", "H4", False), ("c", "FD1", False), ("c", "FD2", True)]
+    got = {}
+    for r in ftests.candidates(models, spark.createDataFrame(rows, "psr string, name string, frozen boolean"), fd=2).collect():
+        got.setdefault(r.psr, set()).add((r.action, r.label))
+    fd = {("add", "FD1"), ("add", "FD2")}
+    assert got == {
+        "a": {("remove", "M2+SINI"), ("add", "PBDOT"), ("add", "A1DOT"), ("add", "OMDOT"), ("add", "EDOT")} | fd,
+        "b": {("remove", "OMDOT"), ("add", "PBDOT"), ("add", "A1DOT"), ("add", "EDOT")} | fd,
+        "c": {("add", "M2+SINI"), ("add", "PBDOT"), ("add", "A1DOT"), ("add", "OMDOT"), ("add", "EDOT"), ("remove", "FD1"), ("remove", "FD2")},
+        "d": {("add", "M2+SINI"), ("add", "PBDOT"), ("add", "A1DOT"), ("add", "EPS1DOT+EPS2DOT")} | fd,
+        "e": {("add", "A1DOT"), ("remove", "EPS1DOT+EPS2DOT")} | fd,
+        "f": {("remove", "H4"), ("remove", "H3+H4"), ("add", "PBDOT"), ("add", "A1DOT"), ("add", "EPS1DOT+EPS2DOT")} | fd,
+        "g": fd, "h": fd,
+    }
+
+
+def test_cut_counts_are_one_aggregate(spark):
+    t = toas(spark, {}, {"f": "S_X"}, {"obs": None}).withColumn("cut", F.when(F.col("toa_id") == 1, "snr"))
+    c = stats.cut_counts(t)
+    assert "Generate" not in c._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in c.collect()} == {("P", "f", "L_X", 2, 0), ("P", "f", "S_X", 1, 1), ("P", "obs", "ao", 2, 1), ("P", "obs", "good", 1, 0), ("P", "cut", "good", 3, 2), ("P", "cut", "snr", 3, 1)}

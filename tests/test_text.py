@@ -31,6 +31,26 @@ def test_tim_files(spark, tmp_path):
     assert [r.file for r in text.included(lines).collect()] == ["other.tim"]
 
 
+def test_line_numbers_of_files_that_are_split(spark, tmp_path):
+    text_ = "".join(f"line {k} {'x' * (k * 37 % 90)}" + ("\r\n" if k % 3 else "\n") for k in range(20_000))
+    (tmp_path / "long.txt").write_bytes(text_.encode())
+    (tmp_path / "short.txt").write_text("\n\na\n\nb")
+    (tmp_path / "empty.txt").write_text("")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        lines = text.read_lines(spark, str(tmp_path / "*.txt"))
+        rows = lines.collect()
+        assert spark.read.text(str(tmp_path / "long.txt")).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    got = {}
+    for r in rows:
+        got.setdefault(r.path.rsplit("/", 1)[1], {})[r.line_no] = r.value
+    assert got == {"long.txt": dict(enumerate(text_.splitlines())), "short.txt": dict(enumerate(["", "", "a", "", "b"]))}
+    assert lines.columns == ["path", "line_no", "value"]
+
+
 def test_tim_written_and_read_again(spark, tmp_path):
     (tmp_path / "a.tim").write_text(TIM)
     from pyspark.sql import functions as F
