@@ -33,7 +33,7 @@ def ordered(columns, rows):
 
 #: Sequential steps, small solves and tails of distributions; every other query stays in the JVM.
 PYTHON = {
-    "greedy_bins", "greedy_epoch_count", "expand_bins", "solar_wind_rebin", "event_rebin", "early_era_bins", "dmx_setup_bins", "dmx_setup_cuts", "dmx_setup_windows", "dmx_setup_window_cuts", "bins_repaired", "weighted_linear_fit", "leave_one_file_out", "leave_one_file_out_line", "nested_model_tests",
+    "greedy_bins", "greedy_epoch_count", "expand_bins", "solar_wind_rebin", "event_rebin", "early_era_bins", "dmx_setup_bins", "dmx_setup_cuts", "dmx_setup_windows", "dmx_setup_window_cuts", "bins_repaired", "weighted_linear_fit", "leave_one_file_out", "leave_one_file_out_line", "nested_model_tests", "nested_model_lines",
     "f_test_p_values", "f_test_of_two_terms", "chi2_tail_of_six", "reduced_chi2", "fit_uncertainties", "post_fit_residuals", "job_outlier_excision_tests", "job_outlier_excision_cuts",
 }
 
