@@ -8,15 +8,20 @@ to single words or signs, join until they are long enough, and a text that never
 
 The earliest document that holds a hash owns it, and every later holder is paired with the owner only, so a line that
 very many documents share costs one row for each holder, not one for each two. Rare or frequent, no hash is left out;
-frequent ones, whose number is bounded, take another join. Each pair of documents is aligned as patience diff does it, by
-the longest increasing run of matches; the matches outside it, which stand in another order or repeat, are aligned again
-until none is left. The aligned blocks are deleted from the later document; all other text stays as it is.
+frequent ones, whose number is bounded, take another join.
+
+Each pair of documents is aligned over the units that they match in, as patience diff does it: units matched once on both
+sides are anchors, the longest run of anchors that stands in the same order on both sides is kept, and what lies between
+two anchors is aligned again. Blocks that the alignment holds are deleted from the later document, however short. What
+stands in another order, or once more than the owner has it, isn't aligned: a line or two of that kind stay, and only a
+block that is long enough by itself (a moved or repeated passage) goes. All other text stays as it is.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,8 @@ from pulsewright.llm.common import documents, free_name, join_counted, pairs, st
 
 #: Bytes of UTF-8, blanks not counted, that a common block must have. With 1 every line that an earlier document has goes.
 BLOCK_BYTES = 32
+#: Bytes that a block must have which the alignment doesn't hold, as many times those of one that it holds.
+MOVED = 4
 ENDS = ("\n", ". ", "! ", "? ", "。", "！", "？")
 AT_ENDS = re.compile("|".join(f"(?<={re.escape(e)})" for e in ENDS))
 WHOLE, PART = 1, 0
@@ -77,18 +84,23 @@ def shortest_runs(sizes: np.ndarray, least: int) -> tuple[list[int], list[int]]:
 
 
 def postings(text: str, least: int = BLOCK_BYTES):
-    """(hash, first, number, is first) of each posted run; the last tells whether the text had the hash before."""
+    """(hash, first, number, nth, places) of each posted run: it is the ``nth`` with its hash, from 0; the first one of several has all their places."""
     bodies, _ = bodies_of(units(text))
     if not bodies:
         return
     first, number = shortest_runs(np.array([len(b) - b.count(b" ") for b in bodies]), least)
-    seen: set[int] = set()
-    for a, n in zip(first, number, strict=True):
-        h = run_hash(bodies[a : a + n])
-        yield h, a, n, h not in seen
-        seen.add(h)
     if not first:
-        yield run_hash(bodies, WHOLE), 0, len(bodies), True
+        yield run_hash(bodies, WHOLE), 0, len(bodies), 0, None
+        return
+    found = [run_hash(bodies[a : a + n]) for a, n in zip(first, number, strict=True)]
+    places: dict[int, list[int]] = {}
+    nth = []
+    for h, a in zip(found, first, strict=True):
+        own = places.setdefault(h, [])
+        nth.append(len(own))
+        own.append(a)
+    for h, a, n, k in zip(found, first, number, nth, strict=True):
+        yield h, a, n, k, places[h] if not k and len(places[h]) > 1 else None
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -101,7 +113,7 @@ def increasing(values: list[int]) -> list[int]:
         if at == len(tops):
             tops.append(v)
             piles.append(k)
-        else:
+        elif v < tops[at]:  # of equal ones the first stays
             tops[at], piles[at] = v, k
         before[k] = piles[at - 1] if at else -1
     out, k = [], piles[-1] if piles else -1
@@ -111,64 +123,88 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(here: list[int], there: list[int]) -> list[tuple[int, int]]:
-    """(alignment, block) of each match, given by ``here``: runs that two documents have at these places.
+def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The matches (here, there), ascending, that an alignment keeps: both places go up from one to the next.
 
-    Alignment 0 is the longest increasing run. What stands in another order is aligned again, in as few further
-    alignments as possible. A block goes on while both places go on by one.
+    Anchors are matches whose places have no other match. Of these the longest increasing run stays; between two of its
+    anchors the matches that are left are aligned likewise, or, where none is an anchor, by their own longest run.
+    """
+    out, waiting = [], [sorted(pairs)]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) < 2:
+            out += rows
+            continue
+        times_here, times_there = Counter(h for h, _ in rows), Counter(t for _, t in rows)
+        anchors = [(h, t) for h, t in rows if times_here[h] == times_there[t] == 1]
+        if not anchors:
+            rows.sort(key=lambda r: (r[0], -r[1]))  # one match of each place here at most
+            out += [rows[k] for k in increasing([t for _, t in rows])]
+            continue
+        kept = [anchors[k] for k in increasing([t for _, t in anchors])]
+        out += kept
+        if len(kept) < len(rows):
+            ends = [h for h, _ in kept]
+            gaps: dict[int, list[tuple[int, int]]] = {}
+            for h, t in rows:
+                k = bisect_left(ends, h)
+                after_last = k == 0 or kept[k - 1][1] < t
+                before_next = k == len(kept) or h < kept[k][0] and t < kept[k][1]
+                if after_last and before_next:
+                    gaps.setdefault(k, []).append((h, t))
+            waiting += gaps.values()
+    return sorted(out)
+
+
+def align(here: list[int], there: list[int], number: list[int]) -> list[int]:
+    """For each run of units that two documents match in: -1 where the alignment holds all of it, else the number of its block.
+
+    A block goes on, in both documents side by side, over all runs that meet or overlap.
     """
-    alignment = [-1] * len(here)
-    for k in increasing(there):
-        alignment[k] = 0
-    tails: list[int] = []  # of the further alignments, negated: ascending, the one that fits best is the first that fits
-    for k, v in enumerate(there):
-        if alignment[k] < 0:
-            at = bisect_left(tails, 1 - v)
-            if at == len(tails):
-                tails.append(-v)
-            else:
-                tails[at] = -v
-            alignment[k] = at + 1
-    last: dict[int, tuple[int, int, int]] = {}
-    out, blocks = [], 0
-    for a, h, t in zip(alignment, here, there, strict=True):
-        before = last.get(a)
-        if before is not None and (before[0] + 1, before[1] + 1) == (h, t):
-            block = before[2]
-        else:
+    matches = {(h + k, t + k) for h, t, n in zip(here, there, number, strict=True) for k in range(n)}
+    kept = set(patience(list(matches)))
+    out, blocks, ends = [-1] * len(here), 0, {}
+    for k in sorted(range(len(here)), key=lambda k: (there[k] - here[k], here[k])):
+        h, t, n = here[k], there[k], number[k]
+        if all((h + j, t + j) in kept for j in range(n)):
+            continue
+        side = t - h
+        block, end = ends.get(side, (0, -1))
+        if h > end:
             block, blocks = blocks, blocks + 1
-        last[a] = (h, t, block)
-        out.append((a, block))
+        ends[side] = (block, max(end, h + n))
+        out[k] = block
     return out
 
 
 def _owned(posted: DataFrame) -> DataFrame:
-    """(hash, owner, owner_first, n, latest) of each posted hash."""
+    """(hash, owner, owner_first, owner_places, n, latest) of each posted hash; the places are null where there is one."""
     return posted.groupBy("hash").agg(
         F.min("doc_id").alias("owner"),
-        F.expr("min_by(first, doc_id) filter (where is_first)").alias("owner_first"),  # which of equal runs doesn't matter
+        F.expr("min_by(first, doc_id) filter (where nth = 0)").alias("owner_first"),
+        F.expr("min_by(places, doc_id) filter (where nth = 0)").alias("owner_places"),
         F.max("doc_id").alias("latest"),
         F.count(F.lit(1)).alias("n"),
     )
 
 
 def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, owner, first, number, hash, alignment, block) of every run that a document loses to the earlier ``owner``."""
+    """(doc_id, owner, first, number, hash, block) of every run that a document shares with the earlier ``owner``: block -1 if the alignment of the two holds it."""
 
     def post(batches):
-        names = ["hash", "first", "number", "is_first", "doc_id"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+        names = ["hash", "first", "number", "nth", "places", "doc_id"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
         for ids, texts in pairs(batches):
             rows = [(*key, i) for i, t in zip(ids, texts, strict=True) if i is not None for key in postings(t, block_bytes)]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, is_first boolean, doc_id long"))
+    posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, nth int, places array<long>, doc_id long"))
     owned = stored(_owned(posted).filter("owner < latest"))
     met = (
-        join_counted(posted.drop("is_first"), owned.drop("latest"), "hash", posted.count(), FREQUENT)
-        .filter("doc_id > owner")
-        .select("doc_id", "owner", "first", "owner_first", "number", "hash")
+        join_counted(posted.drop("places"), owned.drop("latest"), "hash", posted.count(), FREQUENT)
+        .filter("doc_id > owner")  # a run that comes again meets the owner's next one, as long as it has more
+        .select("doc_id", "owner", "first", F.coalesce(F.get("owner_places", "nth"), "owner_first").alias("owner_first"), "number", "hash")
     )
 
     def run(batches):
@@ -185,7 +221,7 @@ def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield _close(kept, last=True)[1]
 
     sorted_pairs = met.repartition("doc_id", "owner").sortWithinPartitions("doc_id", "owner", "first", "number")
-    return sorted_pairs.mapInArrow(run, "doc_id long, owner long, first long, number long, hash long, alignment int, block int")
+    return sorted_pairs.mapInArrow(run, "doc_id long, owner long, first long, number long, hash long, block int")
 
 
 def _close(parts: list[pa.RecordBatch], last: bool):
@@ -197,25 +233,35 @@ def _close(parts: list[pa.RecordBatch], last: bool):
     if not last:
         rest = table.slice(int(bounds[-2])).to_batches()
         bounds = bounds[:-1]
-    here, there = table.column(2).to_pylist(), table.column(3).to_pylist()
-    found = [pair for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for pair in align(here[a:b], there[a:b])]
     done = table.slice(0, int(bounds[-1])).combine_chunks()
-    alignment, block = zip(*found, strict=True) if found else ((), ())
+    here, there, number = (done.column(k).to_numpy() for k in (2, 3, 4))
+    block = np.full(len(done), -1, np.int32)
+    if len(done):  # where both documents go on side by side throughout, all of it is one aligned block
+        side, starts = there - here, bounds[:-1]
+        crossed = np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts)
+        for a, b in zip(starts[crossed].tolist(), bounds[1:][crossed].tolist(), strict=True):
+            block[a:b] = align(*(x[a:b].tolist() for x in (here, there, number)))
     columns = [done.column(k).combine_chunks() for k in (0, 1, 2, 4, 5)]
-    names = ["doc_id", "owner", "first", "number", "hash", "alignment", "block"]
-    return rest, pa.RecordBatch.from_arrays([*columns, pa.array(alignment, pa.int32()), pa.array(block, pa.int32())], names)
+    return rest, pa.RecordBatch.from_arrays([*columns, pa.array(block)], ["doc_id", "owner", "first", "number", "hash", "block"])
 
 
-def without(text: str, cuts: list[tuple[int, int, int]]) -> tuple[str, int]:
-    """The text without the cut runs (first, number, hash) that it really has, and how many units went."""
+def without(text: str, cuts: list[tuple], least: int = BLOCK_BYTES * MOVED) -> tuple[str, int]:
+    """The text without the cut runs (first, number, hash, owner, block) that it really has, and how many units went.
+
+    Runs of a block that isn't aligned (block 0 and more of an owner) go only if together they have ``least`` bytes.
+    """
     parts = units(text)
     bodies, places = bodies_of(parts)
     ends = [*places[1:], len(parts)]
     gone: set[int] = set()
-    for first, number, hash_ in cuts:
+    moved: dict[tuple, set[int]] = {}
+    for first, number, hash_, owner, block in cuts:
         own = bodies[first : first + number]
         if len(own) == number and hash_ in (run_hash(own), run_hash(own, WHOLE) if number == len(bodies) else None):
-            gone.update(range(first, first + number))
+            (gone if block < 0 else moved.setdefault((owner, block), set())).update(range(first, first + number))
+    for held in moved.values():
+        if sum(len(bodies[k]) - bodies[k].count(b" ") for k in held) >= least:
+            gone |= held
     lost = {k for g in gone for k in range(places[g], ends[g])}
     if len(gone) == len(bodies):
         lost = set(range(len(parts)))
@@ -225,15 +271,20 @@ def without(text: str, cuts: list[tuple[int, int, int]]) -> tuple[str, int]:
 def dedup_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, removed: str | None = None) -> DataFrame:
     """Every row of ``docs`` with all its columns, its text without the blocks that an earlier document has.
 
-    A block is a run of units with at least ``block_bytes`` bytes besides blanks, or a whole text with fewer. ``removed``
-    names a further column with the number of units that went. A copy of an earlier document loses all its text and
+    A block is a run of units with at least ``block_bytes`` bytes besides blanks, or a whole text with fewer; one that the
+    alignment with the earlier document doesn't hold needs MOVED times as many. ``removed`` names a further column with the
+    number of units that went; a name that ``docs`` has is an error. A copy of an earlier document loses all its text and
     stays as a row with an empty one. Earlier is by doc_id; a row without doc_id keeps its text and none loses to it, a
     null text stays null, rows that repeat a doc_id lose the same blocks, blocks that one document repeats stay in it,
     and an empty table gives an empty result. Other columns may have any name.
     """
     place, width = docs.columns.index("text"), len(docs.columns)
     key, listed_key, listed_cuts = (free_name(stem, docs.columns) for stem in ("cut_key", "cut_id", "cut_list"))
-    listed = line_cuts(docs, block_bytes).groupBy(F.col("doc_id").alias(listed_key)).agg(F.collect_set(F.struct("first", "number", "hash")).alias(listed_cuts))
+    if removed is not None and removed.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {removed} already")
+    of_block = F.when(F.col("block") >= 0, F.col("owner")).alias("owner")
+    listed = line_cuts(docs, block_bytes).groupBy(F.col("doc_id").alias(listed_key)).agg(F.collect_set(F.struct("first", "number", "hash", of_block, "block")).alias(listed_cuts))
+    moved_bytes = block_bytes * MOVED
     joined = docs.withColumn(key, F.col("doc_id").cast("long")).join(listed, F.col(key) == F.col(listed_key), "left").drop(key, listed_key)
     schema = docs.schema if removed is None else StructType([*docs.schema.fields, StructField(removed, LongType())])
 
@@ -242,7 +293,7 @@ def dedup_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, removed: str |
             texts, cuts = batch.column(place).to_pylist(), batch.column(width)
             gone = [0] * len(texts)
             for k in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)):
-                texts[k], gone[k] = without(texts[k] or "", [tuple(c.values()) for c in cuts[int(k)].as_py()])
+                texts[k], gone[k] = without(texts[k] or "", [tuple(c.values()) for c in cuts[int(k)].as_py()], moved_bytes)
             columns = list(batch.columns[:width])
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns + ([] if removed is None else [pa.array(gone, pa.int64())]), schema.names)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -34,26 +35,74 @@ def cut_up(text):
     return [(u, u.split()) for u in found]
 
 
-def brute(texts, least=32):
-    """By doc_id: the words left when every run of units that any earlier text has too, and that is long enough, is gone."""
-    out, cut = {}, {i: cut_up(t) for i, t in texts.items()}
-    for i in texts:
-        words = [w for _, w in cut[i]]
-        sizes = [sum(len(x.encode()) for x in w) for w in words]
+def kept_by_difflib_like(pairs):
+    """What an alignment keeps, by recursion over slices: anchors, a longest run of them, then what is between them."""
+    once = [(h, t) for h, t in pairs if sum(h == x for x, _ in pairs) == 1 == sum(t == y for _, y in pairs)]
+    pool = sorted(once) if once else sorted(pairs, key=lambda r: (r[0], -r[1]))
+    if not pool:
+        return []
+    chains = []  # of each match the longest chain that ends there; of equal ones the one whose ends are least, as piles have it
+    for h, t in pool:
+        before = [c for c in chains if c[-1][1] < t and c[-1][0] < h or not once and c[-1][1] < t and c[-1][0] < h]
+        longest_ = max(map(len, before), default=0)
+        best = min((c for c in before if len(c) == longest_), key=lambda c: c[-1][1], default=[])
+        chains.append([*best, (h, t)])
+    longest_ = max(map(len, chains))
+    chain = min((c for c in chains if len(c) == longest_), key=lambda c: c[-1][1])
+    if not once:
+        return chain
+    out, ends = list(chain), [(-1, -1), *chain, (10**9, 10**9)]
+    for (a, b), (c, d) in zip(ends[:-1], ends[1:], strict=True):
+        out += kept_by_difflib_like([(h, t) for h, t in pairs if a < h < c and b < t < d])
+    return sorted(out)
+
+
+def brute(texts, least=32, moved=128):
+    """By doc_id: the words left, and those that a plain lookup of the runs would leave."""
+    cut = {i: [w for _, w in cut_up(t)] for i, t in texts.items()}
+    sizes = {i: [sum(len(x.encode()) for x in w) for w in c] for i, c in cut.items()}
+    runs = {}  # of each document: the shortest long enough runs from each unit on and up to each unit, or the whole
+    for i, size in sizes.items():
+        own = set()
+        for a in range(len(size)):
+            on = next((n for n in range(1, len(size) - a + 1) if sum(size[a : a + n]) >= least), None)
+            up = next((n for n in range(1, a + 2) if sum(size[a - n + 1 : a + 1]) >= least), None)
+            own |= ({(a, on)} if on else set()) | ({(a - up + 1, up)} if up else set())
+        runs[i] = own or ({(0, len(size))} if size else set())
+    owners, out, plain = {}, {}, {}
+    whole = {i: not any(sum(size[a:]) >= least for a in range(len(size))) for i, size in sizes.items()}
+    for i in sorted(texts):
+        key = lambda a, n, i=i: (whole[i], tuple(map(tuple, cut[i][a : a + n])))
+        met, looked, times = {}, set(), {}
+        for a, n in sorted(runs[i]):
+            owner = owners.get(key(a, n))
+            if owner:
+                nth = times[key(a, n)] = times.get(key(a, n), -1) + 1
+                met.setdefault(owner[0], []).append((a, owner[1][nth if nth < len(owner[1]) else 0], n))
+                looked |= set(range(a, a + n))
         gone = set()
-        for j in texts:
-            other = [w for _, w in cut[j]]
-            if j < i and other and other == words:
-                gone |= set(range(len(words)))
-            for a in range(len(words)) if j < i else ():
-                for b in range(len(other)):
-                    n = 0
-                    while a + n < len(words) and b + n < len(other) and words[a + n] == other[b + n]:
-                        n += 1
-                    if sum(sizes[a : a + n]) >= least:
-                        gone |= set(range(a, a + n))
-        out[i] = [x for k, w in enumerate(words) if k not in gone for x in w]
-    return out
+        for own in met.values():
+            kept = set(kept_by_difflib_like(sorted({(h + k, t + k) for h, t, n in own for k in range(n)})))
+            loose = {}
+            for h, t, n in own:
+                if all((h + k, t + k) in kept for k in range(n)):
+                    gone |= set(range(h, h + n))
+                else:
+                    loose.setdefault(t - h, set()).update(range(h, h + n))
+            for units in loose.values():
+                block = []
+                for k in [*sorted(units), None]:
+                    if block and (k is None or k > block[-1] + 1):
+                        if sum(sizes[i][x] for x in block) >= moved:
+                            gone |= set(block)
+                        block = []
+                    block.append(k)
+        for a, n in sorted(runs[i]):
+            if owners.setdefault(key(a, n), (i, []))[0] == i:
+                owners[key(a, n)][1].append(a)
+        left = lambda dropped, i=i: [x for k, w in enumerate(cut[i]) if k not in dropped for x in w]
+        out[i], plain[i] = left(gone), left(looked)
+    return out, plain
 
 
 def test_matches_brute_force(spark):
@@ -66,9 +115,10 @@ def test_matches_brute_force(spark):
         parts = texts[rng.randrange(120)].split(". ")
         texts[k] = ". ".join(rng.sample(parts, len(parts)) + parts[:2] + parts[:2])
     got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    want = brute(texts)
+    want, lookup = brute(texts)
     assert [k for k in texts if got[k].split() != want[k]] == []
     assert any(want[k] != texts[k].split() and want[k] for k in texts)
+    assert sum(want[k] != lookup[k] for k in texts) > 5  # the alignment matters
 
 
 def test_short_lines_and_texts_without_blanks(spark):
@@ -82,23 +132,29 @@ def test_short_lines_and_texts_without_blanks(spark):
 
 
 def test_moved_and_repeated_blocks_go(spark):
-    x, y = (" ".join(f"{c}{k}word" for k in range(14)) + "." for c in "xy")
+    x, y = (" ".join(f"{c}{k}word" for k in range(52)) + "." for c in "xy")
     rows = [(1, f"{x} {y}"), (2, f"{y} {x}"), (3, f"Own. {x} {x} {x}"), (4, "kept " * 20)]
     got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "", 3: "Own. ", 4: rows[3][1]}
 
 
-def test_alignment_covers_all_matches():
+def test_short_lines_in_another_order_stay(spark):
+    lines = [f"line {c} has quite a few words of its own here" for c in "abcde"]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["Own text.", lines[0], lines[1], lines[4], lines[2], "More text."])), (3, "\n".join([lines[3], "Own.", lines[3]]))]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"Own text.\n{lines[4]}\nMore text.", 3: f"Own.\n{lines[3]}"}
+
+
+def test_patience_keeps_an_increasing_alignment():
     rng = random.Random(3)
-    for _ in range(200):
-        here = sorted(rng.choices(range(15), k=rng.randrange(1, 12)))
-        there = [rng.randrange(15) for _ in here]
-        got = L.align(here, there)
-        by = {}
-        for (a, _), h, t in zip(got, here, there, strict=True):
-            by.setdefault(a, []).append((h, t))
-        assert len(by[0]) == longest(there)
-        assert all(u < v for run in by.values() for (_, u), (_, v) in zip(run, run[1:], strict=False))
+    assert L.patience([(0, 5), (1, 6), (2, 0), (3, 7)]) == [(0, 5), (1, 6), (3, 7)]
+    for _ in range(300):
+        pairs = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(rng.randrange(1, 14))})
+        got = L.patience(pairs)
+        assert set(got) <= set(pairs) and all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+        assert got == kept_by_difflib_like(pairs)
+        once = [(h, t) for h, t in pairs if sum(h == x for x, _ in pairs) == 1 == sum(t == y for _, y in pairs)]
+        assert len(got) >= longest([t for _, t in once])
 
 
 def test_frequent_hashes_take_the_other_join(spark, monkeypatch):
@@ -106,7 +162,8 @@ def test_frequent_hashes_take_the_other_join(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(L.dedup_lines(docs).collect())
     monkeypatch.setattr(L, "FREQUENT", 0.2)
-    assert sorted(L.dedup_lines(docs).collect()) == want and [r.doc_id for r in want if "common" in r.text] == [1]
+    assert sorted(L.dedup_lines(docs).collect()) == want and [r.doc_id for r in want if r.text.count("common") == 1 and r.doc_id % 3 == 1] == [1]
+    assert {r.text.count("common") for r in want if r.doc_id % 3 == 2} == {1}  # the owner has it once
 
 
 def test_columns_of_any_name(spark):
@@ -132,3 +189,5 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert [t for i, t, _ in got if i == 5] == [texts[5]] * 2 and [t for i, t, _ in got if i == 6] == [""]
     assert [t.strip() for i, t, _ in got if i == 7][0] in "More words at the very end of it."
     assert L.dedup_lines(no_docs).count() == 0
+    with pytest.raises(ValueError, match="already"):
+        L.dedup_lines(odd_docs, removed="Hash")
