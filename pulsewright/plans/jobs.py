@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsewright.functions import scalar
@@ -26,39 +26,84 @@ def curate(toas: DataFrame, reasons: list[Column], keep: str | None = None, lose
     return t
 
 
-def ignored(toas: DataFrame, configs: DataFrame, orbits: DataFrame | None = None) -> DataFrame:
+#: The order of reasons in one pass over a configuration, and in a curation by stages: first keys, then dispersion measures, then what was listed by hand.
+AT_ONCE = ["orphaned", "badgroup", "mjd", "snr", "poorfebe", "outlier", "badfile", "badrange", "eclipsing", "badtoa", "badtoa-averaged"]
+IN_STAGES = ["orphaned", "badgroup", "mjd", "snr", "poorfebe", "outlier", "badrange", "eclipsing", "no_ppdm", "badtoa", "badtoa-averaged", "badfile"]
+
+
+def _of_files(toas: DataFrame, configs: DataFrame) -> DataFrame:
+    """(psr, name, bad_file, entries, averaged) of every file that a configuration names: as a whole, by single rows, by its first row."""
+    names = toas.select("psr", "name").distinct().withColumn("cut", F.lit(None).cast("string"))
+    whole = cuts.bad_files(names, config_rules(configs, "bad_file").select("psr", "pattern")).filter("files = 1")
+    single = config_rules(configs, "bad_toa").select("psr", "name", F.struct("chan", "subint").alias("entry"))
+    first = configs.select("psr", F.explode("ignore.bad_toa_averaged").alias("name"))
+    none = F.lit(None).cast(single.schema["entry"].dataType)
+    parts = [
+        whole.select("psr", "name", none.alias("entry"), F.lit(True).alias("bad_file"), F.lit(False).alias("averaged")), single.select("psr", "name", "entry", F.lit(False).alias("bad_file"), F.lit(False).alias("averaged")),
+        first.select("psr", "name", none.alias("entry"), F.lit(False).alias("bad_file"), F.lit(True).alias("averaged")),
+    ]
+    return reduce(DataFrame.union, parts).groupBy("psr", "name").agg(F.bool_or("bad_file").alias("_bad_file"), F.collect_set("entry").alias("_entries"), F.bool_or("averaged").alias("_averaged"))
+
+
+def _phase(orbits: DataFrame) -> Column:
+    """Orbital phase of a row beside ``orbits`` (psr, pb or fb0, epoch, pbdot): by the period and its derivative, or by the frequency."""
+    of = lambda c: F.col(f"_{c}") if c in orbits.columns else F.lit(None).cast("double")
+    by_period = scalar.orbital_phase(F.col("mjd"), of("epoch"), of("pb"), F.coalesce(of("pbdot"), F.lit(0.0)))
+    return F.coalesce(by_period, scalar.orbital_phase_fb(F.col("mjd"), of("epoch"), of("fb0")))
+
+
+def ignored(toas: DataFrame, configs: DataFrame, orbits: DataFrame | None = None, order: list[str] = AT_ONCE) -> DataFrame:
     """Observations with ``cut`` by what each source's configuration (psr, mode, ignore) leaves out; the first reason stays.
 
-    In this order: orphaned, badgroup, mjdstart, mjdend, snr, poorfebe, outlierNN, badfile, badrange, eclipsing, badtoa,
-    badtoa-averaged. A source has one configuration; without one nothing of it is cut, and a rule without a value cuts
-    nothing. ``orbits`` (psr, pb, epoch) is needed for eclipses. Narrowband entries of single rows name file, channel and
-    subint, wideband ones file and subint. Flags of groups are columns.
+    In this order, unless ``order`` says otherwise: orphaned, badgroup, mjdstart, mjdend, snr, poorfebe, outlierNN, badfile,
+    badrange, eclipsing, badtoa, badtoa-averaged; no_ppdm is for wideband sources and only where ``order`` has it. A source
+    has one configuration; without one nothing of it is cut, and a rule without a value cuts nothing. ``orbits`` (psr,
+    epoch, and pb with pbdot or fb0) is needed for eclipses. Narrowband entries of single rows name file, channel and
+    subint, wideband ones file and subint; the first row that an entry names is meant. Flags of groups are columns.
+
+    The rows are read twice, once for the names of their files alone, and shuffled once by source and file: each source's
+    rules ride beside its rows, and what is said of a file comes with the file.
     """
     names = ["orphaned_rec", "bad_group", "mjd_start", "mjd_end", "snr_cut", "poor_febe", "prob_outlier", "bad_range", "orb_phase_range"]
-    one = configs.select("psr", *[F.col(f"ignore.{n}").alias(f"_{n}") for n in names])
-    t = toas.join(one, "psr", "left")
-    t = t if "cut" in t.columns else t.withColumn("cut", F.lit(None).cast("string"))
+    one = configs.select("psr", (F.lower("mode") == "wb").alias("_wideband"), *[F.col(f"ignore.{n}").alias(f"_{n}") for n in names])
+    before = [F.col("cut")] if "cut" in toas.columns else []
+    t = toas.join(one, "psr", "left").join(_of_files(toas, configs), ["psr", "name"], "left")
+    wide, yes = F.coalesce("_wideband", F.lit(False)), lambda c: F.coalesce(c, F.lit(False))
     flags = [c for c in ("f", "fe", "be", "obs", "pta") if c in toas.columns]
     value = F.create_map(*[x for c in flags for x in (F.lit(c), F.col(c).cast("string"))])
     group = F.exists("_bad_group", lambda g: value[g["flag"]] == g["value"])
     inside = F.exists("_bad_range", lambda r: (r["lo"] < F.col("mjd")) & (F.col("mjd") < r["hi"]) & (r["be"].isNull() | (r["be"] == F.col("be"))))
     outlier = F.concat(F.lit("outlier"), (F.col("_prob_outlier") * 100).cast("int").cast("string"))
-    first = [
-        cuts.reason(F.array_contains("_orphaned_rec", F.col("f")), "orphaned"), cuts.reason(group, "badgroup"), cuts.mjd_reason(F.col("_mjd_start"), F.col("_mjd_end")), cuts.snr_reason(F.col("_snr_cut")),
-        cuts.reason(F.array_contains("_poor_febe", F.col("f")), "poorfebe"), cuts.reason(F.coalesce("pout", F.lit(0.0)) > F.col("_prob_outlier"), outlier),
-    ]
-    t = cuts.cut_bad_files(cuts.apply_rules(t, first), config_rules(configs, "bad_file").select("psr", "pattern"))
-    later = [cuts.reason(inside, "badrange")]
+    # windows within a file's rows, which stand together; only rows that an entry names are numbered among their like
+    named = F.exists("_entries", lambda e: (e["subint"] == F.col("subint")) & (wide | (e["chan"] == F.col("chan"))))
+    least = lambda *keys: F.min("toa_id").over(Window.partitionBy("psr", "name", *keys))
+    t = t.withColumns({"_named": yes(named), "_first": F.when(wide, least("subint")).otherwise(least("chan", "subint")), "_first_of_all": least()})
+    reasons = {
+        "orphaned": cuts.reason(F.array_contains("_orphaned_rec", F.col("f")), "orphaned"), "badgroup": cuts.reason(group, "badgroup"), "mjd": cuts.mjd_reason(F.col("_mjd_start"), F.col("_mjd_end")), "snr": cuts.snr_reason(F.col("_snr_cut")),
+        "poorfebe": cuts.reason(F.array_contains("_poor_febe", F.col("f")), "poorfebe"), "outlier": cuts.reason(F.coalesce("pout", F.lit(0.0)) > F.col("_prob_outlier"), outlier),
+        "badfile": cuts.reason(yes(F.col("_bad_file")), "badfile"), "badrange": cuts.reason(inside, "badrange"), "badtoa": cuts.reason(F.col("_named") & (F.col("toa_id") == F.col("_first")), "badtoa"),
+        "badtoa-averaged": cuts.reason(yes(F.col("_averaged")) & (F.col("toa_id") == F.col("_first_of_all")), "badtoa-averaged"),
+    }
+    if "no_ppdm" in order:
+        reasons["no_ppdm"] = cuts.reason(wide & F.col("pp_dm").isNull(), "no_ppdm")
     if orbits is not None:
-        t = t.join(orbits.select("psr", F.col("pb").alias("_pb"), F.col("epoch").alias("_epoch")), "psr", "left")
-        phase, of = scalar.orbital_phase(F.col("mjd"), F.col("_epoch"), F.col("_pb")), lambda k: F.get("_orb_phase_range", F.lit(k))
-        later.append(cuts.reason((phase > of(0)) & (phase < of(1)), "eclipsing"))
-    t = settled(cuts.apply_rules(t, later).select(*toas.columns, *([] if "cut" in toas.columns else ["cut"])))
-    single = config_rules(configs, "bad_toa").join(configs.select("psr", F.lower("mode").alias("mode")), "psr")
-    t = cuts.cut_bad_toas(t, single.filter("mode is null or mode <> 'wb'"))
-    t = cuts.cut_bad_toas(t, single.filter("mode = 'wb'"), ("name", "subint"))
-    averaged = configs.select("psr", F.explode("ignore.bad_toa_averaged").alias("name"))
-    return cuts.cut_bad_toas(t, averaged, ("name",), "badtoa-averaged")
+        t = t.join(orbits.select("psr", *[F.col(c).alias(f"_{c}") for c in orbits.columns if c != "psr"]), "psr", "left")
+        phase, of = _phase(orbits), lambda k: F.get("_orb_phase_range", F.lit(k))
+        reasons["eclipsing"] = cuts.reason((phase > of(0)) & (phase < of(1)), "eclipsing")
+    found = cuts.first_reason(*before, *[reasons[r] for r in order if r in reasons])
+    return t.select(*[c for c in toas.columns if c != "cut"], found.alias("cut"))
+
+
+def curate_configured(toas: DataFrame, configs: DataFrame, keep: str, lose: str, orbits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(observations with ``cut``, changes to the lists of orphaned receivers), from raw rows and configurations.
+
+    Simultaneous rows of the backend ``lose`` go first, then what configurations say by keys, then wideband rows without a
+    dispersion measure of their own, then what they list by hand. ``changes`` (psr, f, change) are receiver-backends with
+    few files that a configuration doesn't list as orphaned, and listed ones that have more.
+    """
+    t = cuts.simultaneous(toas if "cut" in toas.columns else toas.withColumn("cut", F.lit(None).cast("string")), keep, lose)
+    listed = configs.select("psr", F.explode("ignore.orphaned_rec").alias("f"))
+    return ignored(settled(t), configs, orbits, IN_STAGES), stats.listed_receivers(toas, listed)
 
 
 def outlier_cuts(toas: DataFrame, prob: float = 0.1, percent: float = 8.0, narrowband: bool = True, **setup) -> tuple[DataFrame, DataFrame]:

@@ -133,6 +133,34 @@ def job_curate_configured(spark, sf_dir):
     return jobs.ignored(t, _ignore(t), orbits).select("psr", "toa_id", "cut")
 
 
+STAGED = f"""{SET}, d as materialized (select psr, toa_id, fe, be, floor(mjd)::bigint as day, freq_mhz - bw_mhz / 2 as lo, freq_mhz + bw_mhz / 2 as hi from toas),
+ seen as (select distinct b.psr, b.toa_id from d b join d a on a.psr = b.psr and a.day = b.day and a.fe = b.fe where a.be = 'F' and b.be = 'O' and a.hi >= b.lo and b.hi >= a.lo),
+ bent as (select *, case when k % 2 = 0 then (mjd - 50000.0) * 86400.0::double * (1.0::double / (86400.0::double * pb)) else (mjd - 50000.0) / pb - 0.5::double * 1e-6::double * ((mjd - 50000.0) / pb) * ((mjd - 50000.0) / pb) end as turns from g)"""
+
+
+@query(f"""with {STAGED} select b.psr, b.toa_id, case when seen.toa_id is not null then 'simul' when f = 'A_F' and k % 3 = 0 then 'orphaned' when k % 5 = 0 and (pta = '3' or obs = 'P') then 'badgroup' when k % 2 = 0 and mjd < 48700.0 + k then 'mjdstart' when mjd > 52400.0 - k then 'mjdend' when snr < 5 + k % 5 then 'snr'
+ when k % 4 = 1 and f = 'N_O' then 'poorfebe' when k % 7 <> 3 and pout > 0.9 then 'outlier90' when 50000.0 + k < mjd and mjd < 50050.0 + k and (k % 2 = 1 or be = 'F') then 'badrange' when k % 7 = 0 and turns - floor(turns) > 0.4 and turns - floor(turns) < 0.5 then 'eclipsing' when k % 2 = 1 and pp_dm is null then 'no_ppdm'
+ when one.toa_id is not null or two.toa_id is not null then 'badtoa' when av.toa_id is not null then 'badtoa-averaged' when bf.name is not null then 'badfile' end as cut
+ from bent b left join seen on b.psr = seen.psr and b.toa_id = seen.toa_id left join bf on b.psr = bf.psr and b.name = bf.name left join one on b.psr = one.psr and b.toa_id = one.toa_id left join two on b.psr = two.psr and b.toa_id = two.toa_id left join av on b.psr = av.psr and b.toa_id = av.toa_id""")
+def job_curate_by_stages(spark, sf_dir):
+    """From raw rows and configurations to cuts; orbits by frequency, or by a period with its derivative."""
+    return _staged(spark, sf_dir)[0].select("psr", "toa_id", "cut")
+
+
+@query(f"with {TOAS}, h as (select psr, f from toas group by all having count(distinct name) <= 12), w as (select distinct psr, 'A_F' as f from toas where {K} % 3 = 0) select psr, f, 'add' as change from h anti join w using (psr, f) union all select psr, f, 'remove' from w anti join h using (psr, f)")
+def job_curate_orphan_changes(spark, sf_dir):
+    t = settled(toas(spark, sf_dir))
+    return stats.listed_receivers(t, _ignore(t).select("psr", F.explode("ignore.orphaned_rec").alias("f")), 12)
+
+
+def _staged(spark, sf_dir):
+    t = settled(toas(spark, sf_dir))
+    k = F.substring("psr", 4, 9).cast("int")
+    days, by_turns = F.lit(4.0) + k, k % 2 == 0
+    orbits = t.select("psr").distinct().select("psr", F.lit(50000.0).alias("epoch"), F.when(~by_turns, days).alias("pb"), F.lit(1e-6).alias("pbdot"), F.when(by_turns, F.lit(1.0) / (F.lit(86400.0) * days)).alias("fb0"))
+    return jobs.curate_configured(t, _ignore(t), "F", "O", orbits)
+
+
 @query(f"with {SET}, c as (select psr, case when pout > 0.95 then 'outlier10' when snr < 3 then 'epochdrop' when snr < 8 then 'snr' end as cut from toas), n as (select psr, count(*) as total, count(cut) as cut, count(*) filter (cut = 'outlier10') as outlier10, count(*) filter (cut = 'epochdrop') as epochdrop from c group by psr union all select null, count(*), count(cut), count(*) filter (cut = 'outlier10'), count(*) filter (cut = 'epochdrop') from c) "
        f"select psr, 'rows' as item, unnest(['total', 'cut', 'outlier10', 'epochdrop']) as label, unnest([total, cut, outlier10, epochdrop]) as n from n union all select null, 'bad-toa', 'x', count(*) from toas where toa_id in (97, 98, 40) union all select null, 'bad-file', 'x', count(distinct psr) * {len(FILES)} from toas")
 def job_excision_reports(spark, sf_dir):

@@ -52,6 +52,18 @@ def test_wideband_entries_and_sources_without_rules(spark):
     assert jobs.ignored(t.limit(0), c).count() == 0
 
 
+def test_configured_curation_by_stages(spark):
+    t = toas(spark, {"be": "X"}, {"be": "Y"}, {"name": "bad", "chan": 3}, {"name": "bad", "chan": 3}, {"psr": "Q", "name": "w", "snr": 1.0}, {"psr": "Q", "name": "w"}, {"psr": "Q", "name": "w", "mjd": 55001.5})
+    t = t.withColumns({"freq_mhz": F.lit(1400.0), "bw_mhz": F.lit(10.0), "pp_dm": F.when(F.col("toa_id") != 5, 10.0)})
+    c = config(spark, bad_file=[("bad", "why")], bad_toa=[("bad", 3, 0, "why")]).union(config(spark, psr="Q", mode="WB", snr_cut=8.0, bad_toa_averaged=["w"], orb_phase_range=[0.4, 0.6], orphaned_rec=["S_X"]))
+    orbits = spark.createDataFrame([("Q", 55000.0, None, 1 / (3 * 86400.0))], "psr string, epoch double, pb double, fb0 double")
+    got, changes = jobs.curate_configured(t, c, "X", "Y", orbits)
+    assert reasons(got) == [None, "simul", "badtoa", "badfile", "snr", "no_ppdm", "eclipsing"]
+    assert {tuple(r) for r in changes.collect()} == {("P", "L_X", "add"), ("Q", "L_X", "add"), ("Q", "S_X", "remove")}
+    plan = jobs.ignored(t, c, orbits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 14
+
+
 def test_files_include_files(spark):
     rows = [("/d/a.tim", 0, "INCLUDE b.tim"), ("/d/b.tim", 0, "x 1 2 3 4"), ("/d/b.tim", 1, "INCLUDE c.tim"), ("/d/b.tim", 2, "INCLUDE gone.tim"), ("/d/c.tim", 0, "y 1 2 3 4"), ("/e/c.tim", 0, "z 1 2 3 4")]
     lines = spark.createDataFrame(rows, "path string, line_no int, value string")
