@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsewright.functions import scalar
 from pulsewright.operators import audit, bins, cuts, ftests, noise, params, stats
 from pulsewright.operators.settle import settled
+from pulsewright.sources import text
 from pulsewright.sources.configs import excised_reasons
 from pulsewright.sources.configs import rules as config_rules
 
@@ -154,20 +155,41 @@ def timing_summary(toas: DataFrame) -> DataFrame:
     return rms.union(wrms).union(years).union(shares)
 
 
-def timing_checks(model: DataFrame, models: DataFrame, old: DataFrame, spans: DataFrame, tests: DataFrame, sigma: float = 3.0) -> DataFrame:
+def _said(df: DataFrame, item: str, label: Column | str, value: Column | str) -> DataFrame:
+    """Rows of a long report (psr, item, label, value), all text."""
+    as_text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    return df.select("psr", F.lit(item).alias("item"), as_text(label).alias("label"), as_text(value).alias("value"))
+
+
+def model_checks(receivers: DataFrame, jumped: DataFrame, settings: DataFrame, expected: DataFrame, noise_: DataFrame, matches: DataFrame, frozen: DataFrame, wideband: DataFrame | None = None) -> DataFrame:
+    """(psr, item, label, value): jumps against receivers, settings against those expected, noise parameters out of range, frozen ones that aren't zero.
+
+    ``receivers`` and ``jumped`` are (psr, fe); with ``wideband``, the receivers (psr, fe) that have jumps of dispersion
+    measures, all of them need one. ``noise_`` and ``matches`` are as ``params.noise_sanity`` takes them, ``frozen`` what
+    ``params.frozen_nonzero`` gives.
+    """
+    jumps = _said(params.jump_check(receivers, jumped), "jump", F.coalesce("fe", F.lit("all")), "violation")
+    if wideband is not None:
+        jumps = jumps.union(_said(params.jump_check(receivers, wideband, all_need=True), "dm jump", F.coalesce("fe", F.lit("all")), "violation"))
+    settings_ = _said(params.settings_check(settings, expected), "setting", "key", F.coalesce("value", F.lit("none")))
+    sanity = _said(params.noise_sanity(noise_, matches), "noise", F.concat_ws(" ", "kind", "mask_key", "mask_value"), "alert")
+    return jumps.union(settings_).union(sanity).union(_said(frozen, "frozen", "name", F.lit("not zero")))
+
+
+def timing_checks(model: DataFrame, models: DataFrame, old: DataFrame, spans: DataFrame, tests: DataFrame, sigma: float = 3.0, further: DataFrame | None = None) -> DataFrame:
     """(psr, item, label, value) of what a model's report warns of, beside ``timing_summary``: all sources in one long table.
 
     ``model`` and ``old`` are parameters (psr, name, value, uncertainty, frozen), ``models`` (psr, model) the binary models,
-    ``tests`` F-tests as ``ftests.recommend`` takes them. Items: spin, astrometry, binary, epoch, moved, remove, add.
+    ``tests`` F-tests as ``ftests.recommend`` takes them, ``further`` the rows of ``model_checks``. Items: spin, astrometry,
+    binary, epoch, moved, remove, add, and further ones.
     """
-    text = lambda df, item, label, value: df.select("psr", F.lit(item).alias("item"), F.col(label).cast("string").alias("label"), F.col(value).cast("string").alias("value"))
     spin = params.spin_check(model).withColumn("bad", F.array_compact(F.array(F.when(~F.col("f0_fitted"), "F0"), F.when(~F.col("f1_fitted"), "F1"), F.when(F.col("further") > 0, "further"))))
     parts = [
-        text(spin.select("psr", F.explode("bad").alias("what")).withColumn("said", F.when(F.col("what") == "further", "more derivatives").otherwise("not fitted")), "spin", "what", "said"),
-        text(params.astrometry_check(model, model), "astrometry", "name", "problem"), text(params.binary_check(model, models), "binary", "name", "problem"),
-        text(params.far_epochs(spans, model), "epoch", "name", "centre"), text(params.compare(model, old, sigma).filter("moved"), "moved", "name", "side"),
+        _said(spin.select("psr", F.explode("bad").alias("what")).withColumn("said", F.when(F.col("what") == "further", "more derivatives").otherwise("not fitted")), "spin", "what", "said"),
+        _said(params.astrometry_check(model, model), "astrometry", "name", "problem"), _said(params.binary_check(model, models), "binary", "name", "problem"),
+        _said(params.far_epochs(spans, model), "epoch", "name", "centre"), _said(params.compare(model, old, sigma).filter("moved"), "moved", "name", "side"),
     ]
-    out = reduce(DataFrame.union, parts)
+    out = reduce(DataFrame.union, [*parts, *([] if further is None else [further])])
     return out.union(ftests.recommend(tests).select("psr", F.col("action").alias("item"), "label", F.lit("by F-test")))
 
 
@@ -196,15 +218,22 @@ def reflag_and_combine(parts: list[tuple[DataFrame, dict]]) -> DataFrame:
     return out
 
 
-def release_state(configs: DataFrame, logs: DataFrame, tags: list[str], toas: DataFrame, old_versions: tuple[str, ...], runs: DataFrame, used: DataFrame) -> DataFrame:
+def release_state(configs: DataFrame, logs: DataFrame, tags: list[str], toas: DataFrame, old_versions: tuple[str, ...], runs: DataFrame, used: DataFrame, files: tuple[DataFrame, DataFrame] | None = None, models: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(kind, id, problem) of what isn't ready, beside ``release_audit``: checks open, entries with unknown tags, no READY_FOR,
-    observations of mixed or old releases (``ver``), noise runs that aren't the newest."""
+    observations of mixed or old releases (``ver``), noise runs that aren't the newest; with ``files``, the lists (config, file)
+    of configurations and of the release, configurations whose lists differ; with ``models``, all model files (file) and those
+    in use (source, mode, file), sources whose model isn't the latest by date."""
     row = lambda df, kind, id_, problem: df.select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), problem.alias("problem"))
     log, release = audit.changelog(logs, tags), stats.release_check(toas, "ver", old_versions)
     parts = [
         row(audit.cleared(configs).filter("not cleared"), "config", "config", F.lit("not cleared")), row(log.filter("invalid > 0"), "log", "config", F.lit("unknown tags")), row(log.filter("ready_day is null"), "log", "config", F.lit("not ready")),
         row(release.filter("mixed"), "release", "psr", F.lit("mixed")), row(release.filter("is_old"), "release", "psr", F.lit("old")), row(audit.newest(runs, used).filter("stale"), "noise", "source", F.lit("stale")),
     ]
+    if files is not None:
+        parts.append(row(audit.changed_configs(audit.file_differences(*files)), "files", "config", F.lit("lists differ")))
+    if models is not None:
+        late = text.latest_files(models[0]).join(models[1], ["source", "mode"]).filter("file <> latest").withColumn("id", F.concat_ws(".", "source", "mode"))
+        parts.append(row(late, "model", "id", F.lit("not the latest")))
     return reduce(DataFrame.union, parts)
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from pulsewright.operators import cuts, params, stats
 from pulsewright.operators.settle import settled
-from pulsewright.plans import jobs
+from pulsewright.plans import jobs, queries_text  # noqa: F401  registers what some jobs name
 from pulsewright.plans.queries_bins import BINS, _bins
 from pulsewright.plans.queries_cuts import CUT, CUT_SQL, END, FILES, HI, LO, SNR, START, cut_toas
 from pulsewright.plans.queries_noise import TESTS, _tests
-from pulsewright.plans.queries_params import CFG, LOG, NAMED, _configs, _log, named
-from pulsewright.plans.registration import ORACLES, query
+from pulsewright.plans.queries_params import CFG, LOG, NAMED, _configs, _file_lists, _jumps, _log, _noise_rows, _settings, named
+from pulsewright.plans.registration import ORACLES, QUERIES, query
 from pulsewright.sources.binding import CHAINS, TOAS, chains, params_sql, read, toas
 from pulsewright.sources.binding import params as model_params
 
@@ -180,14 +180,19 @@ def job_reflag_and_combine(spark, sf_dir):
 
 
 @query(f"with {TOAS}, u as (select 'S' || (o_custkey % 40)::varchar as source, max('run_' || lpad((o_orderkey % 900)::varchar, 3, '0')) as newest from orders group by all), {LOG}, lg as (select config, count(*) filter (entry like '% OOPS: %') as bad, count(*) filter (entry like '% READY\\_FOR: %' escape '\\') as ready from l group by config), r as (select psr, count(distinct pta) as v, min(pta) as first from toas group by psr) "
-       "select 'config' as kind, 'S' || c_custkey::varchar as id, 'not cleared' as problem from customer where c_custkey % 3 = 0 union all select 'log', config, 'unknown tags' from lg where bad > 0 union all select 'log', config, 'not ready' from lg where ready = 0 union all select 'release', psr, 'mixed' from r where v > 1 union all select 'release', psr, 'old' from r where first = '1' union all select 'noise', source, 'stale' from u where newest <> 'run_899'")
+       "select 'config' as kind, 'S' || c_custkey::varchar as id, 'not cleared' as problem from customer where c_custkey % 3 = 0 union all select 'log', config, 'unknown tags' from lg where bad > 0 union all select 'log', config, 'not ready' from lg where ready = 0 union all select 'release', psr, 'mixed' from r where v > 1 union all select 'release', psr, 'old' from r where first = '1' union all select 'noise', source, 'stale' from u where newest <> 'run_899' "
+       f"union all select 'files', config, 'lists differ' from ({ORACLES['config_vs_release_files']}) group by config union all select 'model', source || '.' || mode, 'not the latest' from ({ORACLES['latest_par_by_date']}) where source like '%3' and previous is not null")
 def job_release_state(spark, sf_dir):
     check = F.create_map(F.lit("toa_outliers"), F.when(F.col("c_custkey") % 3 == 0, "todo"), F.lit("cleared"), F.lit("yes"))
     c = read(spark, sf_dir, "customer").select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("config"), check.alias("check"))
     source = F.concat(F.lit("S"), (F.col("o_custkey") % 40).cast("string"))
     runs = read(spark, sf_dir, "orders").select(source.alias("source"), F.concat(F.lit("/noise/"), source, F.lit("/run_"), F.lpad((F.col("o_orderkey") % 900).cast("string"), 3, "0"), F.lit("/chain.txt")).alias("path"))
     used = runs.select("source").distinct().withColumn("used", F.lit("run_899"))
-    return jobs.release_state(c, _log(spark, sf_dir), ["INIT", "READY_FOR", "NOISE", "CURATE"], toas(spark, sf_dir).withColumn("ver", F.col("pta")), ("1",), runs.select("path"), used)
+    models = QUERIES["latest_par_by_date"](spark, sf_dir)  # sources whose number ends in 3 still use the one before the latest
+    in_use = models.select("source", "mode", F.when(F.col("source").endswith("3"), F.coalesce("previous", "latest")).otherwise(F.col("latest")).alias("file"))
+    named_ = models.select(F.explode(F.array_compact(F.array("latest", "previous"))).alias("file"))
+    lists = _file_lists(spark, sf_dir)
+    return jobs.release_state(c, _log(spark, sf_dir), ["INIT", "READY_FOR", "NOISE", "CURATE"], toas(spark, sf_dir).withColumn("ver", F.col("pta")), ("1",), runs.select("path"), used, lists, (named_, in_use))
 
 
 SPANS = "sp as (select 'S' || o_custkey::varchar as psr, round_even((40587 + date_diff('day', date '1970-01-01', min(o_orderdate)::date) + 40587 + date_diff('day', date '1970-01-01', max(o_orderdate)::date)) / 2.0::double, 0) as centre from orders group by all)"
@@ -198,11 +203,15 @@ CHECKED = f"with {NAMED}, {SPANS}, {TESTS}, v as (select *, 50000.0::double + le
  union all select psr, 'astrometry', name, problem from ({ORACLES['astrometry_check']}) where not (name = 'FRAME' and problem = 'equatorial') union all select psr, 'astrometry', 'FRAME', 'no frame' from np group by psr having bool_or(name = 'F2') and not bool_or(name in ('ELONG', 'ELAT'))
  union all select psr, 'binary', name, problem from ({ORACLES['binary_check']}) union all select psr, 'epoch', name, centre::varchar from e where d > 1 + period
  union all select psr, 'moved', name, 'both' from v where length(name) > 3
- union all select psr, action, label, 'by F-test' from ({ORACLES['ftest_recommendations']})""")
+ union all select psr, action, label, 'by F-test' from ({ORACLES['ftest_recommendations']})
+ union all select psr, 'jump', coalesce(fe, 'all'), violation from ({ORACLES['jump_check']}) union all select psr, 'dm jump', coalesce(fe, 'all'), violation from ({ORACLES['dm_jump_check']}) union all select psr, 'setting', key, coalesce(value, 'none') from ({ORACLES['settings_check']})
+ union all select psr, 'noise', kind || ' ' || mask_key || ' ' || mask_value, alert from ({ORACLES['noise_parameter_sanity']}) union all select psr, 'frozen', name, 'not zero' from ({ORACLES['frozen_nonzero']})""")
 def job_timing_checks(spark, sf_dir):
     """Values are 50000 and the length of the name; the old model's are 50000 with errors of one, so long names have moved."""
     p, models = named(spark, sf_dir)
     model = p.withColumns({"value": F.lit(50000.0) + F.length("name"), "uncertainty": F.lit(1.0)})
     day = (F.lit(40587) + F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))).cast("double")
     spans = stats.span(read(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("psr"), day.alias("mjd")))
-    return jobs.timing_checks(model, models, model.withColumn("value", F.lit(50000.0)), spans, _tests(spark, sf_dir))
+    receivers, jumped = _jumps(spark, sf_dir)
+    further = jobs.model_checks(receivers, jumped, *_settings(spark, sf_dir), *_noise_rows(spark, sf_dir), QUERIES["frozen_nonzero"](spark, sf_dir), wideband=jumped)
+    return jobs.timing_checks(model, models, model.withColumn("value", F.lit(50000.0)), spans, _tests(spark, sf_dir), further=further)

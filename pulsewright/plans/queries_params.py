@@ -32,10 +32,14 @@ def mask_parameter_matches(spark, sf_dir):
 
 @query(f"with {MATCH}, n as (select mm.*, x.kind, x.value from mm, (values ('EFAC', 1.3), ('EFAC', 1.0), ('EQUAD', 0.7), ('EQUAD', 10.0), ('ECORR', 4.0), ('DMEFAC', 0.5)) x(kind, value)) select * from (select psr, kind, mask_key, mask_value, value::double as value, case when kind in ('EFAC', 'DMEFAC') and (value < 0.8 or value > 1.2) then 'factor out of range' when kind in ('EQUAD', 'ECORR') and value > 9.5 then 'at prior edge' when kind in ('EQUAD', 'ECORR') and value > 3 then 'over 3 us' when kind in ('EQUAD', 'ECORR', 'DMEQUAD') and value::double / median_err > 0.75 then 'large against error' end as alert from n) where alert is not null")
 def noise_parameter_sanity(spark, sf_dir):
+    return P.noise_sanity(*_noise_rows(spark, sf_dir))
+
+
+def _noise_rows(spark, sf_dir):
     masks = spark.createDataFrame(MASKS, "psr string, mask_key string, mask_value string")
     kinds = [("EFAC", 1.3), ("EFAC", 1.0), ("EQUAD", 0.7), ("EQUAD", 10.0), ("ECORR", 4.0), ("DMEFAC", 0.5)]
     noise = masks.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in kinds])))
-    return P.noise_sanity(noise, P.mask_matches(toas(spark, sf_dir), masks))
+    return noise, P.mask_matches(toas(spark, sf_dir), masks)
 
 
 JUMPS = f"{TOAS}, r as (select distinct psr, fe from toas), j as (select psr, fe from r where (psr[4:])::int % 3 = 0 or fe = 'A' union select psr, 'X' from r where psr in ('PSR1', 'PSR2')), free as (select * from r except select * from j)"
@@ -116,10 +120,14 @@ def binary_check(spark, sf_dir):
 
 @query("with s as (select 'S' || c_custkey::varchar as psr, k, case k when 'EPHEM' then case when c_nationkey < 20 then 'DE440' else 'DE421' end when 'CLOCK' then c_mktsegment when 'PLANETS' then case when c_custkey % 2 = 0 then 'Y' end end as value from customer, (values ('EPHEM'), ('CLOCK'), ('PLANETS')) v(k)), e(k, expected) as (values ('EPHEM', 'DE440'), ('CLOCK', 'BUILDING'), ('PLANETS', 'Y')) select psr, k as key, value, expected from s join e using (k) where value is distinct from expected")
 def settings_check(spark, sf_dir):
+    return P.settings_check(*_settings(spark, sf_dir))
+
+
+def _settings(spark, sf_dir):
     c = read(spark, sf_dir, "customer").withColumn("key", F.explode(F.array(*map(F.lit, ("EPHEM", "CLOCK", "PLANETS")))))
     value = F.when(F.col("key") == "EPHEM", F.when(F.col("c_nationkey") < 20, "DE440").otherwise("DE421")).when(F.col("key") == "CLOCK", F.col("c_mktsegment")).otherwise(F.when(F.col("c_custkey") % 2 == 0, "Y"))
     expected = spark.createDataFrame([("EPHEM", "DE440"), ("CLOCK", "BUILDING"), ("PLANETS", "Y")], "key string, expected string")
-    return P.settings_check(c.select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("psr"), "key", value.alias("value")), expected)
+    return c.select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("psr"), "key", value.alias("value")), expected
 
 
 @query(f"with {params_sql('p')} select psr, name, not (contains(name, '7')) or name = 'DM' as frozen from p")
@@ -261,10 +269,14 @@ def rule_key_audit(spark, sf_dir):
 def config_vs_release_files(spark, sf_dir):
     from pulsewright.operators import audit
 
+    return audit.file_differences(*_file_lists(spark, sf_dir))
+
+
+def _file_lists(spark, sf_dir):
     c = _configs(spark, sf_dir)
     name = lambda x: F.concat(F.lit("r"), x.cast("string"))
     g = c.select("config", name((F.col("result") + F.when(F.col("c_custkey") % 10 == 0, 1).otherwise(0)) % 25).alias("file"))
-    return audit.file_differences(c.select("config", name(F.col("result")).alias("file")), g)
+    return c.select("config", name(F.col("result")).alias("file")), g
 
 
 @query("select 'S' || (o_custkey % 40)::varchar as source, max('run_' || lpad((o_orderkey % 900)::varchar, 3, '0')) as newest, max('run_' || lpad((o_orderkey % 900)::varchar, 3, '0')) <> 'run_899' as stale from orders group by all")

@@ -152,11 +152,12 @@ def tim_inventory(spark, sf_dir):
 
 
 @query(f"with f as (select distinct {FILE} as name from orders), i as (select name, split_part(name, '.', 1) as source, split_part(name, '.', 2) as receiver, split_part(name, '.', 6) as mode from f), g as (select source, mode, list_sort(list(name)) as files, count(distinct receiver) as n from i group by all) "
-       "select source, mode, files, case when mode = 'wb' then list_transform(range(1, n + 1), lambda k: 'DMJUMP' || k::varchar) else []::varchar[] end as free, case when mode = 'wb' then 25.0::double else 8.0::double end as snr_cut, case when source = 'S3' then ['bad_a'] else []::varchar[] end as bad_files from g")
+       "select source, mode, files, list_concat(case source when 'S1' then ['F0', 'F1', 'PX'] when 'S2' then []::varchar[] else ['F0', 'F1'] end, case when mode = 'wb' then list_transform(range(1, n + 1), lambda k: 'DMJUMP' || k::varchar) else []::varchar[] end) as free, case when mode = 'wb' then 25.0::double else 8.0::double end as snr_cut, case when source = 'S3' then ['bad_a'] else []::varchar[] end as bad_files from g")
 def initial_configs(spark, sf_dir):
     inv = text.inventory(_files(spark, sf_dir).distinct())
-    none = spark.createDataFrame([], "psr string, name string")
-    return text.initial_configs(inv, none, spark.createDataFrame([("S3", "bad_a")], "psr string, pattern string"))
+    own = F.when(F.col("source") == "S1", F.lit("PX")).otherwise(F.lit("DMX_0002"))
+    free = inv.filter("source <> 'S2'").select(F.col("source").alias("psr"), F.explode(F.array(F.lit("F1"), F.lit("DMX_0001"), F.lit("F0"), own)).alias("name")).distinct()
+    return text.initial_configs(inv, free, spark.createDataFrame([("S3", "bad_a")], "psr string, pattern string"))
 
 
 @query(f"with {TOAS}, g as (select name, min(f) as receiver, floor(min(mjd))::bigint as mjd, count(*) as n_removed, min(err_us) as ftest, max(err_us) as esum from toas group by name) select name, receiver, mjd, n_removed, ftest, esum from g")
