@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -39,6 +40,7 @@ MOVED = 4
 ENDS = ("\n", ". ", "! ", "? ", "。", "！", "？")
 AT_ENDS = re.compile("|".join(f"(?<={re.escape(e)})" for e in ENDS))
 WHOLE, PART = 1, 0
+OWNS, AGAIN, ASKS = 0, 1, 2
 #: A hash with at least this share of all postings is frequent: there are at most 1 / FREQUENT of them, 24 bytes each.
 FREQUENT = 1e-5
 
@@ -65,11 +67,14 @@ def bodies_of(parts: list[str]) -> tuple[list[bytes], list[int]]:
     return bodies, places
 
 
-def run_hash(bodies: list[bytes], seed: int = PART) -> int:
-    x = xxh64_intdigest(bodies[0] if len(bodies) == 1 else b"\n".join(bodies), seed)
+def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def run_hash(bodies: list[bytes], seed: int = PART) -> int:
+    return _signed(xxh64_intdigest(bodies[0] if len(bodies) == 1 else b"\n".join(bodies), seed))
+
+
 def shortest_runs(sizes: np.ndarray, least: int) -> tuple[list[int], list[int]]:
     """First places and numbers of the shortest runs of at least ``least`` from each place on and up to each place."""
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -83,24 +88,31 @@ def shortest_runs(sizes: np.ndarray, least: int) -> tuple[list[int], list[int]]:
     return first.tolist(), (end - first).tolist()
 
 
-def postings(text: str, least: int = BLOCK_BYTES):
-    """(hash, first, number, nth, places) of each posted run: it is the ``nth`` with its hash, from 0; the first one of several has all their places."""
+def postings(text: str, least: int = BLOCK_BYTES) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(hashes, first places, numbers of units, kinds) of the posted runs of a text.
+
+    A run that the text has once more is posted under the hash of its next occurrence too (kind AGAIN), so that a copy's
+    runs meet those at the same place; under its own hash it then only asks (kind ASKS).
+    """
     bodies, _ = bodies_of(units(text))
     if not bodies:
-        return
+        return [], [], [], []
     first, number = shortest_runs(np.array([len(b) - b.count(b" ") for b in bodies]), least)
     if not first:
-        yield run_hash(bodies, WHOLE), 0, len(bodies), 0, None
-        return
-    found = [run_hash(bodies[a : a + n]) for a, n in zip(first, number, strict=True)]
-    places: dict[int, list[int]] = {}
-    nth = []
-    for h, a in zip(found, first, strict=True):
-        own = places.setdefault(h, [])
-        nth.append(len(own))
-        own.append(a)
-    for h, a, n, k in zip(found, first, number, nth, strict=True):
-        yield h, a, n, k, places[h] if not k and len(places[h]) > 1 else None
+        return [run_hash(bodies, WHOLE)], [0], [len(bodies)], [OWNS]
+    hashes = [run_hash(bodies[a : a + n]) for a, n in zip(first, number, strict=True)]
+    kinds = [OWNS] * len(hashes)
+    if len(set(hashes)) < len(hashes):
+        times: dict[int, int] = {}
+        for k, h in enumerate(hashes[:]):
+            nth = times[h] = times.get(h, -1) + 1
+            if nth:
+                kinds[k] = ASKS
+                hashes.append(_signed(xxh64_intdigest(h.to_bytes(8, "little", signed=True), nth)))
+                first.append(first[k])
+                number.append(number[k])
+                kinds.append(AGAIN)
+    return hashes, first, number, kinds
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -178,11 +190,10 @@ def align(here: list[int], there: list[int], number: list[int]) -> list[int]:
 
 
 def _owned(posted: DataFrame) -> DataFrame:
-    """(hash, owner, owner_first, owner_places, n, latest) of each posted hash; the places are null where there is one."""
+    """(hash, owner, owner_first, n, latest) of each posted hash."""
     return posted.groupBy("hash").agg(
-        F.min("doc_id").alias("owner"),
-        F.expr("min_by(first, doc_id) filter (where nth = 0)").alias("owner_first"),
-        F.expr("min_by(places, doc_id) filter (where nth = 0)").alias("owner_places"),
+        F.min(F.when(F.col("kind") < ASKS, F.col("doc_id"))).alias("owner"),
+        F.min_by("first", F.when(F.col("kind") < ASKS, F.col("doc_id"))).alias("owner_first"),
         F.max("doc_id").alias("latest"),
         F.count(F.lit(1)).alias("n"),
     )
@@ -192,19 +203,25 @@ def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, owner, first, number, hash, block) of every run that a document shares with the earlier ``owner``: block -1 if the alignment of the two holds it."""
 
     def post(batches):
-        names = ["hash", "first", "number", "nth", "places", "doc_id"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
+        names = ["hash", "first", "number", "kind", "doc_id"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for ids, texts in pairs(batches):
-            rows = [(*key, i) for i, t in zip(ids, texts, strict=True) if i is not None for key in postings(t, block_bytes)]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, nth int, places array<long>, doc_id long"))
+            columns: list[list] = [[], [], [], []]
+            sizes = []
+            for i, t in zip(ids, texts, strict=True):
+                own = postings(t, block_bytes) if i is not None else ([], [], [], [])
+                sizes.append(len(own[0]))
+                for c, more in zip(columns, own, strict=True):
+                    c += more
+            owner = np.repeat(np.array([0 if i is None else i for i in ids], np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=False)), pa.array(owner)], names)
+
+    posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, kind int, doc_id long"))
     owned = stored(_owned(posted).filter("owner < latest"))
     met = (
-        join_counted(posted.drop("places"), owned.drop("latest"), "hash", posted.count(), FREQUENT)
-        .filter("doc_id > owner")  # a run that comes again meets the owner's next one, as long as it has more
-        .select("doc_id", "owner", "first", F.coalesce(F.get("owner_places", "nth"), "owner_first").alias("owner_first"), "number", "hash")
+        join_counted(posted.drop("kind"), owned.drop("latest"), "hash", posted.count(), FREQUENT)
+        .filter("doc_id > owner")
+        .select("doc_id", "owner", "first", "owner_first", "number", "hash")
     )
 
     def run(batches):
@@ -248,16 +265,22 @@ def _close(parts: list[pa.RecordBatch], last: bool):
 def without(text: str, cuts: list[tuple], least: int = BLOCK_BYTES * MOVED) -> tuple[str, int]:
     """The text without the cut runs (first, number, hash, owner, block) that it really has, and how many units went.
 
-    Runs of a block that isn't aligned (block 0 and more of an owner) go only if together they have ``least`` bytes.
+    Runs of a block that isn't aligned (block 0 and more of an owner) go only if together they have ``least`` bytes. A run
+    that came again is among the cuts under its own hash too.
     """
     parts = units(text)
     bodies, places = bodies_of(parts)
     ends = [*places[1:], len(parts)]
+    own = {run: None for run in ((c[0], c[1]) for c in cuts)}
+    for first, number in own:
+        run = bodies[first : first + number]
+        if len(run) == number:
+            own[first, number] = (run_hash(run), run_hash(run, WHOLE) if number == len(bodies) else None)
+    sound = {(first, number) for first, number, hash_, *_ in cuts if own[first, number] and hash_ in own[first, number]}
     gone: set[int] = set()
     moved: dict[tuple, set[int]] = {}
-    for first, number, hash_, owner, block in cuts:
-        own = bodies[first : first + number]
-        if len(own) == number and hash_ in (run_hash(own), run_hash(own, WHOLE) if number == len(bodies) else None):
+    for first, number, _, owner, block in cuts:
+        if (first, number) in sound:
             (gone if block < 0 else moved.setdefault((owner, block), set())).update(range(first, first + number))
     for held in moved.values():
         if sum(len(bodies[k]) - bodies[k].count(b" ") for k in held) >= least:
@@ -292,8 +315,11 @@ def dedup_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, removed: str |
         for batch in batches:
             texts, cuts = batch.column(place).to_pylist(), batch.column(width)
             gone = [0] * len(texts)
-            for k in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)):
-                texts[k], gone[k] = without(texts[k] or "", [tuple(c.values()) for c in cuts[int(k)].as_py()], moved_bytes)
+            fields = [c.to_pylist() for c in cuts.flatten().flatten()]
+            sizes = pc.fill_null(pc.list_value_length(cuts), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            for k in np.flatnonzero(sizes).tolist():
+                texts[k], gone[k] = without(texts[k] or "", list(zip(*(f[ends[k] - sizes[k] : ends[k]] for f in fields), strict=True)), moved_bytes)
             columns = list(batch.columns[:width])
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns + ([] if removed is None else [pa.array(gone, pa.int64())]), schema.names)
