@@ -54,14 +54,37 @@ def bad_groups(toas: DataFrame, rules: DataFrame, flags: tuple[str, ...] = ("fe"
     return toas.join(hit.select("psr", "toa_id").distinct(), ["psr", "toa_id"], "left_semi")
 
 
+#: Characters of the pieces by which names and parts of names meet.
+PIECE = 4
+
+
+def containing(names: DataFrame, entries: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(psr, pattern, name): the names (psr, name) that each entry (psr, pattern) is a part of; both are distinct.
+
+    Names are listed by their pieces of a few characters, and an entry looks only in the list of that piece of its own
+    which fewest names have: so entries and names meet by keys, and no entry is held against all names of its source.
+    Entries shorter than a piece, which most names would hold, are looked for in all names of their source.
+    """
+    pieces = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - F.lit(piece - 1)), lambda at: F.substr(F.col(c), at, F.lit(piece))))).alias("piece")
+    listed = names.filter(F.length("name") >= piece).select("psr", "name", pieces("name"))
+    length = listed.groupBy("psr", "piece").agg(F.count(F.lit(1)).alias("n"))
+    asked = entries.filter(F.length("pattern") >= piece).select("psr", "pattern", pieces("pattern")).join(length, ["psr", "piece"], "left")
+    rarest = asked.groupBy("psr", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
+    found = listed.join(rarest.select("psr", "pattern", "least.piece"), ["psr", "piece"])
+    short = names.join(entries.filter(F.length("pattern") < piece).select("psr", "pattern"), "psr")
+    part = F.col("name").contains(F.col("pattern"))
+    return found.filter(part).select("psr", "pattern", "name").union(short.filter(part).select("psr", "pattern", "name"))
+
+
 def bad_files(toas: DataFrame, entries: DataFrame) -> DataFrame:
     """For each entry (psr, pattern): how many distinct files contain it, and the file where it is one; else nothing is cut."""
     names = toas.select("psr", "name", "cut").groupBy("psr", "name").agg(F.count(F.lit(1)).alias("n"), F.count("cut").alias("n_cut"))
-    met = entries.join(names, "psr", "left").filter(F.col("name").isNull() | F.col("name").contains(F.col("pattern")))
-    per = met.groupBy("psr", "pattern").agg(F.count("name").alias("files"), F.min("name").alias("name"), F.sum("n").alias("n_toas"), F.sum("n_cut").alias("n_cut"))
-    full = entries.join(per, ["psr", "pattern"], "left").withColumn("files", F.coalesce("files", F.lit(0)))
-    one = F.col("files") == 1
-    return full.select("psr", "pattern", "files", F.when(one, F.col("name")).alias("name"), F.when(~one, "not one file").when(F.col("n_toas") == F.col("n_cut"), "redundant").otherwise("cut").alias("status"))
+    met = containing(names.select("psr", "name"), entries.select("psr", "pattern").distinct())
+    per = met.groupBy("psr", "pattern").agg(F.count("name").alias("files"), F.min("name").alias("name"))
+    one = per.filter("files = 1").join(names, ["psr", "name"]).select("psr", "pattern", "n", "n_cut")
+    full = entries.join(per, ["psr", "pattern"], "left").join(one, ["psr", "pattern"], "left").withColumn("files", F.coalesce("files", F.lit(0)))
+    is_one = F.col("files") == 1
+    return full.select("psr", "pattern", "files", F.when(is_one, F.col("name")).alias("name"), F.when(~is_one, "not one file").when(F.col("n") == F.col("n_cut"), "redundant").otherwise("cut").alias("status"))
 
 
 def cut_bad_files(toas: DataFrame, entries: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsewright.operators import scan
+from pulsewright.operators import cuts, scan
 from pulsewright.operators.settle import settled
 
 
@@ -63,8 +63,8 @@ def listed_receivers(toas: DataFrame, listed: DataFrame, most_files: int = 3) ->
 
 def unlisted(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """Files (psr, name) that no pattern (psr, pattern) is a part of."""
-    p = patterns.select(F.col("psr").alias("p_psr"), "pattern")
-    return files.join(p, (F.col("psr") == F.col("p_psr")) & F.col("name").contains(F.col("pattern")), "left_anti")
+    met = cuts.containing(files.select("psr", "name").distinct(), patterns.select("psr", "pattern").distinct())
+    return files.join(met.select("psr", "name"), ["psr", "name"], "left_anti")
 
 
 def reduced_entries(entries: DataFrame, files: DataFrame) -> DataFrame:

@@ -86,3 +86,24 @@ def test_quantiles_are_exact(spark, stretches, few):
     got = {r.k: (r.n, r.q) for r in scan.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v", shares, stretches, few).collect()}
     want = spark.createDataFrame([r for r in rows if r[1] is not None and r[1] == r[1]], "k string, v double").groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(*map(F.lit, shares))).alias("q"))
     assert got == {r.k: (r.n, r.q) for r in want.collect()}
+
+
+def test_names_that_hold_an_entry(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab_é") for _ in range(n))
+    names = sorted({(p, word(rng.randrange(0, 14))) for p in "PQ" for _ in range(120)})
+    entries = sorted({(p, word(rng.randrange(0, 7))) for p in "PQR" for _ in range(60)} | {("P", ""), ("Q", "nowhere")})
+    got = cuts.containing(spark.createDataFrame(names, "psr string, name string"), spark.createDataFrame(entries, "psr string, pattern string"))
+    rows = [tuple(r) for r in got.collect()]
+    want = {(p, e, n) for p, e in entries for q, n in names if p == q and e in n}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_many_entries_meet_many_names_by_keys(spark):
+    """Each of 20,000 entries of one source names one of its 100,000 files: nested, that would be two milliards of comparisons."""
+    psr = F.format_string("P%d", F.col("id") % 1)
+    names = spark.range(100_000).select(psr.alias("psr"), F.format_string("file_%06d.x.nb.tim", "id").alias("name"))
+    entries = spark.range(0, 100_000, 5).select(psr.alias("psr"), F.format_string("_%06d.", "id").alias("pattern"))
+    got = cuts.containing(names, entries)
+    assert got.count() == 20_000
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
