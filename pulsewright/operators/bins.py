@@ -171,10 +171,7 @@ def epoch_counts(times: DataFrame, width: float = 6.5) -> DataFrame:
 def _parted(times: DataFrame, bins: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
     """Both with ``part``: stretches of times and bins so far apart that nothing in one can reach the other."""
     both = times.select("psr", F.col("mjd").alias("low"), F.col("mjd").alias("high")).union(bins.select("psr", "low", "high")).distinct()
-    w = Window.partitionBy("psr").orderBy("low", "high")
-    reach = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    parts = both.withColumn("new", F.when(F.col("low") - reach > gap, 1).otherwise(0)).withColumn("part", F.sum("new").over(w)).drop("new")
-    parts = settled(parts)
+    parts = settled(scan.stretched(both, ["psr"], gap))
     of_time = times.join(parts.filter("low = high").select("psr", F.col("low").alias("mjd"), "part"), ["psr", "mjd"])
     return of_time, bins.join(parts, ["psr", "low", "high"])
 

@@ -59,6 +59,21 @@ def sessions(times: DataFrame, keys: list[str], gap: float | Column, days: float
     return own.join(carried, [*keys, PART]).select(*[c for c in times.columns if c != name], (F.col("scan_ahead") + F.col(LOCAL)).alias(name))
 
 
+def stretched(spans: DataFrame, keys: list[str], gap: float, days: float = DAYS, name: str = "part") -> DataFrame:
+    """``spans`` (keys, low, high) numbered by stretches: a new one where a span begins more than ``gap`` behind all before it."""
+    w = Window.partitionBy(*keys, PART).orderBy("low", "high")
+    line = Window.partitionBy(*keys).orderBy(PART)
+    own = spans.withColumn(PART, of_days("low", days))
+    own = own.withColumn(LOCAL, F.max("high").over(w.rowsBetween(*BEFORE_ALL)))
+    tops = own.groupBy(*keys, PART).agg(F.max("high").alias("scan_top"))
+    reach = tops.select(*keys, PART, F.max("scan_top").over(line.rowsBetween(*BEFORE_ALL)).alias("scan_ahead"))
+    met = own.join(reach, [*keys, PART]).withColumn(LOCAL, F.when(F.col("low") - F.greatest(LOCAL, "scan_ahead") > gap, 1).otherwise(0)).drop("scan_ahead")
+    met = settled(met.withColumn(LOCAL, F.sum(LOCAL).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    breaks = met.groupBy(*keys, PART).agg(F.max(LOCAL).alias("scan_breaks"))
+    handed = breaks.select(*keys, PART, F.coalesce(F.sum("scan_breaks").over(line.rowsBetween(*BEFORE_ALL)), F.lit(0)).alias("scan_ahead"))
+    return met.join(handed, [*keys, PART]).select(*spans.columns, (F.col("scan_ahead") + F.col(LOCAL)).alias(name))
+
+
 def beside(points: DataFrame, marks: DataFrame, days: float = DAYS) -> DataFrame:
     """Each point (psr, mjd) with ``before`` and ``behind``: the marks (psr, mjd, mark) last not after it and first not before it.
 

@@ -47,6 +47,17 @@ def test_one_source_with_all_rows_is_many_tasks(spark):
     assert scan.sessions(t, ["psr"], 0.1).agg(F.max("grp")).first()[0] == 4000
 
 
+@pytest.mark.parametrize("days", [2.0, 500.0])
+def test_stretches_of_spans_do_not_depend_on_the_cut(times, days):
+    spans = times.select("psr", F.col("mjd").alias("low"), (F.col("mjd") + F.when(F.col("id") % 9 == 0, 12.0).otherwise(0.0)).alias("high")).distinct()
+    w = Window.partitionBy("psr").orderBy("low", "high")
+    reach = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    want = spans.withColumn("new", F.when(F.col("low") - reach > 0.5, 1).otherwise(0)).withColumn("part", F.sum("new").over(w))
+    got = scan.stretched(spans, ["psr"], 0.5, days)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.select(*got.columns).collect())
+    assert got.filter("psr = 'A'").agg(F.max("part")).first()[0] > 3
+
+
 @pytest.mark.parametrize("days", [0.5, 20.0])
 def test_nearest_marks_do_not_depend_on_the_stretches(spark, times, monkeypatch, days):
     monkeypatch.setattr(scan, "DAYS", days)
