@@ -40,7 +40,8 @@ MOVED = 4
 ENDS = ("\n", ". ", "! ", "? ", "。", "！", "？")
 AT_ENDS = re.compile("|".join(f"(?<={re.escape(e)})" for e in ENDS))
 WHOLE, PART = 1, 0
-OWNS, AGAIN, ASKS = 0, 1, 2
+#: Bits of a posting's number that count units; those above tell which occurrence of the run it is.
+NTH = 32
 #: A hash with at least this share of all postings is frequent: there are at most 1 / FREQUENT of them, 24 bytes each.
 FREQUENT = 1e-5
 
@@ -88,31 +89,31 @@ def shortest_runs(sizes: np.ndarray, least: int) -> tuple[list[int], list[int]]:
     return first.tolist(), (end - first).tolist()
 
 
-def postings(text: str, least: int = BLOCK_BYTES) -> tuple[list[int], list[int], list[int], list[int]]:
-    """(hashes, first places, numbers of units, kinds) of the posted runs of a text.
+def again(hash_: int, nth: int) -> int:
+    """The hash of a run that its text has ``nth`` times before."""
+    return _signed(xxh64_intdigest(hash_.to_bytes(8, "little", signed=True), nth)) if nth else hash_
 
-    A run that the text has once more is posted under the hash of its next occurrence too (kind AGAIN), so that a copy's
-    runs meet those at the same place; under its own hash it then only asks (kind ASKS).
+
+def postings(text: str, least: int = BLOCK_BYTES) -> tuple[list[int], list[int], list[int]]:
+    """(hashes, first places, numbers) of the posted runs of a text; a number holds how many units, and above NTH bits how many such runs come before.
+
+    A run that the text has again is posted under the hash of that occurrence, so that a copy's runs meet those at the same place.
     """
     bodies, _ = bodies_of(units(text))
     if not bodies:
-        return [], [], [], []
+        return [], [], []
     first, number = shortest_runs(np.array([len(b) - b.count(b" ") for b in bodies]), least)
     if not first:
-        return [run_hash(bodies, WHOLE)], [0], [len(bodies)], [OWNS]
+        return [run_hash(bodies, WHOLE)], [0], [len(bodies)]
     hashes = [run_hash(bodies[a : a + n]) for a, n in zip(first, number, strict=True)]
-    kinds = [OWNS] * len(hashes)
     if len(set(hashes)) < len(hashes):
         times: dict[int, int] = {}
-        for k, h in enumerate(hashes[:]):
+        for k, h in enumerate(hashes):
             nth = times[h] = times.get(h, -1) + 1
             if nth:
-                kinds[k] = ASKS
-                hashes.append(_signed(xxh64_intdigest(h.to_bytes(8, "little", signed=True), nth)))
-                first.append(first[k])
-                number.append(number[k])
-                kinds.append(AGAIN)
-    return hashes, first, number, kinds
+                hashes[k] = again(h, nth)
+                number[k] |= nth << NTH
+    return hashes, first, number
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -191,35 +192,29 @@ def align(here: list[int], there: list[int], number: list[int]) -> list[int]:
 
 def _owned(posted: DataFrame) -> DataFrame:
     """(hash, owner, owner_first, n, latest) of each posted hash."""
-    return posted.groupBy("hash").agg(
-        F.min(F.when(F.col("kind") < ASKS, F.col("doc_id"))).alias("owner"),
-        F.min_by("first", F.when(F.col("kind") < ASKS, F.col("doc_id"))).alias("owner_first"),
-        F.max("doc_id").alias("latest"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    return posted.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.min_by("first", "doc_id").alias("owner_first"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("n"))
 
 
 def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, owner, first, number, hash, block) of every run that a document shares with the earlier ``owner``: block -1 if the alignment of the two holds it."""
 
     def post(batches):
-        names = ["hash", "first", "number", "kind", "doc_id"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        names = ["hash", "first", "number", "doc_id"]
         for ids, texts in pairs(batches):
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], []]
             sizes = []
             for i, t in zip(ids, texts, strict=True):
-                own = postings(t, block_bytes) if i is not None else ([], [], [], [])
+                own = postings(t, block_bytes) if i is not None else ([], [], [])
                 sizes.append(len(own[0]))
                 for c, more in zip(columns, own, strict=True):
                     c += more
             owner = np.repeat(np.array([0 if i is None else i for i in ids], np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=False)), pa.array(owner)], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(owner)], names)
 
-    posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, kind int, doc_id long"))
+    posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, doc_id long"))
     owned = stored(_owned(posted).filter("owner < latest"))
     met = (
-        join_counted(posted.drop("kind"), owned.drop("latest"), "hash", posted.count(), FREQUENT)
+        join_counted(posted, owned.drop("latest"), "hash", posted.count(), FREQUENT)
         .filter("doc_id > owner")
         .select("doc_id", "owner", "first", "owner_first", "number", "hash")
     )
@@ -252,6 +247,7 @@ def _close(parts: list[pa.RecordBatch], last: bool):
         bounds = bounds[:-1]
     done = table.slice(0, int(bounds[-1])).combine_chunks()
     here, there, number = (done.column(k).to_numpy() for k in (2, 3, 4))
+    number = number & (1 << NTH) - 1
     block = np.full(len(done), -1, np.int32)
     if len(done):  # where both documents go on side by side throughout, all of it is one aligned block
         side, starts = there - here, bounds[:-1]
@@ -265,26 +261,35 @@ def _close(parts: list[pa.RecordBatch], last: bool):
 def without(text: str, cuts: list[tuple], least: int = BLOCK_BYTES * MOVED) -> tuple[str, int]:
     """The text without the cut runs (first, number, hash, owner, block) that it really has, and how many units went.
 
-    Runs of a block that isn't aligned (block 0 and more of an owner) go only if together they have ``least`` bytes. A run
-    that came again is among the cuts under its own hash too.
+    Runs of a block that isn't aligned (block 0 and more of an owner) go only if together they have ``least`` bytes. Of
+    what goes, the text's own repeats go with it, if as long.
     """
     parts = units(text)
     bodies, places = bodies_of(parts)
     ends = [*places[1:], len(parts)]
-    own = {run: None for run in ((c[0], c[1]) for c in cuts)}
-    for first, number in own:
-        run = bodies[first : first + number]
-        if len(run) == number:
-            own[first, number] = (run_hash(run), run_hash(run, WHOLE) if number == len(bodies) else None)
-    sound = {(first, number) for first, number, hash_, *_ in cuts if own[first, number] and hash_ in own[first, number]}
     gone: set[int] = set()
     moved: dict[tuple, set[int]] = {}
-    for first, number, _, owner, block in cuts:
-        if (first, number) in sound:
+    for first, number, hash_, owner, block in cuts:
+        nth, number = number >> NTH, number & (1 << NTH) - 1
+        own = bodies[first : first + number]
+        if len(own) == number and (again(run_hash(own), nth) == hash_ or number == len(bodies) and run_hash(own, WHOLE) == hash_):
             (gone if block < 0 else moved.setdefault((owner, block), set())).update(range(first, first + number))
+    size = lambda held: sum(len(bodies[k]) - bodies[k].count(b" ") for k in held)
     for held in moved.values():
-        if sum(len(bodies[k]) - bodies[k].count(b" ") for k in held) >= least:
+        if size(held) >= least:
             gone |= held
+    if len(gone) < len(bodies):
+        once = {bodies[k]: k for k in sorted(gone, reverse=True)}
+        here = 0
+        while here < len(bodies):
+            n, there = 0, once.get(bodies[here], -1) if here not in gone else -1
+            while there >= 0 and here + n < len(bodies) and here + n not in gone and there + n in gone and bodies[here + n] == bodies[there + n] and there + n < here:
+                n += 1
+            if n and size(range(here, here + n)) >= least:
+                gone.update(range(here, here + n))
+            else:
+                n = 0
+            here += max(1, n)
     lost = {k for g in gone for k in range(places[g], ends[g])}
     if len(gone) == len(bodies):
         lost = set(range(len(parts)))

@@ -77,11 +77,10 @@ def brute(texts, least=32, moved=128):
         for a, n in sorted(runs[i]):
             nth = times[key(a, n)] = times.get(key(a, n), -1) + 1
             mine.append((key(a, n), nth, a))
-            for k in {0, nth}:  # a run that comes again also meets those that come again elsewhere
-                owner = owners.get((key(a, n), k))
-                if owner:
-                    met.setdefault(owner[0], []).append((a, owner[1], n))
-                    looked |= set(range(a, a + n))
+            owner = owners.get((key(a, n), nth))  # a run that comes again meets those that come again elsewhere
+            if owner:
+                met.setdefault(owner[0], []).append((a, owner[1], n))
+                looked |= set(range(a, a + n))
         gone = set()
         for own in met.values():
             kept = set(kept_by_difflib_like(sorted({(h + k, t + k) for h, t, n in own for k in range(n)})))
@@ -101,6 +100,19 @@ def brute(texts, least=32, moved=128):
                     block.append(k)
         for run, nth, a in mine:
             owners.setdefault((run, nth), (i, a))
+        started = set(gone)  # repeats within the text of what has gone
+        k = 0
+        while k < len(cut[i]):
+            first = next((g for g in sorted(started) if cut[i][g] == cut[i][k]), None)
+            n = 0
+            if k not in started and first is not None:
+                while k + n < len(cut[i]) and k + n not in started and first + n < k and first + n in gone and cut[i][k + n] == cut[i][first + n]:
+                    n += 1
+            if n and sum(sizes[i][k : k + n]) >= moved:
+                gone |= set(range(k, k + n))
+                k += n
+            else:
+                k += 1
         left = lambda dropped, i=i: [x for k, w in enumerate(cut[i]) if k not in dropped for x in w]
         out[i], plain[i] = left(gone), left(looked)
     return out, plain
