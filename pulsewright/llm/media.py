@@ -213,7 +213,10 @@ def contents(where: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Every row of ``docs`` with its payload's columns, those of its header and of its content, and where it is.
 
-    The header's columns come from a read of the header's range, the content's from a read of the whole range.
+    The header's columns come from a read of the header's range, the content's from a read of the whole range. A null text
+    counts as empty, and an empty one has a payload of 64 zero bytes. Equal texts share one stored payload, whatever their
+    ids; repeated rows and null ids are returned each on their own. An empty table gives an empty result, other columns are
+    not read.
     """
     folder = folder or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     rows = store(docs, folder)

@@ -424,7 +424,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, field: SkipChainField) -> DataFrame:
-    """Every row of ``docs`` with all its columns, its text without personal data. A null text stays null."""
+    """Every row of ``docs`` with all its columns, its text without personal data.
+
+    A null text stays null and an empty one empty; null and repeated ids make no difference, rows that repeat are redacted
+    alike. An empty table gives an empty result; other columns may have any name.
+    """
     place = docs.columns.index("text")
 
     def run(batches):

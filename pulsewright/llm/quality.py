@@ -287,7 +287,11 @@ def judge(docs: DataFrame, field: LineField, least_share: float = 0.5) -> DataFr
 
 
 def keep_good(docs: DataFrame, field: LineField, least_share: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns; the judgement never leaves the row's task."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns; the judgement never leaves the row's task.
+
+    Null and empty texts have no words, fail the counting rules and go; null and repeated ids make no difference, and rows
+    that repeat stay or go together. An empty table gives an empty result; other columns may have any name.
+    """
     place = docs.columns.index("text")
 
     def run(batches):
