@@ -40,6 +40,8 @@ MOVED = 4
 ENDS = ("\n", ". ", "! ", "? ", "。", "！", "？")
 AT_ENDS = re.compile("|".join(f"(?<={re.escape(e)})" for e in ENDS))
 WHOLE, PART = 1, 0
+#: Characters of texts whose postings are held at a time.
+SLICE = 1_000_000
 #: Bits of a posting's number that count units; those above tell which occurrence of the run it is.
 NTH = 32
 #: A hash with at least this share of all postings is frequent: there are at most 1 / FREQUENT of them, 24 bytes each.
@@ -200,7 +202,7 @@ def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     def post(batches):
         names = ["hash", "first", "number", "doc_id"]
-        for ids, texts in pairs(batches):
+        for ids, texts in pairs(batches, SLICE):
             columns: list[list] = [[], [], []]
             sizes = []
             for i, t in zip(ids, texts, strict=True):
@@ -210,6 +212,7 @@ def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     c += more
             owner = np.repeat(np.array([0 if i is None else i for i in ids], np.int64), sizes)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(owner)], names)
+        pa.default_memory_pool().release_unused()  # workers go on to other stages
 
     posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, doc_id long"))
     owned = stored(_owned(posted).filter("owner < latest"))
@@ -328,5 +331,6 @@ def dedup_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, removed: str |
             columns = list(batch.columns[:width])
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns + ([] if removed is None else [pa.array(gone, pa.int64())]), schema.names)
+        pa.default_memory_pool().release_unused()  # workers go on to other stages
 
     return joined.mapInArrow(apply, schema)
