@@ -31,8 +31,12 @@ def chi2_tail(chi2: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def f_test(chi2_1: Column, dof_1: Column, chi2_2: Column, dof_2: Column) -> Column:
-    """p-value that the larger model's gain is chance; null if it isn't better or has no fewer degrees of freedom."""
-    f = ((chi2_1 - chi2_2) / (dof_1 - dof_2)) / (chi2_2 / dof_2)
+    """p-value that the larger model's gain is chance; null if it isn't better or has no fewer degrees of freedom.
+
+    A larger model that leaves nothing (no chi-squared) has a gain that isn't chance: 0.
+    """
+    left = chi2_2 / F.nullif(dof_2, F.lit(0))
+    f = F.coalesce(((chi2_1 - chi2_2) / F.nullif(dof_1 - dof_2, F.lit(0))) / F.nullif(left, F.lit(0.0)), F.lit(float("inf")))
     better = (chi2_1 > chi2_2) & (dof_1 > dof_2) & (dof_2 > 0)
     return F.when(better, f_tail(F.when(better, f).otherwise(1.0), F.when(better, dof_1 - dof_2).otherwise(1.0), F.when(better, dof_2).otherwise(1.0)))
 

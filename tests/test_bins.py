@@ -161,6 +161,11 @@ def test_expansion_by_stretches_is_one_pass_over_each_source(spark):
     assert got == sorted(tuple(x) for x in want)
 
 
+def test_f_test_of_a_model_that_leaves_nothing(spark):
+    df = spark.createDataFrame([(3.0, 100.0, 0.0, 99.0), (0.0, 100.0, 0.0, 99.0), (3.0, 100.0, 2.0, 100.0)], "a double, n double, b double, m double")
+    assert [r.p for r in df.select(ftests.f_test(F.col("a"), F.col("n"), F.col("b"), F.col("m")).alias("p")).collect()] == [0.0, None, None]
+
+
 def test_f_test_gives_nothing_when_not_better(spark):
     df = spark.createDataFrame([(10.0, 9.0, 5.0, 8.0), (5.0, 9.0, 10.0, 8.0), (10.0, 8.0, 5.0, 8.0)], "a double, n double, b double, m double")
     got = [r.p for r in df.select(ftests.f_test(F.col("a"), F.col("n"), F.col("b"), F.col("m")).alias("p")).collect()]
