@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsewright.functions.scalar import red_noise_amplitude
 from pulsewright.operators import scan
+from pulsewright.operators.settle import settled
 
 
 def after_burn(chains: DataFrame, burn: float = 0.25, parts: int = 1024) -> DataFrame:
@@ -181,6 +182,22 @@ def seeded_draw(seed: int, *keys: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), *keys)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+#: Rows that a task makes by repeating rows, and repeats of one row that are made at once.
+REPEATED, SLICE = 1 << 20, 1 << 12
+
+
 def start_values(now: DataFrame, best: DataFrame, lo: Column, hi: Column, seed: int = 0) -> DataFrame:
-    """For each parameter the earlier run's best value, else a seeded draw from its prior between ``lo`` and ``hi``."""
-    return now.join(best.select("psr", "name", F.col("value").alias("best")), ["psr", "name"], "left").select("psr", "name", F.coalesce("best", lo + seeded_draw(seed, "psr", "name") * (hi - lo)).alias("start"), F.col("best").isNotNull().alias("from_chain"))
+    """For each parameter the earlier run's best value, else a seeded draw from its prior between ``lo`` and ``hi``.
+
+    Rows with the same source and name meet each other, as in any join: so many equal rows are made, where names repeat,
+    that they are counted before the join and dealt out to tasks by how many they become.
+    """
+    n = F.count(F.lit(1))
+    held = best.groupBy("psr", "name", F.col("value").alias("best")).agg(n.alias("m"))
+    asked = now.withColumn("draw", lo + seeded_draw(seed, "psr", "name") * (hi - lo)).groupBy("psr", "name", "draw").agg(n.alias("n"))
+    met = asked.join(held, ["psr", "name"], "left").withColumn("rows", F.col("n") * F.coalesce("m", F.lit(1)))
+    met = settled(met.select("psr", "name", F.coalesce("best", "draw").alias("start"), F.col("best").isNotNull().alias("from_chain"), "rows"))
+    total = met.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()["rows"]
+    slices = met.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(SLICE).cast("long"))))
+    dealt = slices.repartition(1 + total // REPEATED)
+    return dealt.select("psr", "name", "start", "from_chain", F.explode(F.sequence(F.lit(1), F.least(F.lit(SLICE), F.col("rows") - F.col("first")).cast("int"))).alias("again")).drop("again")

@@ -145,6 +145,18 @@ def test_draws_depend_on_the_seed_and_the_row_alone(spark):
     assert one == draw(n.repartition(7), 1) and one != draw(n, 2) and all(2 <= v < 4 for v in one.values()) and 2.9 < sum(one.values()) / 400 < 3.1
 
 
+def test_start_values_of_repeated_names_are_dealt_out(spark):
+    n = spark.range(6000).selectExpr("'P' as psr", "if(id < 5990, 'x', concat('y', id)) as name", "cast(id as double) as value")
+    best = n.filter("name = 'x'").limit(400).selectExpr("psr", "name", "value % 2 as value").union(spark.createDataFrame([("P", "y5999", 7.0), ("P", "y5998", None)], "psr string, name string, value double"))
+    got = noise.start_values(n, best, F.lit(2.0), F.lit(4.0), 1)
+    plain = n.join(best.withColumnRenamed("value", "best"), ["psr", "name"], "left").groupBy("name", "best").count()
+    want = {(r["name"], r.best): r["count"] for r in plain.collect()}
+    have = {(r["name"], r.start if r.from_chain else None): r["count"] for r in got.groupBy("name", "start", "from_chain").count().collect()}
+    assert have == want and sum(want.values()) == 5990 * 400 + 10
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) >= 3 and max(parts) < 1_500_000
+
+
 def test_listed_receivers_and_entries(spark):
     t = spark.createDataFrame([("P", "A", f"n{k}") for k in range(5)] + [("P", "B", "n0")], "psr string, f string, name string")
     listed = spark.createDataFrame([("P", "A"), ("P", "C")], "psr string, f string")
