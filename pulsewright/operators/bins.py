@@ -82,7 +82,8 @@ def ratio_rows(toas: DataFrame, bins: DataFrame, ratio: float = 1.1, strict: boo
 
 def ratio_cut(toas: DataFrame, bins: DataFrame, ratio: float = 1.1) -> DataFrame:
     """``cut`` with dmx for uncut rows that no passing bin covers."""
-    found = members(toas.filter("cut is null"), bins)
+    toas = settled(toas)  # read twice
+    found = settled(members(toas.filter("cut is null").select("psr", "toa_id", "mjd", "freq_mhz"), bins).select("psr", "toa_id", "ord", "freq_mhz"))
     good = found.join(passing(found, ratio).select("psr", "ord"), ["psr", "ord"], "left_semi").select("psr", "toa_id").distinct().withColumn("covered", F.lit(True))
     out = toas.join(good, ["psr", "toa_id"], "left")
     return out.withColumn("cut", first_reason(F.col("cut"), reason(F.col("covered").isNull(), "dmx"))).drop("covered")
@@ -184,7 +185,9 @@ def expand(toas: DataFrame, bins: DataFrame | None, width: float, pad: float = 0
     """
     if bins is None:
         return greedy(toas, width, pad) if add_new else numbered(toas.sparkSession.createDataFrame([], "psr string, low double, high double"))
-    free = toas.join(members(toas, bins).select("psr", "toa_id").distinct(), ["psr", "toa_id"], "left_anti").select("psr", "obs", "toa_id", "mjd")
+    toas, bins = settled(toas.select("psr", "obs", "toa_id", "mjd")), settled(bins)
+    covered = members(toas.select("psr", "mjd").distinct(), bins).select("psr", "mjd").distinct()
+    free = settled(toas.join(settled(covered), ["psr", "mjd"], "left_anti"))
 
     def run(times: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         psr = (times if len(times) else old)["psr"].iloc[0]
@@ -332,10 +335,11 @@ def early_bins(toas: DataFrame, old_be: str, new_be: str, low_f: str, high_f: st
     """Bins of the older backend's era: sessions of its two receivers paired, then widened for rows they miss."""
     from pulsewright.operators.stats import group_dates
 
+    toas = settled(toas.select("psr", "obs", "toa_id", "mjd", "be", "f"))
     end = toas.filter(F.col("be") == new_be).groupBy("psr").agg(F.min("mjd").alias("end"))
-    era = toas.filter(F.col("be") == old_be).join(end, "psr").filter("mjd < end").drop("end")
+    era = settled(toas.filter(F.col("be") == old_be).join(end, "psr").filter("mjd < end").drop("end"))
     low, high = (group_dates(era.filter(F.col("f") == f), ["psr"], 0.1, 12) for f in (low_f, high_f))
-    made = paired_bins(mutual_pairs(low, high, width), 0.1, pad)
+    made = settled(paired_bins(mutual_pairs(settled(low), settled(high), width), 0.1, pad))
     return expand(era, made, width, pad)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsewright.functions import scalar
 from pulsewright.operators import bins, stats
+from pulsewright.operators.settle import settled
 from pulsewright.plans.queries_cuts import CUT, cut_toas
 from pulsewright.plans.registration import query
 from pulsewright.sources.binding import TOAS, toas
@@ -22,7 +23,7 @@ def _bins(spark, sf_dir, of=None):
     k = F.col("ord")
     low = F.lit(48600.0) + k * F.lit(7.0) + F.substring("psr", 4, 9).cast("int") * F.lit(0.25)
     high = low + F.when(k % 11 == 0, 9.5).when(k % 29 == 0, -1.0).when(k % 17 == 0, 0.001).otherwise(6.5)
-    return psr.withColumn("ord", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long")))).select("psr", "ord", low.alias("low"), high.alias("high"))
+    return settled(psr).withColumn("ord", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long")))).select("psr", "ord", low.alias("low"), high.alias("high"))
 
 
 #: Overlapping bins from the observations: weeks of each receiver-backend, padded.
@@ -77,7 +78,8 @@ def bin_ratio_passing(spark, sf_dir):
 @query(f"with {CUT}, {BINS}, met as (select t.*, ord from cut_toas t join bins b on t.psr = b.psr and low < mjd and mjd < high where cut is null), p as (select psr, ord from met group by all having max(freq_mhz) / min(freq_mhz) >= 1.1::double), c as (select distinct m.psr, m.toa_id from met m join p using (psr, ord)) "
        "select t.psr, t.toa_id, coalesce(t.cut, case when c.toa_id is null then 'dmx' end) as cut from cut_toas t left join c using (psr, toa_id)")
 def bin_ratio_cut(spark, sf_dir):
-    return bins.ratio_cut(cut_toas(spark, sf_dir), _bins(spark, sf_dir)).select("psr", "toa_id", "cut")
+    t = cut_toas(spark, sf_dir).select("psr", "toa_id", "mjd", "freq_mhz", "cut")
+    return bins.ratio_cut(t, _bins(spark, sf_dir, t)).select("psr", "toa_id", "cut")
 
 
 @query(f"with {MET} select psr, ord, round(sum(mjd / (err_us * err_us)) / sum(1.0::double / (err_us * err_us)), 5) as epoch, count(*) as n from met group by all")
@@ -116,7 +118,7 @@ def greedy_epoch_count(spark, sf_dir):
 
 @query()
 def expand_bins(spark, sf_dir):
-    t = toas(spark, sf_dir)
+    t = settled(toas(spark, sf_dir).select("psr", "obs", "toa_id", "mjd"))
     return bins.expand(t, bins.numbered(_bins(spark, sf_dir, t).filter("low < high")), 15.0, 0.05, add_new=True)
 
 
@@ -198,14 +200,18 @@ def bins_kept_or_new(spark, sf_dir):
     return bins.kept_or_new(b, _old(b))
 
 
+#: The columns that the bin setup reads.
+SET_UP = ["psr", "toa_id", "mjd", "obs", "freq_mhz", "sun_angle_rad", "cut"]
+
+
 @query()
 def dmx_setup_bins(spark, sf_dir):
-    return bins.setup(cut_toas(spark, sf_dir), most_us=3.0)[1]
+    return bins.setup(cut_toas(spark, sf_dir).select(*SET_UP), most_us=3.0)[1]
 
 
 @query()
 def dmx_setup_cuts(spark, sf_dir):
-    return bins.setup(cut_toas(spark, sf_dir), most_us=3.0)[0].select("psr", "toa_id", "cut")
+    return bins.setup(cut_toas(spark, sf_dir).select(*SET_UP), most_us=3.0)[0].select("psr", "toa_id", "cut")
 
 
 #: Bins of the whole setup but for the early era and the solar wind, said by two recursions: greedy ones, and those of windows
@@ -231,7 +237,7 @@ good as (select s.psr, s.low, s.high from sound s join live l on l.psr = s.psr a
 
 def _reduced(spark, sf_dir):
     """The setup with windows as configurations state them, and without the solar wind's splits."""
-    t = cut_toas(spark, sf_dir)
+    t = settled(cut_toas(spark, sf_dir).select(*SET_UP))
     windows = F.array(F.array(F.lit(50000.0), F.lit(50060.0), F.when(F.substring("psr", 4, 9).cast("int") % 2 == 0, 0.5).otherwise(2.5)))
     configs = t.select("psr").distinct().withColumn("custom_dmx", windows)
     return bins.setup(t, events=bins.windows_of(configs), most_us=1e9)
@@ -250,7 +256,7 @@ def dmx_setup_window_cuts(spark, sf_dir):
 @query()
 def bins_repaired(spark, sf_dir):
     """Overlapping, improper and empty bins of the whole table made sound, with bins for the times that had none."""
-    t = toas(spark, sf_dir)
+    t = settled(toas(spark, sf_dir).select("psr", "toa_id", "mjd"))
     return bins.repair(t, _bins(spark, sf_dir, t), t.select("psr").distinct().withColumn("width", F.lit(6.5)), cover=True)
 
 

@@ -118,3 +118,11 @@ def test_many_entries_meet_many_names_by_keys(spark):
     got = cuts.containing(names, entries)
     assert got.count() == 20_000
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settled_frames_are_read_by_column(spark):
+    from pulsewright.operators.settle import settled
+
+    df = settled(spark.range(10).selectExpr("id", "cast(id as string) as text"))
+    plan = df.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan.lower() and "text" not in plan and sorted(r.id for r in df.collect()) == list(range(10))
