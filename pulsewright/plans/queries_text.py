@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulsewright.operators.settle import settled
 from pulsewright.plans.queries_cuts import CUT, cut_toas
 from pulsewright.plans.registration import query
 from pulsewright.sources import text
@@ -23,7 +24,7 @@ def _lines(df, line, path="psr", number="toa_id"):
 @query(f"with {TOAS} select psr, toa_id, name, freq_mhz, obs, fe, be, chan::varchar as chan, subint::varchar as subint from toas")
 def tim_round_trip(spark, sf_dir):
     t = _flagged(spark, sf_dir).withColumn("cut", F.lit(None).cast("string"))
-    got = text.parse_tim(_lines(t, text.tim_line()))
+    got = text.parse_tim(settled(_lines(t, text.tim_line())))
     return got.select(F.col("path").alias("psr"), F.col("line_no").alias("toa_id"), "name", "freq_mhz", "obs", *[F.col("flags")[c].alias(c) for c in ("fe", "be", "chan", "subint")])
 
 
@@ -80,7 +81,7 @@ def tim_commented_rows_skipped(spark, sf_dir):
 @query(f"with {CUT} select psr, toa_id, coalesce(cut, 'none') as cut from cut_toas")
 def tim_cut_flags_kept(spark, sf_dir):
     t = _flagged(spark, sf_dir, cut_toas(spark, sf_dir))
-    got = text.parse_tim(_lines(t, text.tim_line(cut_as_comment=False)))
+    got = text.parse_tim(settled(_lines(t, text.tim_line(cut_as_comment=False))))
     return got.select(F.col("path").alias("psr"), F.col("line_no").alias("toa_id"), F.coalesce(F.try_element_at("flags", F.lit("cut")), F.lit("none")).alias("cut"))
 
 
@@ -177,11 +178,11 @@ def latest_par_by_date(spark, sf_dir):
 @query(f"with {TOAS} select '/d/' || psr || '/top.tim' as path, name, obs, toa_id as line_no from toas")
 def tim_includes(spark, sf_dir):
     """Each source's top file includes one of each receiver, which includes one of each backend."""
-    t = _flagged(spark, sf_dir).withColumn("cut", F.lit(None).cast("string"))
+    t = settled(_flagged(spark, sf_dir).select("psr", "toa_id", "name", "freq_mhz", "mjd", "err_us", "obs", "fe", "f", "flags", F.lit(None).cast("string").alias("cut")))
     folder = lambda name: F.concat(F.lit("/d/"), "psr", F.lit("/"), name, F.lit(".tim"))
     head = lambda path, to: t.select(folder(path).alias("path"), F.lit(-1).cast("long").alias("line_no"), F.concat(F.lit("INCLUDE "), to, F.lit(".tim")).alias("value")).distinct()
     own = t.select(folder(F.col("f")).alias("path"), F.col("toa_id").alias("line_no"), text.tim_line().alias("value"))
-    lines = head(F.lit("top"), F.col("fe")).union(head(F.col("fe"), F.col("f"))).union(own)
+    lines = settled(head(F.lit("top"), F.col("fe")).union(head(F.col("fe"), F.col("f"))).union(own))
     return text.parse_tim(text.follow_includes(lines)).select("path", "name", "obs", "line_no")
 
 

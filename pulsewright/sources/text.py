@@ -30,11 +30,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _flags(first: int) -> Column:
     """Map of the -key value pairs in tokens ``t`` from ``first`` on; the last one of a repeated key counts."""
-    token = lambda k: F.get("t", k)
-    key = lambda i: F.when(token(first + 2 * i).startswith("-"), F.substring(token(first + 2 * i), 2, 1_000_000)).otherwise(token(first + 2 * i))
+    tail = F.slice("t", first + 1, F.greatest(F.lit(0), F.floor((F.size("t") - first) / 2).cast("int") * 2))
+    keys = F.transform(F.filter(tail, lambda _, k: k % 2 == 0), lambda x: F.regexp_replace(x, "^-", ""))
+    values = F.filter(tail, lambda _, k: k % 2 == 1)
+    plain = F.map_from_arrays(keys, values)
+    places = F.filter(F.sequence(F.lit(1), F.size(keys)), lambda k: ~F.array_contains(F.slice(keys, k + 1, F.size(keys)), F.element_at(keys, k)))
+    last = F.map_from_arrays(F.transform(places, lambda k: F.element_at(keys, k)), F.transform(places, lambda k: F.element_at(values, k)))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    put = lambda known, i: F.map_concat(F.map_filter(known, lambda k, _: k != key(i)), F.create_map(key(i), token(first + 2 * i + 1)))
-    return F.aggregate(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("t") - first) / 2).cast("int"))), lambda i: first + 2 * i + 1 < F.size("t")), none, put)
+    return F.when(F.size(tail) == 0, none).when(F.size(F.array_distinct(keys)) == F.size(keys), plain).otherwise(last)
 
 
 def parse_tim(lines: DataFrame, extra: list[str] | None = None) -> DataFrame:
