@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsewright.operators.settle import settled
+
 
 def first_reason(*reasons: Column) -> Column:
     """The first of several nullable reasons."""
@@ -66,9 +68,11 @@ def containing(names: DataFrame, entries: DataFrame, piece: int = PIECE) -> Data
     Entries shorter than a piece, which most names would hold, are looked for in all names of their source.
     """
     pieces = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - F.lit(piece - 1)), lambda at: F.substr(F.col(c), at, F.lit(piece))))).alias("piece")
-    listed = names.filter(F.length("name") >= piece).select("psr", "name", pieces("name"))
+    wanted = settled(entries.filter(F.length("pattern") >= piece).select("psr", "pattern", pieces("pattern")))
+    # only pieces that some entry has are listed at all
+    listed = names.filter(F.length("name") >= piece).select("psr", "name", pieces("name")).join(wanted.select("psr", "piece").distinct(), ["psr", "piece"], "left_semi")
     length = listed.groupBy("psr", "piece").agg(F.count(F.lit(1)).alias("n"))
-    asked = entries.filter(F.length("pattern") >= piece).select("psr", "pattern", pieces("pattern")).join(length, ["psr", "piece"], "left")
+    asked = wanted.join(length, ["psr", "piece"], "left")
     rarest = asked.groupBy("psr", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
     found = listed.join(rarest.select("psr", "pattern", "least.piece"), ["psr", "piece"])
     short = names.join(entries.filter(F.length("pattern") < piece).select("psr", "pattern"), "psr")
@@ -220,6 +224,7 @@ def simultaneous(toas: DataFrame, keep: str, lose: str) -> DataFrame:
     """
     half = F.coalesce(F.col("bw_mhz"), F.lit(0.0)) / 2
     keys = ["psr", "day", "fe"]
+    toas = settled(toas)  # read five times
     t = toas.select("psr", F.floor("mjd").alias("day"), "fe", "toa_id", "be", "cut", (F.col("freq_mhz") - half).alias("lo"), (F.col("freq_mhz") + half).alias("hi")).filter("day is not null and fe is not null")
     a, b = t.filter(F.col("be") == keep), t.filter((F.col("be") == lose) & F.col("cut").isNull())
     mark = lambda x, y, as_: touching(x, y, keys).select("psr", "toa_id", F.lit(as_).alias("simul"))

@@ -62,27 +62,30 @@ def ignored(toas: DataFrame, configs: DataFrame, orbits: DataFrame | None = None
     epoch, and pb with pbdot or fb0) is needed for eclipses. Narrowband entries of single rows name file, channel and
     subint, wideband ones file and subint; the first row that an entry names is meant. Flags of groups are columns.
 
-    The rows are read twice, once for the names of their files alone, and shuffled once by source and file: each source's
-    rules ride beside its rows, and what is said of a file comes with the file.
+    Each source's rules ride beside its rows, and what is said of a file comes with the file, the numbers of the rows that
+    its entries mean among it. These are looked for in the files alone that have entries, so no row is sorted.
     """
+    configs = settled(configs)
     names = ["orphaned_rec", "bad_group", "mjd_start", "mjd_end", "snr_cut", "poor_febe", "prob_outlier", "bad_range", "orb_phase_range"]
-    one = configs.select("psr", (F.lower("mode") == "wb").alias("_wideband"), *[F.col(f"ignore.{n}").alias(f"_{n}") for n in names])
+    one = settled(configs.select("psr", (F.lower("mode") == "wb").alias("_wideband"), *[F.col(f"ignore.{n}").alias(f"_{n}") for n in names]))
     before = [F.col("cut")] if "cut" in toas.columns else []
-    t = toas.join(one, "psr", "left").join(_of_files(toas, configs), ["psr", "name"], "left")
+    said = settled(_of_files(toas, configs))
     wide, yes = F.coalesce("_wideband", F.lit(False)), lambda c: F.coalesce(c, F.lit(False))
     flags = [c for c in ("f", "fe", "be", "obs", "pta") if c in toas.columns]
     value = F.create_map(*[x for c in flags for x in (F.lit(c), F.col(c).cast("string"))])
     group = F.exists("_bad_group", lambda g: value[g["flag"]] == g["value"])
     inside = F.exists("_bad_range", lambda r: (r["lo"] < F.col("mjd")) & (F.col("mjd") < r["hi"]) & (r["be"].isNull() | (r["be"] == F.col("be"))))
     outlier = F.concat(F.lit("outlier"), (F.col("_prob_outlier") * 100).cast("int").cast("string"))
-    # windows within a file's rows, which stand together; only rows that an entry names are numbered among their like
     named = F.exists("_entries", lambda e: (e["subint"] == F.col("subint")) & (wide | (e["chan"] == F.col("chan"))))
-    least = lambda *keys: F.min("toa_id").over(Window.partitionBy("psr", "name", *keys))
-    t = t.withColumns({"_named": yes(named), "_first": F.when(wide, least("subint")).otherwise(least("chan", "subint")), "_first_of_all": least()})
+    rows = toas.select("psr", "name", "chan", "subint", "toa_id").join(said.filter(F.col("_averaged") | (F.size("_entries") > 0)), ["psr", "name"]).join(one.select("psr", "_wideband"), "psr", "left")
+    alike = rows.groupBy("psr", "name", "subint", F.when(~wide, F.col("chan")).alias("_of_chan")).agg(F.min("toa_id").alias("_first"), F.bool_or(yes(named)).alias("_named"))
+    firsts = alike.groupBy("psr", "name").agg(F.collect_set(F.when(F.col("_named"), F.col("_first"))).alias("_firsts"), F.min("_first").alias("_first_of_all"))
+    said = settled(said.join(firsts, ["psr", "name"], "left").select("psr", "name", "_bad_file", "_averaged", "_firsts", "_first_of_all"))
+    t = toas.join(one, "psr", "left").join(said, ["psr", "name"], "left")
     reasons = {
         "orphaned": cuts.reason(F.array_contains("_orphaned_rec", F.col("f")), "orphaned"), "badgroup": cuts.reason(group, "badgroup"), "mjd": cuts.mjd_reason(F.col("_mjd_start"), F.col("_mjd_end")), "snr": cuts.snr_reason(F.col("_snr_cut")),
         "poorfebe": cuts.reason(F.array_contains("_poor_febe", F.col("f")), "poorfebe"), "outlier": cuts.reason(F.coalesce("pout", F.lit(0.0)) > F.col("_prob_outlier"), outlier),
-        "badfile": cuts.reason(yes(F.col("_bad_file")), "badfile"), "badrange": cuts.reason(inside, "badrange"), "badtoa": cuts.reason(F.col("_named") & (F.col("toa_id") == F.col("_first")), "badtoa"),
+        "badfile": cuts.reason(yes(F.col("_bad_file")), "badfile"), "badrange": cuts.reason(inside, "badrange"), "badtoa": cuts.reason(F.array_contains("_firsts", F.col("toa_id")), "badtoa"),
         "badtoa-averaged": cuts.reason(yes(F.col("_averaged")) & (F.col("toa_id") == F.col("_first_of_all")), "badtoa-averaged"),
     }
     if "no_ppdm" in order:
@@ -146,7 +149,8 @@ def noise_to_params(chains: DataFrame, names: DataFrame, mode: str = "nb", n: in
 
 def timing_summary(toas: DataFrame) -> DataFrame:
     """(psr, item, label, value): residual statistics, span and cut shares as one long table."""
-    s = stats.residual_stats(toas.filter("cut is null"))
+    toas = settled(toas.select("psr", "f", "obs", "mjd", "resid_us", "err_us", "cut"))  # read three times
+    s = settled(stats.residual_stats(toas.filter("cut is null")))
     rms = s.select("psr", F.lit("rms").alias("item"), F.col("f").alias("label"), F.col("rms").alias("value"))
     wrms = s.select("psr", F.lit("wrms").alias("item"), F.col("f").alias("label"), F.col("wrms").alias("value"))
     years = stats.span(toas).select("psr", F.lit("years").alias("item"), F.lit("All").alias("label"), F.col("years").alias("value"))

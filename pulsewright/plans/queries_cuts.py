@@ -196,7 +196,7 @@ def cut_large_dm_residuals(spark, sf_dir):
        "m as (select psr, one as toa_id, '1' as simul from p union select psr, two, '2' from p) "
        "select psr, toa_id, simul, coalesce(cut, case when simul = '2' then 'simul' end) as cut from cut_toas left join m using (psr, toa_id)")
 def simultaneous_overlap(spark, sf_dir):
-    return cuts.simultaneous(cut_toas(spark, sf_dir), "F", "O").select("psr", "toa_id", "simul", "cut")
+    return cuts.simultaneous(cut_toas(spark, sf_dir).select("psr", "toa_id", "mjd", "fe", "be", "freq_mhz", "bw_mhz", "cut"), "F", "O").select("psr", "toa_id", "simul", "cut")
 
 
 @query(f"with {TOAS} select distinct psr, regexp_replace(f, '_(F|O)', '') as receiver from toas")

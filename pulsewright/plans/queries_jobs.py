@@ -21,7 +21,8 @@ from pulsewright.sources.binding import params as model_params
 def job_curate(spark, sf_dir):
     inside = (F.col("mjd") > LO) & (F.col("mjd") < HI) & (F.col("be") == "F")
     rules = [cuts.mjd_reason(F.lit(START), F.lit(END)), cuts.snr_reason(SNR), cuts.outlier_reason(0.9), cuts.reason(inside, "badrange")]
-    return jobs.curate(toas(spark, sf_dir), rules, "F", "O").select("psr", "toa_id", "cut")
+    t = toas(spark, sf_dir).select("psr", "toa_id", "mjd", "fe", "be", "freq_mhz", "bw_mhz", "snr", "pout")
+    return jobs.curate(t, rules, "F", "O").select("psr", "toa_id", "cut")
 
 
 DESIGN = {"t": "(mjd - 50500) / 1000", "one": "1.0", "inv": "1e6 / (freq_mhz * freq_mhz)"}
@@ -29,7 +30,7 @@ DESIGN = {"t": "(mjd - 50500) / 1000", "one": "1.0", "inv": "1e6 / (freq_mhz * f
 
 def _excision(spark, sf_dir):
     columns = {n: F.expr(e).cast("double") for n, e in DESIGN.items()}
-    t = toas(spark, sf_dir).withColumn("cut", F.lit(None).cast("string"))
+    t = toas(spark, sf_dir).select("psr", "toa_id", "name", "mjd", "obs", "freq_mhz", "sun_angle_rad", "pout", "resid_us", "err_us", F.lit(None).cast("string").alias("cut"))
     return jobs.outlier_excision(t, columns, prob=0.95, threshold=1e-3, most_us=3.0)
 
 
@@ -99,6 +100,8 @@ def auto_excised_archives(spark, sf_dir):
     return cuts.excised(cut_toas(spark, sf_dir), ["badrange", "outlier90"], paths)
 
 
+#: The columns that configurations ask for.
+CURATED = ["psr", "toa_id", "name", "mjd", "f", "fe", "be", "obs", "pta", "freq_mhz", "bw_mhz", "snr", "pout", "chan", "subint", "pp_dm"]
 K = "(psr[4:])::int"
 SET = f"""{TOAS}, g as (select *, {K} as k, 4.0::double + {K} as pb from toas), ph as (select *, (mjd - 50000.0) / pb - floor((mjd - 50000.0) / pb) as phase from g),
  fm as (select p.pattern, n.psr, n.name, count(*) over (partition by n.psr, p.pattern) as c from (select distinct psr, name from toas) n join (select unnest({FILES}) as pattern) p on contains(n.name, p.pattern)), bf as (select distinct psr, name from fm where c = 1),
@@ -128,7 +131,7 @@ def _ignore(t):
  when one.toa_id is not null or two.toa_id is not null then 'badtoa' when av.toa_id is not null then 'badtoa-averaged' end as cut
  from ph left join bf on ph.psr = bf.psr and ph.name = bf.name left join one on ph.psr = one.psr and ph.toa_id = one.toa_id left join two on ph.psr = two.psr and ph.toa_id = two.toa_id left join av on ph.psr = av.psr and ph.toa_id = av.toa_id""")
 def job_curate_configured(spark, sf_dir):
-    t = settled(toas(spark, sf_dir))
+    t = settled(toas(spark, sf_dir).select(*CURATED))
     orbits = t.select("psr").distinct().select("psr", (F.lit(4.0) + F.substring("psr", 4, 9).cast("int")).alias("pb"), F.lit(50000.0).alias("epoch"))
     return jobs.ignored(t, _ignore(t), orbits).select("psr", "toa_id", "cut")
 
@@ -154,7 +157,7 @@ def job_curate_orphan_changes(spark, sf_dir):
 
 
 def _staged(spark, sf_dir):
-    t = settled(toas(spark, sf_dir))
+    t = settled(toas(spark, sf_dir).select(*CURATED))
     k = F.substring("psr", 4, 9).cast("int")
     days, by_turns = F.lit(4.0) + k, k % 2 == 0
     orbits = t.select("psr").distinct().select("psr", F.lit(50000.0).alias("epoch"), F.when(~by_turns, days).alias("pb"), F.lit(1e-6).alias("pbdot"), F.when(by_turns, F.lit(1.0) / (F.lit(86400.0) * days)).alias("fb0"))
