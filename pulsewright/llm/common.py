@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -37,6 +38,14 @@ def pairs(batches: Iterable[pa.RecordBatch], slice_chars: int = 8_000_000) -> It
             yield ids[start:], part
 
 
+def give_back() -> None:
+    """What a task no longer uses goes back to the system, as its worker goes on to other stages beside a JVM that has grown."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from pulsewright.llm.common import documents, free_name, join_counted, pairs, stored
+from pulsewright.llm.common import documents, free_name, give_back, join_counted, pairs, stored
 
 #: Bytes of UTF-8, blanks not counted, that a common block must have. With 1 every line that an earlier document has goes.
 BLOCK_BYTES = 32
@@ -212,7 +212,7 @@ def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     c += more
             owner = np.repeat(np.array([0 if i is None else i for i in ids], np.int64), sizes)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(owner)], names)
-        pa.default_memory_pool().release_unused()  # workers go on to other stages
+        give_back()
 
     posted = stored(documents(docs).mapInArrow(post, "hash long, first long, number long, doc_id long"))
     owned = stored(_owned(posted).filter("owner < latest"))
@@ -234,6 +234,7 @@ def line_cuts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 yield out
         if kept:
             yield _close(kept, last=True)[1]
+        give_back()
 
     sorted_pairs = met.repartition("doc_id", "owner").sortWithinPartitions("doc_id", "owner", "first", "number")
     return sorted_pairs.mapInArrow(run, "doc_id long, owner long, first long, number long, hash long, block int")
@@ -331,6 +332,6 @@ def dedup_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, removed: str |
             columns = list(batch.columns[:width])
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns + ([] if removed is None else [pa.array(gone, pa.int64())]), schema.names)
-        pa.default_memory_pool().release_unused()  # workers go on to other stages
+        give_back()
 
     return joined.mapInArrow(apply, schema)

@@ -56,7 +56,11 @@ class ChunkMemo:
 
     def __init__(self, encode: Callable[[str], bytes], encode_all: Callable[[list[str]], list[bytes]], odd: Callable[[str], bool] = lambda s: False, most: int = 600_000):
         self.encode, self.encode_all, self.odd = encode, encode_all, odd
-        self.chunks, self.heads = Recent(most), Recent(most // 4)
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks, self.heads = Recent(self.most), Recent(self.most // 4)
 
     def alone(self, chunk: str) -> bool:
         if not chunk or chunk[0] < "!" or chunk[-1] < "!" or chunk[0].isspace() or chunk[-1].isspace():

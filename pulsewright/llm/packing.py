@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from pulsewright.llm.common import cut, documents, pairs
+from pulsewright.llm.common import cut, documents, give_back, pairs
 from pulsewright.llm.memo import ChunkMemo
 
 END = "<|endoftext|>"
 TOGETHER = 200
+#: Chunks that a task remembers, and characters of texts that it encodes at a time.
+KNOWN, SLICE = 100_000, 2_000_000
 
 
 class CapacityTree:
@@ -120,7 +122,7 @@ def memo(path: str) -> ChunkMemo:
                 out += [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
             return out
 
-        _MEMOS[path] = ChunkMemo(encode, encode_all, odd=lambda chunk: END in chunk)
+        _MEMOS[path] = ChunkMemo(encode, encode_all, odd=lambda chunk: END in chunk, most=KNOWN)
     return _MEMOS[path]
 
 
@@ -151,8 +153,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, value: Callable[[byte
     )
 
     def tokenize(batches):
-        encode, part, seen = memo(path).batch, TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for ids, texts in pairs(batches):
+        known = memo(path)
+        encode, part, seen = known.batch, TaskContext.get().partitionId(), [0] * (capacity + 1)
+        for ids, texts in pairs(batches, SLICE):
             rows = []
             for doc_id, tokens in zip(ids, encode(texts), strict=True):
                 tokens += b"\0\0\0\0"
@@ -160,6 +163,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, value: Callable[[byte
                     rows.append((doc_id, k, start, length, value(tokens[4 * start : 4 * (start + length)]), part, seen[length]))
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+        known.forget()  # the next task of this worker may be another stage's, which has no use for chunks
+        give_back()
 
     pieces = cut(documents(docs).mapInArrow(tokenize, from_arrow_schema(schema)))
     # at most one row for each length and partition

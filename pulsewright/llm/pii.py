@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsewright.llm.common import documents, pairs
+from pulsewright.llm.common import documents, give_back, pairs
 
 #: Kinds in the order in which they are listed, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -440,5 +440,6 @@ def redact(docs: DataFrame, field: SkipChainField) -> DataFrame:
                 columns = list(part.columns)
                 columns[place] = pa.array([t if t is None else redacted(t, b + a) for t, (b, a) in zip(texts, found, strict=True)], part.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

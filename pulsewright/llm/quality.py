@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsewright.llm.common import doc_mod, documents, pairs
+from pulsewright.llm.common import doc_mod, documents, give_back, pairs
 
 BLANKS = b" \t\n\v\f\r"
 #: Fixed values of the counting rules.
@@ -300,5 +300,6 @@ def keep_good(docs: DataFrame, field: LineField, least_share: float = 0.5) -> Da
                 part = batch.slice(at, 1000)
                 texts = [t or "" for t in part.column(place).to_pylist()]
                 yield part.filter(pa.array(verdicts(texts, field, least_share).kept))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pulsewright.llm.common import cut, documents, free_name, join_counted, pairs
+from pulsewright.llm.common import cut, documents, free_name, give_back, join_counted, pairs
 from pulsewright.llm.components import components
 
 SEED, WORDS, BITS = 42, 3, 3
@@ -67,10 +67,11 @@ def fingerprints(docs: DataFrame, words: int = WORDS, hashed: bool = False) -> D
     def run(batches):
         for batch in batches:
             at = 0
-            for ids, texts in pairs([batch]):
+            for ids, texts in pairs([batch], 2_000_000):
                 own = [batch.column(2).slice(at, len(texts))] if hashed else []
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *own, pa.array([fingerprint(t, words) for t in texts], pa.int64())], schema=schema)
+        give_back()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash")) if hashed else documents(docs)
     return read.mapInArrow(run, "doc_id long, text_hash string, fp long" if hashed else "doc_id long, fp long")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from pulsewright.llm import packing
@@ -67,3 +68,19 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert len(places) == len(brute_bins([r.length for r in rows], 512))
     assert packing.pack(no_docs, PATH).count() == 0
     assert max(len(r.ids) for r in packing.pack(odd_docs, PATH, 512).collect()) == 512
+
+
+def test_workers_retain_no_chunks(spark):
+    """A worker that has packed goes on to other stages; the chunks that its task remembered are gone by then."""
+    path = P.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(k, f"one two word{k} word{k + 1}") for k in range(400)], "doc_id long, text string").repartition(4)
+    packing.pack_digests(docs, path).collect()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        for memo in packing._MEMOS.values():
+            yield pa.RecordBatch.from_arrays([pa.array([len(m.young) + len(m.old) for m in (memo.chunks, memo.heads)])], ["n"])
+
+    found = [r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()]
+    assert found and not any(found)
