@@ -35,6 +35,8 @@ CHUNK, GROUP, PARTNERS = 4096, 256, 4
 #: Shingles of a hub for which a chunk is that large; with more it has fewer rows.
 CHUNK_SHINGLES = 1024
 FREQUENT = 1e-4
+#: Bits that tell which rows' texts are wanted, 8 MB: so many that few others share one, however large the corpus.
+WANTED = 1 << 26
 #: Elements that are hashed together, so that they stay in a processor's cache; words whose hashes a task remembers.
 STEP, KNOWN = 1 << 15, 500_000
 _RNG = np.random.default_rng(11)
@@ -171,6 +173,16 @@ def reaches(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def wanted(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (row_key, ...) with a key in ``keys`` (row_key), and few others: each key sets one bit of a bounded number, which go to every task."""
+    bit = F.pmod("row_key", F.lit(WANTED)) + 1
+    bucket, place = F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit)
+    bits = keys.groupBy(bucket).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    is_set = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    return docs.select("*", bucket).join(F.broadcast(bits), "bucket").filter(is_set).select(docs.columns)
+
+
 def _met(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(hub, salt, role, set_id, text), sorted, for pairs (a, b, a_key, b_key, spread): every text ``a`` beside its hub ``b``, whose own text comes first.
 
@@ -180,7 +192,8 @@ def _met(docs: DataFrame, found: DataFrame) -> DataFrame:
     salted = found.withColumn("salt", F.xxhash64(groups, F.pmod(F.xxhash64("a"), groups)))
     members = salted.select(F.col("a_key").alias("row_key"), F.col("b").alias("hub"), "salt", F.lit(1).alias("role"), F.col("a").alias("set_id"))
     hubs = salted.select(F.col("b_key").alias("row_key"), F.col("b").alias("hub"), "salt", F.lit(0).alias("role"), F.col("b").alias("set_id")).distinct()
-    met = _keyed(docs).drop("doc_id").join(members.union(hubs), "row_key").select("hub", "salt", "role", "set_id", "text")
+    parts = members.union(hubs)
+    met = wanted(_keyed(docs).drop("doc_id"), parts.select("row_key")).join(parts, "row_key").select("hub", "salt", "role", "set_id", "text")
     return met.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
 
@@ -350,10 +363,13 @@ def _likely(ids: list, label: np.ndarray, home: np.ndarray, planes: np.ndarray,
                 yield i, j, more
 
 
-def across(shared: DataFrame, classes: DataFrame, labels: DataFrame, homes: DataFrame, most: int, partners: int) -> DataFrame:
-    """(a, b, spread, more) of likely pairs between components and homes, in lists that hold several; ``more`` where partners were left out."""
-    labelled = shared.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(homes, "set_id", "left")
-    labelled = labelled.withColumns({"label": F.coalesce("component", "set_id"), "home": F.coalesce("home", "set_id")})
+def across(held: DataFrame, classes: DataFrame, labels: DataFrame, homes: DataFrame, most: int, partners: int) -> DataFrame:
+    """(a, b, spread, more) of likely pairs between components and homes, in lists that hold several; ``more`` where partners were left out.
+
+    ``held`` has a row for each class, with its lists: it meets its component and home as one row, not once for each list.
+    """
+    placed = held.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(homes, "set_id", "left")
+    labelled = placed.select("set_id", F.coalesce("component", "set_id").alias("label"), F.coalesce("home", "set_id").alias("home"), F.inline("lists"))
     ends = lambda c: [F.min(c).alias(f"least_{c}"), F.max(c).alias(f"greatest_{c}")]
     open_ = labelled.groupBy("key").agg(*ends("label"), *ends("home"), F.max(F.when(F.col("set_id") == F.col("hub"), F.col("label"))).alias("main"))
     open_ = open_.filter("least_label <> greatest_label and least_home <> greatest_home")
@@ -394,13 +410,14 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, perc
     meetings = met.groupBy("set_id").agg(F.sum("n").alias("meetings"))
     hubs = met.join(meetings, "set_id").groupBy("key").agg(F.max(F.struct("meetings", "set_id")).alias("hub"))
     shared = stored(met.join(hubs, "key").select("key", "set_id", F.col("hub.set_id").alias("hub"), "n"))
+    held = stored(shared.groupBy("set_id").agg(F.collect_list(F.struct("key", "hub", "n")).alias("lists")))  # BANDS lists at most
     apart = stored(taken_apart(docs, stored(starred(shared, classes, most)), words, percent))
     homes = apart.select("set_id", F.col("hub").alias("home"))
     links = stored(within_groups(apart, percent))
     labels = components(links)
     partners = PARTNERS
     while True:
-        found = stored(across(shared, classes, labels, homes, most, partners))
+        found = stored(across(held, classes, labels, homes, most, partners))
         if found.isEmpty():
             return labels
         more = not found.filter("more").isEmpty()

@@ -162,3 +162,27 @@ def test_links_of_a_group_are_exact():
                 join(here[i], here[j], label)
         assert [label.index(x) for x in label] == [want.index(x) for x in want]
         assert 5 < len(set(want)) < 100
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15])
+def test_wanted_keys_are_all_found(spark, monkeypatch, bits):
+    """Only texts that are wanted move: none of them is lost, and few others come along where bits are many."""
+    monkeypatch.setattr(minhash, "WANTED", bits)
+    docs = spark.range(20000).selectExpr("xxhash64(id) as row_key", "cast(id as string) as text", "id")
+    keys = docs.filter("id % 20 = 0").select("row_key")
+    found = minhash.wanted(docs, keys.union(keys))
+    assert found.columns == docs.columns
+    ids = [r["id"] for r in found.collect()]
+    assert len(set(ids)) == len(ids) and set(range(0, 20000, 20)) <= set(ids)
+    assert len(ids) < (1010 if bits > 1 << 20 else 2000)
+    assert minhash.wanted(docs, keys.limit(0)).count() == 0
+
+
+def test_across_joins_classes_not_postings(spark):
+    """A class in many lists meets its component and home as one row; its lists are read from it afterwards."""
+    held = spark.createDataFrame([(bytes([k]), [(key, b"\0", 2) for key in range(25)]) for k in range(2)], "set_id binary, lists array<struct<key: long, hub: binary, n: long>>")
+    classes = spark.createDataFrame([(bytes([k]), [0] * 8) for k in range(2)], "set_id binary, planes array<long>")
+    labels = spark.createDataFrame([], "node binary, component binary")
+    homes = spark.createDataFrame([], "set_id binary, home binary")
+    found = minhash.across(held, classes, labels, homes, minhash.most_differing(), 4).collect()
+    assert [(bytes(r["a"]), bytes(r["b"]), r["spread"], r["more"]) for r in found] == [(b"\1", b"\0", 2, False)]
