@@ -234,6 +234,7 @@ def leave_one_out(per_file: DataFrame, q: int, threshold: float = 1e-6, unit: st
     projected out, and a unit that only the file has rows in goes with it. A file may have rows in several units.
     """
     if unit is None:
+        per_file = settled(per_file)  # counted, then dealt out
         blocks = per_file.groupBy("psr").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
         per_file = per_file.join(blocks, "psr").withColumn("unit", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("long"))
     else:
@@ -257,13 +258,16 @@ def leave_one_out(per_file: DataFrame, q: int, threshold: float = 1e-6, unit: st
     lined = settled(units.mapInPandas(line, "psr string, unit long, rank long, whole array<double>, n long, before array<double>, n_before long, behind array<double>, n_behind long, total array<double>, n_total long"))
     files = each.filter("name is not null").join(lined.select("psr", "unit", "rank", "before", "n_before", "behind", "n_behind"), ["psr", "unit"])
     part = lambda r, n: F.struct(F.col(r).alias("r"), F.col(n).alias("n"))
-    of_file = files.groupBy("psr", "name").agg(
-        F.sum("n_rows").alias("n_removed"), F.collect_list(part("r", "n")).alias("parts"), F.min_by(part("before", "n_before"), "rank").alias("first"), F.max_by(part("behind", "n_behind"), "rank").alias("last"),
-        F.sort_array(F.collect_list("rank")).alias("ranks"),
-    )
-    skipped = of_file.select("psr", "name", F.explode(F.array_except(F.sequence(F.element_at("ranks", 1), F.element_at("ranks", -1)), "ranks")).alias("rank"))
-    between = skipped.join(lined.select("psr", "rank", "whole", "n"), ["psr", "rank"]).groupBy("psr", "name").agg(F.collect_list(part("whole", "n")).alias("between"))
-    parts = of_file.join(between, ["psr", "name"], "left").select("psr", "name", "n_removed", F.concat("parts", F.array("first", "last"), F.coalesce("between", F.array())).alias("parts"))
+    if unit is None:  # a file is in one block: what is left of that, and what is before and behind it
+        parts = files.select("psr", "name", F.col("n_rows").alias("n_removed"), F.array(part("r", "n"), part("before", "n_before"), part("behind", "n_behind")).alias("parts"))
+    else:
+        of_file = files.groupBy("psr", "name").agg(
+            F.sum("n_rows").alias("n_removed"), F.collect_list(part("r", "n")).alias("parts"), F.min_by(part("before", "n_before"), "rank").alias("first"), F.max_by(part("behind", "n_behind"), "rank").alias("last"),
+            F.sort_array(F.collect_list("rank")).alias("ranks"),
+        )
+        skipped = of_file.select("psr", "name", F.explode(F.array_except(F.sequence(F.element_at("ranks", 1), F.element_at("ranks", -1)), "ranks")).alias("rank"))
+        between = skipped.join(lined.select("psr", "rank", "whole", "n"), ["psr", "rank"]).groupBy("psr", "name").agg(F.collect_list(part("whole", "n")).alias("between"))
+        parts = of_file.join(between, ["psr", "name"], "left").select("psr", "name", "n_removed", F.concat("parts", F.array("first", "last"), F.coalesce("between", F.array())).alias("parts"))
 
     def run(batches):
         for pdf in batches:
