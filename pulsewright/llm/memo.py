@@ -9,7 +9,7 @@ texts. Any text outside that rule is encoded whole.
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from contextlib import contextmanager
 
 
@@ -31,21 +31,18 @@ class Recent:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def of(self, keys: Iterable, make: Callable[[list], list]) -> dict:
-        """The value of each of some distinct keys; ``make`` gives those of the keys that aren't known."""
+    def of(self, keys: set, make: Callable[[list], list]) -> dict:
+        """A dictionary with the value of each of some keys, others among them; ``make`` gives those of the keys that aren't known."""
         young, old = self.young, self.old
-        found, unknown = {}, []
-        for key in keys:
-            value = young.get(key)
-            if value is None and (value := old.get(key)) is None:
-                unknown.append(key)
-            else:
-                found[key] = value
-        found.update(zip(unknown, make(unknown) if unknown else (), strict=True))
-        young.update(found)
+        missing = keys.difference(young)
+        unknown = missing.difference(old)
+        for key in missing - unknown:
+            young[key] = old[key]
+        unknown = list(unknown)
+        young.update(zip(unknown, make(unknown) if unknown else (), strict=True))
         if len(young) > self.most:
             self.young, self.old = {}, young
-        return found
+        return young
 
 
 class ChunkMemo:
@@ -68,9 +65,12 @@ class ChunkMemo:
         return not self.odd(chunk)
 
     def _rest(self, chunks: list[str]) -> list[bytes | bool]:
-        sound = [c for c in chunks if self.alone(c)]
-        coded = dict(zip(sound, self.encode_all(sound), strict=True)) if sound else {}
-        return [coded.get(c, False) for c in chunks]
+        sound = [c for c in chunks if c.isalpha() or self.alone(c)]
+        coded = self.encode_all(sound) if sound else []
+        if len(sound) == len(chunks):
+            return coded
+        known = dict(zip(sound, coded, strict=True))
+        return [known.get(c, False) for c in chunks]
 
     def _first(self, chunks: list[str]) -> list[bytes | bool]:
         return [self.encode(c) if self.alone(c) else False for c in chunks]
@@ -82,14 +82,13 @@ class ChunkMemo:
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        heads = self.heads.of({s[0] for s in split}, self._first)
-        for s in split:
-            del s[0]
+        first = [s.pop(0) for s in split]
+        heads = self.heads.of(set(first), self._first)
         rest = self.chunks.of(set().union(*split), self._rest).__getitem__
         out = []
-        for text, s in zip(texts, split, strict=True):
+        for text, head, s in zip(texts, first, split, strict=True):
             try:
-                out.append(heads[text.partition(" ")[0]] + b"".join(map(rest, s)))
+                out.append(heads[head] + b"".join(map(rest, s)))
             except TypeError:  # a chunk that can't stand alone
                 out.append(self.encode(text) if text else b"")
         return out

@@ -8,6 +8,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from pulsewright.llm import packing
+from pulsewright.llm.memo import Recent
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -84,3 +85,27 @@ def test_workers_retain_no_chunks(spark):
 
     found = [r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()]
     assert found and not any(found)
+
+
+def test_simple_chunks_are_cut_and_spelled_alike():
+    """Chunks of plain letters, digits and symbols skip the tokenizer's own pattern; their ids are the tokenizer's."""
+    rng, tokenizer = random.Random(5), Tokenizer.from_file(PATH)
+    parts = ["the", "Word", "é", "ß", "Ȁɏ", "ñandú", "日本", "Ω", "7", "2024", ".", "...", ",", "###", "$$$", "<|", "|>", "-", "'s", "'", "“", "×", "\n", "\n", "\t", "\x7f", "́", "²", "_", "~`", "ͅ"]
+    chunks = list(dict.fromkeys("".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(6000)))
+    memo = packing.memo(PATH)
+    chunks = [c for c in chunks if memo.alone(c)]
+    simple = [c for c in chunks if packing.SIMPLE(" " + c)]
+    assert 500 < len(simple) < len(chunks) - 500
+    for some in (simple, chunks):
+        want = tokenizer.encode_batch([" " + c for c in some], add_special_tokens=False)
+        assert [np.frombuffer(b, "<u4").tolist() for b in memo.encode_all(some)] == [e.ids for e in want]
+
+
+def test_memo_takes_keys_back():
+    """A key in use survives when the memo is full, is made once, and both halves stay bounded."""
+    made, memo = [], Recent(10)
+    for k in range(40):
+        found = memo.of({"often", f"a{k}", f"b{k}"}, lambda keys: made.extend(keys) or [x.upper() for x in keys])
+        assert found["often"] == "OFTEN" and found[f"a{k}"] == f"A{k}"
+        assert len(memo.young) <= 10 and len(memo.old) <= 13
+    assert made.count("often") == 1 and len(made) == 81
