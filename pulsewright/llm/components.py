@@ -27,20 +27,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own)
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node with an edge to a lesser one has one alone, to a node that has none: then that is the least of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down + up > 1").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the least node that can be reached. Loops and repeated edges count once.
 
     An empty edge list gives an empty result. Null ends are not allowed.
     """
     edges = cut(edges.filter("a <> b").distinct())
-    seen = None
     for _ in range(rounds):
         edges = _star(edges, large=True).distinct()
         edges = cut(_star(edges, large=False).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if _settled(edges):
             break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

@@ -14,6 +14,8 @@ every round, until a round leaves none out. Lists and groups are dealt out in ch
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +34,8 @@ LOW = 4
 SLACK = 4.5
 #: Rows of a chunk of a list, texts of a group that meet one hub, partners of a class in another component at first.
 CHUNK, GROUP, PARTNERS = 4096, 256, 4
+#: More partners than any chunk has; pairs that a chunk hands on at a time.
+EVERY, TOGETHER = 1 << 62, 50_000
 #: Shingles of a hub for which a chunk is that large; with more it has fewer rows.
 CHUNK_SHINGLES = 1024
 FREQUENT = 1e-4
@@ -330,12 +334,6 @@ def _runs(batches, keys: tuple[str, ...]):
             yield table, int(a), int(b)
 
 
-def _with_keys(found: DataFrame, classes: DataFrame) -> DataFrame:
-    for side in ("a", "b"):
-        found = found.join(classes.select(F.col("set_id").alias(side), F.col("row_key").alias(f"{side}_key")), side)
-    return found
-
-
 def starred(shared: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """(a, b, a_key, b_key, spread): each class with the hub that it shares most bands with, if the estimate allows a link."""
     met = shared.filter("set_id <> hub").groupBy("set_id", "hub").agg(F.count(F.lit(1)).alias("bands"), F.max("n").alias("spread"))
@@ -366,6 +364,7 @@ def _likely(ids: list, label: np.ndarray, home: np.ndarray, planes: np.ndarray,
 def across(held: DataFrame, classes: DataFrame, labels: DataFrame, homes: DataFrame, most: int, partners: int) -> DataFrame:
     """(a, b, spread, more) of likely pairs between components and homes, in lists that hold several; ``more`` where partners were left out.
 
+    Where ``classes`` have a row_key, a_key and b_key come along.
     ``held`` has a row for each class, with its lists: it meets its component and home as one row, not once for each list.
     """
     placed = held.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(homes, "set_id", "left")
@@ -374,8 +373,10 @@ def across(held: DataFrame, classes: DataFrame, labels: DataFrame, homes: DataFr
     open_ = labelled.groupBy("key").agg(*ends("label"), *ends("home"), F.max(F.when(F.col("set_id") == F.col("hub"), F.col("label"))).alias("main"))
     open_ = open_.filter("least_label <> greatest_label and least_home <> greatest_home")
     own_chunk = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("n") / CHUNK)).cast("long")
-    rows = labelled.join(open_.select("key", "main"), "key").join(classes.select("set_id", "planes"), "set_id").select(
-        "key", "set_id", "label", "home", (F.col("label") != F.col("main")).alias("rest"), "n", own_chunk.alias("own"), "planes"
+    keyed = "row_key" in classes.columns
+    with_key = ["set_id", "planes", *(["row_key"] if keyed else [])]
+    rows = labelled.join(open_.select("key", "main"), "key").join(classes.select(*with_key), "set_id").select(
+        "key", "label", "home", (F.col("label") != F.col("main")).alias("rest"), "n", own_chunk.alias("own"), *with_key
     )
     dealt = rows.withColumn("chunk", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.ceil(F.col("n") / CHUNK) - 1)).otherwise(F.array("own"))))
 
@@ -391,14 +392,19 @@ def across(held: DataFrame, classes: DataFrame, labels: DataFrame, homes: DataFr
                 continue
             rest = part.column("rest").combine_chunks().to_numpy(zero_copy_only=False)
             own = part.column("own").to_numpy() == part.column("chunk").to_numpy()
-            found = list(_likely(ids, numbers(part.column("label")), numbers(part.column("home")), planes, rest, own, most, partners))
-            if found:
-                x, y = ([f(ids[i], ids[j]) for i, j, _ in found] for f in (max, min))
-                spread = part.column("n")[0].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array([spread] * len(found), pa.int64()), pa.array([f[2] for f in found], pa.bool_())], ["a", "b", "spread", "more"])
+            row_keys = part.column("row_key").to_numpy() if keyed else None
+            spread = part.column("n")[0].as_py()
+            likely = _likely(ids, numbers(part.column("label")), numbers(part.column("home")), planes, rest, own, most, partners)
+            while found := list(islice(likely, TOGETHER)):
+                x, y = (np.array([i if (ids[i] > ids[j]) == larger else j for i, j, _ in found]) for larger in (True, False))
+                columns = [pa.array([ids[k] for k in x], pa.binary()), pa.array([ids[k] for k in y], pa.binary()), pa.array([spread] * len(found), pa.int64()), pa.array([f[2] for f in found], pa.bool_())]
+                columns += [pa.array(row_keys[k]) for k in (x, y)] if keyed else []
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "spread", "more", *key_names])
 
-    met = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "a binary, b binary, spread long, more boolean")
-    return met.groupBy("a", "b").agg(F.max("spread").alias("spread"), F.max("more").alias("more"))
+    key_names = ["a_key", "b_key"] if keyed else []
+    schema = ", ".join(["a binary, b binary, spread long, more boolean", *(f"{c} long" for c in key_names)])
+    met = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, schema)
+    return met.groupBy("a", "b").agg(F.max("spread").alias("spread"), F.max("more").alias("more"), *[F.max(c).alias(c) for c in key_names])
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -421,13 +427,15 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, perc
         if found.isEmpty():
             return labels
         more = not found.filter("more").isEmpty()
-        new = stored(confirmed(docs, _with_keys(found.drop("more"), classes), words, percent))
-        if not new.isEmpty():
+        new = stored(confirmed(docs, found.drop("more"), words, percent))
+        tied = not new.isEmpty()
+        if tied:
             links = links.union(new)
             labels = components(links)
         if not more:
             return labels
-        partners *= 8
+        # where the likeliest aren't linked, the others seldom are: all of them are looked up at once, as rounds would have to
+        partners = partners * 8 if tied else EVERY
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

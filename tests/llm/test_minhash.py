@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from pulsewright.llm import minhash
+from pulsewright.llm import components, minhash
 
 
 def brute_set(text):
@@ -186,3 +186,25 @@ def test_across_joins_classes_not_postings(spark):
     homes = spark.createDataFrame([], "set_id binary, home binary")
     found = minhash.across(held, classes, labels, homes, minhash.most_differing(), 4).collect()
     assert [(bytes(r["a"]), bytes(r["b"]), r["spread"], r["more"]) for r in found] == [(b"\1", b"\0", 2, False)]
+
+
+def test_stars_settle_in_one_round(spark, monkeypatch):
+    """Components that are stars after a round need no second one to show it; a chain goes on until it is one."""
+    calls, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda edges, large: calls.append(large) or star(edges, large))
+    found = components.components(spark.createDataFrame([(k, 50) for k in range(50, 60)] + [(k, 7) for k in range(8)], "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(8)] + [(k, 50) for k in range(50, 60)]
+    assert len(calls) == 2
+    chain = [(k, k + 1) for k in range(0, 30, 2)] + [(k + 1, k) for k in range(1, 30, 2)]
+    assert sorted(map(tuple, components.components(spark.createDataFrame(chain, "a long, b long")).collect())) == [(k, 0) for k in range(31)]
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_across_brings_the_keys_of_texts(spark, monkeypatch):
+    held = spark.createDataFrame([(bytes([k]), [(5, b"\0", 3)]) for k in range(3)], "set_id binary, lists array<struct<key: long, hub: binary, n: long>>")
+    classes = spark.createDataFrame([(bytes([k]), [0] * 8, 10 + k) for k in range(3)], "set_id binary, planes array<long>, row_key long")
+    labels, homes = spark.createDataFrame([], "node binary, component binary"), spark.createDataFrame([], "set_id binary, home binary")
+    for together in (1, 50_000):
+        monkeypatch.setattr(minhash, "TOGETHER", together)
+        found = minhash.across(held, classes, labels, homes, minhash.most_differing(), minhash.EVERY).collect()
+        assert {(r["a"][0], r["b"][0], r["a_key"], r["b_key"], r["more"]) for r in found} == {(a, b, 10 + a, 10 + b, False) for a in range(3) for b in range(a)}
