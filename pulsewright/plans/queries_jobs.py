@@ -10,7 +10,7 @@ from pulsewright.plans import jobs, queries_text  # noqa: F401  registers what s
 from pulsewright.plans.queries_bins import BINS, _bins
 from pulsewright.plans.queries_cuts import CUT, CUT_SQL, END, FILES, HI, LO, SNR, START, cut_toas
 from pulsewright.plans.queries_noise import TESTS, _tests
-from pulsewright.plans.queries_params import CFG, LOG, NAMED, _configs, _file_lists, _jumps, _log, _noise_rows, _settings, named
+from pulsewright.plans.queries_params import CFG, LOG, NAMED, _configs, _file_lists, _jumps, _log, _models, _named_params, _noise_rows, _settings
 from pulsewright.plans.registration import ORACLES, QUERIES, query
 from pulsewright.sources.binding import CHAINS, TOAS, chains, params_sql, read, toas
 from pulsewright.sources.binding import params as model_params
@@ -211,10 +211,11 @@ CHECKED = f"with {NAMED}, {SPANS}, {TESTS}, v as (select *, 50000.0::double + le
  union all select psr, 'noise', kind || ' ' || mask_key || ' ' || mask_value, alert from ({ORACLES['noise_parameter_sanity']}) union all select psr, 'frozen', name, 'not zero' from ({ORACLES['frozen_nonzero']})""")
 def job_timing_checks(spark, sf_dir):
     """Values are 50000 and the length of the name; the old model's are 50000 with errors of one, so long names have moved."""
-    p, models = named(spark, sf_dir)
+    p = settled(_named_params(spark, sf_dir))  # like the observations below, read by several checks
     model = p.withColumns({"value": F.lit(50000.0) + F.length("name"), "uncertainty": F.lit(1.0)})
     day = (F.lit(40587) + F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))).cast("double")
     spans = stats.span(read(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("psr"), day.alias("mjd")))
-    receivers, jumped = _jumps(spark, sf_dir)
-    further = jobs.model_checks(receivers, jumped, *_settings(spark, sf_dir), *_noise_rows(spark, sf_dir), QUERIES["frozen_nonzero"](spark, sf_dir), wideband=jumped)
-    return jobs.timing_checks(model, models, model.withColumn("value", F.lit(50000.0)), spans, _tests(spark, sf_dir), further=further)
+    t = settled(toas(spark, sf_dir).select("psr", "f", "fe", "be", "err_us"))
+    receivers, jumped = _jumps(t)
+    further = jobs.model_checks(receivers, jumped, *_settings(spark, sf_dir), *_noise_rows(t), QUERIES["frozen_nonzero"](spark, sf_dir), wideband=jumped)
+    return jobs.timing_checks(model, _models(p), model.withColumn("value", F.lit(50000.0)), spans, _tests(spark, sf_dir), further=further)

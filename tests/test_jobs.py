@@ -1,8 +1,11 @@
 """Jobs and operators on small fixtures with stated results."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from pulsewright import registry
 from pulsewright.operators import audit, bins, cuts, ftests, noise, params, stats
 from pulsewright.plans import jobs
 from pulsewright.sources import text
@@ -203,3 +206,29 @@ def test_cut_counts_are_one_aggregate(spark):
     c = stats.cut_counts(t)
     assert "Generate" not in c._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in c.collect()} == {("P", "f", "L_X", 2, 0), ("P", "f", "S_X", 1, 1), ("P", "obs", "ao", 2, 1), ("P", "obs", "good", 1, 0), ("P", "cut", "good", 3, 2), ("P", "cut", "snr", 3, 1)}
+
+
+def test_timing_checks_read_observations_and_model_once(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as on large tables
+    try:
+        df = registry.QUERIES["job_timing_checks"](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not any("lineitem" in f for f in df.inputFiles())  # made once before, not by every check
+    by_name = re.findall(r"hashpartitioning\(psr#\d+, name#\d+", plan)
+    assert len(by_name) == 2  # the two models that are compared; rules look into a source's row
+
+
+def test_rules_see_repeated_and_odd_parameters(spark):
+    rows = [("A", "ELONG", False), ("A", "ELAT", True), ("A", "ELAT", True), ("A", "PX", None), ("A", None, True), ("B", "RAJ", False), ("B", "M2", False), ("B", "T0", True), ("B", "T0", False)]
+    p = spark.createDataFrame(rows, "psr string, name string, frozen boolean")
+    s = spark.createDataFrame([("A",), ("A",), ("C",)], "psr string")
+    said = lambda df: sorted(tuple(r) for r in df.collect())
+    assert said(params.required(p, s, ["PX", "ELAT"])) == [("A", "ELAT", "not fitted"), ("A", "ELAT", "not fitted"), ("A", "PX", "missing"), ("C", "ELAT", "missing"), ("C", "PX", "missing")]
+    assert [r for r in said(params.astrometry_check(p, s)) if r[1] == "FRAME"] == [("C", "FRAME", "no frame")]
+    m = spark.createDataFrame([("B", "T2"), ("B", "T2"), ("B", "DD"), ("B", None)], "psr string, model string")
+    lost = ["A1", "ECC", "OM", "PB"]  # of both models
+    want = [("B", n, "missing") for n in [*lost, *lost, "KIN", "KOM"]] + [("B", "T0", "not fitted")] * 2 + [("B", "M2+SINI", "one of a pair")]
+    assert said(params.binary_check(p, m)) == sorted(want)
