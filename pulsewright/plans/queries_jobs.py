@@ -211,7 +211,7 @@ CHECKED = f"with {NAMED}, {SPANS}, {TESTS}, v as (select *, 50000.0::double + le
  union all select psr, 'noise', kind || ' ' || mask_key || ' ' || mask_value, alert from ({ORACLES['noise_parameter_sanity']}) union all select psr, 'frozen', name, 'not zero' from ({ORACLES['frozen_nonzero']})""")
 def job_timing_checks(spark, sf_dir):
     """Values are 50000 and the length of the name; the old model's are 50000 with errors of one, so long names have moved."""
-    p = settled(_named_params(spark, sf_dir))  # like the observations below, read by several checks
+    p = settled(_named_params(spark, sf_dir, True))  # like the observations below, read by several checks
     model = p.withColumns({"value": F.lit(50000.0) + F.length("name"), "uncertainty": F.lit(1.0)})
     day = (F.lit(40587) + F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))).cast("double")
     spans = stats.span(read(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("psr"), day.alias("mjd")))
