@@ -109,6 +109,49 @@ def besides_each(factors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return before, behind, merged(before[-1], factors[-1])
 
 
+def others(factors: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the factors, those of consecutive groups: the factor of all others of its group; and each group's whole.
+
+    A tree of pairs over all groups at once: a factor's others are its neighbour and the others of their pair.
+    """
+    levels, sizes = [], np.asarray(sizes)
+    at = factors
+    while len(at) and sizes.max() > 1:
+        # each group's nodes in pairs; an odd one goes up alone
+        above = -(-sizes // 2)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        parent = np.repeat(np.cumsum(above) - above, sizes) + place // 2
+        paired = np.flatnonzero((place % 2 == 0) & (place + 1 < np.repeat(sizes, sizes)))
+        up = np.empty((above.sum(), *at.shape[1:]))
+        up[parent[place % 2 == 0]] = at[place % 2 == 0]
+        up[parent[paired]] = merged(at[paired], at[paired + 1])
+        levels.append((at, parent, paired, sizes))
+        at, sizes = up, above
+    whole, rest = at, np.zeros_like(at)
+    for below, parent, paired, sizes in reversed(levels):
+        down = rest[parent]
+        top = np.repeat(sizes, sizes) == 2  # the others of a whole group are none
+        for own, other in ((paired, paired + 1), (paired + 1, paired)):
+            down[own] = below[other]
+            more = ~top[own]
+            down[own[more]] = merged(rest[parent[own[more]]], below[other[more]])
+        rest = down
+    return rest, whole
+
+
+def projected(factors: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The factors without their first column and what it makes up of the others, and the rows that leaves.
+
+    A column that it makes up to rounding has no content left; a first column without content takes nothing away.
+    """
+    rest, none = factors[:, 1:, 1:].copy(), factors[:, 0, 0] == 0
+    if none.any():
+        rest[none] = np.linalg.qr(factors[none][:, :, 1:], mode="r")
+    made_up = np.linalg.norm(rest, axis=1) <= DEPENDENT * np.linalg.norm(factors[:, :, 1:], axis=1)
+    made_up[:, -1] = False  # y is no column of the fit
+    return np.where(made_up[:, None, :], 0.0, rest), n - ~none
+
+
 def solved(factors: np.ndarray, n: np.ndarray, use: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """chi-squared, degrees of freedom, parameters and their errors of many fits, from the factors of [columns, y].
 

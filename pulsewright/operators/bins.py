@@ -33,6 +33,23 @@ def members(times: DataFrame, bins: DataFrame, strict: bool = True, bucket: floa
     return t.join(b, ["psr", "bucket"]).filter(inside(strict)).drop("bucket")
 
 
+#: Days of the short buckets in which each row is held against all bins of its bucket at once.
+SHORT = 2.0
+
+
+def holding(times: DataFrame, bins: DataFrame, strict: bool = True, bucket: float = SHORT) -> DataFrame:
+    """``times`` (psr, mjd, ...), each row once, with ``held``: the numbers of the bins that hold it.
+
+    A bucket's few bins are one row of a small table, so no row of ``times`` is moved where that is broadcast.
+    """
+    b = bins.filter("low <= high").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))))
+    near = b.groupBy("psr", "bucket").agg(F.collect_list(F.struct("ord", "low", "high")).alias("near"))
+    low, high, mjd = (lambda x: x["low"]), (lambda x: x["high"]), F.col("mjd")
+    holds = (lambda x: (low(x) < mjd) & (mjd < high(x))) if strict else (lambda x: (low(x) <= mjd) & (mjd <= high(x)))
+    held = F.coalesce(F.transform(F.filter("near", holds), lambda x: x["ord"]), F.array().cast("array<long>"))
+    return times.withColumn("bucket", F.floor(F.col("mjd") / bucket)).join(near, ["psr", "bucket"], "left").select(*times.columns, held.alias("held"))
+
+
 def overlapping(bins: DataFrame) -> DataFrame:
     """Bins that have an edge of another bin strictly inside."""
     edges = bins.select("psr", F.explode(F.array("low", "high")).alias("mjd"))
@@ -44,16 +61,15 @@ def check(times: DataFrame, bins: DataFrame, strict: bool = True) -> DataFrame:
 
     The rows are read once; what the five kinds need of them is written down.
     """
-    t, b = settled(times.select("psr", "toa_id", "mjd")), settled(bins.select("psr", "ord", "low", "high"))
-    found = settled(members(t, b, strict).select("psr", "toa_id", "ord"))
-    n = found.groupBy("psr", "toa_id").agg(F.count(F.lit(1)).alias("n"))
+    b = settled(bins.select("psr", "ord", "low", "high"))
+    t = settled(holding(times.select("psr", "toa_id", "mjd"), b, strict).select("psr", "toa_id", "held"))
     kind = lambda df, k, c: df.select("psr", F.lit(k).alias("kind"), F.col(c).cast("long").alias("id"))
     return (
         kind(b.filter("low >= high"), "improper", "ord")
         .union(kind(overlapping(b), "overlapping", "ord"))
-        .union(kind(b.join(found.select("psr", "ord").distinct(), ["psr", "ord"], "left_anti"), "empty", "ord"))
-        .union(kind(t.join(n, ["psr", "toa_id"], "left_anti"), "in no bin", "toa_id"))
-        .union(kind(n.filter("n > 1"), "in several bins", "toa_id"))
+        .union(kind(b.join(t.select("psr", F.explode("held").alias("ord")).distinct(), ["psr", "ord"], "left_anti"), "empty", "ord"))
+        .union(kind(t.filter("size(held) = 0"), "in no bin", "toa_id"))
+        .union(kind(t.filter("size(held) > 1"), "in several bins", "toa_id"))
     )
 
 
@@ -83,10 +99,18 @@ def ratio_rows(toas: DataFrame, bins: DataFrame, ratio: float = 1.1, strict: boo
 def ratio_cut(toas: DataFrame, bins: DataFrame, ratio: float = 1.1) -> DataFrame:
     """``cut`` with dmx for uncut rows that no passing bin covers."""
     toas = settled(toas)  # read twice
-    found = settled(members(toas.filter("cut is null").select("psr", "toa_id", "mjd", "freq_mhz"), bins).select("psr", "toa_id", "ord", "freq_mhz"))
-    good = found.join(passing(found, ratio).select("psr", "ord"), ["psr", "ord"], "left_semi").select("psr", "toa_id").distinct().withColumn("covered", F.lit(True))
-    out = toas.join(good, ["psr", "toa_id"], "left")
-    return out.withColumn("cut", first_reason(F.col("cut"), reason(F.col("covered").isNull(), "dmx"))).drop("covered")
+    return _without_bin(toas, _passing(toas.filter("cut is null"), bins, ratio))
+
+
+def _passing(live: DataFrame, bins: DataFrame, ratio: float) -> DataFrame:
+    """The bins that pass by the frequencies of the uncut rows in them."""
+    found = members(live.select("psr", "mjd", "freq_mhz"), bins)
+    return settled(bins.join(passing(found, ratio).select("psr", "ord"), ["psr", "ord"], "left_semi"))
+
+
+def _without_bin(toas: DataFrame, bins: DataFrame) -> DataFrame:
+    """``cut`` with dmx for uncut rows that none of ``bins`` holds."""
+    return holding(toas, bins).withColumn("cut", first_reason(F.col("cut"), reason(F.size("held") == 0, "dmx"))).drop("held")
 
 
 def epochs(found: DataFrame, weighted: bool = True, digits: int = 9) -> DataFrame:
@@ -265,9 +289,9 @@ def _tangled(times: DataFrame, bins: DataFrame) -> DataFrame:
     w = Window.partitionBy("psr").orderBy("low", "high", "ord")
     reach = F.max("high").over(w.rowsBetween(*scan.BEFORE_ALL))
     chained = bins.withColumn("part", F.when(F.col("low") < reach, 0).otherwise(1)).withColumn("part", F.sum("part").over(w))
-    shared = members(times.select("psr", "mjd").distinct(), chained.select("psr", "part", "ord", "low", "high")).groupBy("psr", "part", "mjd").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = holding(times, bins).filter("size(held) > 1").select("psr", F.explode("held").alias("ord")).distinct()
     whole = Window.partitionBy("psr", "part")
-    return chained.join(shared.select("psr", "part").distinct(), ["psr", "part"], "left_semi").select("psr", "ord", "part", F.min("low").over(whole).alias("lo"), F.max("high").over(whole).alias("hi"))
+    return chained.join(chained.join(shared, ["psr", "ord"], "left_semi").select("psr", "part").distinct(), ["psr", "part"], "left_semi").select("psr", "ord", "part", F.min("low").over(whole).alias("lo"), F.max("high").over(whole).alias("hi"))
 
 
 def repair(times: DataFrame, bins: DataFrame, widths: DataFrame, pad: float = 0.05, cover: bool = False, rounds: int = 8) -> DataFrame:
@@ -275,11 +299,16 @@ def repair(times: DataFrame, bins: DataFrame, widths: DataFrame, pad: float = 0.
 
     Improper and empty bins go. Where overlapping bins share times, their stretch gets greedy bins of the source's width
     (``widths``: psr, width), inside the stretch; where they don't, the edges move to the middle between the bins' times.
-    With ``cover`` times in no bin get bins too. What a round has changed is checked again, until nothing is found.
+    With ``cover`` times in no bin get bins too. What a round has changed is checked again, until nothing is found. Only
+    distinct times (psr, mjd) are looked at.
     """
-    times = settled(times.select("psr", "toa_id", "mjd"))
+    return _repaired(settled(times.select("psr", "mjd").distinct()), bins, widths, pad, cover, rounds)
+
+
+def _repaired(times: DataFrame, bins: DataFrame, widths: DataFrame, pad: float, cover: bool = False, rounds: int = 8) -> DataFrame:
+    nameless = times.withColumn("toa_id", F.lit(None).cast("long"))
     for _ in range(rounds):
-        wrong = settled(check(times, bins).filter(F.lit(cover) | (F.col("kind") != "in no bin")))
+        wrong = settled(check(nameless, bins).filter(F.lit(cover) | (F.col("kind") != "in no bin")))
         if wrong.isEmpty():
             return bins
         gone = wrong.filter("kind in ('improper', 'empty')").select("psr", F.col("id").alias("ord"))
@@ -290,7 +319,7 @@ def repair(times: DataFrame, bins: DataFrame, widths: DataFrame, pad: float = 0.
         rebuilt = greedy_by(inside, keys, None, pad).select("psr", F.greatest("low", "lo").alias("low"), F.least("high", "hi").alias("high"))
         parts = [sound.join(tangled, ["psr", "ord"], "left_anti").select("psr", "low", "high"), rebuilt]
         if cover:
-            loose = times.join(wrong.filter("kind = 'in no bin'").select("psr", F.col("id").alias("toa_id")), ["psr", "toa_id"], "left_semi").join(widths, "psr")
+            loose = holding(times, bins).filter("size(held) = 0").drop("held").join(widths, "psr")
             parts.append(greedy_by(loose, {"psr": "string", "width": "double"}, None, pad).select("psr", "low", "high"))
         made = numbered(reduce(DataFrame.union, parts))
         bins = settled(numbered(_trimmed(times, settled(made))))
@@ -368,8 +397,9 @@ def setup(
     first = settled(early_bins(live, *early)) if early else None
     one_site = live.groupBy("psr").agg(F.bool_and(F.col("obs") == single_site).alias("one_site"))
     widths = settled(one_site.select("psr", F.when(F.col("one_site"), 0.5).otherwise(6.5).alias("width")))
+    times = settled(live.select("psr", "mjd").distinct())
     if first is None:
-        bins = numbered(greedy_by(live.join(widths, "psr"), {"psr": "string", "width": "double"}, None, 0.05))
+        bins = numbered(greedy_by(times.join(widths, "psr"), {"psr": "string", "width": "double"}, None, 0.05))
     else:
         of = lambda df, width: df.join(widths.filter(F.col("width") == width).select("psr"), "psr", "left_semi")
         parts = [expand(of(live, width), of(first, width), width, 0.05, add_new=True) for width in (0.5, 6.5)]
@@ -377,14 +407,15 @@ def setup(
     bins = settled(bins)
     if events is not None:
         with_width = events if "width" in events.columns else events.withColumn("width", F.lit(0.5))
-        bins = settled(rebin_events(live, bins, with_width.select("psr", "from_mjd", "to_mjd", F.coalesce("width", F.lit(0.5)).cast("double").alias("width"))))
-    bins = settled(rebin(live, bins, solar_bins(live, bins, most_us), 0.5, 0.05))
+        bins = settled(rebin_events(times, bins, with_width.select("psr", "from_mjd", "to_mjd", F.coalesce("width", F.lit(0.5)).cast("double").alias("width"))))
+    bins = settled(rebin(times, bins, settled(solar_bins(live, bins, most_us)), 0.5, 0.05))
     if mend:
-        bins = repair(live, bins, widths, 0.05)
-    good = settled(numbered(bins.join(passing(members(live, bins), ratio).select("psr", "ord"), ["psr", "ord"], "left_semi")))
+        bins = _repaired(times, bins, widths, 0.05)
+    pass_ = _passing(live, bins, ratio)
+    good = settled(numbered(pass_))
     if old_bins is not None:
         good = settled(kept_or_new(good, old_bins))
-    return settled(ratio_cut(toas, bins, ratio)), good
+    return _without_bin(toas, pass_), good
 
 
 def kept_or_new(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -112,11 +112,15 @@ def bad_toas(toas: DataFrame, entries: DataFrame, keys: tuple[str, ...] = ("name
     return out.select(*on, "toa_id", F.when(F.col("toa_id").isNull(), "unmatched").when(F.col("cut").isNotNull(), "already cut").otherwise("badtoa").alias("status"))
 
 
+def many_outliers(threshold: float = 8.0) -> Column:
+    """Are more rows of the row's file outlier cuts than the rounded share allows?"""
+    w = Window.partitionBy("psr", "name")
+    return F.count_if(F.col("cut").contains("outlier")).over(w) > F.bround(F.count(F.lit(1)).over(w) * F.lit(threshold) / F.lit(100.0))
+
+
 def file_outliers(toas: DataFrame, threshold: float = 8.0) -> DataFrame:
     """``cut`` with maxout for the uncut rows of files where more rows are outlier cuts than the rounded share allows."""
-    w = Window.partitionBy("psr", "name")
-    over = F.count_if(F.col("cut").contains("outlier")).over(w) > F.bround(F.count(F.lit(1)).over(w) * F.lit(threshold) / F.lit(100.0))
-    return toas.withColumn("cut", first_reason(F.col("cut"), reason(over, "maxout")))
+    return toas.withColumn("cut", first_reason(F.col("cut"), reason(many_outliers(threshold), "maxout")))
 
 
 def no_ppdm(toas: DataFrame) -> DataFrame:

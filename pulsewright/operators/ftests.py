@@ -11,6 +11,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -199,30 +201,82 @@ def post_fit(rows: DataFrame, fits: DataFrame, columns: list[str], y: str = "y")
     return rows.join(fits.select("psr", "beta"), "psr").withColumn("post", F.col(y) - reduce(Column.__add__, terms)).drop("beta")
 
 
-def _without_each(units: DataFrame, q: int, own_column: bool) -> DataFrame:
+def _runs_of(batches, keys: list[str]):
+    """As ``_runs``, for Arrow batches: (columns by name, bounds of runs)."""
+    kept: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(pa.Table.from_batches([batch]))
+        last = _changes(kept[-1], keys)
+        if len(last) or (len(kept) > 1 and len(_changes(pa.concat_tables([kept[-2].slice(kept[-2].num_rows - 1), kept[-1].slice(0, 1)]), keys))):
+            rows = pa.concat_tables(kept).combine_chunks()
+            new = _changes(rows, keys)
+            kept = [rows.slice(new[-1])]
+            yield rows.slice(0, new[-1]), np.array([0, *new])
+    if kept:
+        rows = pa.concat_tables(kept).combine_chunks()
+        yield rows, np.array([0, *_changes(rows, keys), rows.num_rows])
+
+
+def _changes(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a row's keys are others than those of the row before."""
+    new = np.zeros(max(0, rows.num_rows - 1), bool)
+    for k in keys:
+        a, b = rows[k].slice(0, len(new)).combine_chunks(), rows[k].slice(1).combine_chunks()
+        same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+        new |= ~(same | (a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False)))
+    return np.flatnonzero(new) + 1
+
+
+def _numbers(rows: pa.Table, *names: str) -> np.ndarray:
+    """Columns of numbers side by side."""
+    return np.stack([rows[c].to_numpy().astype(float) for c in names], axis=1)
+
+
+def _flat(rows: pa.Table, name: str, q: int) -> np.ndarray:
+    """A column of arrays of q times q numbers, as matrices."""
+    return rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, q, q)
+
+
+def _arrays(r: np.ndarray) -> pa.Array:
+    """Matrices as a column of arrays."""
+    size = int(np.prod(r.shape[1:]))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * size), pa.array(np.ascontiguousarray(r, float).ravel()))
+
+
+def _without_each(units: DataFrame, q: int, own_column: bool, columns: list[str] | None = None) -> DataFrame:
     """(psr, unit, name, r, n, n_rows): each unit's factor without each of its files, and the whole unit's (name null).
 
-    With ``own_column`` the first column is the unit's own and is projected out: ``r`` has the other ones, ``n`` one row less.
+    With ``own_column`` the first column is the unit's own and is projected out: ``r`` has the other ones, ``n`` one row less. A column that units' own ones make up has no content.
+    ``units`` has the files' factors (r, n), or with ``columns`` their weighted rows (w, columns), which are factored here.
     """
-    left = q - own_column
 
-    def given(r: np.ndarray, n: int):
-        return (r[own_column:, own_column:].ravel(), max(0, n - own_column) if n else 0)
+    given = kernels.projected if own_column else lambda r, n: (r, n)
 
     def run(batches):
-        for part, bounds in _runs(batches, ["psr", "unit"]):
-            r, n, out = _stack(part["r"], q), part["n"].to_numpy(), []
-            psr, unit, name = (part[c].tolist() for c in ("psr", "unit", "name"))
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                before, behind, whole = kernels.besides_each(r[a:b])
-                rest = kernels.merged(before, behind)
-                every = int(n[a:b].sum())
-                out.append((psr[a], unit[a], None, *given(whole, every), every))
-                out += [(psr[k], unit[k], name[k], *given(rest[k - a], every - int(n[k])), int(n[k])) for k in range(a, b)]
-            yield pd.DataFrame(out, columns=["psr", "unit", "name", "r", "n", "n_rows"])
-
-    ready = units.select("psr", "unit", "name", "r", "n").repartition("psr", "unit").sortWithinPartitions("psr", "unit", "name")
-    return ready.mapInPandas(run, f"psr string, unit long, name {units.schema['name'].dataType.simpleString()}, r array<double>, n long, n_rows long")
+        for part, bounds in _runs_of(batches, ["psr", "unit"]):
+            if columns is None:
+                files, r, n = np.arange(part.num_rows), _flat(part, "r", q), part["n"].to_numpy()
+            else:
+                files = np.array([0, *_changes(part, ["psr", "unit", "name"])])
+                n = np.diff([*files, part.num_rows])
+                r = kernels.triangles(_numbers(part, *columns) * np.sqrt(_numbers(part, "w")), n)
+            first = np.searchsorted(files, bounds[:-1])  # each unit's first file
+            sizes = np.diff([*first, len(files)])
+            rest, whole = kernels.others(r, sizes)
+            every = np.add.reduceat(n, first)
+            keys, types = part.select(["psr", "unit"]), part.schema.field("name").type
+            of_files, of_units = keys.take(pa.array(files)), keys.take(pa.array(files[first]))
+            for own, names, (rest_, left), rows in (
+                (of_units, pa.nulls(len(first), types), given(whole, every), every),
+                (of_files, part["name"].combine_chunks().take(pa.array(files)), given(rest, np.repeat(every, sizes) - n), n),
+            ):
+                done = [own["psr"].combine_chunks(), own["unit"].combine_chunks(), names, _arrays(rest_), pa.array(left, pa.int64()), pa.array(rows, pa.int64())]
+                yield pa.RecordBatch.from_arrays(done, ["psr", "unit", "name", "r", "n", "n_rows"])
+
+    ready = units.select("psr", "unit", "name", *(["r", "n"] if columns is None else ["w", *columns])).repartition("psr", "unit").sortWithinPartitions("psr", "unit", "name")
+    return ready.mapInArrow(run, f"psr string, unit long, name {units.schema['name'].dataType.simpleString()}, r array<double>, n long, n_rows long")
 
 
 def leave_one_out(per_file: DataFrame, q: int, threshold: float = 1e-6, unit: str | None = None) -> DataFrame:
@@ -239,8 +293,18 @@ def leave_one_out(per_file: DataFrame, q: int, threshold: float = 1e-6, unit: st
         per_file = per_file.join(blocks, "psr").withColumn("unit", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("long"))
     else:
         per_file = per_file.withColumn("unit", F.col(unit).cast("long"))
-    left = q - (unit is not None)
-    each = settled(_without_each(per_file, q, unit is not None))
+    return _tests(settled(_without_each(per_file, q, unit is not None)), q - (unit is not None), threshold, unit is not None)
+
+
+def leave_one_out_of_rows(rows: DataFrame, columns: list[str], threshold: float = 1e-6, unit: str = "unit", y: str = "y", w: str = "w") -> DataFrame:
+    """``leave_one_out`` with a column for each ``unit``, the first of ``columns``, from weighted rows (psr, unit, name): a unit's rows meet once, and its files' factors are made there."""
+    names = [*columns, y]
+    ready = rows.select("psr", F.col(unit).cast("long").alias("unit"), "name", F.col(w).alias("w"), *names)
+    return _tests(settled(_without_each(ready, len(names), True, names)), len(names) - 1, threshold, True)
+
+
+def _tests(each: DataFrame, left: int, threshold: float, shared: bool) -> DataFrame:
+    """The tests of files from units without each of their files; ``shared``: a file may be in several units."""
 
     def line(batches):
         for part, bounds in _runs(batches, ["psr"]):
@@ -251,25 +315,27 @@ def leave_one_out(per_file: DataFrame, q: int, threshold: float = 1e-6, unit: st
                 ahead = np.cumsum(n) - n
                 flat = lambda r: list(r.reshape(len(r), -1))
                 total = [whole.ravel()] + [None] * (b - a - 1)
-                yield pd.DataFrame({"psr": own["psr"].to_numpy(), "unit": own["unit"].to_numpy(), "rank": np.arange(b - a), "whole": own["r"].to_numpy(), "n": n, "before": flat(before), "n_before": ahead, "behind": flat(behind), "n_behind": n.sum() - ahead - n, "total": total, "n_total": n.sum()})
+                yield pd.DataFrame({
+                    "psr": own["psr"].to_numpy(), "unit": own["unit"].to_numpy(), "rank": np.arange(b - a), "whole": own["r"].to_numpy(), "n": n, "before": flat(before), "n_before": ahead, "behind": flat(behind), "n_behind": n.sum() - ahead - n,
+                    "beside": flat(kernels.merged(before, behind)), "n_beside": n.sum() - n, "total": total, "n_total": n.sum(),
+                })
 
     # a source has few units beside its rows: bins of its span, or blocks of files
     units = each.filter("name is null").select("psr", "unit", "r", "n").repartition("psr").sortWithinPartitions("psr", "unit")
-    lined = settled(units.mapInPandas(line, "psr string, unit long, rank long, whole array<double>, n long, before array<double>, n_before long, behind array<double>, n_behind long, total array<double>, n_total long"))
-    files = each.filter("name is not null").join(lined.select("psr", "unit", "rank", "before", "n_before", "behind", "n_behind"), ["psr", "unit"])
-    part = lambda r, n: F.struct(F.col(r).alias("r"), F.col(n).alias("n"))
-    if unit is None:  # a file is in one block: what is left of that, and what is before and behind it
-        parts = files.select("psr", "name", F.col("n_rows").alias("n_removed"), F.array(part("r", "n"), part("before", "n_before"), part("behind", "n_behind")).alias("parts"))
-    else:
-        of_file = files.groupBy("psr", "name").agg(
-            F.sum("n_rows").alias("n_removed"), F.collect_list(part("r", "n")).alias("parts"), F.min_by(part("before", "n_before"), "rank").alias("first"), F.max_by(part("behind", "n_behind"), "rank").alias("last"),
-            F.sort_array(F.collect_list("rank")).alias("ranks"),
-        )
-        skipped = of_file.select("psr", "name", F.explode(F.array_except(F.sequence(F.element_at("ranks", 1), F.element_at("ranks", -1)), "ranks")).alias("rank"))
-        between = skipped.join(lined.select("psr", "rank", "whole", "n"), ["psr", "rank"]).groupBy("psr", "name").agg(F.collect_list(part("whole", "n")).alias("between"))
-        parts = of_file.join(between, ["psr", "name"], "left").select("psr", "name", "n_removed", F.concat("parts", F.array("first", "last"), F.coalesce("between", F.array())).alias("parts"))
-
-    def run(batches):
+    of_line = "psr string, unit long, rank long, whole array<double>, n long, before array<double>, n_before long, behind array<double>, n_behind long, beside array<double>, n_beside long, total array<double>, n_total long"
+    lined = settled(units.mapInPandas(line, of_line))
+    files, name = each.filter("name is not null"), each.schema["name"].dataType.simpleString()
+    schema = f"psr string, name {name}, n_removed long, chi2 double, dof long"
+
+    def alone(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                r = np.concatenate([_flat(rows, "r", left), _flat(rows, "beside", left)], axis=1)
+                chi2, dof, _, _ = kernels.solved(r, rows["n"].to_numpy() + rows["n_beside"].to_numpy())
+                yield pa.RecordBatch.from_arrays([batch["psr"], batch["name"], batch["n_rows"], pa.array(chi2), pa.array(dof, pa.int64())], ["psr", "name", "n_removed", "chi2", "dof"])
+
+    def merging(batches):
         for pdf in batches:
             if len(pdf):
                 sizes = np.array([len(x) for x in pdf["parts"]])
@@ -278,9 +344,26 @@ def leave_one_out(per_file: DataFrame, q: int, threshold: float = 1e-6, unit: st
                 chi2, dof, _, _ = kernels.solved(r, n)
                 yield pd.DataFrame({"psr": pdf["psr"], "name": pdf["name"], "n_removed": pdf["n_removed"], "chi2": chi2, "dof": dof})
 
-    one = parts.mapInPandas(run, f"psr string, name {per_file.schema['name'].dataType.simpleString()}, n_removed long, chi2 double, dof long")
+    single = files
+    if shared:  # files in several units are put together from their units and all others; there are few
+        several = settled(files.groupBy("psr", "name").agg(F.count(F.lit(1)).alias("units")).filter("units > 1").select("psr", "name"))
+        single = files.join(several, ["psr", "name"], "left_anti")
+    # of a file in one unit: what is left of that, beside all other units; these are written apart, so that Spark knows how little it is
+    one = single.join(settled(lined.select("psr", "unit", "beside", "n_beside")), ["psr", "unit"]).select("psr", "name", "n_rows", "r", "n", "beside", "n_beside").mapInArrow(alone, schema)
+    if shared:
+        met = files.join(several, ["psr", "name"], "left_semi").join(lined.select("psr", "unit", "rank", "before", "n_before", "behind", "n_behind"), ["psr", "unit"])
+        part = lambda r, n: F.struct(F.col(r).alias("r"), F.col(n).alias("n"))
+        of_file = met.groupBy("psr", "name").agg(
+            F.sum("n_rows").alias("n_removed"), F.collect_list(part("r", "n")).alias("parts"), F.min_by(part("before", "n_before"), "rank").alias("first"), F.max_by(part("behind", "n_behind"), "rank").alias("last"),
+            F.sort_array(F.collect_list("rank")).alias("ranks"),
+        )
+        of_file = settled(of_file)  # read twice
+        skipped = of_file.select("psr", "name", F.explode(F.array_except(F.sequence(F.element_at("ranks", 1), F.element_at("ranks", -1)), "ranks")).alias("rank"))
+        between = skipped.join(lined.select("psr", "rank", "whole", "n"), ["psr", "rank"]).groupBy("psr", "name").agg(F.collect_list(part("whole", "n")).alias("between"))
+        parts = of_file.join(between, ["psr", "name"], "left").select("psr", "name", "n_removed", F.concat("parts", F.array("first", "last"), F.coalesce("between", F.array())).alias("parts"))
+        one = one.union(parts.mapInPandas(merging, schema))
     total = lined.filter("total is not null").select("psr", F.col("total").alias("r"), F.col("n_total").alias("n"))
-    base = fit(total, left).select("psr", F.col("chi2").alias("base_chi2"), F.col("dof").alias("base_dof"))
+    base = settled(fit(total, left).select("psr", F.col("chi2").alias("base_chi2"), F.col("dof").alias("base_dof")))
     out = one.join(base, "psr").withColumn("ftest", f_test(F.col("base_chi2"), F.col("base_dof"), F.col("chi2"), F.col("dof")))
     return out.select("psr", "name", "n_removed", "chi2", "dof", "ftest", F.coalesce(F.col("ftest") < threshold, F.lit(False)).alias("drop"))
 

@@ -40,6 +40,16 @@ def numbered(rows: DataFrame, keys: list[str], order: list, stretch: Column, nam
     return own.join(offsets, [*keys, PART]).select(*[c for c in rows.columns if c != name], (F.col("scan_ahead") + F.col(LOCAL) + F.lit(start - 1)).cast("long").alias(name))
 
 
+def ahead(rows: DataFrame, keys: list[str], by: str, amount: str, width: int = NUMBERS, name: str = "ahead") -> DataFrame:
+    """``rows`` with ``name``: the sum of ``amount`` over the rows before in the order of ``by``, a whole number that no other row of the keys has."""
+    own = rows.withColumn(PART, of_numbers(by, width))
+    sums = own.groupBy(*keys, PART).agg(F.sum(amount).alias(LOCAL))
+    before = lambda c, of, order: F.coalesce(F.sum(c).over(Window.partitionBy(*of).orderBy(order).rowsBetween(*BEFORE_ALL)), F.lit(0))
+    handed = sums.select(*keys, PART, before(LOCAL, keys, PART).alias("scan_ahead"))
+    own = own.withColumn(LOCAL, before(amount, [*keys, PART], by))
+    return own.join(handed, [*keys, PART]).select(*[c for c in rows.columns if c != name], (F.col("scan_ahead") + F.col(LOCAL)).alias(name))
+
+
 def sessions(times: DataFrame, keys: list[str], gap: float | Column, days: float = DAYS, name: str = "grp") -> DataFrame:
     """``times`` with the number of its session, from 1: a new one where the time before is more than ``gap`` earlier.
 

@@ -112,12 +112,16 @@ def curate_configured(toas: DataFrame, configs: DataFrame, keep: str, lose: str,
 
 def outlier_cuts(toas: DataFrame, prob: float = 0.1, percent: float = 8.0, narrowband: bool = True, **setup) -> tuple[DataFrame, DataFrame]:
     """(toas, bins) after outlier cuts, binning, cuts of files with many outliers, and binning again."""
-    t, b = bins.setup(cuts.apply_rules(toas, [cuts.outlier_reason(prob)]), **setup)
-    return bins.setup(cuts.file_outliers(t, percent), **setup) if narrowband else (t, b)
+    t = cuts.apply_rules(toas, [cuts.outlier_reason(prob)])
+    if not narrowband:
+        return bins.setup(t, **setup)
+    # binning makes no outlier cuts, so files with many are known before it
+    t, _ = bins.setup(t.withColumn("many_outliers", cuts.many_outliers(percent)), **setup)
+    return bins.setup(cuts.apply_rules(t, [cuts.reason(F.col("many_outliers"), "maxout")]).drop("many_outliers"), **setup)
 
 
-def outlier_excision(toas: DataFrame, columns: dict[str, Column], prob: float = 0.1, threshold: float = 1e-6, **setup) -> tuple[DataFrame, DataFrame]:
-    """(toas with epochdrop cuts, the files' tests): outlier cuts, then the fit without each file of what is left.
+def excision_tests(toas: DataFrame, columns: dict[str, Column], prob: float = 0.1, threshold: float = 1e-6, **setup) -> tuple[DataFrame, DataFrame]:
+    """(toas, the files' tests): outlier cuts, then the fit without each file of what is left.
 
     ``columns`` are the design's. A DM for each bin is fitted beside them, with and without the file; a bin that the
     file alone has rows in goes with it.
@@ -126,9 +130,14 @@ def outlier_excision(toas: DataFrame, columns: dict[str, Column], prob: float =
     live = bins.members(t.filter("cut is null"), b)
     weight, of_dm = 1 / (F.col("err_us") * F.col("err_us")), 1e6 / (F.col("freq_mhz") * F.col("freq_mhz"))
     design = live.select("psr", "ord", "name", F.col("resid_us").alias("y"), weight.alias("w"), of_dm.alias("u"), *[c.alias(n) for n, c in columns.items()])
-    per_file = ftests.factors(design, ["psr", "ord", "name"], ["u", *columns])
-    tests = ftests.leave_one_out(per_file, len(columns) + 2, threshold, unit="ord")
-    marked = cuts.listed(t, tests.filter("drop"), ["psr", "name"], "dropped")
+    return t, ftests.leave_one_out_of_rows(design, ["u", *columns], threshold, unit="ord")
+
+
+def outlier_excision(toas: DataFrame, columns: dict[str, Column], prob: float = 0.1, threshold: float = 1e-6, **setup) -> tuple[DataFrame, DataFrame]:
+    """(toas with epochdrop cuts, the files' tests) of ``excision_tests``."""
+    t, tests = excision_tests(toas, columns, prob, threshold, **setup)
+    gone = settled(tests.filter("drop").select("psr", "name"))  # few beside the tests, and known to be
+    marked = cuts.listed(t, gone, ["psr", "name"], "dropped")
     return cuts.apply_rules(marked, [cuts.reason(F.col("dropped"), "epochdrop")]).drop("dropped"), tests
 
 

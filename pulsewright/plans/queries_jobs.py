@@ -12,7 +12,7 @@ from pulsewright.plans.queries_cuts import CUT, CUT_SQL, END, FILES, HI, LO, SNR
 from pulsewright.plans.queries_noise import TESTS, _tests
 from pulsewright.plans.queries_params import CFG, LOG, NAMED, _configs, _file_lists, _jumps, _log, _models, _named_params, _noise_rows, _settings
 from pulsewright.plans.registration import ORACLES, QUERIES, query
-from pulsewright.sources.binding import CHAINS, TOAS, chains, params_sql, read, toas
+from pulsewright.sources.binding import CHAINS, TOAS, chains, params_sql, read, toas, toas_by_file
 from pulsewright.sources.binding import params as model_params
 
 
@@ -30,13 +30,14 @@ DESIGN = {"t": "(mjd - 50500) / 1000", "one": "1.0", "inv": "1e6 / (freq_mhz * f
 
 def _excision(spark, sf_dir):
     columns = {n: F.expr(e).cast("double") for n, e in DESIGN.items()}
-    t = toas(spark, sf_dir).select("psr", "toa_id", "name", "mjd", "obs", "freq_mhz", "sun_angle_rad", "pout", "resid_us", "err_us", F.lit(None).cast("string").alias("cut"))
+    t = toas_by_file(spark, sf_dir).select("psr", "toa_id", "name", "mjd", "obs", "freq_mhz", "sun_angle_rad", "pout", "resid_us", "err_us", F.lit(None).cast("string").alias("cut"))
     return jobs.outlier_excision(t, columns, prob=0.95, threshold=1e-3, most_us=3.0)
 
 
 @query()
 def job_outlier_excision_tests(spark, sf_dir):
-    return _excision(spark, sf_dir)[1]
+    tests = _excision(spark, sf_dir)[1]
+    return tests.withColumn("name", F.concat(F.lit("file_"), F.col("name").cast("string")))
 
 
 @query()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsewright.operators import scan
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,12 +16,39 @@ def toas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each observation: a line item seen as an arrival time in the file of its order."""
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    psr = F.concat(F.lit("PSR"), (F.col("l_orderkey") % 50).cast("string"))
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    return both.withColumn("psr", psr).select(
+    number = F.row_number().over(Window.partitionBy("psr").orderBy("l_orderkey", *ORDER)).cast("long")
+    return _observed(both.withColumn("psr", _source("l_orderkey")), number, F.concat(F.lit("file_"), F.col("l_orderkey").cast("string")))
+
+
+#: What numbers the line items of an order.
+ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _source(order: str) -> Column:
+    return F.concat(F.lit("PSR"), (F.col(order) % 50).cast("string"))
+
+
+def toas_by_file(spark: SparkSession, sf_dir: str, ids: bool = True) -> DataFrame:
+    """``toas`` with the order's number as ``name``, so that rows stay where the join by orders put them: windows over files move nothing.
+
+    A row's number is its place in its order and the rows of the source's orders before; without ``ids`` it is null.
+    """
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    number = F.lit(None).cast("long")
+    if ids:
+        both = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("of_lines")).join(orders.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("of_orders")), "o_orderkey")
+        rows = both.select("o_orderkey", _source("o_orderkey").alias("psr"), (F.col("of_lines") * F.col("of_orders")).alias("rows"))
+        orders = orders.join(scan.ahead(rows, ["psr"], "o_orderkey", "rows").select("o_orderkey", "ahead"), "o_orderkey")
+        number = (F.col("ahead") + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER))).cast("long")
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return _observed(both.withColumn("psr", _source("l_orderkey")), number, F.col("l_orderkey"))
+
+
+def _observed(both: DataFrame, number: Column, name: Column) -> DataFrame:
+    return both.select(
         "psr",
-        F.row_number().over(Window.partitionBy("psr").orderBy(*order)).cast("long").alias("toa_id"),
-        F.concat(F.lit("file_"), F.col("l_orderkey").cast("string")).alias("name"),
+        number.alias("toa_id"),
+        name.alias("name"),
         (F.lit(40587) + F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")) + (F.col("l_partkey") % 100) / F.lit(10000.0)).alias("mjd"),
         (F.lit(400.0) + F.col("l_partkey") % 1400).alias("freq_mhz"),
         (F.lit(0.5) + F.lit(10.0) * F.col("l_tax")).alias("err_us"),

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from pulsewright.operators import bins, ftests
 from pulsewright.plans.queries_cuts import cut_toas
-from pulsewright.sources.binding import toas
+from pulsewright.sources.binding import toas, toas_by_file
 
 SF = "/root/testdata/sf0.001"
 
@@ -217,3 +217,41 @@ def test_windows_of_a_configuration_take_effect(spark):
     narrow = [(a, b) for a, b in near(own) if 50006 < a and b < 50022]
     assert narrow and all(b - a < 2.2 for a, b in narrow if 50007.5 < a)
     assert bins.check(bins.setup(t, events=bins.windows_of(configs), most_us=1e9)[0].filter("cut is null"), own).count() == 0
+
+
+def test_others_of_groups_of_any_size_and_bins_without_content():
+    from pulsewright.functions import kernels
+
+    rng, sizes = np.random.default_rng(5), np.array([1, 2, 3, 7, 8, 1, 30, 2, 5])
+    r = np.triu(rng.normal(size=(sizes.sum(), 4, 4)))
+    rest, whole = kernels.others(r, sizes)
+    square = lambda f: np.einsum("kij,kil->kjl", f, f)
+    for part, left, total in zip(*(np.split(x, np.cumsum(sizes)[:-1]) for x in (r, rest)), whole, strict=True):
+        assert np.allclose(total.T @ total, square(part).sum(0)) and np.allclose(square(left), square(part).sum(0) - square(part))
+    flat = np.triu(rng.normal(size=(2, 3, 3)))
+    flat[0, :, 0] = 0.0
+    left, n = kernels.projected(flat, np.array([5, 5]))
+    assert n.tolist() == [5, 4] and np.allclose(left[0].T @ left[0], flat[0, :, 1:].T @ flat[0, :, 1:]) and np.allclose(left[1], flat[1, 1:, 1:])
+
+
+def test_cuts_by_bins_do_not_move_rows_by_their_numbers(spark):
+    """Each row looks into the few bins of its time; it was joined with all pairs of rows and bins by its number."""
+    t = spark.createDataFrame([("P", k, m, 1000.0 + 300 * (k % 2), None) for k, m in enumerate((1.0, 1.5, 3.9, 4.0, 9.0, 50.0))] + [("P", 6, 1.2, 1000.0, "old"), ("Q", 7, 1.2, 1000.0, None)], "psr string, toa_id long, mjd double, freq_mhz double, cut string")
+    b = spark.createDataFrame([("P", 1, 0.5, 2.0), ("P", 2, 1.4, 4.0), ("P", 3, 8.0, 10.0), ("P", 4, 49.0, 40.0)], "psr string, ord long, low double, high double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = bins.ratio_cut(t, b)
+        rows = {r.toa_id: r.cut for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {0: None, 1: None, 2: None, 3: "dmx", 4: "dmx", 5: "dmx", 6: "old", 7: "dmx"}
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "toa_id" in line]
+    held = {(r.psr, r.toa_id): sorted(r.held) for r in bins.holding(t, b, bucket=0.5).collect()}
+    assert held == {("P", 0): [1], ("P", 1): [1, 2], ("P", 2): [2], ("P", 3): [], ("P", 4): [3], ("P", 5): [], ("P", 6): [1], ("Q", 7): []}
+
+
+def test_rows_numbered_by_files_have_the_numbers_of_their_source(spark):
+    rows = ["psr", "toa_id", "name", "mjd", "freq_mhz", "err_us", "snr", "pout"]
+    a, b = toas(spark, SF), toas_by_file(spark, SF).withColumn("name", F.concat(F.lit("file_"), F.col("name").cast("string")))
+    assert a.select(*rows).exceptAll(b.select(*rows)).count() == 0 and a.count() == b.count()
