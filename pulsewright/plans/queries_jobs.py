@@ -28,21 +28,21 @@ def job_curate(spark, sf_dir):
 DESIGN = {"t": "(mjd - 50500) / 1000", "one": "1.0", "inv": "1e6 / (freq_mhz * freq_mhz)"}
 
 
-def _excision(spark, sf_dir):
+def _excision(spark, sf_dir, of, ids):
     columns = {n: F.expr(e).cast("double") for n, e in DESIGN.items()}
-    t = toas_by_file(spark, sf_dir).select("psr", "toa_id", "name", "mjd", "obs", "freq_mhz", "sun_angle_rad", "pout", "resid_us", "err_us", F.lit(None).cast("string").alias("cut"))
-    return jobs.outlier_excision(t, columns, prob=0.95, threshold=1e-3, most_us=3.0)
+    t = toas_by_file(spark, sf_dir, ids).select("psr", "toa_id", "name", "mjd", "obs", "freq_mhz", "sun_angle_rad", "pout", "resid_us", "err_us", F.lit(None).cast("string").alias("cut"))
+    return of(t, columns, prob=0.95, threshold=1e-3, most_us=3.0)
 
 
 @query()
 def job_outlier_excision_tests(spark, sf_dir):
-    tests = _excision(spark, sf_dir)[1]
+    tests = _excision(spark, sf_dir, jobs.excision_tests, ids=False)[1]
     return tests.withColumn("name", F.concat(F.lit("file_"), F.col("name").cast("string")))
 
 
 @query()
 def job_outlier_excision_cuts(spark, sf_dir):
-    return _excision(spark, sf_dir)[0].select("psr", "toa_id", "cut")
+    return _excision(spark, sf_dir, jobs.outlier_excision, ids=True)[0].select("psr", "toa_id", "cut")
 
 
 @query(f"with {CHAINS}, k as (select *, row_number() over (partition by chain order by sample) - 1 as k, count(*) over (partition by chain) as n from chains), t as (select *, row_number() over (partition by chain order by vals[len(vals)] desc, sample desc) as r from k where k >= floor(n * 0.25::double)), "

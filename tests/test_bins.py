@@ -219,6 +219,35 @@ def test_windows_of_a_configuration_take_effect(spark):
     assert bins.check(bins.setup(t, events=bins.windows_of(configs), most_us=1e9)[0].filter("cut is null"), own).count() == 0
 
 
+def _binned(rng):
+    """Rows (psr, ord, name, y, w, u, one, t, inv) of files in one bin, but for two; inv is u, which the bins' columns make up."""
+    rows = []
+    for p in "AB":
+        for f in range(14):
+            for _ in range(rng.integers(1, 6)):
+                ord_ = int(rng.integers(0, 3)) if f in (3, 8) else f % 3 if f != 4 else 7
+                t, u = rng.normal(), rng.uniform(0.5, 2)
+                rows.append((p, ord_, f, float(2 + t + ord_ * u + rng.normal()), float(rng.uniform(0.5, 2)), float(u), 1.0, float(t), float(u)))
+    return rows
+
+
+def test_a_column_that_the_bins_make_up_counts_for_nothing(spark):
+    """What rounding leaves of it was fitted as if it were content: one degree of freedom less, and a chi-squared by chance."""
+    rows = _binned(np.random.default_rng(3))
+    d = spark.createDataFrame(rows, "psr string, ord long, name long, y double, w double, u double, one double, t double, inv double")
+    columns = ["u", "one", "t", "inv"]
+    of_rows = {(r.psr, r.name): r for r in ftests.leave_one_out_of_rows(d, columns, unit="ord").collect()}
+    of_files = {(r.psr, r.name): r for r in ftests.leave_one_out(ftests.factors(d, ["psr", "ord", "name"], columns), 5, unit="ord").collect()}
+    assert len(of_rows) == len(of_files) == 28
+    for (p, f), r in of_rows.items():
+        left = [q for q in rows if q[0] == p and q[2] != f]
+        known = sorted({q[1] for q in left})
+        x = np.array([[*q[6:8], *(q[5] * (q[1] == o) for o in known)] for q in left])
+        chi2, dof, _ = refit(x, np.array([q[3] for q in left]), np.array([q[4] for q in left]))
+        for got in (r, of_files[p, f]):
+            assert abs(got.chi2 - chi2) < 1e-8 * max(1, chi2) and got.dof == dof and got.n_removed == sum(q[0] == p and q[2] == f for q in rows)
+
+
 def test_others_of_groups_of_any_size_and_bins_without_content():
     from pulsewright.functions import kernels
 
